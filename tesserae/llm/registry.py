@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import table
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import setjoin
+
+    return setjoin.components_of(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import topk
 
@@ -35,7 +41,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_exact_topk": op7_exact_topk, "op8_sentencepiece": op8_sentencepiece}
+    return {"op2_ngram_jaccard": op2_ngram_jaccard, "op7_exact_topk": op7_exact_topk, "op8_sentencepiece": op8_sentencepiece}
 
 
 def oracle_sql() -> dict:
