@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import suffix
+
+    return suffix.digests(table(spark, sf_dir, "documents"), length=400)
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import setjoin
 
@@ -41,7 +47,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_ngram_jaccard": op2_ngram_jaccard, "op7_exact_topk": op7_exact_topk, "op8_sentencepiece": op8_sentencepiece}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op7_exact_topk": op7_exact_topk, "op8_sentencepiece": op8_sentencepiece}
 
 
 def oracle_sql() -> dict:
