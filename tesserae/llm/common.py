@@ -93,6 +93,11 @@ _IS_SPACE[list(SPACES)] = True
 
 def words_of(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, in order, and the number of words of each text."""
+    return located_words(texts, lower)[:2]
+
+
+def located_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, ...]:
+    """words_of(), and the start and end of each word in the texts joined by single spaces."""
     sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
     if lower:
@@ -104,7 +109,7 @@ def words_of(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.nda
     start, end = edge[0::2], edge[1::2]
     ends = np.cumsum(sizes + 1)
     per = np.bincount(np.searchsorted(ends, start, "right"), minlength=len(texts)) if len(texts) else np.zeros(0, np.int64)
-    return mix(Prefix(data).span(start, end)), per
+    return mix(Prefix(data).span(start, end)), per, start, end
 
 
 def chunks(ids, texts, limit: int = 4 << 20):

@@ -20,6 +20,36 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.components_of(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import url_graph
+
+    return url_graph.judged(table(spark, sf_dir, "pages"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import mixing
+
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import quality_rules
+
+    return quality_rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import toxicity
+
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import quality_model
+
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import topk
 
@@ -47,7 +77,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op7_exact_topk": op7_exact_topk, "op8_sentencepiece": op8_sentencepiece}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_url_filter": op3_url_filter, "op4_source_mixing": op4_source_mixing, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op7_exact_topk": op7_exact_topk, "op10_quality": op10_quality, "op8_sentencepiece": op8_sentencepiece}
 
 
 def oracle_sql() -> dict:
