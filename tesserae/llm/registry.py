@@ -44,6 +44,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import ngram_lm
+
+    return ngram_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import quality_model
 
@@ -77,7 +83,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_url_filter": op3_url_filter, "op4_source_mixing": op4_source_mixing, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op7_exact_topk": op7_exact_topk, "op10_quality": op10_quality, "op8_sentencepiece": op8_sentencepiece}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_url_filter": op3_url_filter, "op4_source_mixing": op4_source_mixing, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op7_exact_topk": op7_exact_topk, "op10_quality": op10_quality, "op8_sentencepiece": op8_sentencepiece, "op9_lm_scores": op9_lm_scores}
 
 
 def oracle_sql() -> dict:

@@ -2,7 +2,7 @@
 
 The kernel of two strings counts their common subsequences of three letters, each weighted by a decay per letter it spans,
 so that insults with inserted or missing letters stay close to the plain ones. Landmarks are the words of labelled toxic
-texts that set them apart most, and frequent neutral words. A sentence is the largest kernel value of its words at each
+texts that set them apart most. A sentence is the largest kernel value of its words at each
 landmark; the Nystroem map turns that into coordinates, on which a linear machine is trained with labelled sentences (the
 most suspicious one of each labelled text). A text scores as its worst sentence, through a fitted logistic curve. Words are
 taken by their letters alone, runs of single letters as one word; words beyond WINDOW letters are taken in overlapping parts.
@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import SPACE_CLASS, chunks, located_words, stage, unified
 
-ORDER, DECAY, WINDOW = 3, 0.6, 20
-N_TOXIC, N_NEUTRAL = 16, 4
+ORDER, DECAY, WINDOW = 3, 0.8, 20
+#: Similarities are raised to this power (a product of kernels is a kernel), which sets near misses apart from chance likeness.
+POWER = 3
+N_LANDMARKS = 16
 #: Kernel values below this count as 0; a word is compared to landmarks with which it shares most letters.
-FLOOR, SHARED = 0.3, 0.6
+FLOOR, SHARED = 0.4, 0.6
+#: A landmark is in so many more of the toxic texts than in (three times) the others.
+LEAST_GAIN = 0.08
 #: At most about this many labelled rows of each class are learned from (chosen by a hash of doc_id).
 LABELLED = 6_000
 CACHE_WORDS = 1_500_000
@@ -103,7 +107,7 @@ def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
             near = np.flatnonzero(picked[idx])
             if len(near):
                 value = kernel(c[near], land[z]) / np.sqrt(np.maximum(size[idx[near]] * own[z], 1e-12))
-                np.maximum.at(out[:, z], owner[idx[near]], np.where(value >= FLOOR, value, 0))
+                np.maximum.at(out[:, z], owner[idx[near]], np.where(value >= FLOOR, value**POWER, 0))
     return out
 
 
@@ -184,16 +188,13 @@ def _folds(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 def landmarks_of(rows: DataFrame) -> list[str]:
-    """Words that set toxic texts apart, and the most frequent words of the others."""
+    """The words that set toxic texts apart."""
     letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\x20\x09-\x0D]+", "")
     words = rows.select("y", F.explode(F.array_distinct(F.filter(F.split(letters, SPACE_CLASS), lambda w: F.length(w).between(3, 12)))).alias("w"))
     total = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = words.groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    p, q = F.col("p") / float(total.get(1, 1)), F.col("q") / float(total.get(0, 1))
-    ranked = stage(counts.select("w", (p - 3 * q).alias("gain"), (q - 3 * p).alias("loss"), F.length("w").alias("n")), "words")
-    toxic = [r.w for r in ranked.where("gain > 0.02").orderBy(F.desc("gain"), "w").limit(N_TOXIC).collect()]
-    neutral = [r.w for r in ranked.where("gain <= 0 AND n >= 4").orderBy("gain", "w").limit(N_NEUTRAL).collect()]
-    return toxic + [w for w in neutral if w not in toxic]
+    gain = F.col("p") / float(total.get(1, 1)) - 3 * F.col("q") / float(total.get(0, 1))
+    return [r.w for r in counts.select("w", gain.alias("gain")).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "w").limit(N_LANDMARKS).collect()]
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -219,8 +220,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict | None
     names = landmarks_of(rows) if classes == 2 else []
     if not names:
         return None
-    n_toxic = min(N_TOXIC, len(names))
-
     def worst(batches):
         own = Sentences(names)
         for pdf in batches:
@@ -228,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict | None
             for ids, texts in chunks(range(len(pdf)), pdf["text"].str.lower()):
                 best = np.zeros((len(texts), len(names)), np.float32)
                 text, value = own.of(texts)
-                suspicion = value[:, :n_toxic].max(1, initial=0)
+                suspicion = value.max(1, initial=0)
                 for k in np.argsort(suspicion, kind="stable").tolist():
                     best[text[k]] = value[k]
                 yield pd.DataFrame({"y": ys[list(ids)], "x": list(best.astype(float))})
