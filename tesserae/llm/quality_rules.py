@@ -34,11 +34,16 @@ def _without(text: Column, chars: str) -> Column:
     return F.translate(text, chars, "")
 
 
-def statistics(docs: DataFrame, extra: bool = False) -> DataFrame:
-    """doc_id, the base statistics and the ratios that rules are learned on; with extra also those of a finer profile."""
+def statistics(docs: DataFrame, extra: bool = False, carry: bool = False) -> DataFrame:
+    """doc_id, the base statistics and the ratios that rules are learned on.
+
+    With extra also those of a finer profile; with carry also the whole row as the struct _row.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    a = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", F.array_remove(F.split("text", SPACE_CLASS), "").alias("words"), F.length("text").alias("n"),
+    row = ["_row"] if carry else []
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if carry else []
+    a = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *whole).select(
+        "doc_id", *row, F.array_remove(F.split("text", SPACE_CLASS), "").alias("words"), F.length("text").alias("n"),
         F.length(_without(F.col("text"), SPACE_CHARS)).alias("word_chars"), F.length(_without(F.col("text"), SYMBOLS)).alias("n_plain"),
         F.filter(F.split("text", "\n"), lambda x: F.length(_without(x, SPACE_CHARS)) > 0).alias("lines"),
         F.length(_without(F.col("text"), _UPPER)).alias("n_not_upper"), F.length(_without(F.col("text"), "!?")).alias("n_not_mark"),
@@ -59,7 +64,7 @@ def statistics(docs: DataFrame, extra: bool = False) -> DataFrame:
     n, n_words = F.col("n"), F.col("n_words")
     distinct = F.size(F.array_distinct("words"))
     out = d.select(
-        "doc_id", n_words.cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"), (n - F.col("n_plain")).cast("long").alias("n_symbols"),
+        "doc_id", *row, n_words.cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"), (n - F.col("n_plain")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
         per(F.col("word_chars"), n_words).alias("f_word_length"), per(n - F.col("n_plain"), n_words).alias("f_symbols"),
         per(F.size("lines") - F.size(F.array_distinct("lines")), F.size("lines")).alias("f_dup_lines"), per(F.coalesce(covered, F.lit(0)), n_words).alias("f_repeats"),
@@ -73,23 +78,31 @@ def statistics(docs: DataFrame, extra: bool = False) -> DataFrame:
 FEATURES = ["f_word_length", "f_symbols", "f_dup_lines", "f_repeats", "f_upper", "f_marks", "f_distinct", "f_line_words", "f_stops"]
 
 
-def labelled(stats: DataFrame, labels: DataFrame, label: str, most: int = LABELLED) -> DataFrame:
-    """Statistics of labelled rows with y (1: the label), at most about `most`."""
+def chosen_labels(labels: DataFrame, label: str, most: int = LABELLED) -> DataFrame:
+    """doc_id and y (1: the label) of at most about `most` labelled ids."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     total = own.count()
     share = min(1.0, most / total) if total else 1.0
-    return stats.join(own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)), "doc_id")
+    return own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+
+
+def labelled(stats: DataFrame, labels: DataFrame, label: str, most: int = LABELLED) -> DataFrame:
+    """Statistics of labelled rows with y."""
+    return stats.join(chosen_labels(labels, label, most), "doc_id")
 
 
 def _gain(p: int, n: int, p0: int, n0: int) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p and p0 else -1.0
 
 
-def learn(stats: DataFrame, labels: DataFrame, label: str = "quality", features: list[str] | None = None) -> list[list[tuple[str, str, float]]]:
+def learn(stats: DataFrame, labels: DataFrame, label: str = "quality") -> list[list[tuple[str, str, float]]]:
     """Ordered rules, each a list of (statistic, ">" or "<=", threshold), that find rows whose label is 0."""
-    features = features or FEATURES
-    rows = labelled(stats, labels, label).select("doc_id", "y", *features)
-    rows = stage(rows, "labelled")
+    return covered(labelled(stats, labels, label), FEATURES)
+
+
+def covered(rows: DataFrame, features: list[str]) -> list[list[tuple[str, str, float]]]:
+    """The rules of sequential covering over rows with doc_id, y and the features."""
+    rows = stage(rows.select("doc_id", "y", *features), "labelled")
     cuts_of = rows.agg(*[F.percentile_approx(f, [(i + 0.5) / CUTS for i in range(CUTS)], 2000).alias(f) for f in features]).first()
     cuts = {f: sorted({float(x) for x in cuts_of[f]}) if cuts_of[f] else [] for f in features}
     # the bin of a value: how many cuts lie below it, so value > cuts[i] is bin > i
@@ -155,21 +168,20 @@ def expression(rules: list[list[tuple[str, str, float]]]) -> Column:
     return F.lit(True) if out is None else out.otherwise(True)
 
 
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, base statistics, base_failed and kept of each row."""
     stats = stage(statistics(docs), "statistics")
     rules = learn(stats, labels)
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return stats.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & expression(rules)).alias("kept"))
+    return stats.select("doc_id", *BASE, base_failed().alias("base_failed"), (~base_failed() & expression(rules)).alias("kept"))
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep. Learns first, then judges each row beside its text."""
-    rules = learn(stage(statistics(docs), "statistics"), labels)
-    keep = judge_ids(docs, rules)
-    return docs.join(keep, docs["doc_id"] == keep["kept_id"], "left_semi")
-
-
-def judge_ids(docs: DataFrame, rules) -> DataFrame:
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    return statistics(docs).where(~failed & expression(rules)).select(F.col("doc_id").alias("kept_id"))
+    """The rows of docs that the rules keep: learned from the labelled rows, then applied where each row lies."""
+    # the chosen labels are bounded by LABELLED, so the texts need not move
+    ids = F.broadcast(chosen_labels(labels, "quality"))
+    rules = covered(statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select("doc_id"), "doc_id", "left_semi")).join(ids, "doc_id"), FEATURES)
+    return statistics(docs, carry=True).where(~base_failed() & expression(rules)).select("_row.*")

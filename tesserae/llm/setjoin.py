@@ -326,6 +326,6 @@ def components_of(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component; of repeated rows with that id, one."""
+    """The rows of docs whose doc_id is the smallest of their component; rows with one doc_id count as one document."""
     keep = components_of(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(keep, "doc_id", "left_semi")
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)

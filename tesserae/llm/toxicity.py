@@ -29,7 +29,7 @@ POWER = 3
 N_LANDMARKS = 16
 #: Kernel values below this count as 0; a word is compared to landmarks with which it shares most letters.
 FLOOR, SHARED = 0.4, 0.6
-#: A landmark is in so many more of the toxic texts than in (three times) the others.
+#: A landmark is in so many more of the toxic texts than in ten times the share of the others.
 LEAST_GAIN = 0.08
 #: At most about this many labelled rows of each class are learned from (chosen by a hash of doc_id).
 LABELLED = 6_000
@@ -193,7 +193,7 @@ def landmarks_of(rows: DataFrame) -> list[str]:
     words = rows.select("y", F.explode(F.array_distinct(F.filter(F.split(letters, SPACE_CLASS), lambda w: F.length(w).between(3, 12)))).alias("w"))
     total = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = words.groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    gain = F.col("p") / float(total.get(1, 1)) - 3 * F.col("q") / float(total.get(0, 1))
+    gain = F.col("p") / float(total.get(1, 1)) - 10 * F.col("q") / float(total.get(0, 1))
     return [r.w for r in counts.select("w", gain.alias("gain")).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "w").limit(N_LANDMARKS).collect()]
 
 

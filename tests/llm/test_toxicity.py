@@ -38,7 +38,7 @@ def corpus(spark):
     syll = ["th", "er", "in", "an", "re", "on", "at", "en"]
     text = lambda: " ".join("".join(r.choice(syll, r.integers(1, 4))) for _ in range(30))
     bad = ["moron", "stupid", "clown"]
-    rows = [(i, text() + (f". {text()} {bad[i % 3]} {text()}" if i % 2 else ""), "en", 9) for i in range(400)]
+    rows = [(i, f"{text()}. {text()} {bad[i % 3] if i % 2 else text()} on", "en", 9) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     return docs, docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic").where("doc_id < 300")
 
