@@ -311,7 +311,8 @@ def components_of(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     paired = parted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.col("rep").alias("doc_id"), "h1", "copies", "part", "family", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j")
     )
-    found = stage(_searched(docs.join(paired, "doc_id"), n, percent), "links")
+    # texts and members meet by doc_id at every size; without the hint small inputs would broadcast the members
+    found = stage(_searched(docs.join(paired.hint("merge"), "doc_id"), n, percent), "links")
     if blocks.where("blocks > 1").limit(1).count():
         label = components(found, name="linked").withColumnsRenamed({"node": "rep", "label": "root"})
     else:
