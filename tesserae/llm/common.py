@@ -92,8 +92,19 @@ _IS_SPACE[list(SPACES)] = True
 
 
 def words_of(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, in order, and the number of words of each text."""
-    return located_words(texts, lower)[:2]
+    """Hashes of all words of all texts, in order, and the number of words of each text.
+
+    Texts are hashed about a megabyte at a time, as the prefix sums take 32 bytes for each byte of text.
+    """
+    parts, own, size = [], [], 0
+    for t in texts:
+        own.append(t)
+        size += len(t)
+        if size >= 1 << 20:
+            parts.append(located_words(own, lower)[:2])
+            own, size = [], 0
+    parts.append(located_words(own, lower)[:2])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def located_words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, ...]:

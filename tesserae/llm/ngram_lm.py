@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import mix, shuffle_partitions, unified, words_of
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 10 << 20
 STRENGTH = 60.0
 BITS = 40
 START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
@@ -158,9 +158,11 @@ class Asked:
         order = np.lexsort((w, a))
         a, w = a[order], w[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]))) if len(a) else np.zeros(0, bool)
-        self.pair_of = np.empty(len(order), np.int64)
+        self.pair_of = np.empty(len(order), np.int32)
         self.pair_of[order] = np.cumsum(new) - 1
+        del order, v, shard
         self.a, self.w = a[new], w[new]
+        del a, w
         self.pair_cut = np.searchsorted(self.a, np.arange(shards + 1, dtype=np.uint64) << np.uint64(BITS))
 
     def _edges(self) -> np.ndarray:
