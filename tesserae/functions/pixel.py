@@ -32,27 +32,39 @@ def finite(x) -> Column:
     return F.when(is_finite(x), x)
 
 
+def _once(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f uses it: nested rules stay linear in size."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _operand(x) -> Column:
+    return finite(x).cast("double") if isinstance(x, str) else col(x).cast("double")
+
+
+def _clean(x: Column) -> Column:
+    return _once(x, lambda v: F.when(F.abs(v) < float("inf"), v))
+
+
 def binary(op: str, left, right, strict: bool = True) -> Column:
-    """add, sub, mul or div; NULL unless both are finite. A divisor near zero is an error, or NULL when not strict."""
-    a, b = finite(left).cast("double"), finite(right).cast("double")
-    if op == "div":
-        zero = F.abs(b) < EPSILON
-        out = F.try_divide(a, b)
-        if strict:
-            return F.when(a.isNotNull() & zero, F.raise_error(F.lit("division by zero"))).otherwise(finite(out))
-        return F.when(~zero, finite(out))
-    return finite({"add": a + b, "sub": a - b, "mul": a * b}[op])
+    """add, sub, mul or div; NULL unless both are finite. A divisor near zero is an error, or NULL when not strict.
+
+    Operands are column names, or expressions that are finite or NULL, as those of this module are.
+    """
+    a, b = _operand(left), _operand(right)
+    if op != "div":
+        return _clean({"add": a + b, "sub": a - b, "mul": a * b}[op])
+    zero = F.raise_error(F.lit("division by zero")).cast("double") if strict else F.lit(None).cast("double")
+    return _clean(_once(F.struct(a.alias("a"), b.alias("b")), lambda s: F.when(s["a"].isNotNull() & (F.abs(s["b"]) < EPSILON), zero).otherwise(F.try_divide(s["a"], s["b"]))))
 
 
 def unary(op: str, value) -> Column:
     """sqrt, log (natural) or abs of a finite value; NULL where that is no number."""
-    v = finite(value).cast("double")
     if op == "sqrt":
-        return F.when(v >= 0, F.sqrt(v))
+        return _once(_operand(value), lambda v: F.when(v >= 0, F.sqrt(v)))
     if op == "log":
-        return F.when(v > 0, F.log(v))
+        return _once(_operand(value), lambda v: F.when(v > 0, F.log(v)))
     if op == "abs":
-        return F.abs(v)
+        return F.abs(_operand(value))
     raise ValueError(f"unknown function {op!r}")
 
 

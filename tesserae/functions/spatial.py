@@ -129,9 +129,9 @@ def lonlat_to_mercator(lon, lat) -> Column:
 
 def tile_lonlat(z, x, y) -> Column:
     """Bounds of a tile in degrees."""
-    b = tile_bounds(z, x, y)
-    low, high = mercator_to_lonlat(b["minx"], b["miny"]), mercator_to_lonlat(b["maxx"], b["maxy"])
-    return F.struct(low["x"].alias("minx"), low["y"].alias("miny"), high["x"].alias("maxx"), high["y"].alias("maxy"))
+    n = F.pow(F.lit(2.0), col(z))
+    lat = lambda v: F.degrees(2 * F.atan(F.exp(F.lit(3.141592653589793) * (1 - 2 * v / n))) - F.lit(1.5707963267948966))
+    return F.struct((col(x) * 360 / n - 180).alias("minx"), lat(col(y) + 1).alias("miny"), ((col(x) + 1) * 360 / n - 180).alias("maxx"), lat(col(y)).alias("maxy"))
 
 
 def source_window(corners, width, height) -> Column:

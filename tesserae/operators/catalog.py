@@ -165,9 +165,10 @@ def register_references(references: DataFrame, headers: DataFrame) -> DataFrame:
     cube = F.col("_u.ref_format").isin("netcdf", "hdf5")
     world = rect_wkt(F.lit(-180.0), F.lit(-90.0), F.lit(180.0), F.lit(90.0))
     out = parsed.join(headers.select("uri", F.col("wkt").alias("_wkt"), F.col("band_count").alias("_bands")), "uri", "left")
+    fine = F.col("_u.error").isNull()
     return out.select(
-        *references.columns, F.when(cube, "icechunk").otherwise("cog").alias("format"), F.when(cube, world).otherwise(F.coalesce("_wkt", world)).alias("wkt"),
-        F.when(cube, 0).otherwise(F.coalesce("_bands", F.lit(1))).cast("int").alias("band_count"), F.col("_u.error").alias("error"),
+        *references.columns, F.when(fine, F.when(cube, "icechunk").otherwise("cog")).alias("format"), F.when(fine, F.when(cube, world).otherwise(F.coalesce("_wkt", world))).alias("wkt"),
+        F.when(fine, F.when(cube, 0).otherwise(F.coalesce("_bands", F.lit(1)))).cast("int").alias("band_count"), F.col("_u.error").alias("error"),
     )
 
 

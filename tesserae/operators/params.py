@@ -53,12 +53,16 @@ def violations(jobs: DataFrame, specs: DataFrame, allow_unknown: bool = False) -
     return out.unionByName(unknown.select("job_id", "name", F.lit("unknown parameter").alias("message")))
 
 
+def _over(low: Column, high: Column) -> Column:
+    return F.map_concat(F.map_filter(low, lambda k, _: ~F.map_contains_key(high, k)), high)
+
+
 def merged(*maps) -> Column:
     """Maps of text, later ones over earlier ones."""
-    out = F.coalesce(col(maps[0]), F.create_map().cast("map<string,string>"))
-    for m in maps[1:]:
-        m = F.coalesce(col(m), F.create_map().cast("map<string,string>"))
-        out = F.map_concat(F.map_filter(out, lambda k, _, m=m: ~F.map_contains_key(m, k)), m)
+    filled = [F.coalesce(col(m), F.create_map().cast("map<string,string>")) for m in maps]
+    out = filled[0]
+    for m in filled[1:]:
+        out = _over(out, m)
     return out
 
 

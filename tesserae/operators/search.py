@@ -20,7 +20,7 @@ def effective_limit(n: int | None) -> int:
 
 def overlaps_time(start, end, since, until) -> Column:
     """Scenes without dates match every interval; an open side matches everything."""
-    since, until = (F.lit(v) if v is None or isinstance(v, (str, datetime)) else col(v) for v in (since, until))
+    since, until = (F.lit(v) if v is None or isinstance(v, datetime) else col(v) for v in (since, until))
     return (since.isNull() | col(end).isNull() | (col(end) >= since)) & (until.isNull() | col(start).isNull() | (col(start) <= until))
 
 
