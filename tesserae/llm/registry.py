@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm import oracles
 from tesserae.llm.common import table
 
 
@@ -87,4 +88,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_exact_topk": OP7_SQL}
+    return {"op2_ngram_jaccard": oracles.jaccard_sql(3, 90), "op3_url_filter": oracles.url_sql(), "op7_exact_topk": OP7_SQL}
