@@ -3,7 +3,7 @@
 The normaliser walks the text by longest prefix through the model's compiled character map (a double-array trie) and
 records, for each byte it writes, the byte of the text it came from. Each piece is then projected through that record to
 the span of original bytes it stands for. Text is cut where no piece of the vocabulary can reach across (before a word
-mark that follows something else, and around line feeds), so a unit's pieces depend on the unit alone and are kept in a
+mark that follows something else, around line feeds, before some punctuation), so a unit's pieces depend on the unit alone and are kept in a
 bounded table per Python worker.
 
 Cases: null and empty texts give no ids; invalid rows cannot occur (Spark strings are UTF-8); repeated rows give repeated
@@ -15,7 +15,9 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import math
 import re
+import string
 import struct
 
 import pandas as pd
@@ -120,13 +122,25 @@ class PieceModel:
             raise ValueError("only BPE models with byte fallback, without user-defined or unused pieces, are supported")
         self.map = CharacterMap(rules)
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.kinds[i] == 1}
+        self.cost = {p: -self.scores[i] for p, i in self.ids.items()}
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == 6}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
-        whole = any(MARK in p.lstrip(MARK) for p in self.ids)
-        lines = not any("\n" in p and len(p) > 1 for p in self.ids)
-        self.unit = re.compile(r"(?s).+" if whole else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n" if lines else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.unit = re.compile(self._unit_pattern())
         self.cache: dict[str, tuple[int, str, str]] = {}
 
+    def _unit_pattern(self) -> str:
+        """Cuts where no piece can reach across: before a word mark, around a line feed, and between a letter or digit and
+        punctuation that no piece has after one."""
+        if any(MARK in p.lstrip(MARK) for p in self.ids):
+            return "(?s).+"
+        if any("\n" in p and len(p) > 1 for p in self.ids):
+            return f"{MARK}*[^{MARK}]+|{MARK}+"
+        after = {p[i] for p in self.ids for i in range(1, len(p)) if p[i - 1].isalnum()}
+        cut = re.escape("".join(sorted(set(string.punctuation) - after)))
+        if not cut:
+            return f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
+        return rf"{MARK}*[^{MARK}\n](?:[^{MARK}\n{cut}]|(?<![^\W_])[{cut}])*|{MARK}+|\n"
+
     # -- normalising -------------------------------------------------------------------------------------------------
     def normalise(self, text: str) -> tuple[str, list[int]]:
         """The normalised text and, for each of its UTF-8 bytes and its end, the byte of the text it came from."""
@@ -175,8 +189,29 @@ class PieceModel:
     # -- merging -----------------------------------------------------------------------------------------------------
     def merge(self, unit: str) -> list[str]:
         """Pieces of a unit: always the pair with the best score, the leftmost of equals, until none is in the vocabulary."""
-        if unit in self.ids and len(unit) == 1:
-            return [unit]
+        return self._merge_long(unit) if len(unit) > 40 else self._merge_short(unit)
+
+    def _merge_short(self, unit: str) -> list[str]:
+        """Costs of all neighbouring pairs in a list: quick for words."""
+        cost = self.cost.get
+        none = math.inf
+        parts = list(unit)
+        pairs = [cost(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best == none:
+                break
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = cost(parts[i] + parts[i + 1], none)
+            if i:
+                pairs[i - 1] = cost(parts[i - 1] + parts[i], none)
+        return parts
+
+    def _merge_long(self, unit: str) -> list[str]:
+        """The same with a heap, for units of any length."""
         ids, scores = self.ids, self.scores
         parts = list(unit)
         left, right = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
@@ -242,22 +277,35 @@ class PieceModel:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, hash of the ids, hash of the text decoded from them."""
-        cache, rows = self.cache, []
-        for unit in self.units(text or ""):
-            row = cache.get(unit)
-            if row is None:
-                ids = [k for p in self.merge(unit) for k in self.ids_of(p)]
-                # a leading byte piece protects the mark that decode() would drop at the start of a text
-                row = len(ids), ",".join(map(str, ids)), self.decode([next(iter(self.bytes_of)), *ids])[1:]
-                if len(unit) <= 64:
-                    if len(cache) >= CACHE_UNITS:
-                        cache.clear()
-                    cache[unit] = row
-            rows.append(row)
-        text_out = "".join([r[2] for r in rows])
-        if rows and (self.dummy or self.squeeze) and text_out[:1] == " ":
+        cache, units = self.cache, self.units(text or "")
+        rows = list(map(cache.get, units))
+        if None in rows:
+            for i, unit in enumerate(units):
+                if rows[i] is None:
+                    rows[i] = cache.get(unit) or self._unit_digest(unit)
+        if not rows:
+            return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
+        sizes, ids, texts = zip(*rows, strict=True)
+        text_out = "".join(texts)
+        if (self.dummy or self.squeeze) and text_out[:1] == " ":
             text_out = text_out[1:]
-        return sum([r[0] for r in rows]), hashlib.sha256(",".join([r[1] for r in rows]).encode()).hexdigest(), hashlib.sha256(text_out.encode()).hexdigest()
+        return sum(sizes), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(text_out.encode()).hexdigest()
+
+    def _unit_digest(self, unit: str) -> tuple[int, str, str]:
+        """Number of ids, the ids joined by commas, and their text with spaces for word marks."""
+        ids = [k for p in self.merge(unit) for k in self.ids_of(p)]
+        pieces = [self.pieces[k] for k in ids]
+        if any(k in self.bytes_of for k in ids):
+            # a leading byte piece protects the mark that decode() would drop at the start of a text
+            out = self.decode([next(iter(self.bytes_of)), *ids])[1:]
+        else:
+            out = "".join(pieces).replace(MARK, " ")
+        row = len(ids), ",".join(map(str, ids)), out
+        if len(unit) <= 64:
+            if len(self.cache) >= CACHE_UNITS:
+                self.cache.clear()
+            self.cache[unit] = row
+        return row
 
 
 @functools.lru_cache(maxsize=2)

@@ -73,5 +73,11 @@ def test_character_map_takes_the_longest_rule():
     assert m.longest(b"c", 0) is None
 
 
+def test_both_merges_agree():
+    m = piece_codec.load(piece_codec.model_path())
+    for w in ["▁theation", "▁▁▁▁x", "▁aaaaaaaaaaaaa", "▁Ünïcödé", "▁日本語", "x", "▁123,456.00", "▁ththat!!"]:
+        assert m._merge_short(w) == m._merge_long(w)
+
+
 def test_empty_table(spark, docs_of):
     assert piece_codec.digests(docs_of(["a"]).limit(0)).collect() == []
