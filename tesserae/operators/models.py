@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.operators import params as params_module
 from tesserae.operators import zonal
 from tesserae.sources import tables
 
@@ -63,7 +64,7 @@ class ScaleBand(TileModel):
         return [{"name": "factor", "type": "number", "required": False, "default_value": "1.0", "minimum": 0.0}]
 
     def compute_tile(self, bands, params, tile):
-        return bands["band"] * np.float32(params.get("factor", 1.0))
+        return bands["band"] * np.float32(float(params.get("factor", 1.0)))
 
 
 class ZonalStatistics(BatchModel):
@@ -115,8 +116,11 @@ def specifications(spark: SparkSession, models: list) -> DataFrame:
     return spark.createDataFrame(rows, SPEC_SCHEMA)
 
 
-def apply_tiles(tiles: DataFrame, model: TileModel, params: dict | None = None, width: int = 256, out: str = "values") -> DataFrame:
-    """The model on every row; each required band is an array column. A wrong shape or a missing band is an error."""
+def apply_tiles(tiles: DataFrame, model: TileModel, params: dict | None = None, width: int = 256, out: str = "values", params_col: str | None = None) -> DataFrame:
+    """The model on every row; each required band is an array column. A wrong shape or a missing band is an error.
+
+    params_col names a map column whose entries go over params, row by row.
+    """
     lacking = [b for b in model.required_bands if b not in tiles.columns]
     if lacking:
         raise ValueError(f"{model.id} needs the bands {lacking}")
@@ -128,7 +132,8 @@ def apply_tiles(tiles: DataFrame, model: TileModel, params: dict | None = None,
             results = []
             for row in pdf.to_dict("records"):
                 bands = {b: np.array([np.nan if v is None else v for v in row[b]], np.float32).reshape(-1, width) for b in model.required_bands}
-                got = np.asarray(model.compute_tile(bands, own, {k: row[k] for k in keep}))
+                given = {**own, **dict(row[params_col] or {})} if params_col else own
+                got = np.asarray(model.compute_tile(bands, given, {k: row[k] for k in keep}))
                 if any(got.shape != b.shape for b in bands.values()):
                     raise ValueError(f"{model.id} returned a tile of shape {got.shape}")
                 results.append([None if np.isnan(v) else float(v) for v in got.ravel()])
@@ -138,6 +143,34 @@ def apply_tiles(tiles: DataFrame, model: TileModel, params: dict | None = None,
     return tiles.select(*keep, *model.required_bands).mapInPandas(run, schema)
 
 
+def virtual_tiles(requests: DataFrame, band_tiles: DataFrame, models=None, width: int = 256) -> DataFrame:
+    """Tiles of attached functions: request_id, values, error.
+
+    requests: request_id, function_id, scene_id (the parent's default scene), defaults and overrides (maps of text; the
+    latter win) and bands, a map of the function's band names to band numbers. band_tiles: scene_id, band, values. Each
+    function runs once over all its requests; a band that the scene lacks, or an unknown function, is an error row.
+    """
+    known = {k: m for k, m in registry(models).items() if isinstance(m, TileModel)}
+    keyed = requests.withColumn("_f", F.translate("function_id", "_", "-")).withColumn("_params", params_module.merged("defaults", params_module.overrides("overrides")))
+    empty = F.lit(None).cast("array<float>").alias("values")
+    parts = [keyed.where(~F.col("_f").isin(list(known))).select("request_id", empty, F.lit("unknown function").alias("error"))]
+    for name, model in known.items():
+        own = keyed.where(F.col("_f") == name).select("request_id", "scene_id", "_params", "bands")
+        for b in model.required_bands:
+            tile = band_tiles.select("scene_id", F.col("band").alias("_band"), F.col("values").alias(b))
+            own = own.withColumn("_band", F.col("bands")[b]).join(tile, ["scene_id", "_band"], "left").drop("_band")
+        lacking = F.lit(False)
+        for b in model.required_bands:
+            lacking = lacking | F.col(b).isNull()
+        parts.append(own.where(lacking).select("request_id", empty, F.lit("missing band").alias("error")))
+        done = apply_tiles(own.where(~lacking).drop("bands", "scene_id"), model, width=width, params_col="_params")
+        parts.append(done.select("request_id", "values", F.lit(None).cast("string").alias("error")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def run_jobs(jobs: DataFrame, inputs: DataFrame, models=None) -> DataFrame:
     """Result rows (job_id, process_id, object_key, result_url, document, error) of a table of jobs.
 

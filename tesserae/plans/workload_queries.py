@@ -106,6 +106,21 @@ def scaled_tiles(s, d):
     return out.select("vec_id", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
 
 
+@query("""WITH r AS (SELECT vec_id AS request_id, vec_id // 2 AS scene_id, CASE vec_id % 3 WHEN 0 THEN 'scale_band' WHEN 1 THEN 'ndvi' ELSE 'none' END AS f FROM embeddings)
+  SELECT r.request_id, CASE r.f WHEN 'none' THEN 'unknown function' WHEN 'ndvi' THEN CASE WHEN b.vec_id IS NULL THEN 'missing band' END END AS error,
+  CASE r.f WHEN 'scale_band' THEN round(list_sum(list_transform(a.embedding, lambda x: CAST(x AS DOUBLE) * (r.request_id % 4 + 1))), 3) END AS total
+  FROM r LEFT JOIN embeddings a ON a.vec_id = r.scene_id * 2 LEFT JOIN embeddings b ON b.vec_id = r.scene_id * 2 + 1 AND r.request_id % 2 = 0""")
+def virtual_tiles(s, d):
+    e = view(s, d, "embeddings")
+    tiles_ = e.select(F.floor(F.col("vec_id") / 2).cast("long").alias("scene_id"), (F.col("vec_id") % 2 + 1).cast("int").alias("band"), F.col("embedding").alias("values"))
+    name = F.get(F.array(*map(F.lit, ["scale_band", "ndvi", "none"])), (F.col("vec_id") % 3).cast("int"))
+    # every second request asks for a band that no scene has
+    bands = F.create_map(F.lit("band"), F.lit(1), F.lit("red"), F.lit(1), F.lit("nir"), F.when(F.col("vec_id") % 2 == 0, 2).otherwise(9))
+    r = e.select(F.col("vec_id").alias("request_id"), name.alias("function_id"), F.floor(F.col("vec_id") / 2).cast("long").alias("scene_id"), F.create_map(F.lit("factor"), F.lit("1.0")).alias("defaults"), F.create_map(F.lit("factor"), (F.col("vec_id") % 4 + 1).cast("string"), F.lit("format"), F.lit("png")).alias("overrides"), bands.alias("bands"))
+    out = models.virtual_tiles(r, tiles_, width=8)
+    return out.select("request_id", "error", F.when(F.col("request_id") % 3 == 0, F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 3)).alias("total"))
+
+
 def _jobs(s, d):
     e = view(s, d, "events")
     name = F.get(F.array(*map(F.lit, ["zonal_stats", "zonal-stats", "mean-values", "unheard-of"])), (F.col("user_id") % 4).cast("int"))
