@@ -24,11 +24,15 @@ def grid(requests: DataFrame, size: int) -> DataFrame:
     return b.withColumn("_c", centre).withColumn("mx", F.col("_c.x")).withColumn("my", F.col("_c.y")).drop("_b", "_c")
 
 
-def _to_source(df: DataFrame, x: Column, y: Column) -> DataFrame:
-    """Column and row in the source: degrees and Web Mercator as expressions, other systems by the vectorised function."""
-    ll = spatial.mercator_to_lonlat(x, y)
-    easy = df.where(F.col("crs").isin("EPSG:4326", "EPSG:3857")).withColumn("_s", F.when(F.col("crs") == "EPSG:4326", ll).otherwise(F.struct(x.alias("x"), y.alias("y"))))
-    hard = df.where(~F.col("crs").isin("EPSG:4326", "EPSG:3857")).withColumn("_s", crs.reproject(F.lit("EPSG:3857"), "crs", x, y))
+def _to_source(df: DataFrame, x: Column, y: Column, degrees: bool = False) -> DataFrame:
+    """Column and row in the source of a point in Web Mercator metres, or in degrees.
+
+    Degrees and Web Mercator are expressions, other systems go through the vectorised function.
+    """
+    given = F.struct(x.alias("x"), y.alias("y"))
+    ll, m = (given, spatial.lonlat_to_mercator(x, y)) if degrees else (spatial.mercator_to_lonlat(x, y), given)
+    easy = df.where(F.col("crs").isin("EPSG:4326", "EPSG:3857")).withColumn("_s", F.when(F.col("crs") == "EPSG:4326", ll).otherwise(m))
+    hard = df.where(~F.col("crs").isin("EPSG:4326", "EPSG:3857")).withColumn("_s", crs.reproject(F.lit("EPSG:4326" if degrees else "EPSG:3857"), "crs", x, y))
     both = easy.unionByName(hard).withColumn("_p", spatial.world_to_pixel("gt", F.col("_s.x"), F.col("_s.y")))
     # pixel centres lie half a pixel in
     return both.withColumn("c", F.col("_p.col") - 0.5).withColumn("r", F.col("_p.row") - 0.5).drop("_s", "_p")
@@ -114,8 +118,8 @@ def composite_tile(channels: DataFrame, by: tuple = ("z", "x", "y")) -> DataFram
 def point_values(points: DataFrame, footprints: DataFrame, headers: DataFrame, chips: DataFrame) -> DataFrame:
     """point_id, scene_id, band, value: bilinear samples under each point of each scene's asset (footprints.asset_id)."""
     pairs = ranges.point_scenes(points, footprints).select("point_id", "lon", "lat", "scene_id", "asset_id")
-    m = spatial.lonlat_to_mercator("lon", "lat")
-    placed = _to_source(pairs.join(headers.select(F.col("uri").alias("asset_id"), "width", "height", "tile_w", "tile_h", "gt", "crs"), "asset_id").withColumn("_m", m), F.col("_m.x"), F.col("_m.y"))
+    sources = headers.select(F.col("uri").alias("asset_id"), "width", "height", "tile_w", "tile_h", "gt", "crs")
+    placed = _to_source(pairs.join(sources, "asset_id"), F.col("lon").cast("double"), F.col("lat").cast("double"), degrees=True)
     inside = placed.where((F.col("c") >= -0.5) & (F.col("r") >= -0.5) & (F.col("c") <= F.col("width") - 0.5) & (F.col("r") <= F.col("height") - 0.5))
     c = F.least(F.greatest("c", F.lit(0.0)), (F.col("width") - 1).cast("double"))
     r = F.least(F.greatest("r", F.lit(0.0)), (F.col("height") - 1).cast("double"))
