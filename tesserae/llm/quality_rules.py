@@ -184,4 +184,8 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     # the chosen labels are bounded by LABELLED, so the texts need not move
     ids = F.broadcast(chosen_labels(labels, "quality"))
     rules = covered(statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids.select("doc_id"), "doc_id", "left_semi")).join(ids, "doc_id"), FEATURES)
-    return statistics(docs, carry=True).where(~base_failed() & expression(rules)).select("_row.*")
+    # the statistics come out of a generator: a filter on them stays above it, where each is computed once, instead of being
+    # pushed down and computed again in every place that names it
+    found = statistics(docs, carry=True)
+    held = found.select("_row", F.explode(F.array(F.struct(*BASE, *FEATURES))).alias("_s")).select("_row", "_s.*")
+    return held.where(~base_failed() & expression(rules)).select("_row.*")

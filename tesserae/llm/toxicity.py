@@ -197,7 +197,7 @@ def landmarks_of(rows: DataFrame) -> list[str]:
     return [r.w for r in counts.select("w", gain.alias("gain")).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "w").limit(N_LANDMARKS).collect()]
 
 
-def train_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 300) -> tuple[np.ndarray, float]:
+def train_svm(x: np.ndarray, y: np.ndarray, c: float = 3000.0, rounds: int = 1000) -> tuple[np.ndarray, float]:
     """Linear machine by gradient steps on the squared hinge loss, classes weighted equally."""
     s = np.where(y == 1, 1.0, -1.0)
     w = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
