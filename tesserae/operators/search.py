@@ -57,15 +57,19 @@ def distinct_scenes(rows: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["scene_id"])
 
 
-def search(footprints: DataFrame, service_deletions: DataFrame, scene_deletions: DataFrame, bbox=None, since=None, until=None, cloud_max=None, collections=None, limit: int | None = None) -> DataFrame:
-    """Scenes that match, newest first, with the number matched before the limit. Predicates are literals and reach the scan."""
+def matching(footprints: DataFrame, service_deletions: DataFrame, scene_deletions: DataFrame, bbox=None, since=None, until=None, cloud_max=None, collections=None) -> DataFrame:
+    """All scenes that match, without order or limit. Predicates are literals and reach the scan."""
     where = overlaps_time("acquired_at", "acquired_at", since, until) & cloud_at_most("cloud_cover", cloud_max) & in_collections("service_id", collections)
     if bbox is not None:
         where = where & spatial.rect_filter("minx", "miny", "maxx", "maxy", bbox)
     if "acq_month" in footprints.columns and isinstance(since, datetime | None) and isinstance(until, datetime | None):
         where = where & months_between("acq_month", since, until)
-    found = distinct_scenes(live(footprints.where(where), service_deletions, scene_deletions))
-    return limited(found, limit)
+    return distinct_scenes(live(footprints.where(where), service_deletions, scene_deletions))
+
+
+def search(footprints: DataFrame, service_deletions: DataFrame, scene_deletions: DataFrame, bbox=None, since=None, until=None, cloud_max=None, collections=None, limit: int | None = None) -> DataFrame:
+    """Scenes that match, newest first, with the number matched before the limit."""
+    return limited(matching(footprints, service_deletions, scene_deletions, bbox, since, until, cloud_max, collections), limit)
 
 
 def limited(found: DataFrame, limit: int | None) -> DataFrame:
@@ -112,6 +116,6 @@ def item(service, scene, ring, acquired_at, cloud, role, uri, fmt) -> Column:
 
 
 def counts(found: DataFrame, limit: int | None) -> DataFrame:
-    """number_matched before the limit and number_returned after it."""
+    """number_matched before the limit and number_returned after it; found holds every match."""
     n = found.agg(F.count(F.lit(1)).alias("number_matched"))
     return n.withColumn("number_returned", F.least("number_matched", F.lit(effective_limit(limit)).cast("long")))

@@ -28,8 +28,7 @@ def catalog_search(s, d):
 
 @query(f"WITH m AS (SELECT count(*) AS n FROM fx_footprints f WHERE {WINDOW} AND {LIVE}) SELECT n AS number_matched, least(n, 10) AS number_returned FROM m")
 def search_counts(s, d):
-    found = search.search(view(s, d, "fx_footprints"), *_tombs(s, d), **REQUEST, limit=10_000)
-    return search.counts(found.drop("number_matched"), None)
+    return search.counts(search.matching(view(s, d, "fx_footprints"), *_tombs(s, d), **REQUEST), None)
 
 
 @query(f"SELECT scene_id, service_id FROM fx_footprints f WHERE f.service_id IN (1, 2, 3, 5, 8, 13, 21, 34) AND {LIVE}")
