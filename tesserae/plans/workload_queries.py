@@ -15,29 +15,32 @@ from tesserae.streaming import feeds
 
 
 # -- rasters of 8 x 8 pixels made of the embeddings: label is the band, one asset per vector ---------------------------
-def _headers(s, d):
-    e = view(s, d, "embeddings").where("vec_id < 60")
+def _some(s, d):
+    """The rasters that the reference SQL of warped_tiles and point_sources names."""
+    return view(s, d, "embeddings").where("vec_id < 60")
+
+
+def _headers(e):
     gt = F.struct(((F.col("vec_id") * 37) % 300 - 150.0).alias("ox"), F.lit(3.0).alias("pw"), F.lit(0.0).alias("rr"), ((F.col("vec_id") * 53) % 120 - 40.0).alias("oy"), F.lit(0.0).alias("cr"), F.lit(-3.0).alias("ph"))
     return e.select(F.col("vec_id").cast("string").alias("uri"), F.lit(8).cast("long").alias("width"), F.lit(8).cast("long").alias("height"), F.lit(4).alias("tile_w"), F.lit(4).alias("tile_h"), gt.alias("gt"), F.lit("EPSG:4326").alias("crs"))
 
 
-def _chips(s, d):
-    e = view(s, d, "embeddings").where("vec_id < 60")
+def _chips(e):
     quarter = lambda cx, cy: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda r: F.slice("embedding", (r + 4 * cy) * 8 + 4 * cx + 1, 4)))
     parts = F.array(*[F.struct(F.lit(cx).alias("chip_x"), F.lit(cy).alias("chip_y"), quarter(cx, cy).alias("pixels")) for cx in (0, 1) for cy in (0, 1)])
     return e.select(F.col("vec_id").cast("string").alias("asset_id"), F.explode(parts).alias("p")).select("asset_id", F.lit(1).alias("band"), "p.chip_x", "p.chip_y", F.lit(4).alias("w"), F.lit(4).alias("h"), "p.pixels")
 
 
-def _scenes(s, d):
-    h = _headers(s, d)
+def _scenes(e):
+    h = _headers(e)
     return h.select(F.col("uri").cast("long").alias("scene_id"), F.col("uri").alias("asset_id"), F.col("gt.ox").alias("minx"), (F.col("gt.oy") - 24).alias("miny"), (F.col("gt.ox") + 24).alias("maxx"), F.col("gt.oy").alias("maxy"), F.lit(None).cast("timestamp_ntz").alias("acquired_at"))
 
 
 SIZE = 16
 
 
-def _requests(s, d):
-    found = tiles.request_layers(view(s, d, "fx_tiles"), _scenes(s, d))
+def _requests(s, d, e):
+    found = tiles.request_layers(view(s, d, "fx_tiles"), _scenes(e))
     return found.select("z", "x", "y", "asset_id", F.lit(1).alias("band"), "layer_order")
 
 
@@ -49,15 +52,17 @@ def _requests(s, d):
   SELECT z, x, y, CAST(vec_id AS VARCHAR) AS asset_id, CAST(idx AS INT) AS idx, round((CAST(e[r0 * 8 + c0 + 1] AS DOUBLE) * (1 - (cc - c0)) + CAST(e[r0 * 8 + least(c0 + 1, 7) + 1] AS DOUBLE) * (cc - c0)) * (1 - (rr - r0))
     + (CAST(e[least(r0 + 1, 7) * 8 + c0 + 1] AS DOUBLE) * (1 - (cc - c0)) + CAST(e[least(r0 + 1, 7) * 8 + least(c0 + 1, 7) + 1] AS DOUBLE) * (cc - c0)) * (rr - r0), 5) AS v FROM k""")
 def warped_tiles(s, d):
-    w = tiles.warp(_requests(s, d), _headers(s, d), _chips(s, d), SIZE).where("v IS NOT NULL")
+    e = _some(s, d)
+    w = tiles.warp(_requests(s, d, e), _headers(e), _chips(e), SIZE).where("v IS NOT NULL")
     return w.select("z", "x", "y", "asset_id", "idx", F.round("v", 5).alias("v"))
 
 
 @query()
 def tile_pyramid(s, d):
-    """Warp, first-valid mosaic, colour and PNG of every tile; transparent where nothing lies."""
-    req = _requests(s, d)
-    layers = tiles.warp(req, _headers(s, d), _chips(s, d), SIZE).join(req.select("z", "x", "y", "asset_id", "layer_order"), ["z", "x", "y", "asset_id"])
+    """Warp, first-valid mosaic, colour and PNG of every tile over all rasters; transparent where nothing lies."""
+    e = view(s, d, "embeddings")
+    req = _requests(s, d, e)
+    layers = tiles.warp(req, _headers(e), _chips(e), SIZE).join(req.select("z", "x", "y", "asset_id", "layer_order"), ["z", "x", "y", "asset_id"])
     pictures = tiles.images(tiles.mosaic_tile(layers, "first", "viridis"), SIZE)
     return tiles.with_empty(view(s, d, "fx_tiles"), pictures, SIZE).select("z", "x", "y", F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
 
@@ -65,14 +70,14 @@ def tile_pyramid(s, d):
 @query("""WITH p AS (SELECT c.point_id, c.lon, c.lat, e.vec_id, e.embedding AS e, (c.lon - ((e.vec_id * 37) % 300 - 150)) / 3 - 0.5 AS c, (((e.vec_id * 53) % 120 - 40) - c.lat) / 3 - 0.5 AS r FROM (SELECT point_id, CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat FROM fx_points) c JOIN embeddings e ON e.vec_id < 60)
   SELECT point_id, vec_id AS scene_id, 1 AS band FROM p WHERE c >= -0.5 AND r >= -0.5 AND c <= 7.5 AND r <= 7.5 AND abs(lat) < 85""")
 def point_sources(s, d):
-    p = view(s, d, "fx_points").where("abs(lat) < 85")
-    return tiles.point_values(p, _scenes(s, d), _headers(s, d), _chips(s, d)).select("point_id", "scene_id", "band")
+    p, e = view(s, d, "fx_points").where("abs(lat) < 85"), _some(s, d)
+    return tiles.point_values(p, _scenes(e), _headers(e), _chips(e)).select("point_id", "scene_id", "band")
 
 
 @query()
 def point_coverage(s, d):
-    p = view(s, d, "fx_points").where("abs(lat) < 85")
-    return tiles.coverage(tiles.point_values(p, _scenes(s, d), _headers(s, d), _chips(s, d)))
+    p, e = view(s, d, "fx_points").where("abs(lat) < 85"), view(s, d, "embeddings")
+    return tiles.coverage(tiles.point_values(p, _scenes(e), _headers(e), _chips(e)))
 
 
 @query()
