@@ -20,13 +20,15 @@ import re
 import string
 import struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from tesserae.llm.common import unified
 
 MARK = "▁"
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+#: spans_sha256: of (first byte, end byte) of each id in the original text, as pairs of little-endian 64-bit numbers.
+SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, spans_sha256 string, decoded_sha256 string"
 #: Kept results per worker; at this many the table starts anew.
 CACHE_UNITS = 250_000
 
@@ -59,6 +61,14 @@ def _fields(b: bytes):
         yield tag >> 3, value
 
 
+def _starts(text: str) -> np.ndarray:
+    """First byte of each character, and the number of bytes."""
+    raw = text.encode()
+    if len(raw) == len(text):
+        return np.arange(len(raw) + 1)
+    return np.append(np.flatnonzero(np.frombuffer(raw, np.int8) >= -64), len(raw))
+
+
 class CharacterMap:
     """Compiled normalisation rules: a double-array trie over bytes and the replacement strings."""
 
@@ -126,7 +136,7 @@ class PieceModel:
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == 6}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.unit = re.compile(self._unit_pattern())
-        self.cache: dict[str, tuple[int, str, str]] = {}
+        self.cache: dict[str, tuple[int, str, str, bytes]] = {}
 
     def _unit_pattern(self) -> str:
         """Cuts where no piece can reach across: before a word mark, around a line feed, and between a letter or digit and
@@ -186,6 +196,15 @@ class PieceModel:
             return self.normalise(text)[0]
         return (MARK + text if self.dummy and text else text).replace(" ", MARK)
 
+    def origins(self, text: str) -> tuple[str, np.ndarray]:
+        """The normalised text and, for each of its characters and its end, the byte of the text it came from."""
+        if self.map.units or self.squeeze or not self.escape:
+            normal, origin = self.normalise(text)
+            return normal, np.array(origin)[_starts(normal)]
+        # characters stay one by one; only the mark in front is new
+        own = _starts(text)
+        return self.prepared(text), np.concatenate(([0], own)) if self.dummy and text else own
+
     # -- merging -----------------------------------------------------------------------------------------------------
     def merge(self, unit: str) -> list[str]:
         """Pieces of a unit: always the pair with the best score, the leftmost of equals, until none is in the vocabulary."""
@@ -275,32 +294,41 @@ class PieceModel:
             out[0] = out[0][1:]
         return "".join(out).replace(MARK, " ")
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, hash of the ids, hash of the text decoded from them."""
-        cache, units = self.cache, self.units(text or "")
+    def digest(self, text: str | None) -> tuple[int, str, str, str]:
+        """Number of ids, hash of the ids, hash of their spans in the text, hash of the text decoded from them."""
+        normal, origin = self.origins(text or "")
+        cache, units = self.cache, self.unit.findall(normal)
         rows = list(map(cache.get, units))
         if None in rows:
             for i, unit in enumerate(units):
                 if rows[i] is None:
                     rows[i] = cache.get(unit) or self._unit_digest(unit)
         if not rows:
-            return 0, hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"").hexdigest()
-        sizes, ids, texts = zip(*rows, strict=True)
+            return (0, *[hashlib.sha256(b"").hexdigest()] * 3)
+        sizes, ids, texts, inner = zip(*rows, strict=True)
+        length = np.fromiter(map(len, units), np.int64, len(units))
+        at = np.frombuffer(b"".join(inner), "<i4").reshape(-1, 2) + np.repeat(np.cumsum(length) - length, sizes)[:, None]
+        spans = hashlib.sha256(origin[at].astype("<i8", copy=False).tobytes()).hexdigest()
         text_out = "".join(texts)
         if (self.dummy or self.squeeze) and text_out[:1] == " ":
             text_out = text_out[1:]
-        return sum(sizes), hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(text_out.encode()).hexdigest()
-
-    def _unit_digest(self, unit: str) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by commas, and their text with spaces for word marks."""
-        ids = [k for p in self.merge(unit) for k in self.ids_of(p)]
+        return sum(sizes), hashlib.sha256(",".join(ids).encode()).hexdigest(), spans, hashlib.sha256(text_out.encode()).hexdigest()
+
+    def _unit_digest(self, unit: str) -> tuple[int, str, str, bytes]:
+        """Number of ids, the ids joined by commas, their text with spaces for word marks, and their spans in characters."""
+        ids, inner, at = [], [], 0
+        for p in self.merge(unit):
+            own = self.ids_of(p)
+            ids += own
+            inner += [at, at + len(p)] * len(own)
+            at += len(p)
         pieces = [self.pieces[k] for k in ids]
         if any(k in self.bytes_of for k in ids):
             # a leading byte piece protects the mark that decode() would drop at the start of a text
             out = self.decode([next(iter(self.bytes_of)), *ids])[1:]
         else:
             out = "".join(pieces).replace(MARK, " ")
-        row = len(ids), ",".join(map(str, ids)), out
+        row = len(ids), ",".join(map(str, ids)), out, np.array(inner, "<i4").tobytes()
         if len(unit) <= 64:
             if len(self.cache) >= CACHE_UNITS:
                 self.cache.clear()
@@ -346,13 +374,13 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Digests of the ids and of the round trip of every whole text."""
+    """Digests of the ids, of their byte spans and of the round trip of every whole text."""
     path = path or model_path()
 
     def run(batches):
         model = load(path)
         for pdf in batches:
             rows = [model.digest(t if isinstance(t, str) else None) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "spans_sha256": [r[2] for r in rows], "decoded_sha256": [r[3] for r in rows]})
 
     return unified(docs).mapInPandas(run, SCHEMA)
