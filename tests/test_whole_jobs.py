@@ -100,3 +100,18 @@ def test_span_digests_of_every_text(spark, sf):
     for t in texts:
         flat = [n for _, a, b in model.encode_with_spans(t) for n in (a, b)]
         assert model.digest(t)[2] == hashlib.sha256(struct.pack(f"<{len(flat)}q", *flat)).hexdigest()
+
+
+def test_passages_of_51_words_are_caught(spark, sf):
+    import random
+
+    import corpus_pipeline
+
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    shared = words(51)
+    docs = spark.createDataFrame([(1, f"{words(80)} {shared} {words(80)}"), (2, f"{words(80)} {shared} {words(80)}"), (3, words(90))], "doc_id long, text string")
+    assert 200 <= len(shared) < 400
+    got = {x.doc_id: x.text for x in corpus_pipeline.passages(spark, docs, sf).collect()}
+    assert len(got) == 3 and shared not in got[1] and shared not in got[2]
+    assert all(len(got[i].split()) <= 161 for i in (1, 2)) and len(got[3].split()) == 90
