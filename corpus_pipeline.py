@@ -29,9 +29,9 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the rates say that bring the languages to their target weights; none is lost where no
-    language has to shrink."""
-    return mixing.mixed(docs, table(spark, sf_dir, "labels"))
+    """Documents as often as the rates say that bring the languages to their target weights; rates are 1 or more, so none
+    is lost."""
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), least=1.0)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

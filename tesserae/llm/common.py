@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that separate words: space and \x09-\x0D (fixed by the operators' contracts).
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Stands for a null doc_id where rows are joined by it.
+NO_ID = 2**63 - 1
 SPACE_CLASS = "[\\x20\\x09-\\x0D]+"
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -26,20 +29,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.sparkContext._conf.get("tesserae.scratch")
-    if not root:
-        root = tempfile.mkdtemp(prefix="tesserae-")
-        spark.sparkContext._conf.set("tesserae.scratch", root)
-    return root
+    """The folder that all executors share. Where the session names none, a local folder, in local mode alone."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_root()
+
+
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="tesserae-")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df under the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more: whatever was made from them has been staged itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

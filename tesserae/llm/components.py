@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import stage
+from tesserae.llm.common import stage, unstage
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "components") -> DataFrame:
     """(node, label) of every node that has an edge to another; label: the component's smallest node."""
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     both = stage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-edges")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), name)
+    last = labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), name)
     while True:
         of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("other"))
         near = both.join(of_b, "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("m"))
         met = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("l1"))
         jump = labels.select(F.col("node").alias("l1"), F.col("label").alias("l2"))
         new = stage(met.join(jump, "l1").select("node", "old", F.least("l1", "l2").alias("label")), name)
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        unstage(last)
+        last, labels = new, new.select("node", "label")
+        if not new.where("label <> old").limit(1).count():
+            unstage(both)
             return labels

@@ -6,28 +6,36 @@ domain, sum of r * tokens * posterior, and the targets: projected gradient steps
 which needs one aggregate of a few numbers (a residual per domain) over the table of posteriors. The rates are functions of
 those residuals alone, so they are recomputed wherever they are needed and never stored.
 
-Targets: weights by domain; the total is the smallest at which no domain has to shrink, so rates are 1 or more where
-posteriors are sharp and no document is lost. A domain without labelled rows or without tokens has no part in the targets.
-
-Cases: null and empty texts have no tokens, equal posteriors, and a rate like any other; repeated rows get
-equal rates; without labelled rows all rates are 1; an empty table gives an empty result; other columns are ignored.
+Targets: weights by domain; the total is the smallest at which no domain has to shrink. The projection keeps every rate at
+`least` or more: at 0 rates are merely nonnegative; at 1 no document is lost, and the total gets SLACK more, so that the
+bound need not stand in the way of the targets. A domain without labelled rows or without
+tokens has no part in the targets. Gradient steps that end before the residual is small warn with what is left of it.
+
+Cases: null and empty texts have no tokens, equal posteriors, and a rate like any other; repeated rows get equal rates;
+rows with one doc_id and different texts are told apart by a hash of the text, rows with a null doc_id too; very long texts
+count whole, word by word; without labelled rows all rates are 1; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import SPACE_CLASS, stage
+from tesserae.llm.common import NO_ID, SPACE_CLASS, stage
 
 #: Shares of the tokens of the mixture.
-WEIGHTS = {"en": 0.60, "de": 0.16, "fr": 0.15, "es": 0.09}
+WEIGHTS = {"en": 0.50, "de": 0.19, "fr": 0.19, "es": 0.12}
+#: Share added to the total where every document has to stay.
+SLACK = 0.05
 BUCKETS = 2048
 #: At most about this many labelled rows train the classifier (chosen by a hash of doc_id).
 LABELLED = 20_000
-STEPS, TOLERANCE = 12, 1e-9
+#: Gradient steps at most, and the share of all tokens that a domain may stay away from its target.
+STEPS, TOLERANCE = 24, 1e-6
 
 
 def _words(docs: DataFrame, *keep: str) -> DataFrame:
@@ -87,15 +95,15 @@ def _solve(m: list[list[float]], v: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] if a[i][i] else 0.0 for i in range(n)]
 
 
-def rate_column(steps: list[list[float]], q: list[str]) -> Column:
-    """The rate after the given gradient steps, from 1, kept nonnegative at each."""
+def rate_column(steps: list[list[float]], q: list[str], least: float = 0.0) -> Column:
+    """The rate after the given gradient steps, from 1, kept at least or more at each."""
     rate = F.lit(1.0)
     for step in steps:
-        rate = F.greatest(F.lit(0.0), rate - sum([F.col(c) * x for c, x in zip(q[1:], step[1:], strict=True)], F.col(q[0]) * step[0]))
+        rate = F.greatest(F.lit(float(least)), rate - sum([F.col(c) * x for c, x in zip(q[1:], step[1:], strict=True)], F.col(q[0]) * step[0]))
     return rate
 
 
-def fit(table: DataFrame, weights: dict[int, float]) -> tuple[list[list[float]], dict[int, float]]:
+def fit(table: DataFrame, weights: dict[int, float], least: float = 0.0) -> tuple[list[list[float]], dict[int, float]]:
     """Gradient steps and the targets by domain number. table: n_tokens, n_rows, q<i>."""
     q = [f"q{i}" for i in weights]
     w = F.col("n_tokens") * F.col("n_rows")
@@ -104,28 +112,34 @@ def fit(table: DataFrame, weights: dict[int, float]) -> tuple[list[list[float]],
     if not sum(have):
         return [], dict.fromkeys(weights, 0.0)
     live = [i for i, x in enumerate(have) if x > 0]
-    total = max(have[i] / (list(weights.values())[i] or 1e-9) for i in live)
+    total = max(have[i] / (list(weights.values())[i] or 1e-9) for i in live) * (1 + SLACK if least >= 1 else 1)
     targets = [total * x for x in weights.values()]
     metric = [[first[f"{a}{b}"] for b in q] for a in q]
     steps: list[list[float]] = []
     residual = [h - t if i in live else 0.0 for i, (h, t) in enumerate(zip(have, targets, strict=True))]
     while len(steps) < STEPS and max(map(abs, residual)) > TOLERANCE * total:
         steps.append(_solve(metric, residual))
-        now = table.agg(*[F.sum(w * F.col(c) * rate_column(steps, q)).alias(c) for c in q]).first()
+        now = table.agg(*[F.sum(w * F.col(c) * rate_column(steps, q, least)).alias(c) for c in q]).first()
         residual = [now[c] - t if i in live else 0.0 for i, (c, t) in enumerate(zip(q, targets, strict=True))]
+    if max(map(abs, residual)) > TOLERANCE * total:
+        warnings.warn(f"after {len(steps)} steps a domain is {max(map(abs, residual)) / total:.2g} of all tokens from its target", stacklevel=2)
     return steps, dict(zip(weights, targets, strict=True))
 
 
-def _table(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain_col: str) -> tuple[DataFrame, list[list[float]], list[str]]:
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id")
+
+
+def _table(docs: DataFrame, labels: DataFrame, weights: dict[str, float], domain_col: str, least: float) -> tuple[DataFrame, list[list[float]], list[str]]:
     domains = list(weights)
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
+    keyed = docs.select(_id(), F.xxhash64("text").alias("tkey"), "text")
     model = train(docs, labels, domains, domain_col)
     if model is None:
         counts = keyed.groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("n_rows"), F.first(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE_CLASS), ""))).cast("long").alias("n_tokens"))
         return counts.withColumn("q0", F.lit(1.0)), [], ["q0"]
     own = [int(c[1:]) for c in model.columns if c != "bucket"]
     table = stage(posteriors(keyed, model, ["doc_id", "tkey"]), "posteriors")
-    steps, _ = fit(table, {i: weights[domains[i]] for i in own})
+    steps, _ = fit(table, {i: weights[domains[i]] for i in own}, least)
     return table, steps, [f"q{i}" for i in own]
 
 
@@ -134,19 +148,19 @@ def copies_column(rate: Column) -> Column:
     return (F.floor(rate) + (F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / F.lit(float(1 << 20)) < rate - F.floor(rate)).cast("int")).cast("int")
 
 
-def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain_col: str = "lang") -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain_col: str = "lang", least: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, posteriors (by domain), rate and copies of each row."""
     weights = weights or WEIGHTS
-    table, steps, q = _table(docs, labels, weights, domain_col)
+    table, steps, q = _table(docs, labels, weights, domain_col, least)
     domains = list(weights)
-    out = table.withColumn("rate", rate_column(steps, q)).withColumn("copies", copies_column(F.col("rate")))
+    out = table.withColumn("rate", rate_column(steps, q, least)).withColumn("copies", copies_column(F.col("rate")))
     shares = F.map_from_arrays(F.array(*[F.lit(domains[int(c[1:])]) for c in q]), F.array(*q))
-    return out.select("doc_id", "n_tokens", shares.alias("posteriors"), "rate", "copies", F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))).alias("_k")).drop("_k")
+    return out.select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_tokens", shares.alias("posteriors"), "rate", "copies", F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))).alias("_k")).drop("_k")
 
 
-def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain_col: str = "lang") -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain_col: str = "lang", least: float = 0.0) -> DataFrame:
     """docs with each row as often as its rate says."""
-    table, steps, q = _table(docs, labels, weights or WEIGHTS, domain_col)
-    copies = table.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), copies_column(rate_column(steps, q)).alias("_copies"))
-    joined = docs.withColumn("_own", F.xxhash64("text")).join(copies, (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_tkey")))
-    return joined.withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    table, steps, q = _table(docs, labels, weights or WEIGHTS, domain_col, least)
+    copies = table.select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey"), copies_column(rate_column(steps, q, least)).alias("_copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), _id().alias("_id"), F.xxhash64("text").alias("_tkey"))
+    return rows.join(copies, ["_id", "_tkey"]).select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_k")).select("_row.*")

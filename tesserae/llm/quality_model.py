@@ -25,6 +25,8 @@ N_COSINES, WIDTH, RIDGE = 256, 3.0, 1e-3
 #: At most about this many labelled rows are learned from (chosen by a hash of doc_id).
 LABELLED = 60_000
 BINS, PARTS = 400, 16
+#: Standardised statistics count as at most this many deviations.
+CLIP = 5.0
 THRESHOLD = 0.3
 
 
@@ -34,10 +36,19 @@ def _cosines(seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
 
 
 def features(values: np.ndarray, mean: np.ndarray, deviation: np.ndarray) -> np.ndarray:
-    """Random Fourier features and a constant."""
+    """Random Fourier features and a constant. Columns are added in a fixed order, so a row's features do not depend on the
+    rows beside it (a matrix product's last digits do)."""
     w, b = _cosines()
-    z = np.clip((np.nan_to_num(values) - mean) / deviation, -5, 5)
-    return np.hstack((np.sqrt(2 / N_COSINES) * np.cos(z @ w + b), np.ones((len(z), 1))))
+    z = np.clip((np.nan_to_num(values) - mean) / deviation, -CLIP, CLIP)
+    angle = np.repeat(b[None, :], len(z), axis=0)
+    for k in range(len(w)):
+        angle += z[:, k, None] * w[k]
+    return np.hstack((np.sqrt(2 / N_COSINES) * np.cos(angle), np.ones((len(z), 1))))
+
+
+def predicted(values: np.ndarray, mean: np.ndarray, deviation: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Raw scores, each row summed for itself: equal rows get equal scores in whatever batch."""
+    return (features(values, mean, deviation) * weights).sum(axis=1)
 
 
 def normal_equations(rows: DataFrame, mean: np.ndarray, deviation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +101,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
 
     def raw(batches):
         for pdf in batches:
-            yield pdf.drop(columns=COLUMNS).assign(raw=features(pdf[COLUMNS].to_numpy(float), mean, deviation) @ weights)
+            yield pdf.drop(columns=COLUMNS).assign(raw=predicted(pdf[COLUMNS].to_numpy(float), mean, deviation, weights))
 
     fresh = rows.where("fold = 4").select("y", *COLUMNS).mapInPandas(raw, "y int, raw double")
     binned = fresh.groupBy(F.round(F.least(F.greatest("raw", F.lit(-0.5)), F.lit(1.5)) * BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y")).orderBy("bin").collect()  # 2 * BINS + 1 rows at most
@@ -101,7 +112,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
 
     def final(batches):
         for pdf in batches:
-            own = features(pdf[COLUMNS].to_numpy(float), mean, deviation) @ weights
+            own = predicted(pdf[COLUMNS].to_numpy(float), mean, deviation, weights)
             # within a level the raw score still orders rows, by a thousandth at most
             yield pdf[["doc_id", "held_out"]].assign(score=np.clip(0.998 * np.interp(own, x, y) + 0.002 / (1 + np.exp(-4 * (own - 0.5))), 0, 1))
 

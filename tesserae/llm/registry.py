@@ -30,7 +30,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import mixing
 
-    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), least=1.0)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Candidates. Two linked sets differ in at most D = min(sizes) * (1 - t) / t shingles, so of more than D disjoint parts of
 the shingle space at least one is equal in both (pigeonhole). Sizes fall into classes; each set signs its parts for its
-own class, and for the class below where a partner there is possible. Signatures meet in hashed buckets, where each list
+own class and for each class in which it can have a smaller partner. Signatures meet in hashed buckets, where each list
 of sets with one signature becomes a star of edges (a list grows with the number of batches, not of its members, as each
 batch sends one member of a list and keeps the others as edges). Components of the stars are families.
 
@@ -12,8 +12,9 @@ Families beyond FAMILY members are joined block by block, which is exact too, an
 
 Cases: null and empty texts, and texts without words, have no shingles and link with nothing; fewer words than n make one
 shingle of them all; sets that are equal are searched once and counted as copies; repeated rows count as copies of each
-other; an empty table gives an empty result; other columns are ignored. Shingles are told apart by 64-bit hashes, sets
-by 128 bits.
+other; rows with one doc_id and different texts are sets of their own; a null doc_id counts as the largest; very long texts
+are taken whole, and a family's texts are split into blocks by their shingles too; an empty table gives an empty result;
+other columns are ignored. Shingles are told apart by 64-bit hashes, sets by 128 bits.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import chunks, mix, shuffle_partitions, stage, unified, words_of
+from tesserae.llm.common import NO_ID, chunks, mix, shuffle_partitions, stage, unified, unstage, words_of
 from tesserae.llm.components import components
 
 #: Members of a family that are searched in one task; larger ones go block by block.
 FAMILY = 4096
+#: Shingles of a family's members that are searched in one task, likewise.
+FAMILY_SHINGLES = 2 << 20
 _M1, _M2, _M3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: Batches of texts of this many bytes sign together.
 BATCH_BYTES = 8 << 20
@@ -52,10 +55,10 @@ def shingle_sets(texts: list[bytes], n: int = 3) -> list[np.ndarray]:
         if size >= n:
             out.append(np.unique(grams[at : end - n + 1]))
         elif size:
-            acc = words[at]
+            acc = words[at : at + 1]
             for w in words[at + 1 : end]:
-                acc = mix(np.array([acc * _M1 + w]))[0]
-            out.append(mix(np.array([acc + np.uint64(size)])))
+                acc = mix(acc * _M1 + w)
+            out.append(mix(acc + np.uint64(size)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -75,32 +78,33 @@ def needed(size_a, size_b, percent: int):
 class Classes:
     """Size classes and the number of parts that sets of a class are cut into."""
 
+    GROWTH = 1.5
+
     def __init__(self, percent: int):
         self.percent, self.bounds = percent, [1]
+        share = self.GROWTH * (100 - percent) / percent  # of a class's smallest size, in which a pair can differ
+        # so many parts that more of them are filled than a pair can differ in, also where a set is the smallest of its class
+        self.spread = next((c / 20 for c in range(21, 61) if c / 20 * (1 - math.exp(-20 / (c * max(share, 1e-9)))) >= 1.08), 3.0)
 
     def of(self, size: int) -> int:
         while self.bounds[-1] <= size:
-            self.bounds.append(self.bounds[-1] * 3 // 2 + 1)
+            self.bounds.append(int(self.bounds[-1] * self.GROWTH) + 1)
         return int(np.searchsorted(self.bounds, size, "right")) - 1
 
-    def largest_partner(self, size: int) -> int:
-        return size * 100 // self.percent
-
     def differ(self, k: int) -> int:
         """Most shingles in which a pair can differ whose smaller set is in class k."""
         self.of(self.bounds[min(k, len(self.bounds) - 1)] * 2)
         return (self.bounds[k + 1] - 1) * (100 - self.percent) // self.percent
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
+        """Of the set's own class and of each class that a smaller partner can be in."""
         own = self.of(len(s))
-        found = [self._sign(s, own)]
-        if own and len(s) <= self.largest_partner(self.bounds[own] - 1):
-            found.append(self._sign(s, own - 1))
-        return np.concatenate(found)
+        least = self.of(max(1, -(-len(s) * self.percent // 100)))
+        return np.concatenate([self._sign(s, k) for k in range(least, own + 1)])
 
     def _sign(self, s: np.ndarray, k: int) -> np.ndarray:
         most = self.differ(k)
-        parts = np.uint64(most + 3 + most // 20)
+        parts = np.uint64(int(most * self.spread) + 3)
         part = ((s >> np.uint64(32)) * parts) >> np.uint64(32)
         first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
         sums = np.add.reduceat(mix(s * _M1), first)
@@ -108,20 +112,21 @@ class Classes:
         if len(first) <= most:  # so many parts are empty that an empty one may be all that a pair shares
             empty = np.setdiff1d(np.arange(int(parts), dtype=np.uint64), name)
             name, sums = np.concatenate((name, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
-        return mix(sums + name * _M2 + np.uint64(k + 1) * _M3)
+        with np.errstate(over="ignore"):
+            return mix(sums + name * _M2 + np.uint64(k + 1) * _M3)
 
 
 def _profiles(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, size, h1, h2 of each row."""
+    """doc_id, tkey, size, h1, h2 of each row."""
 
     def run(batches):
         for pdf in batches:
-            for ids, texts in chunks(pdf["doc_id"], pdf["text"]):
+            for ids, texts in chunks(zip(pdf["doc_id"], pdf["tkey"], strict=True), pdf["text"]):
                 sets = shingle_sets(texts, n)
                 h = [identity(s) for s in sets]
-                yield pd.DataFrame({"doc_id": ids, "size": [len(s) for s in sets], "h1": [x[0] for x in h], "h2": [x[1] for x in h]})
+                yield pd.DataFrame({"doc_id": [i for i, _ in ids], "tkey": [k for _, k in ids], "size": [len(s) for s in sets], "h1": [x[0] for x in h], "h2": [x[1] for x in h]})
 
-    return docs.mapInPandas(run, "doc_id long, size long, h1 long, h2 long")
+    return docs.mapInPandas(run, "doc_id long, tkey long, size long, h1 long, h2 long")
 
 
 def _stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -236,8 +241,9 @@ class Search:
         return np.bincount(every[(every > q) & (every < last)] - q - 1, minlength=last - q - 1)
 
 
-def links(sets: list[np.ndarray], weights: list[int], ids: list[int], percent: int, only=None) -> tuple[list[int], list[int]]:
-    """For each set: the smallest id in its component within this family, and the summed weight of the sets it links to.
+def links(sets: list[np.ndarray], weights: list[int], names: list, percent: int, only=None) -> tuple[list[int], list[int]]:
+    """For each set: the one with the smallest name in its component within this family, and the summed weight of the sets
+    that it links to.
 
     only(i, j) tells whether this call counts the pair (for families that are searched block by block).
     """
@@ -259,74 +265,101 @@ def links(sets: list[np.ndarray], weights: list[int], ids: list[int], percent: i
                 total[j] += weights[i]
                 a, b = root(i), root(j)
                 if a != b:
-                    up[max(a, b, key=lambda k: ids[k])] = min(a, b, key=lambda k: ids[k])
-    return [ids[root(i)] for i in range(n)], total
+                    up[max(a, b, key=lambda k: names[k])] = min(a, b, key=lambda k: names[k])
+    return [root(i) for i in range(n)], total
+
+
+_FOUND = "h1 long, h2 long, n_links long, root long, blocked boolean, rep struct<doc_id: bigint, tkey: bigint>, head struct<doc_id: bigint, tkey: bigint>"
 
 
 def _searched(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """a: representative, b: smallest representative of its component as far as this task sees, n_links."""
+    """A row per set and task: its links there, and the first set (root: its h1, head: its representative) of its component
+    as far as this task sees."""
 
     def flush(held):
-        held = list({(r[0], r[1]): r for r in held}.values())
-        sets = shingle_sets([r[4].encode() for r in held], n)
-        held, sets = zip(*[(r, s) for r, s in zip(held, sets, strict=True) if identity(s)[0] == r[1]] or [((), ())], strict=True)
-        if not held[0]:
-            return pd.DataFrame({"a": [], "b": [], "n_links": []}).astype("int64")
-        i, j = held[0][5], held[0][6]
-        only = None if i == j else lambda x, y: held[x][3] != held[y][3]
-        roots, total = links(list(sets), [r[2] for r in held], [r[0] for r in held], percent, only)
-        return pd.DataFrame({"a": [r[0] for r in held], "b": roots, "n_links": total})
+        held = list({(r.doc_id, r.tkey): r for r in held}.values())
+        sets = shingle_sets([r.text.encode() for r in held], n)
+        blocked = held[0].blocks > 1
+        only = (lambda x, y: held[x].part != held[y].part) if held[0].i != held[0].j else None
+        reps = [(r.doc_id, r.tkey) for r in held]
+        roots, total = links(sets, [r.copies for r in held], reps, percent, only)
+        return pd.DataFrame({
+            "h1": [r.h1 for r in held], "h2": [r.h2 for r in held], "n_links": total, "root": [held[k].h1 for k in roots], "blocked": blocked,
+            "rep": [{"doc_id": d, "tkey": t} for d, t in reps], "head": [{"doc_id": reps[k][0], "tkey": reps[k][1]} for k in roots],
+        })
 
     def run(batches):
         key, held = None, []
         for pdf in batches:
-            for r in pdf[["doc_id", "h1", "copies", "part", "text", "i", "j", "family"]].itertuples(index=False):
-                if (r[7], r[5], r[6]) != key:
+            for r in pdf.itertuples(index=False):
+                if (r.family, r.i, r.j) != key:
                     if held:
                         yield flush(held)
-                    key, held = (r[7], r[5], r[6]), []
+                    key, held = (r.family, r.i, r.j), []
                 held.append(r)
         if held:
             yield flush(held)
 
     width = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(width, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInPandas(run, "a long, b long, n_links long")
+    return rows.repartition(width, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInPandas(run, _FOUND)
 
 
-def components_of(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links, copies of each row.
+def _whole(found: DataFrame) -> DataFrame:
+    """h1, h2, n_links, head of the sets of blocked families: links of all blocks added, components joined across blocks."""
+    sets = stage(found.where("blocked").groupBy("h1", "h2").agg(F.sum("n_links").alias("n_links"), F.min("rep").alias("rep")), "blocked")
+    label = components(found.where("blocked"), "h1", "root", name="linked").withColumnsRenamed({"node": "h1"})
+    own = sets.join(label, "h1", "left").withColumn("label", F.coalesce("label", "h1"))
+    heads = own.groupBy("label").agg(F.min("rep").alias("head"))
+    return own.join(heads, "label").select("h1", "h2", "n_links", "head")
 
-    component_id: the smallest doc_id reachable by links, itself included. n_links: the other rows it links to directly;
-    copies: rows with the same set, itself included.
+
+def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, tkey, n_shingles, head (doc_id and tkey of the first row of its component), n_links, copies of each row.
+
+    tkey: a hash of the text, which tells rows with one doc_id apart. A null doc_id counts as NO_ID.
     """
-    docs = unified(docs)
+    docs = unified(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
     profiles = stage(_profiles(docs, n), "profiles")
     same = ["h1", "h2", "size"]
-    reps = profiles.where("size > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    reps = stage(profiles.where("size > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "tkey")).alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
     families = components(_stars(docs, n, percent), name="families").withColumnsRenamed({"node": "h1", "label": "family"})
-    members = stage(reps.join(families, "h1"), "members")
-    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"))
-    blocks = sizes.select("family", F.ceil(F.col("m") / F.lit(FAMILY)).cast("int").alias("blocks"))
-    parted = members.join(blocks, "family").withColumn("part", F.pmod(F.xxhash64("rep", "h1"), F.col("blocks")).cast("int"))
+    members = stage(reps.join(families, "h1").select("h1", "h2", "size", "rep", "copies", "family"), "members")
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("shingles"))
+    blocks = sizes.select("family", F.ceil(F.greatest(F.col("m") / FAMILY, F.col("shingles") / FAMILY_SHINGLES)).cast("int").alias("blocks"))
+    parted = members.join(blocks, "family").withColumn("part", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int"))
     paired = parted.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col("rep").alias("doc_id"), "h1", "copies", "part", "family", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j")
+        F.col("rep.doc_id").alias("doc_id"), F.col("rep.tkey").alias("tkey"), "h1", "h2", "copies", "part", "blocks", "family", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j")
     )
-    # texts and members meet by doc_id at every size; without the hint small inputs would broadcast the members
-    found = stage(_searched(docs.join(paired.hint("merge"), "doc_id"), n, percent), "links")
-    if blocks.where("blocks > 1").limit(1).count():
-        label = components(found, name="linked").withColumnsRenamed({"node": "rep", "label": "root"})
-    else:
-        label = found.where("a <> b").select(F.col("a").alias("rep"), F.col("b").alias("root"))
-    counted = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("n_links"))
-    classes = reps.join(counted, "rep", "left").join(label, "rep", "left")
-    out = profiles.join(classes, same, "left")
-    return out.select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("root", "rep", "doc_id").alias("component_id"),
+    # texts and members meet by row at every size; without the hint small inputs would broadcast the members
+    found = stage(_searched(docs.join(paired.hint("merge"), ["doc_id", "tkey"]), n, percent), "links")
+    unstage(members)
+    classes = found.where("NOT blocked").select("h1", "h2", "n_links", "head")
+    if found.where("blocked").limit(1).count():
+        classes = classes.unionByName(_whole(found))
+    known = reps.join(classes, ["h1", "h2"], "left").select(*same, "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("head", "rep").alias("head"))
+    own = F.struct("doc_id", "tkey")
+    return profiles.join(known, same, "left").select(
+        "doc_id", "tkey", F.col("size").alias("n_shingles"), F.coalesce("head", own).alias("head"),
         (F.coalesce("n_links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
     )
 
 
+def _id(column) -> Column:
+    return F.nullif(column, F.lit(NO_ID))
+
+
+def components_of(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links, copies of each row.
+
+    component_id: the smallest doc_id reachable by links, itself included. n_links: the other rows it links to directly;
+    copies: rows with the same set, itself included.
+    """
+    return joined(docs, n, percent).select(_id(F.col("doc_id")).alias("doc_id"), "n_shingles", _id(F.col("head.doc_id")).alias("component_id"), "n_links", "copies")
+
+
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component; rows with one doc_id count as one document."""
-    keep = components_of(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of docs that come first (by doc_id, null last, then by a hash of the text) in their component; rows that
+    repeat both doc_id and text count as one document, rows that share a doc_id alone do not."""
+    keep = joined(docs, n, percent).where("head = struct(doc_id, tkey)").select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_tkey"))
+    return rows.join(keep, ["_id", "_tkey"]).dropDuplicates(["_id", "_tkey"]).select("_row.*")

@@ -56,3 +56,58 @@ def test_repeated_rows_no_labels_empty(spark, corpus):
     assert len(rows) == 246
     assert {r.rate for r in mixing.rates(docs, labels.limit(0), W).collect()} == {1.0}
     assert mixing.rates(docs.limit(0), labels, W).collect() == []
+
+
+def test_no_document_is_lost_and_a_large_domain_is_met(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    more = docs.where("lang = 'es'").crossJoin(spark.range(1, 6).withColumnRenamed("id", "k")).selectExpr("doc_id + 100000 * k AS doc_id", "text", "lang", "source", "n_chars")
+    for table in (docs, docs.unionByName(more)):
+        rows = mixing.rates(table, labels, least=1.0).collect()
+        assert len(rows) == table.count() and min(r.rate for r in rows) >= 1 and min(r.copies for r in rows) >= 1
+        total = {d: sum(r.rate * r.n_tokens * r.posteriors[d] for r in rows) for d in mixing.WEIGHTS}
+        for d, w in mixing.WEIGHTS.items():
+            assert total[d] / sum(total.values()) == pytest.approx(w, abs=0.01)  # soft posteriors of few labels keep the bound from meeting them wholly
+
+
+def test_posteriors_against_plain_arithmetic(spark, corpus):
+    """The whole result of rates(): Bayes posteriors and projected gradient steps, in plain Python with Spark's word buckets."""
+    import math
+    import re
+
+    docs, labels = corpus
+    words = {r.doc_id: [w for w in re.split(r"[\x20\x09-\x0D]+", r.text or "") if w] for r in docs.collect()}
+    every = sorted({w for x in words.values() for w in x})
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in every], "w string").selectExpr("w", f"pmod(xxhash64(lower(w)), {mixing.BUCKETS}) AS b").collect()}
+    lang, chosen = {r.doc_id: r.lang for r in docs.collect()}, {r.doc_id for r in labels.collect()}
+    count = {d: [0] * mixing.BUCKETS for d in W}
+    for i in chosen:
+        for w in words[i]:
+            count[lang[i]][bucket[w]] += 1
+    logs = {d: [math.log((n + 0.5) / (sum(c) + 0.5 * mixing.BUCKETS)) for n in c] for d, c in count.items()}
+    q = {}
+    for i, x in words.items():
+        s = {d: sum(logs[d][bucket[w]] for w in x) / max(1.0, math.sqrt(len(x))) for d in W}
+        e = {d: math.exp(v - max(s.values())) for d, v in s.items()}
+        q[i] = {d: v / sum(e.values()) for d, v in e.items()}
+    rows = mixing.rates(docs, labels, W).collect()
+    for r in rows:
+        assert r.n_tokens == len(words[r.doc_id]) and all(r.posteriors[d] == pytest.approx(q[r.doc_id][d], rel=1e-9, abs=1e-12) for d in W)
+    # the least-squares optimum that plain projected gradient from 1 reaches
+    have = {d: sum(len(words[i]) * q[i][d] for i in words) for d in W}
+    target = max(have[d] / W[d] for d in W) * 0.5
+    rate = dict.fromkeys(words, 1.0)
+    for _ in range(4000):
+        miss = {d: sum(rate[i] * len(words[i]) * q[i][d] for i in words) - target for d in W}
+        rate = {i: max(0.0, rate[i] - sum(miss[d] * q[i][d] for d in W) / sum(have.values())) for i in words}
+    for d in W:
+        assert sum(rate[i] * len(words[i]) * q[i][d] for i in words) == pytest.approx(target, rel=1e-4)
+    for r in rows:
+        assert r.rate == pytest.approx(rate[r.doc_id], abs=1e-3)
+
+
+def test_null_and_shared_ids(spark, corpus):
+    docs, labels = corpus
+    odd = spark.createDataFrame([(None, "the cat", "en", "x"), (None, None, "en", "x"), (1, "der hund", "de", "x")], docs.schema)
+    both = docs.unionByName(odd)
+    assert len(mixing.rates(both, labels, W, least=1.0).collect()) == 126
+    assert mixing.mixed(both, labels, W, least=1.0).where("doc_id IS NULL").distinct().count() == 2

@@ -95,3 +95,26 @@ def test_repeated_rows_and_empty(spark, docs_of):
     rows = setjoin.components_of(d.unionByName(d), 3, 90).collect()
     assert len(rows) == 4 and {r.component_id for r in rows} == {0, 1}
     assert setjoin.components_of(d.limit(0)).collect() == []
+
+
+def test_shared_and_null_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (5, a + " x"), (5, b + " y"), (2, b), (None, a), (None, "alone here now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in setjoin.components_of(docs, 3, 90).collect()), key=str)
+    assert got == sorted([(1, 58, 1, 2), (5, 59, 1, 2), (5, 59, 2, 1), (2, 58, 2, 1), (None, 58, 1, 2), (None, 1, None, 0)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in setjoin.one_of_each(docs, 3, 90).collect()), key=str) == sorted([(1, a), (2, b), (None, "alone here now")], key=str)
+
+
+def test_low_thresholds_find_contained_sets(spark, docs_of):
+    w = [f"w{i}" for i in range(20)]
+    got = {r.doc_id: r.n_links for r in setjoin.components_of(docs_of([" ".join(w[:10]), " ".join(w), "q r s"]), 1, 50).collect()}
+    assert got == {0: 1, 1: 1, 2: 0}
+    r = np.random.default_rng(1)
+    for percent in (30, 50, 66, 80, 95):
+        classes = setjoin.Classes(percent)
+        for _ in range(60):
+            s = np.unique(r.integers(0, 2**64, int(r.integers(1, 300)), dtype=np.uint64))
+            cut = s[r.random(len(s)) < r.uniform(percent / 100 - 0.05, 1)]
+            if len(cut) and 100 * len(cut) >= percent * len(s):
+                assert len(np.intersect1d(classes.signatures(s), classes.signatures(cut)))
