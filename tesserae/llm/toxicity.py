@@ -1,15 +1,19 @@
 """Toxicity scores: a support vector machine on gap-weighted subsequence kernels, with Nystroem landmarks.
 
 The kernel of two strings counts their common subsequences of three letters, each weighted by a decay per letter it spans,
-so that insults with inserted or missing letters stay close to the plain ones. Landmarks are the words of labelled toxic
-texts that set them apart most. A sentence is the largest kernel value of its words at each
-landmark; the Nystroem map turns that into coordinates, on which a linear machine is trained with labelled sentences (the
-most suspicious one of each labelled text). A text scores as its worst sentence, through a fitted logistic curve. Words are
-taken by their letters alone, runs of single letters as one word; words beyond WINDOW letters are taken in overlapping parts.
+so that insults with inserted or missing letters stay close to the plain ones. Landmarks are learned from labelled texts:
+beginnings, ends and wholes of words (with marks for a word's borders) that stand in toxic texts far more often than chance
+allows, so rare insults and stems of inflected ones count too. A word is compared to a landmark by its window of about
+the landmark's length. A sentence is the sum of its words' kernel values (a convolution kernel); the Nystroem map turns
+that into coordinates, on which a linear machine is trained with labelled sentences (the most suspicious one of each
+labelled text). A text scores by its worst sentence, by the evidence of all its sentences and by its length, through a
+fitted logistic curve. Words are taken by their letters alone; runs of single letters, and two neighbours that together look
+like a landmark's whole word, count as one word.
 
 Labels are used only from rows whose crc32(doc_id) mod 5 is not 0. Cases: null and empty texts, and texts without letters,
-have one empty sentence; repeated rows get equal scores; without labels of both classes every score is 0; an empty table
-gives an empty result; other columns are ignored.
+have no evidence; very long words are seen by their ends; repeated rows get equal scores; a null doc_id is held out or not
+by the crc32 of an empty text; a doc_id labelled twice counts by its larger label; without labels of both classes every
+score is 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,20 +25,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import SPACE_CLASS, chunks, located_words, stage, unified
+from tesserae.llm.common import SPACE_CLASS, chunks, located_words, stage, unified, unstage
 
-ORDER, DECAY, WINDOW = 3, 0.8, 20
+ORDER, DECAY = 3, 0.8
 #: Similarities are raised to this power (a product of kernels is a kernel), which sets near misses apart from chance likeness.
-POWER = 3
-N_LANDMARKS = 16
+POWER = 4
+#: Landmarks at most, of which the CANDIDATES with most evidence are looked at.
+N_LANDMARKS, CANDIDATES = 256, 4096
+#: Letters of a landmark that is a beginning or end of words; of one that is a whole word.
+STEM, WHOLE = (4, 10), (3, 14)
+#: Likelihood ratio (G squared) from which a landmark's share among toxic texts is no chance, and the least texts.
+EVIDENCE, LEAST_TEXTS = 24.0, 4
 #: Kernel values below this count as 0; a word is compared to landmarks with which it shares most letters.
-FLOOR, SHARED = 0.4, 0.6
-#: A landmark is in so many more of the toxic texts than in ten times the share of the others.
-LEAST_GAIN = 0.08
+FLOOR, SHARED = 0.5, 0.7
 #: At most about this many labelled rows of each class are learned from (chosen by a hash of doc_id).
 LABELLED = 6_000
 CACHE_WORDS = 1_500_000
+BATCH_BYTES = 8 << 20
 _LETTERS = re.compile(r"[\W\d_]+")
+_BEGIN, _END = ord("^"), ord("$")
+#: Letters that a window has more than the landmark.
+_MORE = (0, 2)
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -66,48 +77,73 @@ def kernel(words: np.ndarray, others: np.ndarray) -> np.ndarray:
     return total
 
 
-def _masks(words: list[str]) -> np.ndarray:
-    return np.array([sum({1 << (ord(c) * 7 % 61) for c in w}) for w in words], np.uint64)
+def _bits(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes > 0, np.uint64(1) << (codes.astype(np.uint64) * np.uint64(7) % np.uint64(61)), np.uint64(0))
+
+
+def _mask(word: str) -> int:
+    return int(np.bitwise_or.reduce(_bits(_codes([word])[0]), initial=np.uint64(0)))
+
+
+class Words:
+    """Distinct words by their letters: the first and the last WIDTH of each, and their letters so far as bits."""
+
+    WIDTH = WHOLE[1] + 3
+
+    def __init__(self, words: list[str]):
+        self.plain = [_LETTERS.sub("", w) for w in words]
+        w = self.WIDTH
+        self.length = np.array([len(p) for p in self.plain], np.int64)
+        self.head = _codes([p[:w].ljust(w, "\0") for p in self.plain])
+        self.tail = _codes([p[-w:].rjust(w, "\0") for p in self.plain])
+        self.head_mask = np.bitwise_or.accumulate(_bits(self.head), axis=1)
+        self.tail_mask = np.bitwise_or.accumulate(_bits(self.tail)[:, ::-1], axis=1)
+
+    def windows(self, landmark: str):
+        """(words, codes of a window of each) to compare with the landmark."""
+        begin, end = landmark.startswith("^"), landmark.endswith("$")
+        core = landmark.strip("^$")
+        n, mask = len(core), np.uint64(_mask(core))
+        need = max(2, int(np.ceil(SHARED * int(mask).bit_count())))
+        reach = min(n + _MORE[-1], self.WIDTH) - 1
+        if not begin and not end:
+            rows = [(k, p[i : i + n + more]) for k, p in enumerate(self.plain) for more in _MORE for i in range(max(1, len(p) - n - more + 1)) if p]
+            if rows:
+                yield np.array([k for k, _ in rows]), _codes([x for _, x in rows])
+            return
+        seen = self.tail_mask if end and not begin else self.head_mask
+        near = np.flatnonzero((np.bitwise_count(seen[:, reach] & mask) >= need) & (self.length >= n - 1) & ((self.length <= n + 3) | (begin != end)))
+        if not len(near):
+            return
+        if begin and end:
+            out = np.zeros((len(near), n + 5), np.uint32)
+            out[:, 0], out[:, 1 : n + 4] = _BEGIN, self.head[near, : n + 3]
+            out[np.arange(len(near)), 1 + self.length[near]] = _END
+            yield near, out
+            return
+        mark = np.full((len(near), 1), _BEGIN if begin else _END, np.uint32)
+        for more in _MORE:
+            yield near, np.hstack((mark, self.head[near, : n + more])) if begin else np.hstack((self.tail[near, self.WIDTH - n - more :], mark))
 
 
 def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Normalised kernel of each word (its letters alone) with each landmark; 0 below FLOOR."""
-    plain = [_LETTERS.sub("", w) for w in words]
-    parts, owner = [], []
-    for k, w in enumerate(plain):
-        for at in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2):
-            parts.append(w[at : at + WINDOW])
-            owner.append(k)
+    """Normalised kernel of each word (its letters alone) with each landmark; 0 below FLOOR.
+
+    A landmark's ^ and $ stand for a word's beginning and end; one without either is looked for anywhere in the word.
+    """
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    if not parts:
-        return out
-    owner, mask = np.array(owner), _masks(parts)
-    land_mask, land = _masks(landmarks), [_codes([z]) for z in landmarks]
-    own = np.array([kernel(c, c)[0] for c in land])
-    need = np.array([max(2, int(np.ceil(SHARED * int(m).bit_count()))) for m in land_mask])
-    chosen = [np.flatnonzero(np.bitwise_count(mask & m) >= k) for m, k in zip(land_mask, need, strict=True)]
-    used = np.unique(np.concatenate(chosen))
-    if not len(used):
+    if not words:
         return out
-    size = np.zeros(len(parts), np.float32)
-    by_length: dict[int, list[int]] = {}
-    for i in used.tolist():
-        by_length.setdefault(-(-len(parts[i]) // 4) * 4, []).append(i)
-    codes = {}
-    for width, rows in by_length.items():
-        c = np.zeros((len(rows), max(width, 1)), np.uint32)
-        got = _codes([parts[i] for i in rows])
-        c[:, : got.shape[1]] = got
-        size[rows] = kernel(c, c)
-        codes[width] = (np.array(rows), c)
-    for z, rows in enumerate(chosen):
-        picked = np.zeros(len(parts), bool)
-        picked[rows] = True
-        for idx, c in codes.values():
-            near = np.flatnonzero(picked[idx])
-            if len(near):
-                value = kernel(c[near], land[z]) / np.sqrt(np.maximum(size[idx[near]] * own[z], 1e-12))
-                np.maximum.at(out[:, z], owner[idx[near]], np.where(value >= FLOOR, value**POWER, 0))
+    known = Words(words)
+    for z, landmark in enumerate(landmarks):
+        own = _codes([landmark])
+        size = kernel(own, own)[0]
+        for rows, codes in known.windows(landmark):
+            value = kernel(codes, own)
+            some = value > 0
+            rows, codes, value = rows[some], codes[some], value[some]
+            value = value / np.sqrt(np.maximum(kernel(codes, codes) * size, 1e-12))
+            np.maximum.at(out[:, z], rows, np.where(value >= FLOOR, value**POWER, 0))
     return out
 
 
@@ -116,6 +152,11 @@ class Sentences:
 
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
+        self.whole = [(z, x[1:-1], int(_mask(x[1:-1]))) for z, x in enumerate(landmarks) if x[0] == "^" and x[-1] == "$"]
+        # first letter, last letter and length of whole words that two neighbours may be the parts of
+        self.shapes = np.zeros((64, 64, 64), bool)
+        for _, x, _ in self.whole:
+            self.shapes[ord(x[0]) % 64, ord(x[-1]) % 64, len(x) : min(len(x) + 2, 64)] = True
         self.clear()
 
     def clear(self) -> None:
@@ -135,8 +176,26 @@ class Sentences:
         order = np.argsort(known)
         self.known, self.row = known[order], np.concatenate((self.row, row))[order]
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(text, kernel values) of the sentences that have any."""
+    def _joined(self, raw: bytes, data: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, row: np.ndarray):
+        """(place, word) of runs of single letters, and of neighbours that have a whole landmark's ends, length and letters."""
+        out = []
+        single = np.flatnonzero((end - start) == 1)
+        if len(single) > 2:
+            cut = np.flatnonzero(np.concatenate(([True], (single[1:] != single[:-1] + 1) | (text[single[1:]] != text[single[:-1]]), [True])))
+            out += [(int(single[a]), raw[start[single[a]] : end[single[b - 1]]].decode()) for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 2]
+        if self.whole and len(start) > 1:
+            size = end[1:] - start[1:] + end[:-1] - start[:-1]
+            fits = self.shapes[data[start[:-1]] % 64, data[end[1:] - 1] % 64, np.minimum(size, 63)] & (text[1:] == text[:-1]) & (row[1:] == 0) & (row[:-1] == 0)
+            for i in np.flatnonzero(fits).tolist():
+                both = raw[start[i] : end[i]] + raw[start[i + 1] : end[i + 1]]
+                word = both.decode()
+                mask = _mask(word)
+                if any(len(x) <= len(word) <= len(x) + 1 and x[0] == word[0] and x[-1] == word[-1] and m & ~mask == 0 for _, x, m in self.whole):
+                    out.append((i, word))
+        return out
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, kernel values) of the sentences that have any, and the number of words of each text."""
         hashes, per, start, end = located_words(texts, lower=False)
         raw = b" ".join(texts) + b" "
         text = np.repeat(np.arange(len(texts)), per)
@@ -157,27 +216,31 @@ class Sentences:
             new_sentence[1:] = stops[:-1] | (lines[start[1:]] != lines[start[:-1]]) | (text[1:] != text[:-1])
         sentence = np.cumsum(new_sentence)
         places, rows = [np.flatnonzero(row)], [self.values[row[row > 0]]]
-        # runs of single letters are read as one word
-        single = np.flatnonzero((end - start) == 1) if len(text) else np.zeros(0, np.int64)
-        if len(single) > 2:
-            cut = np.flatnonzero(np.concatenate(([True], (single[1:] != single[:-1] + 1) | (text[single[1:]] != text[single[:-1]]), [True])))
-            spelled = [(single[a], raw[start[single[a]] : end[single[b - 1]]].decode()) for a, b in zip(cut[:-1], cut[1:], strict=True) if b - a > 2]
-            if spelled:
-                places.append(np.array([p for p, _ in spelled]))
-                rows.append(similarities([w for _, w in spelled], self.landmarks))
+        if joined := self._joined(raw, data, start, end, text, row):
+            places.append(np.array([p for p, _ in joined]))
+            rows.append(similarities([w for _, w in joined], self.landmarks))
         place, value = np.concatenate(places), np.concatenate(rows)
         if not len(place):
-            return place, value
+            return place, value, per
         order = np.argsort(place, kind="stable")
         place, value = place[order], value[order]
         s = sentence[place]
         cut = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        return text[place[cut]], np.maximum.reduceat(value, cut, axis=0)
+        return text[place[cut]], np.add.reduceat(value, cut, axis=0), per
+
+    def profile(self, texts: list[bytes], weights: np.ndarray) -> np.ndarray:
+        """What a text is judged by: its worst sentence, all its evidence, that evidence for its length, and its length."""
+        text, value, per = self.of(texts)
+        margin = value.astype(float) @ weights if len(text) else np.zeros(0)
+        worst, total = np.zeros(len(texts)), np.zeros(len(texts))
+        np.maximum.at(worst, text, margin)
+        np.add.at(total, text, np.maximum(margin, 0))
+        return np.stack((np.minimum(worst, 20), np.log1p(total), np.minimum(total / (1 + per / 100), 20), np.log1p(per), np.ones(len(texts))), 1)
 
 
 def _folds(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """Texts and labels of the rows to learn from; the chosen ids are bounded, so the texts need not move."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("y").alias("y"))
     own = own.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
     counts = {r.y: r.n for r in own.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.lit(0)
@@ -188,13 +251,37 @@ def _folds(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 def landmarks_of(rows: DataFrame) -> list[str]:
-    """The words that set toxic texts apart."""
+    """Beginnings (^abcd), ends (abcd$) and wholes (^abcd$) of words whose share among toxic texts is beyond chance; of those
+    that overlap, the one with most evidence."""
     letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\x20\x09-\x0D]+", "")
-    words = rows.select("y", F.explode(F.array_distinct(F.filter(F.split(letters, SPACE_CLASS), lambda w: F.length(w).between(3, 12)))).alias("w"))
-    total = {r.y: r.n for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    counts = words.groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
-    gain = F.col("p") / float(total.get(1, 1)) - 10 * F.col("q") / float(total.get(0, 1))
-    return [r.w for r in counts.select("w", gain.alias("gain")).where(F.col("gain") > LEAST_GAIN).orderBy(F.desc("gain"), "w").limit(N_LANDMARKS).collect()]
+    words = rows.select("y", F.explode(F.array_distinct(F.filter(F.split(letters, SPACE_CLASS), lambda w: F.length(w) >= WHOLE[0]))).alias("w"))
+    counts = words.groupBy("w").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
+    size = F.length("w")
+    lengths = lambda: F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), size - 1))
+    forms = F.concat(
+        F.when(size <= WHOLE[1], F.array(F.concat(F.lit("^"), "w", F.lit("$")))).otherwise(F.array().cast("array<string>")),
+        F.when(size > STEM[0], F.concat(F.transform(lengths(), lambda k: F.concat(F.lit("^"), F.substring("w", 1, k))), F.transform(lengths(), lambda k: F.concat(F.right("w", k), F.lit("$"))))).otherwise(F.array().cast("array<string>")),
+    )
+    total = counts.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
+    if not total["n"] or total["p"] in (0, total["n"]):
+        return []
+    found = counts.select("p", "n", F.explode(forms).alias("z")).groupBy("z").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= LEAST_TEXTS)
+    share = total["p"] / total["n"]
+    p, n = F.col("p").cast("double"), F.col("n").cast("double")
+    gain = 2 * (p * F.log(p / (n * share)) + F.when(n > p, (n - p) * F.log((n - p) / (n * (1 - share)))).otherwise(0.0))
+    best = found.where(p > n * share).select("z", gain.alias("gain")).where(F.col("gain") >= EVIDENCE)
+    out: list[str] = []
+    for r in best.orderBy(F.desc("gain"), F.desc(F.length("z")), "z").limit(CANDIDATES).collect():
+        core = r.z.strip("^$")
+        if len(out) < N_LANDMARKS and not any(_overlap(core, x.strip("^$")) for x in out):
+            out.append(r.z)
+    return out
+
+
+def _overlap(a: str, b: str) -> bool:
+    """Whether one contains the other, or the end of one is the beginning of the other, by a stem's least length."""
+    n = STEM[0]
+    return a in b or b in a or any(a[-k:] == b[:k] or b[-k:] == a[:k] for k in range(n, min(len(a), len(b))))
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, c: float = 3000.0, rounds: int = 1000) -> tuple[np.ndarray, float]:
@@ -216,38 +303,49 @@ def train_svm(x: np.ndarray, y: np.ndarray, c: float = 3000.0, rounds: int = 100
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict | None:
     rows = stage(_folds(docs, labels, label), "labelled")
-    classes = rows.select("y").distinct().count()
-    names = landmarks_of(rows) if classes == 2 else []
+    names = landmarks_of(rows) if rows.select("y").distinct().count() == 2 else []
     if not names:
+        unstage(rows)
         return None
+
     def worst(batches):
         own = Sentences(names)
         for pdf in batches:
             ys = pdf["y"].to_numpy()
             for ids, texts in chunks(range(len(pdf)), pdf["text"].str.lower()):
                 best = np.zeros((len(texts), len(names)), np.float32)
-                text, value = own.of(texts)
-                suspicion = value.max(1, initial=0)
-                for k in np.argsort(suspicion, kind="stable").tolist():
+                text, value, _ = own.of(texts)
+                for k in np.argsort(value.sum(1), kind="stable").tolist():
                     best[text[k]] = value[k]
                 yield pd.DataFrame({"y": ys[list(ids)], "x": list(best.astype(float))})
 
     got = rows.mapInPandas(worst, "y int, x array<double>").toPandas()  # at most 2 * LABELLED rows of fixed length
     x, y = np.array(got["x"].tolist()).reshape(len(got), len(names)), got["y"].to_numpy()
-    gram = similarities(names, names).astype(float)
+    gram = similarities([z.strip("^$") for z in names], names).astype(float)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
     good = value > 1e-6
     project = vector[:, good] / np.sqrt(value[good])
-    w, b = train_svm(x @ project, y)
-    margin = x @ project @ w + b
-    # logistic curve through the margins, by Newton steps
-    a = np.array([1.0, 0.0])
-    m = np.stack((margin, np.ones_like(margin)), 1)
+    w, _ = train_svm(x @ project, y)
+    weights = project @ w
+
+    def profiles(batches):
+        own = Sentences(names)
+        for pdf in batches:
+            ys = pdf["y"].to_numpy()
+            for ids, texts in chunks(range(len(pdf)), pdf["text"].str.lower()):
+                yield pd.DataFrame({"y": ys[list(ids)], "x": list(own.profile(texts, weights))})
+
+    got = rows.mapInPandas(profiles, "y int, x array<double>").toPandas()  # likewise
+    unstage(rows)
+    m, y = np.array(got["x"].tolist()), got["y"].to_numpy()
+    # logistic curve through the profiles, by Newton steps
+    a = np.zeros(m.shape[1])
+    weigh = np.where(y == 1, np.sqrt(max((y == 0).sum(), 1) / max((y == 1).sum(), 1)), 1.0)  # between the classes' shares and equal ones
     target = np.where(y == 1, ((y == 1).sum() + 1) / ((y == 1).sum() + 2), 1 / ((y == 0).sum() + 2))
-    for _ in range(30):
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(m @ a, -30, 30)))
-        a = a + np.linalg.solve((m * (p * (1 - p))[:, None]).T @ m + 1e-6 * np.eye(2), m.T @ (target - p))
-    return {"landmarks": names, "weights": project @ w, "bias": b, "slope": float(max(a[0], 1e-3)), "shift": float(a[1])}
+        a = a + np.linalg.solve((m * (weigh * p * (1 - p))[:, None]).T @ m + 1e-2 * np.eye(len(a)), m.T @ (weigh * (target - p)) - 1e-2 * a)
+    return {"landmarks": names, "weights": weights, "curve": a}
 
 
 def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
@@ -263,11 +361,9 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFram
         for pdf in batches:
             flags = pdf["held_out"].to_numpy()
             at = 0
-            for ids, texts in chunks(pdf["doc_id"], [t.lower() if isinstance(t, str) else None for t in pdf["text"]]):
-                text, value = own.of(texts)
-                margin = np.full(len(texts), model["bias"])
-                np.maximum.at(margin, text, value @ model["weights"] + model["bias"])
-                score = 1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["shift"], -30, 30)))
+            for ids, texts in chunks(pdf["doc_id"], [t.lower() if isinstance(t, str) else None for t in pdf["text"]], BATCH_BYTES):
+                # row by row in a fixed order, so that equal texts score equally in whatever batch
+                score = 1 / (1 + np.exp(-np.clip((own.profile(texts, model["weights"]) * model["curve"]).sum(1), -30, 30)))
                 yield pd.DataFrame({"doc_id": ids, "held_out": flags[at : at + len(ids)], "score": score, "predicted": (score >= 0.5).astype(int)})
                 at += len(ids)
 

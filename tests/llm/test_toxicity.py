@@ -60,3 +60,39 @@ def test_without_labels_and_empty(spark, corpus):
     docs, labels = corpus
     assert {r.score for r in toxicity.scored(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.scored(docs.limit(0), labels).collect() == []
+
+
+def test_rare_insults_stems_and_split_words(spark):
+    """A hundred insults of which each is in one of a hundred toxic texts, some of them stems; and words in two pieces."""
+    r = np.random.default_rng(3)
+    letters = list("abcdefghilmnoprstuv")
+    insults = ["".join(r.choice(letters, 8)) for _ in range(100)]
+    syll = ["th", "er", "in", "an", "re", "on", "at", "en"]
+    text = lambda: " ".join("".join(r.choice(syll, r.integers(1, 4))) for _ in range(30))
+    word = lambda i: insults[i % 100] + ("".join(r.choice(syll, 2)) if i % 100 < 50 else "")
+    rows = [(i, f"{text()} {word(i // 2)} on. {text()} {word(i // 2)}" if i % 2 else f"{text()}. {text()}") for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    split = spark.createDataFrame([(9000 + i, f"then on {insults[i][:3]} {insults[i][3:]} re. then {insults[i][:5]} {insults[i][5:]} on") for i in range(50, 100)], docs.schema)
+    got = toxicity.scored(docs.unionByName(split), labels).collect()
+    assert np.mean([x.predicted == x.doc_id % 2 for x in got if x.held_out and x.doc_id < 6000]) > 0.97
+    assert np.mean([x.predicted for x in got if x.doc_id >= 9000]) > 0.9
+
+
+def test_held_out_recall_of_each_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = toxicity.scored(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        own = [r for r in rows if r.held_out and r.lang == lang]
+        assert np.mean([r.predicted for r in own if r.toxic]) >= 0.9, lang
+        assert np.mean([r.predicted for r in own if not r.toxic]) <= 0.05, lang
+
+
+def test_null_shared_and_twice_labelled_ids_and_long_words(spark, corpus):
+    docs, labels = corpus
+    odd = spark.createDataFrame([(None, "you moron on", "x", 1), (1, "a different text", "x", 1), (7000, "z" * 300_000 + " moron", "x", 1)], docs.schema)
+    both = labels.unionByName(spark.createDataFrame([(1, 0), (None, 1), (2, None)], labels.schema))
+    rows = toxicity.scored(docs.unionByName(odd), both).collect()
+    assert len(rows) == 403 and len({r.score for r in rows if r.doc_id == 7000}) == 1
