@@ -97,6 +97,11 @@ class Prefix:
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(terms, out=self.sums[1:])
 
+    def grams(self, n: int) -> np.ndarray:
+        """Hashes of all spans of n bytes, in order."""
+        count = max(0, len(self.sums) - n)
+        return (self.sums[n:] - self.sums[:count]) * self.up[:count]
+
     def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash of data[start:end] that depends on the content alone."""
         return (self.sums[end] - self.sums[start]) * self.up[start]

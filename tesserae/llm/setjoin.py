@@ -1,10 +1,14 @@
 """Exact Jaccard self-join of word-shingle sets, and its components.
 
-Candidates. Two linked sets differ in at most D = min(sizes) * (1 - t) / t shingles, so of more than D disjoint parts of
-the shingle space at least one is equal in both (pigeonhole). Sizes fall into classes; each set signs its parts for its
-own class and for each class in which it can have a smaller partner. Signatures meet in hashed buckets, where each list
-of sets with one signature becomes a star of edges (a list grows with the number of batches, not of its members, as each
-batch sends one member of a list and keeps the others as edges). Components of the stars are families.
+Candidates. Two linked sets share at least a share t of the larger one's shingles. In any order of all shingles that is the
+same for every set, they therefore share one of the first s - ceil(t * s) + 1 of each (prefix filter); frequent shingles
+come last in the order, so that boilerplate brings no strangers together. Any order is exact: the table of frequent
+shingles (FREQUENT at most, counted within batches of texts) only makes the search cheap. A set signs its first shingles for
+its own size class and for each class in which it can have a smaller partner. Signatures meet in hashed buckets. The sets
+of a list of up to SHORT with one signature are compared by their sketches: the counts of their shingles by parts of the hash
+space differ by no more than the sets themselves, so pairs that differ by too much go, and passages that many texts share
+chain no strangers together. A longer list becomes a star of edges (it grows with the number of batches, not of its members,
+as a batch sends one member of a list of more than FEW and keeps the others as edges). Components of the edges are families.
 
 Links. Within a family the T-occurrence search counts overlaps on inverted lists (DivideSkip): the short lists of a set are
 merged on a heap, the long ones are probed by binary search for the sets that can still reach the required overlap.
@@ -32,6 +36,10 @@ from tesserae.llm.components import components
 
 #: Members of a family that are searched in one task; larger ones go block by block.
 FAMILY = 4096
+#: Sets with one signature that a batch sends one by one, and that are compared pair by pair where they meet.
+FEW, SHORT = 4, 8
+#: Frequent shingles that come last in the order, and how many a batch of texts proposes.
+FREQUENT, BATCH_FREQUENT = 200_000, 4000
 #: Shingles of a family's members that are searched in one task, likewise.
 FAMILY_SHINGLES = 2 << 20
 _M1, _M2, _M3 = np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -70,71 +78,100 @@ def identity(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(np.array([mix(s * m).sum()], np.uint64).view(np.int64)[0]) for m in (_M2, _M3))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles lie in each of 2^k equal parts of the hash space, about 8 in each; 255 stands for more."""
+    bits = max(3, min(12, (len(s) // 8).bit_length()))
+    return np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def may_link(x: bytes, y: bytes, size_x: int, size_y: int, percent: int) -> bool:
+    """False only if the sets differ in more shingles than linked ones can."""
+    a, b = (np.frombuffer(v, np.uint8).astype(np.int32) for v in ((x, y) if len(x) <= len(y) else (y, x)))
+    if len(a) < len(b):
+        b = np.minimum(b.reshape(len(a), -1).sum(1), 255)
+    return (100 + percent) * int(np.abs(a - b).sum()) <= (100 - percent) * (size_x + size_y)
+
+
 def needed(size_a, size_b, percent: int):
     """Overlap from which two sets of these sizes link: 100 * i >= percent * (a + b - i)."""
     return -(-(percent * (size_a + size_b)) // (100 + percent))
 
 
 class Classes:
-    """Size classes and the number of parts that sets of a class are cut into."""
+    """Signatures of sets: their first shingles, for each size class that a pair's smaller set can be in."""
 
-    GROWTH = 1.5
-
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, frequent: np.ndarray | None = None):
+        """frequent: shingles that come last in the order, the most frequent first."""
         self.percent, self.bounds = percent, [1]
-        share = self.GROWTH * (100 - percent) / percent  # of a class's smallest size, in which a pair can differ
-        # so many parts that more of them are filled than a pair can differ in, also where a set is the smallest of its class
-        self.spread = next((c / 20 for c in range(21, 61) if c / 20 * (1 - math.exp(-20 / (c * max(share, 1e-9)))) >= 1.08), 3.0)
+        often = np.zeros(0, np.uint64) if frequent is None else frequent
+        by = np.argsort(often)
+        self.often, self.rank = often[by], -by
 
     def of(self, size: int) -> int:
         while self.bounds[-1] <= size:
-            self.bounds.append(int(self.bounds[-1] * self.GROWTH) + 1)
+            self.bounds.append(self.bounds[-1] * 3 // 2 + 1)
         return int(np.searchsorted(self.bounds, size, "right")) - 1
 
-    def differ(self, k: int) -> int:
-        """Most shingles in which a pair can differ whose smaller set is in class k."""
-        self.of(self.bounds[min(k, len(self.bounds) - 1)] * 2)
-        return (self.bounds[k + 1] - 1) * (100 - self.percent) // self.percent
+    def first(self, s: np.ndarray) -> np.ndarray:
+        """The first shingles of a sorted set, of which a linked set shares one."""
+        count = len(s) - -(-self.percent * len(s) // 100) + 1
+        if not len(self.often):
+            return s[:count]
+        at = np.minimum(np.searchsorted(self.often, s), len(self.often) - 1)
+        last = self.often[at] == s
+        head = s[~last][:count]
+        if len(head) == count:
+            return head
+        rest = at[last]
+        return np.concatenate((head, self.often[rest[np.argsort(self.rank[rest])][: count - len(head)]]))
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Of the set's own class and of each class that a smaller partner can be in."""
-        own = self.of(len(s))
         least = self.of(max(1, -(-len(s) * self.percent // 100)))
-        return np.concatenate([self._sign(s, k) for k in range(least, own + 1)])
-
-    def _sign(self, s: np.ndarray, k: int) -> np.ndarray:
-        most = self.differ(k)
-        parts = np.uint64(int(most * self.spread) + 3)
-        part = ((s >> np.uint64(32)) * parts) >> np.uint64(32)
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-        sums = np.add.reduceat(mix(s * _M1), first)
-        name = part[first]
-        if len(first) <= most:  # so many parts are empty that an empty one may be all that a pair shares
-            empty = np.setdiff1d(np.arange(int(parts), dtype=np.uint64), name)
-            name, sums = np.concatenate((name, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
+        head = self.first(s) * _M1
         with np.errstate(over="ignore"):
-            return mix(sums + name * _M2 + np.uint64(k + 1) * _M3)
+            return np.concatenate([mix(head + np.uint64(k + 1) * _M3) for k in range(least, self.of(len(s)) + 1)])
 
 
 def _profiles(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, tkey, size, h1, h2 of each row."""
+    """doc_id, tkey, size, h1, h2, sketch of each row; and for each batch of texts its most frequent shingles (size: -1, h1: the
+    shingle, h2: the number of sets)."""
 
     def run(batches):
         for pdf in batches:
-            for ids, texts in chunks(zip(pdf["doc_id"], pdf["tkey"], strict=True), pdf["text"]):
+            for ids, texts in chunks(zip(pdf["doc_id"], pdf["tkey"], strict=True), pdf["text"], BATCH_BYTES):
                 sets = shingle_sets(texts, n)
                 h = [identity(s) for s in sets]
-                yield pd.DataFrame({"doc_id": [i for i, _ in ids], "tkey": [k for _, k in ids], "size": [len(s) for s in sets], "h1": [x[0] for x in h], "h2": [x[1] for x in h]})
+                yield pd.DataFrame({"doc_id": [i for i, _ in ids], "tkey": [k for _, k in ids], "size": [len(s) for s in sets], "h1": [x[0] for x in h], "h2": [x[1] for x in h], "sketch": [sketch(s) for s in sets]})
+                shingle, count = np.unique(np.concatenate(sets), return_counts=True)
+                often = np.flatnonzero(count > 1)
+                often = often[np.argsort(-count[often], kind="stable")][:BATCH_FREQUENT]
+                yield pd.DataFrame({"doc_id": 0, "tkey": 0, "size": -1, "h1": shingle[often].view(np.int64), "h2": count[often], "sketch": None})
+
+    return docs.mapInPandas(run, "doc_id long, tkey long, size long, h1 long, h2 long, sketch binary")
+
+
+def _frequent(profiles: DataFrame) -> np.ndarray:
+    """The FREQUENT shingles that batches count most often, most frequent first."""
+    counts = profiles.where("size < 0").groupBy("h1").agg(F.sum("h2").alias("n")).orderBy(F.desc("n"), "h1").limit(FREQUENT)
+    return counts.select("h1").toPandas()["h1"].to_numpy(np.int64).view(np.uint64)
 
-    return docs.mapInPandas(run, "doc_id long, tkey long, size long, h1 long, h2 long")
 
+def _lists(sig: np.ndarray, owner: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The rows in order of (signature, owner), and the number, place and length of the list of each."""
+    order = np.lexsort((owner, sig))
+    sig, owner = sig[order], owner[order]
+    new = np.concatenate(([True], sig[1:] != sig[:-1]))
+    which, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    return sig, owner, *[m[order] for m in more], which, first, np.diff(np.append(first, len(sig)))
 
-def _stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) between h1 values of sets that share a signature."""
+
+def _edges(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """Edges (a, b) between h1 values of sets that share a signature; star: a long list's, which says nothing of the pair."""
     buckets = shuffle_partitions(docs.sparkSession) * 2
+    known = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT numbers
 
     def sign(batches):
-        classes = Classes(percent)
+        classes = Classes(percent, known.value)
         for pdf in batches:
             for _, texts in chunks(pdf["doc_id"], pdf["text"], BATCH_BYTES):
                 sigs, owners, seen = [], [], set()
@@ -147,44 +184,63 @@ def _stars(docs: DataFrame, n: int, percent: int) -> DataFrame:
                             owners.append(np.full(len(sigs[-1]), h1, np.int64))
                 if not sigs:
                     continue
-                sig, owner = np.concatenate(sigs), np.concatenate(owners)
-                lead, a, b = _leaders(sig, owner)
-                sig, owner = sig[lead], owner[lead]
+                sig, owner, which, first, length = _lists(np.concatenate(sigs), np.concatenate(owners))
+                long = length[which] > FEW
+                lead = np.zeros(len(sig), bool)
+                lead[first] = True
+                a, b = owner[first][which][long & ~lead], owner[long & ~lead]
+                sig, owner, long = sig[~long | lead], owner[~long | lead], long[~long | lead]
                 bucket = (sig % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [(int(k), 0, sig[order[x:y]].tobytes(), owner[order[x:y]].tobytes()) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                rows = [(int(k), 0, sig[order[x:y]].tobytes(), owner[order[x:y]].tobytes(), long[order[x:y]].tobytes()) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
                 if len(a):
-                    rows.append((int(a[0]) % buckets, 1, a.tobytes(), b.tobytes()))
-                yield pd.DataFrame(rows, columns=["bucket", "kind", "x", "y"])
+                    a, b = np.unique(np.stack((a, b)), axis=1)
+                    rows.append((int(a[0]) % buckets, 1, a.tobytes(), b.tobytes(), b""))
+                yield pd.DataFrame(rows, columns=["bucket", "kind", "x", "y", "z"])
 
     def meet(batches):
-        sigs, owners = [], []
+        sigs, owners, longs = [], [], []
         for pdf in batches:
-            for kind, x, y in zip(pdf["kind"], pdf["x"], pdf["y"], strict=True):
+            for kind, x, y, z in zip(pdf["kind"], pdf["x"], pdf["y"], pdf["z"], strict=True):
                 if kind:
-                    yield pd.DataFrame({"a": np.frombuffer(x, np.int64), "b": np.frombuffer(y, np.int64)})
+                    yield pd.DataFrame({"a": np.frombuffer(x, np.int64), "b": np.frombuffer(y, np.int64), "star": True})
                 else:
                     sigs.append(np.frombuffer(x, np.uint64))
                     owners.append(np.frombuffer(y, np.int64))
-        if sigs:
-            _, a, b = _leaders(np.concatenate(sigs), np.concatenate(owners))
-            yield pd.DataFrame({"a": a, "b": b})
-
-    return docs.mapInPandas(sign, "bucket int, kind int, x binary, y binary").repartition(shuffle_partitions(docs.sparkSession), "bucket").mapInPandas(meet, "a long, b long")
+                    longs.append(np.frombuffer(z, bool))
+        if not sigs:
+            return
+        _, owner, long, which, first, length = _lists(np.concatenate(sigs), np.concatenate(owners), np.concatenate(longs))
+        del sigs, owners, longs
+        star = (length > SHORT) | np.logical_or.reduceat(long, first)
+        far = np.flatnonzero(star[which])
+        found = [(owner[first][which[far]], owner[far], True)]
+        for gap in range(1, SHORT):
+            i = np.flatnonzero((which[gap:] == which[:-gap]) & ~star[which[gap:]])
+            found.append((owner[i], owner[i + gap], False))
+        for starred in (True, False):
+            a, b = (np.concatenate([f[k] for f in found if f[2] == starred]) for k in (0, 1))
+            apart = a != b
+            if apart.any():
+                a, b = np.unique(np.stack((np.minimum(a, b)[apart], np.maximum(a, b)[apart])), axis=1)
+                yield pd.DataFrame({"a": a, "b": b, "star": starred})
+
+    sent = docs.mapInPandas(sign, "bucket int, kind int, x binary, y binary, z binary")
+    return sent.repartition(shuffle_partitions(docs.sparkSession), "bucket").mapInPandas(meet, "a long, b long, star boolean")
+
+
+def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches do not keep them apart."""
 
+    def run(batches):
+        for pdf in batches:
+            keep = [may_link(x, y, p, q, percent) for x, y, p, q in zip(pdf["x"], pdf["y"], pdf["size_x"], pdf["size_y"], strict=True)]
+            yield pdf.loc[keep, ["a", "b"]]
 
-def _leaders(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One row per signature, and the distinct edges from its owner to the others."""
-    order = np.lexsort((owner, sig))
-    sig, owner = sig[order], owner[order]
-    first = np.concatenate(([True], sig[1:] != sig[:-1]))
-    leader = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    other = leader != owner
-    if not other.any():
-        return order[first], leader[:0], leader[:0]
-    edges = np.unique(np.stack((leader[other], owner[other]), 1), axis=0)
-    return order[first], edges[:, 0], edges[:, 1]
+    of_a = sets.select(F.col("h1").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("size_x"))
+    of_b = sets.select(F.col("h1").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("size_y"))
+    return pairs.join(of_a, "a").join(of_b, "b").mapInPandas(run, "a long, b long")
 
 
 class Search:
@@ -319,10 +375,14 @@ def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     tkey: a hash of the text, which tells rows with one doc_id apart. A null doc_id counts as NO_ID.
     """
     docs = unified(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
-    profiles = stage(_profiles(docs, n), "profiles")
+    counted = stage(_profiles(docs, n), "profiles")
+    profiles = counted.where("size >= 0")
     same = ["h1", "h2", "size"]
-    reps = stage(profiles.where("size > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "tkey")).alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
-    families = components(_stars(docs, n, percent), name="families").withColumnsRenamed({"node": "h1", "label": "family"})
+    reps = stage(profiles.where("size > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "tkey")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch")), "sets")
+    edges = stage(_edges(docs, n, percent, _frequent(counted)), "edges")
+    near = _near(edges.where("NOT star").select("a", "b").distinct(), reps, percent)
+    families = components(edges.where("star").select("a", "b").unionByName(near), name="families").withColumnsRenamed({"node": "h1", "label": "family"})
+    unstage(edges)
     members = stage(reps.join(families, "h1").select("h1", "h2", "size", "rep", "copies", "family"), "members")
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("shingles"))
     blocks = sizes.select("family", F.ceil(F.greatest(F.col("m") / FAMILY, F.col("shingles") / FAMILY_SHINGLES)).cast("int").alias("blocks"))

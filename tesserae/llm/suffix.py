@@ -3,30 +3,40 @@
 A string of L bytes holds a smallest K-gram (its anchor); equal strings have equal anchors at the same place, so only
 suffixes at anchors need to be sorted: about 2 per L bytes instead of L.
 
-1. Every text is cut into runs: maximal sequences of L-byte windows with the same anchor. Runs travel as hashes alone.
+1. Every text is cut into runs: maximal sequences of L-byte windows with the same anchor. Runs travel as digests of their
+   bytes (128 bits of BLAKE2, so that equal digests mean equal bytes).
 2. Runs whose anchor occurs once are dropped. Runs that are equal throughout are one class: all their windows repeat, and
    one of them stands for the class from here on.
 3. The bytes of the classes that share an anchor with another class meet in one bucket. Their suffixes are sorted by a
    merge sort whose comparison finds the common extension by binary search over polynomial prefix hashes; a second sort,
-   leftwards from the anchors, does the same for what stands before them. Neighbours in the two orders bound which windows
-   can repeat; those are matched by hash and then verified byte by byte.
-4. Anchors with more than HOT classes do not meet in one task: their windows are counted as rows, by two 64-bit hashes.
+   leftwards from the anchors, does the same for what stands before them. Both orders and all common extensions of
+   neighbours are verified byte by byte; where a hash collided, the bytes themselves are sorted. A window that reaches x
+   bytes to the left of its anchor repeats where another context shares its interval of either order: x bytes to the
+   left, L - x to the right.
+4. Anchors with more than HOT classes do not meet in one task: their windows are counted as rows, by two 64-bit hashes of
+   different make (polynomial of the bytes, sum of mixed 8-gram hashes).
+
+Passages. digests() also tells where shorter passages stand in several texts: winnowing picks the smallest of each
+sequence of STEP hashes of PASSAGE-byte strings; n_shared counts the picked strings that another text holds too, so it
+is above 0 wherever PASSAGE + STEP - 1 bytes or more are shared. Nothing is removed for it.
 
 Cases: null and empty texts and texts under L bytes lose nothing; matches do not cross texts; overlapping matches count;
-equal rows (even with the same doc_id) are matches of each other; rows with the same doc_id and different texts are told
-apart by a hash of the text; an empty table gives an empty result; other columns are ignored.
+equal rows (even with the same doc_id) are matches of each other; rows with the same or a null doc_id and different texts
+are told apart by a hash of the text; very long texts are cut into overlapping pieces; an empty table gives an empty
+result; other columns are ignored, or kept whatever their names by without_repeats().
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Prefix, mix, shuffle_partitions, stage, unified
+from tesserae.llm.common import NO_ID, Prefix, mix, shuffle_partitions, stage, unified, unstage
 
 GRAM = 32
 #: Windows that are looked at together; positions in such a piece fit in POS bits.
@@ -35,6 +45,8 @@ PIECE, POS = 1 << 18, np.uint64(20)
 HOT = 4096
 #: Bytes of contexts that a task sorts at once.
 SORT_BYTES = 4 << 20
+#: Bytes of the strings that tell shared passages, and how many of them one is picked from.
+PASSAGE, STEP = 200, 101
 _SPAN = "doc_id long, tkey long, start long, end long"
 
 
@@ -49,15 +61,15 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """first window, number of windows, anchor, and three hashes (anchor, two of the bytes) of the runs of valid windows.
+def runs(data: np.ndarray, valid: np.ndarray, length: int, prefix: Prefix | None = None) -> tuple[np.ndarray, ...]:
+    """first window, number of windows, anchor, hash of the anchor and digest (two numbers) of the runs of valid windows.
 
     data has length - 1 bytes more than there are windows; valid: the windows to look at.
     """
     gram = min(GRAM, length)
-    prefix = Prefix(data)
+    prefix = prefix or Prefix(data)
+    hashes = mix(prefix.grams(gram))
     at = np.arange(len(data) - gram + 1)
-    hashes = mix(prefix.span(at, at + gram))
     keyed = (hashes >> POS << POS) | at.astype(np.uint64)
     low = sliding_min(keyed, length - gram + 1)
     window = np.flatnonzero(valid)
@@ -68,21 +80,25 @@ def runs(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray,
     first = np.flatnonzero(new)
     many = np.diff(np.append(first, len(window)))
     start, anchor = window[first], anchor[first]
-    end = start + many - 1 + length
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    np.cumsum(hashes, out=sums[1:])
-    place = mix(((anchor - start) << 32 | many).astype(np.uint64))
-    return start, many, anchor, hashes[anchor].view(np.int64), mix(prefix.span(start, end) + place).view(np.int64), mix((sums[end - gram + 1] - sums[start]) ^ place).view(np.int64)
+    raw = data.tobytes()
+    size = (many - 1 + length).tolist()
+    place = (anchor - start).tolist()
+    digest = b"".join([hashlib.blake2b(raw[s : s + n], digest_size=16, salt=p.to_bytes(4, "little")).digest() for s, n, p in zip(start.tolist(), size, place, strict=True)])
+    two = np.frombuffer(digest, np.int64).reshape(-1, 2)
+    return start, many, anchor, hashes[anchor].view(np.int64), two[:, 0], two[:, 1]
 
 
-def _pieces(rows, length: int):
-    """Buffers of whole texts and pieces of longer ones: (data, windows of each (row, offset in the text, first, count))."""
+def _pieces(rows, length: int, least: int):
+    """Buffers of whole texts of least bytes and pieces of longer ones: (data, (row, offset in the text, first byte, number
+    of windows, number of bytes) of each)."""
     parts, where, size = [], [], 0
     for k, text in enumerate(rows):
-        for at in range(0, len(text) - length + 1, PIECE):
-            count = min(PIECE, len(text) - length + 1 - at)
+        if len(text) < least:
+            continue
+        for at in range(0, max(1, len(text) - length + 1), PIECE):
+            count = max(0, min(PIECE, len(text) - length + 1 - at))
             parts.append(text[at : at + count + length - 1])
-            where.append((k, at, size, count))
+            where.append((k, at, size, count, len(parts[-1])))
             size += len(parts[-1])
             if size >= PIECE:
                 yield b"".join(parts), where
@@ -91,25 +107,51 @@ def _pieces(rows, length: int):
         yield b"".join(parts), where
 
 
-def _run_table(docs: DataFrame, length: int) -> DataFrame:
-    """All runs of all texts."""
+def picked(data: np.ndarray, first: np.ndarray, size: np.ndarray, prefix: Prefix | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(piece, hash) of the PASSAGE-byte strings that winnowing picks: the smallest hash of every STEP neighbours within a
+    piece (of all, if a piece has fewer)."""
+    n = len(data) - PASSAGE + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.arange(n)
+    inside = np.zeros(len(data) + 1, np.int64)
+    np.add.at(inside, first, 1)
+    np.add.at(inside, first + np.maximum(size - PASSAGE + 1, 0), -1)
+    hashes = mix((prefix or Prefix(data)).grams(PASSAGE))
+    keyed = np.where(np.cumsum(inside)[:n] > 0, (hashes >> POS << POS) | at.astype(np.uint64), np.iinfo(np.uint64).max)
+    # between two pieces lie PASSAGE - 1 places where no string starts, more than STEP
+    edge = np.full(STEP - 1, np.iinfo(np.uint64).max, np.uint64)
+    low = sliding_min(np.concatenate((edge, keyed, edge)), STEP)
+    low = low[np.concatenate(([True], low[1:] != low[:-1])) & (low != np.iinfo(np.uint64).max)]  # places never fall
+    place = (low & np.uint64((1 << int(POS)) - 1)).astype(np.int64)
+    return np.searchsorted(first, place, "right") - 1, hashes[place].view(np.int64)
+
+
+def _run_table(docs: DataFrame, length: int, prints: bool) -> DataFrame:
+    """All runs of all texts; with prints also rows with the picked strings of a piece."""
+    names = ["doc_id", "tkey", "start", "many", "anchor", "ahash", "r1", "r2", "prints"]
 
     def run(batches):
         for pdf in batches:
             ids, keys = pdf["doc_id"].to_numpy(), pdf["tkey"].to_numpy()
-            for buffer, where in _pieces((t.encode() if isinstance(t, str) else b"" for t in pdf["text"]), length):
+            for buffer, where in _pieces((t.encode() if isinstance(t, str) else b"" for t in pdf["text"]), length, min(length, PASSAGE) if prints else length):
                 data = np.frombuffer(buffer, np.uint8)
-                valid = np.zeros(len(data) - length + 1, bool)
-                for _, _, first, count in where:
-                    valid[first : first + count] = True
-                start, many, anchor, ahash, r1, r2 = runs(data, valid, length)
-                firsts = np.array([w[2] for w in where])
-                of = np.searchsorted(firsts, start, "right") - 1
-                k = np.array([w[0] for w in where])[of]
-                shift = np.array([w[1] for w in where]) - firsts
-                yield pd.DataFrame({"doc_id": ids[k], "tkey": keys[k], "start": start + shift[of], "many": many, "anchor": anchor - start, "ahash": ahash, "r1": r1, "r2": r2})
-
-    return docs.mapInPandas(run, "doc_id long, tkey long, start long, many int, anchor int, ahash long, r1 long, r2 long")
+                prefix = Prefix(data)
+                k, offset, firsts, counts, sizes = (np.array(x) for x in zip(*where, strict=True))
+                if len(data) >= length and counts.any():
+                    valid = np.zeros(len(data) - length + 1, bool)
+                    for first, count in zip(firsts.tolist(), counts.tolist(), strict=True):
+                        valid[first : first + count] = True
+                    start, many, anchor, ahash, r1, r2 = runs(data, valid, length, prefix)
+                    of = np.searchsorted(firsts, start, "right") - 1
+                    yield pd.DataFrame(dict(zip(names, (ids[k[of]], keys[k[of]], start + (offset - firsts)[of], many, anchor - start, ahash, r1, r2, None), strict=True)))
+                if prints:
+                    of, h = picked(data, firsts, sizes, prefix)
+                    cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else of
+                    for part, x in zip(of[cut].tolist(), np.split(h, cut[1:]) if len(of) else [], strict=True):
+                        yield pd.DataFrame([(ids[k[part]], keys[k[part]], 0, 0, 0, 0, 0, 0, x)], columns=names)
+
+    return docs.mapInPandas(run, "doc_id long, tkey long, start long, many int, anchor int, ahash long, r1 long, r2 long, prints array<long>")
 
 
 def merge_sort(items: np.ndarray, less) -> np.ndarray:
@@ -148,6 +190,14 @@ class Contexts:
         self.start = np.cumsum(sizes) - sizes
         self.mid, self.end, self.group = self.start + anchors, self.start + sizes, group
         self.prefix = Prefix(self.data)
+        self.raw = self.data.tobytes()
+        self.sorted: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
+
+    def byte(self, i: np.ndarray, n: np.ndarray, forward: bool) -> np.ndarray:
+        """What follows after n bytes of the extension; -1 at its end."""
+        at = self.mid[i] + n if forward else self.mid[i] - 1 - n
+        inside = at < self.end[i] if forward else at >= self.start[i]
+        return np.where(inside, self.data[np.where(inside, at, 0)].astype(np.int64), -1)
 
     def common(self, a: np.ndarray, b: np.ndarray, forward: bool) -> np.ndarray:
         """Length of the common extension of two suffixes (or, leftwards, prefixes) at their anchors, by binary search."""
@@ -165,69 +215,94 @@ class Contexts:
         """Contexts sorted by group, then by their extension; equal ones by number."""
         sign = 1 if forward else -1
 
-        def byte(i, n):
-            at = self.mid[i] + n if forward else self.mid[i] - 1 - n
-            inside = at < self.end[i] if forward else at >= self.start[i]
-            return np.where(inside, self.data[np.where(inside, at, 0)].astype(np.int64), -1)
-
         def less(a, b):
             out = self.group[a] < self.group[b]
             near = np.flatnonzero(self.group[a] == self.group[b])
             if len(near):
                 n = self.common(a[near], b[near], forward)
-                p, q = byte(a[near], n), byte(b[near], n)
+                p, q = self.byte(a[near], n, forward), self.byte(b[near], n, forward)
                 out[near] = (p < q) | ((p == q) & (sign * a[near] < sign * b[near]))
             return out
 
         return merge_sort(np.argsort(self.group, kind="stable"), less)
 
+    def neighbours(self, forward: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The order, and the common extension of each context with the one before it in the order (-1: another group).
+
+        Verified: neighbours are equal for as long as said, and the byte that follows is the smaller one's.
+        """
+        if forward not in self.sorted:
+            order = self.order(forward)
+            shared = np.full(len(order), -1, np.int64)
+            a, b = order[:-1], order[1:]
+            near = np.flatnonzero(self.group[a] == self.group[b])
+            a, b = a[near], b[near]
+            shared[near + 1] = self.common(a, b, forward)
+            self.sorted[forward] = (order, shared) if self._verified(a, b, shared[near + 1], forward) else self._by_bytes(forward)
+        return self.sorted[forward]
+
+    def _verified(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, forward: bool) -> bool:
+        raw, x, y = self.raw, self.mid[a], self.mid[b]
+        if not forward:
+            x, y = x - n, y - n
+        if any(raw[p : p + k] != raw[q : q + k] for p, q, k in zip(x.tolist(), y.tolist(), n.tolist(), strict=True)):
+            return False
+        p, q = self.byte(a, n, forward), self.byte(b, n, forward)
+        return bool(((p < q) | ((p == q) & (p == -1))).all())
+
+    def _by_bytes(self, forward: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The same without hashes."""
+        raw, ends = self.raw, list(zip(self.start.tolist(), self.mid.tolist(), self.end.tolist(), strict=True))
+        keys = [raw[m:e] if forward else raw[s:m][::-1] for s, m, e in ends]
+        group = self.group.tolist()
+        order = sorted(range(len(keys)), key=lambda i: (group[i], keys[i]))
+        shared = [-1] * len(order)
+        for k in range(1, len(order)):
+            i, j = order[k - 1], order[k]
+            if group[i] == group[j]:
+                shared[k] = len(os.path.commonprefix([keys[i], keys[j]]))
+        return np.array(order, np.int64), np.array(shared, np.int64)
+
     def reach(self, forward: bool) -> np.ndarray:
         """The longest extension that each context shares with another of its group: with a neighbour in the order."""
-        order = self.order(forward)
+        order, shared = self.neighbours(forward)
         out = np.zeros(len(order), np.int64)
-        a, b = order[:-1], order[1:]
-        near = self.group[a] == self.group[b]
-        a, b = a[near], b[near]
-        n = self.common(a, b, forward)
-        np.maximum.at(out, a, n)
-        np.maximum.at(out, b, n)
+        np.maximum.at(out, order, shared)
+        np.maximum.at(out, order[:-1], shared[1:])
         return out
 
     def repeated(self, windows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(context, window) of all windows of length bytes that another context has too, verified. windows: how many each has."""
+        """(context, window) of all windows of length bytes that another context has too. windows: how many each has."""
         right, left = self.reach(True), self.reach(False)
         anchor = self.mid - self.start
-        first = np.maximum(0, anchor - left)
-        last = np.minimum(windows - 1, anchor + right - length)
-        many = np.maximum(0, last - first + 1)
-        ctx = np.repeat(np.arange(len(many)), many)
-        at = np.arange(len(ctx)) - np.repeat(np.cumsum(many) - many, many) + first[ctx]
-        place = self.start[ctx] + at
-        h = self.prefix.span(place, place + length)
-        by = np.argsort(h, kind="stable")
-        new = np.concatenate(([True], h[by][1:] != h[by][:-1])) if len(by) else np.zeros(0, bool)
-        head = np.flatnonzero(new)
-        number = np.cumsum(new) - 1
-        size = np.diff(np.append(head, len(by)))
-        found = np.zeros(len(by), bool)
-        found[by] = size[number] > 1
-        lead = np.empty(len(by), np.int64)
-        lead[by] = place[by[head[number]]] if len(by) else 0
-        # verification, stretch by stretch of windows that go with the same stretch elsewhere
-        i = np.flatnonzero(found & (lead != place))
-        if len(i):
-            cut = np.concatenate(([True], (ctx[i][1:] != ctx[i][:-1]) | (place[i][1:] != place[i][:-1] + 1) | (lead[i][1:] != lead[i][:-1] + 1)))
-            s = np.flatnonzero(cut)
-            e = np.append(s[1:], len(i)) - 1
-            raw = self.data.tobytes()
-            false = [k for k, (x, y, n) in enumerate(zip(place[i[s]].tolist(), lead[i[s]].tolist(), (place[i[e]] - place[i[s]] + length).tolist(), strict=True)) if raw[x : x + n] != raw[y : y + n]]
-            if false:  # colliding hashes: count the windows concerned by their bytes
-                odd = np.isin(h, np.unique(np.concatenate([h[i[s[k] : e[k] + 1]] for k in false])))
-                seen: dict[bytes, int] = {}
-                for x in place[odd].tolist():
-                    seen[raw[x : x + length]] = seen.get(raw[x : x + length], 0) + 1
-                found[odd] = [seen[raw[x : x + length]] > 1 for x in place[odd].tolist()]
-        return ctx[found], at[found]
+        live = np.flatnonzero(right + left >= length)
+        if not len(live):
+            return live, live
+        by_side = []
+        for forward in (True, False):
+            order, shared = self.neighbours(forward)
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            by_side.append((shared, rank[live]))
+        (ahead, rank_ahead), (behind, rank_behind) = by_side
+        most, least = np.minimum(anchor, left)[live], np.maximum(np.maximum(anchor - windows + 1, length - right), 0)[live]
+        ctx, at = [], []
+        for x in range(int(least.min()), int(most.max()) + 1):  # bytes of the window that stand before its anchor
+            own = np.flatnonzero((least <= x) & (x <= most))
+            if len(own) < 2:
+                continue
+            # intervals of either order whose members share enough, as numbers
+            interval = np.cumsum(ahead < length - x)[rank_ahead[own]] * (len(ahead) + 1) + np.cumsum(behind < x)[rank_behind[own]]
+            by = np.argsort(interval, kind="stable")
+            same = interval[by][1:] == interval[by][:-1]
+            found = live[own[by[np.concatenate(([False], same)) | np.concatenate((same, [False]))]]]
+            ctx.append(found)
+            at.append(anchor[found] - x)
+        if not ctx:
+            return live[:0], live[:0]
+        ctx, at = np.concatenate(ctx), np.concatenate(at)
+        by = np.lexsort((at, ctx))
+        return ctx[by], at[by]
 
 
 def _stretches(ids, keys, starts, length: int) -> pd.DataFrame:
@@ -283,14 +358,33 @@ def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
     return rows.join(twice, ["h1", "h2"]).select("doc_id", "tkey", "start", (F.col("start") + length).alias("end"))
 
 
+def _id() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("tkey", F.xxhash64("text"))
+    return unified(docs).select(_id().alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
+
+
+def _shared(every: DataFrame) -> DataFrame:
+    """(doc_id, tkey, n_shared) of texts with picked strings that another text has too."""
+    prints = every.where("prints IS NOT NULL").select("doc_id", "tkey", F.explode("prints").alias("h"))
+    owner = F.xxhash64("doc_id", "tkey")
+    # a table of its own, so that the join's sides are plain shuffles, whose large keys Spark can split
+    known = stage(prints.groupBy("h").agg(F.min(owner).alias("lo"), F.max(owner).alias("hi")).where("lo <> hi").select("h"), "shared")
+    out = stage(prints.join(known, "h").groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("n_shared")), "texts-sharing")
+    unstage(known)
+    return out
+
 
+def repeated_spans(docs: DataFrame, length: int = 400, passages: bool = False) -> DataFrame:
+    """(doc_id, tkey, start, end): byte spans that windows of length bytes cover which start anywhere else too.
 
-def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """(doc_id, tkey, start, end): byte spans that windows of length bytes cover which start anywhere else too."""
-    keyed = _keyed(unified(docs))
-    every = stage(_run_table(keyed, length), "runs")
+    With passages also (doc_id, tkey, null, null, n_shared). tkey: a hash of the text; a null doc_id is NO_ID.
+    """
+    keyed = _keyed(docs)
+    table = stage(_run_table(keyed, length, passages), "runs")
+    every = table.where("many > 0").drop("prints")
     same = ["ahash", "r1", "r2"]
     classes = every.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "tkey", "start")).alias("rep"))
     anchors = classes.groupBy("ahash").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("classes")).where("total > 1").select("ahash", "classes")
@@ -299,6 +393,8 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         .select("doc_id", "tkey", "start", "many", "anchor", "ahash", "copies", "classes", (F.struct("doc_id", "tkey", "start") == F.col("rep")).alias("is_rep")),
         "hits",
     )
+    texts_sharing = _shared(table) if passages else None
+    unstage(table)
     full = hits.where("copies > 1").select("doc_id", "tkey", "start", (F.col("start") + F.col("many") - 1 + length).alias("end"))
     asked = (
         hits.where("is_rep AND classes > 1").dropDuplicates(["doc_id", "tkey", "start"])
@@ -317,7 +413,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     spans = full.unionByName(_sorted_spans(texts.where(F.col("classes") <= HOT), length))
     if hits.where(F.col("classes") > HOT).limit(1).count():
         spans = spans.unionByName(_counted_spans(texts.where(F.col("classes") > HOT), length))
-    return spans
+    return spans.unionByName(texts_sharing, allowMissingColumns=True) if passages else spans
 
 
 def union_of(spans, size: int) -> list[tuple[int, int]]:
@@ -331,28 +427,28 @@ def union_of(spans, size: int) -> list[tuple[int, int]]:
     return [(s, min(e, size)) for s, e in out]
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    found = repeated_spans(docs, length).groupBy("doc_id", "tkey").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return _keyed(docs).join(found, ["doc_id", "tkey"], "left")
-
-
 def digests(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_shared of each row."""
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for doc_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"], strict=True):
+            for doc_id, text, spans, n in zip(pdf["doc_id"], pdf["text"], pdf["spans"], pdf["n_shared"], strict=True):
                 raw = text.encode() if isinstance(text, str) else b""
                 gone = union_of(spans if spans is not None else [], len(raw))
                 h, at = hashlib.sha256(), 0
                 for s, e in [*gone, (len(raw), len(raw))]:
                     h.update(raw[at:s])
                     at = e
-                rows.append((doc_id, len(raw), sum(e - s for s, e in gone), len(gone), h.hexdigest()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append((doc_id, len(raw), sum(e - s for s, e in gone), len(gone), h.hexdigest(), n))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
+            yield out.assign(doc_id=pdf["doc_id"].astype("Int64").array)
 
-    return _with_spans(unified(docs), length).select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    found = repeated_spans(docs, length, passages=True).groupBy("doc_id", "tkey").agg(
+        F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "end"))).alias("spans"), F.max("n_shared").alias("n_shared")
+    )
+    rows = _keyed(docs).join(found, ["doc_id", "tkey"], "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", "spans", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    return rows.mapInPandas(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long")
 
 
 def cut_text(text: str, gone: list[tuple[int, int]]) -> str:
@@ -370,13 +466,16 @@ def cut_text(text: str, gone: list[tuple[int, int]]) -> str:
 
 def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     """docs with the repeated passages cut out of text (whole characters only); all rows and other columns stay."""
-    kept = [c for c in docs.columns if c not in ("text", "spans", "tkey")]
+    # names that no column of the table has
+    free = "_" * (1 + max((len(c) for c in docs.columns), default=0))
+    spans, key, own = f"{free}spans", f"{free}key", f"{free}id"
 
     def run(batches):
         for pdf in batches:
-            pdf["text"] = [cut_text(t, union_of(s, len(t.encode()))) if isinstance(t, str) and s is not None else t for t, s in zip(pdf["text"], pdf["spans"], strict=True)]
-            yield pdf[[*kept, "text"]]
+            pdf["text"] = [cut_text(t, union_of(s, len(t.encode()))) if isinstance(t, str) and s is not None else t for t, s in zip(pdf["text"], pdf[spans], strict=True)]
+            yield pdf.drop(columns=[spans])
 
-    joined = _with_spans(docs.drop("spans", "tkey"), length).select(*kept, "text", "spans")
-    schema = docs.select(*kept, "text").schema
-    return joined.mapInPandas(run, schema).select(*[c for c in docs.columns if c not in ("spans", "tkey")])
+    found = repeated_spans(docs, length).groupBy(F.col("doc_id").alias(own), F.col("tkey").alias(key)).agg(F.collect_set(F.struct("start", "end")).alias(spans))
+    keyed = docs.withColumn(own, _id()).withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    joined = keyed.join(found, [own, key], "left").select(*[docs[c] for c in docs.columns], spans)
+    return joined.mapInPandas(run, docs.schema)

@@ -95,3 +95,42 @@ def test_empty_and_repeated_rows(spark, docs_of):
     assert suffix.digests(d.limit(0)).collect() == []
     twice = suffix.digests(docs_of(["abc " * 30 + str(i) for i in range(1)]).unionByName(docs_of(["abc " * 30 + "0"])), 100).collect()
     assert [r.n_removed for r in twice] == [121, 121]
+
+
+def test_planted_passages(spark, docs_of):
+    """400 bytes and more go, shorter ones stay; n_shared tells every passage of 300 bytes that stands in two texts."""
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    sizes = [150, 199, 300, 330, 399, 400, 401, 700, 2000]
+    planted = [text(n) for n in sizes]
+    texts = [f"{text(r.randrange(50, 900))}{k}{p}{k + 5}{text(r.randrange(50, 900))}" for p in planted for k in range(3)] + [text(900) for _ in range(5)] + [(x := text(250)) + "y" + x, None, "x" * 5000]
+    rows = {x.doc_id: x for x in suffix.digests(docs_of(texts)).collect()}
+    for i, n in enumerate(sizes):
+        for k in range(3):
+            own = rows[3 * i + k]
+            assert (own.n_removed >= n) if n >= 400 else own.n_removed == 0
+            assert own.n_shared > 0 if n >= suffix.PASSAGE + suffix.STEP - 1 else n >= suffix.PASSAGE or own.n_shared == 0
+    assert [rows[i].n_shared for i in range(27, 35)] == [0] * 8 and rows[34].n_removed == 5000
+    # against brute force: picked strings are the smallest of each STEP neighbours
+    import collections
+
+    owners = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        b = (t or "").encode()
+        h = [suffix.mix(np.array([suffix.Prefix(np.frombuffer(b, np.uint8)).span(k, k + suffix.PASSAGE)]))[0] >> suffix.POS << suffix.POS for k in range(min(len(b) - suffix.PASSAGE + 1, 1200))] if len(b) < 1200 else []
+        for k in range(len(h) - suffix.STEP + 1):
+            best = min(range(k, k + suffix.STEP), key=lambda j: (h[j], j))
+            owners[b[best : best + suffix.PASSAGE]].add(i)
+    for s in owners.values():
+        if len(s) > 1:
+            assert all(rows[i].n_shared > 0 for i in s)
+
+
+def test_null_and_shared_ids_and_clashing_names(spark):
+    a, b = "abc def " * 40 + "one", "q r s t u " * 40 + "two"
+    rows = [(None, a, 1, "k"), (None, a, 2, "k"), (7, b, 3, "k"), (7, "different", 4, "k"), (8, b, 5, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans int, tkey string")
+    got = suffix.digests(docs, 100).collect()
+    assert len(got) == 5 and sum(r.n_removed == r.n_bytes for r in got) == 4 and sum(r.doc_id is None for r in got) == 2
+    out = suffix.without_repeats(docs, 100)
+    assert out.columns == docs.columns and sorted((r.spans, r.tkey, r.text) for r in out.collect()) == [(1, "k", ""), (2, "k", ""), (3, "k", ""), (4, "k", "different"), (5, "k", "")]
