@@ -1,25 +1,33 @@
-"""Bigram language model in Elias-Fano tries, one per shard of the bigrams, and scores of all texts.
-
-Texts are grouped into chunks of about CHUNK_BYTES by a hash of doc_id. A chunk sends its distinct words and bigrams, with
-their training counts, to shards; a shard adds up the counts of all chunks, builds its trie and answers each chunk with a
-code per bigram (or a count per word), in the order the chunk asked. Equal pairs travel once per chunk, so no word, however
-frequent, makes a large group, and nothing passes through the driver.
-
-A trie has two Elias-Fano levels: contexts, and for each context its followers as a sequence made monotone by the context's
-rank, with Elias-Fano pointers between the levels. A follower is found by successor search between its context's pointers.
-Each follower carries one byte: its count, exact to 64 and in steps of a tenth above. Levels are plain buffers read in
-place (numpy views), as of a mapped file.
-
-P(w | v) = (c(v w) + STRENGTH * P(w)) / (c(v) + STRENGTH), P(w) = (c(w) + 1) / (N + V + 1): Bayesian smoothing towards the
-unigrams, which are smoothed by one. A text's first word follows a start mark, its last is followed by an end token.
-
-Cases: null and empty texts are a lone end token; repeated rows count and are scored as often as they occur; without
-training rows all counts are 0; an empty table gives an empty result; other columns are ignored. Words are told apart by
-64-bit hashes, and within the tries by 40 bits.
+"""Trigram language model in Elias-Fano tries, one per shard of the contexts, and scores of all texts.
+
+Texts are grouped into chunks of about CHUNK_BYTES by a hash of doc_id. A chunk sends its distinct words and trigrams, with
+their training counts, to shards; a shard adds up the counts of all chunks, builds its trie and answers each chunk with
+codes per trigram and context (and a count per word), in the order the chunk asked. Equal trigrams travel once per chunk, so
+no word, however frequent, makes a large group, and nothing passes through the driver. Words lie in at most WORD_SHARDS
+shards, trigrams in as many as keep a shard small; a chunk sends rows only to shards it has trigrams for, so rows never
+outgrow the trigrams.
+
+A trie's levels lie in one memory map (an anonymous one, as executors share no local disk). They are: contexts, a sequence in
+Elias-Fano form; for each the quantised count of the bigram that it is, and the quantised share of probability that is left
+for unseen followers; monotone pointers to its followers, in Elias-Fano form too; the followers, as a sequence made monotone
+by the context's rank, each with one byte, its quantised smoothed probability. High parts stay bit vectors, searched through
+a directory of one number per 512 bits. A follower is found by successor search between its context's pointers.
+
+P(w | u v) = (c(u v w) - DISCOUNT) / c(u v) + left(u v) * P(w | v), left(u v) = DISCOUNT * followers(u v) / c(u v), 1 for
+contexts not seen; the first term and left are what the trie stores, in steps of PROB_STEP in the logarithm.
+P(w | v) = (c(v w) + STRENGTH * P(w)) / (c(v) + STRENGTH), P(w) = (c(w) + 1) / (N + V + 1). A text begins after two start
+marks and ends with an end token; a mark after that, which is not scored, makes every bigram some trigram's context.
+
+Cases: null and empty texts are a lone end token; repeated rows count and are scored as often as they occur; rows with one
+doc_id, or with none, are rows of their own; very long texts are scored whole, in a chunk that is as much longer; without
+training rows all counts are 0; an empty table gives an empty result; other columns are ignored. Words and contexts are told
+apart by 64-bit hashes, a context's followers by 40 bits (fewer in shards of over 8 million contexts).
 """
 
 from __future__ import annotations
 
+import mmap
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,98 +35,167 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import mix, shuffle_partitions, unified, words_of
 
-CHUNK_BYTES = 10 << 20
-STRENGTH = 60.0
+CHUNK_BYTES = 8 << 20
+WORD_SHARDS = 1024
+STRENGTH, DISCOUNT = 60.0, 0.7
 BITS = 40
-START, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-EXACT, STEP = 64, 1.1
-SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+START, END, AFTER = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
+EXACT, STEP, PROB_STEP = 64, 1.1, 0.09
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_score double"
 
 
 # -- levels -----------------------------------------------------------------------------------------------------------
+class Bits:
+    """A bit vector with a directory of the ones before every 512 bits."""
+
+    SLICE = 1 << 16
+
+    def __init__(self, packed):
+        raw = np.frombuffer(packed, np.uint8)
+        self.words = np.zeros(-(-max(len(raw), 1) // 64) * 8, np.uint64)
+        self.words.view(np.uint8)[: len(raw)] = raw
+        ones = np.bitwise_count(self.words).reshape(-1, 8).sum(1, dtype=np.int64)
+        self.ones = np.concatenate(([0], np.cumsum(ones)))
+        self.zeros = 512 * np.arange(len(self.ones)) - self.ones
+
+    def select(self, k: np.ndarray, bit: int) -> np.ndarray:
+        """Places of the k-th (from 0) ones or zeros."""
+        return np.concatenate([self._select(k[i : i + self.SLICE], bit) for i in range(0, max(len(k), 1), self.SLICE)])
+
+    def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
+        directory = self.ones if bit else self.zeros
+        block = np.searchsorted(directory, k, "right") - 1
+        words = self.words.reshape(-1, 8)[block]
+        if not bit:
+            words = ~words
+        sums = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        rest = k - directory[block]
+        word = (sums <= rest[:, None]).sum(1)
+        at = np.arange(len(k))
+        rest -= np.where(word > 0, sums[at, np.maximum(word - 1, 0)], 0)
+        x, place = words[at, word], (block * 8 + word) * 64
+        for half in (32, 16, 8, 4, 2, 1):
+            low = x & np.uint64((1 << half) - 1)
+            n = np.bitwise_count(low).astype(np.int64)
+            beyond = rest >= n
+            rest -= np.where(beyond, n, 0)
+            place += np.where(beyond, half, 0)
+            x = np.where(beyond, x >> np.uint64(half), low)
+        return place
+
+
 class EliasFano:
-    """A sequence that never falls: low bits packed, high bits as the gaps of a bit vector."""
+    """A sequence that never falls: low parts in planes of bytes, high parts as the gaps of a bit vector."""
 
-    def __init__(self, low: bytes, high: bytes, n: int, width: int):
+    def __init__(self, low, high, n: int, width: int):
         self.n, self.width = n, width
-        self.low = np.frombuffer(low + b"\0" * 8, np.uint8)
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8), bitorder="little"))
-        self.high = (ones[:n] - np.arange(n)).astype(np.uint64)
+        self.low = np.frombuffer(low, np.uint8).reshape(width // 8, n)
+        self.high = Bits(high)
+        self.top = int(self.high.select(np.array([n - 1]), 1)[0]) - (n - 1) if n else -1
 
     @staticmethod
     def pack(values: np.ndarray) -> tuple[bytes, bytes, int, int]:
         n = len(values)
         top = int(values[-1]) if n else 0
-        width = max(0, min(56, (top // max(n, 1)).bit_length() - 1)) if n else 0
-        low = values & np.uint64((1 << width) - 1)
-        bits = ((low[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8) if width else np.zeros(0, np.uint8)
-        high = (values >> np.uint64(width)).astype(np.int64)
+        width = max(0, (top // max(n, 1)).bit_length() - 1) + 7 & ~7
+        high = (values >> np.uint64(width)).astype(np.int64) if width < 64 else np.zeros(n, np.int64)
         unary = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
         unary[high + np.arange(n)] = 1
-        return np.packbits(bits.ravel(), bitorder="little").tobytes(), np.packbits(unary, bitorder="little").tobytes(), n, width
+        planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : width // 8].T)
+        return planes.tobytes(), np.packbits(unary, bitorder="little").tobytes(), n, width
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.uint64)
+        for k in range(self.width // 8):
+            out |= self.low[k][i].astype(np.uint64) << np.uint64(8 * k)
+        return out
 
     def at(self, i: np.ndarray) -> np.ndarray:
-        if not self.width:
-            return self.high[i]
-        bit = i.astype(np.int64) * self.width
-        word = np.zeros(len(i), np.uint64)
-        for k in range(8):
-            word |= self.low[(bit >> 3) + k].astype(np.uint64) << np.uint64(8 * k)
-        return self.high[i] << np.uint64(self.width) | (word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.width) - 1)
+        high = (self.high.select(np.asarray(i, np.int64), 1) - i).astype(np.uint64)
+        return (high << np.uint64(self.width) if self.width < 64 else 0) | self._low(i)
 
     def successor(self, x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """First place in [lo, hi) whose value is x or more; hi where there is none."""
-        lo, hi = lo.astype(np.int64), hi.astype(np.int64)
-        # the high parts alone narrow the search down
-        h = x >> np.uint64(self.width)
-        lo = np.maximum(lo, np.searchsorted(self.high, h, "left"))
-        hi = np.minimum(hi, np.searchsorted(self.high, h, "right"))
-        lo = np.minimum(lo, hi)
-        while True:
-            live = np.flatnonzero(lo < hi)
-            if not len(live):
-                return lo
-            mid = (lo[live] + hi[live]) // 2
-            less = self.at(mid) < x[live]
-            lo[live[less]] = mid[less] + 1
-            hi[live[~less]] = mid[~less]
+        h = (x >> np.uint64(self.width)).astype(np.int64) if self.width < 64 else np.zeros(len(x), np.int64)
+        inside = np.clip(h, 0, max(self.top, 0))
+        # values with x's high part lie between two zeros of the bit vector
+        after = np.where(h > self.top, self.n, self.high.select(inside, 0) - inside)
+        first = np.where(h > self.top, self.n, np.where(h > 0, self.high.select(np.maximum(inside - 1, 0), 0) - (inside - 1), 0))
+        end = np.minimum(hi.astype(np.int64), after)
+        at, end = np.minimum(np.maximum(lo.astype(np.int64), first), end), end
+        low = x & np.uint64((1 << self.width) - 1)
+        live = np.flatnonzero(at < end)
+        while len(live):
+            mid = (at[live] + end[live]) // 2
+            less = self._low(mid) < low[live]
+            at[live[less]] = mid[less] + 1
+            end[live[~less]] = mid[~less]
+            live = live[at[live] < end[live]]
+        return np.maximum(at, np.minimum(lo, hi))
+
+
+def _mapped(*parts: bytes) -> list[memoryview]:
+    """The parts in one memory map."""
+    area = mmap.mmap(-1, max(1, sum(map(len, parts))))
+    out, at = [], 0
+    for p in parts:
+        area[at : at + len(p)] = p
+        out.append(memoryview(area)[at : at + len(p)])
+        at += len(p)
+    return out
 
 
 class Trie:
-    """Contexts, pointers, followers and their codes."""
+    """Contexts with two codes each, pointers, and followers with a code each."""
 
-    def __init__(self, contexts, pointers, followers, codes: bytes):
-        self.contexts, self.pointers, self.followers = (EliasFano(*x) for x in (contexts, pointers, followers))
-        self.codes = np.frombuffer(codes, np.uint8)
+    def __init__(self, contexts, pointers, followers, left: bytes, counts: bytes, probs: bytes, bits: int):
+        maps = _mapped(*contexts[:2], *pointers[:2], *followers[:2], left, counts, probs)
+        self.contexts, self.pointers, self.followers = (EliasFano(*maps[2 * k : 2 * k + 2], *x[2:]) for k, x in enumerate((contexts, pointers, followers)))
+        self.left, self.counts, self.probs = (np.frombuffer(m, np.uint8) for m in maps[6:])
+        self.bits = bits
 
     @classmethod
     def build(cls, v: np.ndarray, w: np.ndarray, count: np.ndarray) -> Trie:
-        """From pairs sorted by (v, w), each once."""
+        """From pairs of context and follower sorted by (v, w), each once."""
         first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1]))) if len(v) else np.zeros(0, np.int64)
-        rank = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(v)))).astype(np.uint64)
+        many = np.diff(np.append(first, len(v)))
+        rank = np.repeat(np.arange(len(first)), many)
+        total = np.add.reduceat(count, first) if len(first) else np.zeros(0, np.int64)
+        bits = min(BITS, 63 - max(1, len(first).bit_length()))
+        below = rank.astype(np.uint64) << np.uint64(bits) | w >> np.uint64(BITS - bits)
         pointers = np.append(first, len(v)).astype(np.uint64)
-        # followers of 40 bits above a context's rank in the upper 24: shards beyond 2^24 contexts keep 64 bits by narrowing
-        width = min(BITS, 64 - max(1, int(len(first)).bit_length()))
-        if width < BITS:
-            raise ValueError("too many contexts in one shard: raise spark.sql.shuffle.partitions")
-        return cls(EliasFano.pack(v[first]), EliasFano.pack(pointers), EliasFano.pack(rank << np.uint64(BITS) | w), quantise(count).tobytes())
-
-    def find(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Code of each pair, 0 where the trie lacks it."""
-        out = np.zeros(len(v), np.uint8)
+        left, probs = probability_code(DISCOUNT * many / np.maximum(total, 1)), probability_code((count - DISCOUNT) / np.maximum(total[rank], 1))
+        return cls(EliasFano.pack(v[first]), EliasFano.pack(pointers), EliasFano.pack(below), left.tobytes(), quantise(total).tobytes(), probs.tobytes(), bits)
+
+    def locate(self, v: np.ndarray) -> np.ndarray:
+        """Rank of each context, -1 where the trie lacks it."""
         n = self.contexts.n
         if not n or not len(v):
-            return out
+            return np.full(len(v), -1, np.int64)
         c = self.contexts.successor(v, np.zeros(len(v), np.int64), np.full(len(v), n))
-        known = np.flatnonzero(c < n)
-        known = known[self.contexts.at(c[known]) == v[known]]
+        there = c < n
+        there[there] = self.contexts.at(c[there]) == v[there]
+        return np.where(there, c, -1)
+
+    def of_contexts(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of what is left and of the count; 0 where there is no context."""
+        if not self.contexts.n:
+            return np.zeros(len(c), np.uint8), np.zeros(len(c), np.uint8)
+        return np.where(c < 0, 0, self.left[c]).astype(np.uint8), np.where(c < 0, 0, self.counts[c]).astype(np.uint8)
+
+    def find(self, c: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Code of the probability of each follower of the contexts of these ranks, 0 where the trie lacks it."""
+        out = np.zeros(len(c), np.uint8)
+        known = np.flatnonzero(c >= 0)
+        if not len(known):
+            return out
         c = c[known]
         lo, hi = self.pointers.at(c).astype(np.int64), self.pointers.at(c + 1).astype(np.int64)
-        x = c.astype(np.uint64) << np.uint64(BITS) | w[known]
+        x = c.astype(np.uint64) << np.uint64(self.bits) | w[known] >> np.uint64(BITS - self.bits)
         p = self.followers.successor(x, lo, hi)
         there = p < hi
         there[there] = self.followers.at(p[there]) == x[there]
-        out[known[there]] = self.codes[p[there]]
+        out[known[there]] = self.probs[p[there]]
         return out
 
 
@@ -127,69 +204,86 @@ def quantise(count: np.ndarray) -> np.ndarray:
     return np.where(count <= EXACT, count, np.minimum(above, 255)).astype(np.uint8)
 
 
+def probability_code(p: np.ndarray) -> np.ndarray:
+    """1 for 1, and one more for every PROB_STEP that the logarithm falls."""
+    return np.clip(1 + np.round(-np.log(np.maximum(p, 1e-300)) / PROB_STEP), 1, 255).astype(np.uint8)
+
+
+#: By code; 0 is for what is not there.
+PROBABILITY = np.concatenate(([0.0], np.exp(-PROB_STEP * np.arange(255))))
 CODEBOOK = np.concatenate((np.arange(EXACT + 1.0), EXACT * STEP ** np.arange(1, 256 - EXACT)))
 
 
 # -- what chunks ask ---------------------------------------------------------------------------------------------------
 class Asked:
-    """The distinct words and bigrams of a chunk of texts, in the order of (shard, context, word)."""
+    """The distinct words and trigrams of a chunk of texts; trigrams in the order of (context, word)."""
 
     def __init__(self, texts: list[bytes], shards: int):
         words, per = words_of(texts)
-        self.per = per + 1
+        self.shards, self.per = shards, per + 1
         ends = np.cumsum(self.per) - 1
-        self.token = np.empty(len(words) + len(per), np.uint64)
-        own = np.ones(len(self.token), bool)
+        token = np.empty(len(words) + len(per), np.uint64)
+        own = np.ones(len(token), bool)
         own[ends] = False
-        self.token[own] = words
-        self.token[ends] = END
-        self.before = np.empty_like(self.token)
-        self.before[1:] = self.token[:-1]
-        if len(ends):
-            self.before[np.concatenate(([0], ends[:-1] + 1))] = START
-        self.shards = shards
-        # words, by shard and hash
-        self.word, self.word_of = np.unique(self.token, return_inverse=True)
-        self.word_cut = np.searchsorted(self.word, self._edges())
-        # bigrams
-        v, w = self.before >> np.uint64(64 - BITS), self.token >> np.uint64(64 - BITS)
-        shard = (((mix(v * np.uint64(0x9E3779B97F4A7C15) + w) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)) << np.uint64(BITS)
-        a = shard | v
-        order = np.lexsort((w, a))
-        a, w = a[order], w[order]
-        new = np.concatenate(([True], (a[1:] != a[:-1]) | (w[1:] != w[:-1]))) if len(a) else np.zeros(0, bool)
-        self.pair_of = np.empty(len(order), np.int32)
-        self.pair_of[order] = np.cumsum(new) - 1
-        del order, v, shard
-        self.a, self.w = a[new], w[new]
-        del a, w
-        self.pair_cut = np.searchsorted(self.a, np.arange(shards + 1, dtype=np.uint64) << np.uint64(BITS))
-
-    def _edges(self) -> np.ndarray:
-        return np.array([(k << 64) // self.shards for k in range(self.shards)] + [2**64 - 1], np.uint64)
+        token[own] = words
+        token[ends] = END
+        self.word, self.word_of = np.unique(token, return_inverse=True)
+        # each text between two start marks and a mark after its end
+        text_at = np.cumsum(self.per + 3) - (self.per + 3)
+        seq = np.full(len(token) + 3 * len(per), START, np.uint64)
+        place = np.arange(len(token)) + np.repeat(text_at + 2 - (ends + 1 - self.per), self.per)
+        seq[place] = token
+        seq[text_at + self.per + 2] = AFTER
+        del words, token, own, place
+        begins = np.ones(len(seq), bool)
+        begins[text_at + self.per + 1] = False
+        begins[text_at + self.per + 2] = False
+        at = np.flatnonzero(begins)
+        context = mix(seq[at] * np.uint64(0x9E3779B97F4A7C15) + seq[at + 1])
+        w = seq[at + 2] >> np.uint64(64 - BITS)
+        del seq, begins, at
+        order = np.lexsort((w, context))
+        context, w = context[order], w[order]
+        new_context = np.concatenate(([True], context[1:] != context[:-1])) if len(context) else np.zeros(0, bool)
+        new = new_context | np.concatenate(([True], w[1:] != w[:-1])) if len(context) else new_context
+        self.trigram_of = np.empty(len(order), np.int32)
+        self.trigram_of[order] = np.cumsum(new) - 1
+        self.context_of = (np.cumsum(new_context) - 1)[new].astype(np.int32)
+        self.context, self.w = context[new_context], w[new]
 
     def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word and pair among the texts to train on."""
-        used = np.repeat(train, self.per)
-        return np.bincount(self.word_of[used], minlength=len(self.word)), np.bincount(self.pair_of[used], minlength=len(self.a))
+        """Of each word and trigram among the texts to train on."""
+        return np.bincount(self.word_of[np.repeat(train, self.per)], minlength=len(self.word)), np.bincount(self.trigram_of[np.repeat(train, self.per + 1)], minlength=len(self.w))
 
     def rows(self, chunk: int, train: np.ndarray):
-        word_n, pair_n = self.counts(train)
-        for s in range(self.shards):
-            x, y = self.word_cut[s], self.word_cut[s + 1] if s + 1 < self.shards else len(self.word)
-            p, q = self.pair_cut[s], self.pair_cut[s + 1]
-            yield (s, chunk, self.word[x:y].tobytes(), _small(word_n[x:y]), narrow(self.a[p:q] & np.uint64((1 << BITS) - 1)), narrow(self.w[p:q]), _small(pair_n[p:q]))
+        word_n, n = self.counts(train)
+        word_cut = _cuts(self.word, min(self.shards, WORD_SHARDS))
+        cut = _cuts(self.context, self.shards)
+        many = np.bincount(self.context_of, minlength=len(self.context))
+        below = np.concatenate(([0], np.cumsum(many)))
+        none = np.zeros(0, np.int64)
+        for s in np.union1d(np.arange(len(word_cut) - 1), np.flatnonzero(np.diff(cut))).tolist():
+            x, y = (word_cut[s], word_cut[s + 1]) if s < len(word_cut) - 1 else (0, 0)
+            p, q = cut[s], cut[s + 1]
+            i, j = below[p], below[q]
+            yield (s, chunk, self.word[x:y].tobytes(), _small(word_n[x:y] if y > x else none), narrow(self.context[p:q], 64), _small(many[p:q]), narrow(self.w[i:j]), _small(n[i:j]))
+
 
+def _cuts(values: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard's part of sorted 64-bit numbers begins, and the end."""
+    edges = np.arange(1, shards, dtype=np.uint64) * np.uint64(2**64 // shards)
+    return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
 
-def narrow(x: np.ndarray) -> bytes:
-    """40-bit numbers, byte by byte in planes: sorted ones compress well so."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].T).tobytes()
 
+def narrow(x: np.ndarray, bits: int = BITS) -> bytes:
+    """Numbers byte by byte in planes: sorted ones compress well so."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : bits // 8].T).tobytes()
 
-def wide(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8).reshape(BITS // 8, -1)
+
+def wide(b: bytes, bits: int = BITS) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8).reshape(bits // 8, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : BITS // 8] = planes.T
+    out[:, : bits // 8] = planes.T
     return out.view("<u8").ravel().astype(np.uint64)
 
 
@@ -219,23 +313,24 @@ def _added(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray]
 def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard: adds up, builds the trie, answers each chunk."""
     words = [np.frombuffer(x, np.uint64) for x in rows["words"]]
-    word_n = [_large(x) for x in rows["word_n"]]
-    v, w, n = [wide(x) for x in rows["v"]], [wide(x) for x in rows["w"]], [_large(x) for x in rows["pair_n"]]
-    (word,), total = _added([np.concatenate(words)], np.concatenate(word_n))
-    keys, counts = _added([np.concatenate(v), np.concatenate(w)], np.concatenate(n))
+    (word,), total = _added([np.concatenate(words)], np.concatenate([_large(x) for x in rows["word_n"]]))
+    context, many, w = [wide(x, 64) for x in rows["context"]], [_large(x) for x in rows["many"]], [wide(x) for x in rows["w"]]
+    keys, counts = _added([np.repeat(np.concatenate(context), np.concatenate(many)), np.concatenate(w)], np.concatenate([_large(x) for x in rows["n"]]))
     trie = Trie.build(keys[0], keys[1], counts)
-    del keys, counts, n
+    del keys, counts
     out = []
     for k in range(len(rows)):
         at = np.searchsorted(word, words[k])
         at_in = np.minimum(at, max(len(word) - 1, 0))
         own = np.where(word[at_in] == words[k], total[at_in], 0) if len(word) else np.zeros(len(words[k]), np.int64)
-        out.append((int(rows["chunk"].iloc[k]), int(rows["shard"].iloc[k]), _small(own), trie.find(v[k], w[k]).tobytes(), int(total.sum()), len(word)))
-    return pd.DataFrame(out, columns=["chunk", "shard", "word_n", "codes", "n_total", "n_distinct"])
+        c = trie.locate(context[k])
+        left, count = trie.of_contexts(c)
+        out.append((int(rows["chunk"].iloc[k]), int(rows["shard"].iloc[k]), _small(own), left.tobytes(), count.tobytes(), trie.find(np.repeat(c, many[k]), w[k]).tobytes(), int(total.sum()), len(word)))
+    return pd.DataFrame(out, columns=["chunk", "shard", "word_n", "left", "counts", "probs", "n_total", "n_distinct"])
 
 
-_ASK = "shard int, chunk int, words binary, word_n binary, v binary, w binary, pair_n binary"
-_ANSWER = "chunk int, shard int, word_n binary, codes binary, n_total long, n_distinct long"
+_ASK = "shard int, chunk int, words binary, word_n binary, context binary, many binary, w binary, n binary"
+_ANSWER = "chunk int, shard int, word_n binary, left binary, counts binary, probs binary, n_total long, n_distinct long"
 
 
 def _texts(pdf: pd.DataFrame) -> list[bytes]:
@@ -243,36 +338,41 @@ def _texts(pdf: pd.DataFrame) -> list[bytes]:
 
 
 def scored(docs: DataFrame, chunk_bytes: int | None = None) -> DataFrame:
-    """Base and model log10 probabilities of each row; trained on the rows whose crc32(doc_id) mod 7 is not 2."""
+    """Base and model log10 probabilities of each row, and the model's per token; trained on the rows whose crc32(doc_id) mod
+    7 is not 2."""
     docs = unified(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_chunks = max(1, -(-size // (chunk_bytes or CHUNK_BYTES)))
     shards = max(shuffle_partitions(docs.sparkSession), n_chunks)
     held = (F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2).alias("held_out")
-    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n_chunks)).cast("int").alias("chunk"), "doc_id", "text", held)
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int").alias("chunk"), "doc_id", "text", held)
 
     def ask(pdf):
         asked = Asked(_texts(pdf), shards)
-        return pd.DataFrame(asked.rows(int(pdf["chunk"].iloc[0]), ~pdf["held_out"].to_numpy(bool)), columns=["shard", "chunk", "words", "word_n", "v", "w", "pair_n"])
+        return pd.DataFrame(asked.rows(int(pdf["chunk"].iloc[0]), ~pdf["held_out"].to_numpy(bool)), columns=["shard", "chunk", "words", "word_n", "context", "many", "w", "n"])
 
     def score(pdf, got):
-        texts = _texts(pdf)
-        asked = Asked(texts, shards)
+        asked = Asked(_texts(pdf), shards)
         got = got.sort_values("shard")
+        code = lambda name: np.frombuffer(b"".join(got[name]), np.uint8)
         c = np.concatenate([_large(x) for x in got["word_n"]])[asked.word_of]
-        pair = CODEBOOK[np.frombuffer(b"".join(got["codes"]), np.uint8)[asked.pair_of]]
         total, distinct = int(got["n_total"].sum()), int(got["n_distinct"].sum())
         single = (c + 1) / (total + distinct + 1)
-        # a token's context is the token before it; the start mark is the context of a text's first token
         first = np.cumsum(asked.per) - asked.per
-        context = np.empty(len(c), float)
-        context[1:] = c[:-1]
-        end_of = c[first + asked.per - 1]  # as many end tokens as start marks were trained on
-        context[first] = end_of
-        smooth = np.log10((np.minimum(pair, np.maximum(context, 0)) + STRENGTH * single) / (context + STRENGTH))
+        before = np.empty(len(c), float)
+        before[1:] = c[:-1]
+        before[first] = c[first + asked.per - 1]  # as many end tokens as start marks were trained on
+        # a text has one trigram more than tokens; the bigram that ends with a token is the next trigram's context
+        place = np.arange(len(c)) + np.repeat(np.arange(len(asked.per)), asked.per)
+        trigram = asked.trigram_of[place]
+        pair = CODEBOOK[code("counts")[asked.context_of[asked.trigram_of[place + 1]]]]
+        two = (np.minimum(pair, before) + STRENGTH * single) / (before + STRENGTH)
+        left = code("left")[asked.context_of[trigram]]
+        three = PROBABILITY[code("probs")[trigram]] + np.where(left == 0, 1.0, PROBABILITY[left]) * two
+        scores = np.add.reduceat(np.log10(np.minimum(three, 1.0)), first)
         return pd.DataFrame({
             "doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "n_tokens": asked.per, "n_known": np.add.reduceat((c > 0).astype(np.int64), first), "train_tokens": total,
-            "base_score": np.add.reduceat(np.log10(single), first), "score": np.add.reduceat(smooth, first),
+            "base_score": np.add.reduceat(np.log10(single), first), "score": scores, "mean_score": scores / asked.per,
         })
 
     answers = rows.groupBy("chunk").applyInPandas(ask, _ASK).groupBy("shard").applyInPandas(_answers, _ANSWER)

@@ -15,21 +15,30 @@ def tokens(t):
 
 
 def brute(texts):
-    uni, bi = Counter(), Counter()
+    uni, bi, tri, followers = Counter(), Counter(), Counter(), Counter()
     for i, t in enumerate(texts):
         if zlib.crc32(str(i).encode()) % 7 != 2:
             w = tokens(t)
             uni.update(w)
             bi.update(zip(["\0start", *w[:-1]], w, strict=True))
+            bi["\0start", "\0start"] += 1
+            x = ["\0start", "\0start", *w, "\0after"]
+            tri.update(zip(x, x[1:], x[2:], strict=False))
+    for u, v, _ in tri:
+        followers[u, v] += 1
     n, v, starts = sum(uni.values()), len(uni), uni["\0end"]
+    near = lambda p: float(lm.PROBABILITY[lm.probability_code(np.array([p]))[0]])
     out = {}
     for i, t in enumerate(texts):
         w, base, score = tokens(t), 0.0, 0.0
-        for a, b in zip(["\0start", *w[:-1]], w, strict=True):
+        for z, a, b in zip(["\0start", "\0start", *w[:-2]][: len(w)], ["\0start", *w[:-1]], w, strict=True):
             p = (uni[b] + 1) / (n + v + 1)
             c = starts if a == "\0start" else uni[a]
             base += math.log10(p)
-            score += math.log10((bi[a, b] + lm.STRENGTH * p) / (c + lm.STRENGTH))
+            two = (bi[a, b] + lm.STRENGTH * p) / (c + lm.STRENGTH)
+            term = near((tri[z, a, b] - lm.DISCOUNT) / bi[z, a]) if tri[z, a, b] else 0.0
+            left = near(lm.DISCOUNT * followers[z, a] / bi[z, a]) if bi[z, a] else 1.0
+            score += math.log10(min(1.0, term + left * two))
         out[i] = (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(uni[x] > 0 for x in w), n, pytest.approx(base, abs=1e-6), pytest.approx(score, abs=1e-6))
     return out
 
@@ -69,8 +78,31 @@ def test_trie():
     v, w = (np.array([p[k] for p in pairs], np.uint64) for k in (0, 1))
     count = r.integers(1, 64, len(v))
     t = lm.Trie.build(v, w, count)
-    assert (t.find(v, w) == count).all()
-    assert not t.find(v, w ^ np.uint64(1 << 39)).any() and not t.find(v + np.uint64(1), w).any()
+    total = {x: int(count[v == x].sum()) for x in set(v.tolist())}
+    kinds = {x: int((v == x).sum()) for x in total}
+    c = t.locate(v)
+    left, counts = t.of_contexts(c)
+    assert (t.find(c, w) == lm.probability_code(np.array([(n - lm.DISCOUNT) / total[x] for n, x in zip(count.tolist(), v.tolist(), strict=True)]))).all()
+    assert (left == lm.probability_code(np.array([lm.DISCOUNT * kinds[x] / total[x] for x in v.tolist()]))).all() and (counts == lm.quantise(np.array([total[x] for x in v.tolist()]))).all()
+    assert not t.find(c, w ^ np.uint64(1 << 39)).any() and (t.locate(v + np.uint64(1)) == -1).all()
+    assert not lm.Trie.build(v[:0], w[:0], count[:0]).find(np.array([-1]), w[:1]).any()
+
+
+def test_followers_of_a_context_sum_to_one():
+    r = np.random.default_rng(2)
+    count = r.integers(1, 9, 30)
+    t = lm.Trie.build(np.full(30, 7, np.uint64), np.arange(30, dtype=np.uint64), count)
+    c = t.locate(np.full(30, 7, np.uint64))
+    assert lm.PROBABILITY[t.find(c, np.arange(30, dtype=np.uint64))].sum() + lm.PROBABILITY[t.of_contexts(c)[0][0]] == pytest.approx(1, abs=0.03)
+
+
+def test_shared_and_null_ids_repeated_rows_and_one_large_text(spark):
+    rows = [(1, "a b c"), (1, "d e"), (None, "a b c"), (None, None), (4, "a b c"), (4, "a b c"), (5, "x y z " * 60_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (None, 10):
+        got = lm.scored(docs, chunk).collect()
+        assert sorted(r.n_tokens for r in got) == [1, 3, 4, 4, 4, 4, 180_001]
+        assert len({round(r.score, 9) for r in got if r.n_tokens == 4}) == 1 and all(r.mean_score == r.score / r.n_tokens <= 0 for r in got)
 
 
 def test_codes():
