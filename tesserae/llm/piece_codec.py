@@ -7,7 +7,8 @@ mark that follows something else, around line feeds, before some punctuation), s
 bounded table per Python worker.
 
 Cases: null and empty texts give no ids; invalid rows cannot occur (Spark strings are UTF-8); repeated rows give repeated
-results; an empty table gives an empty result; other columns of the input are ignored.
+results, rows with one doc_id or none are rows of their own; very long texts are taken whole, and units beyond 64 characters
+are merged anew each time; an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -78,6 +79,14 @@ class CharacterMap:
             size = struct.unpack_from("<I", blob)[0]
             self.units = struct.unpack_from(f"<{size // 4}I", blob, 4)
             self.strings = blob[4 + size :]
+        #: Bytes with which some rule begins.
+        self.begins = np.array([self._begins(b) for b in range(256)])
+
+    def _begins(self, byte: int) -> bool:
+        if not self.units:
+            return False
+        node = self._offset(self.units[0]) ^ byte
+        return node < len(self.units) and self.units[node] & 0x800000FF == byte
 
     def longest(self, text: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest rule that fits at this byte, and its replacement."""
@@ -190,20 +199,26 @@ class PieceModel:
         origin.append(parts[-1][2])
         return out.decode(), origin
 
-    def prepared(self, text: str) -> str:
-        """normalise() without the record; quick for models whose map is empty."""
-        if self.map.units or self.squeeze or not self.escape:
-            return self.normalise(text)[0]
-        return (MARK + text if self.dummy and text else text).replace(" ", MARK)
-
     def origins(self, text: str) -> tuple[str, np.ndarray]:
-        """The normalised text and, for each of its characters and its end, the byte of the text it came from."""
-        if self.map.units or self.squeeze or not self.escape:
+        """The normalised text and, for each of its characters and its end, the byte of the text it came from.
+
+        The map is walked where a rule can begin; what lies between is copied in one stretch.
+        """
+        if self.squeeze or not self.escape:
             normal, origin = self.normalise(text)
             return normal, np.array(origin)[_starts(normal)]
-        # characters stay one by one; only the mark in front is new
-        own = _starts(text)
-        return self.prepared(text), np.concatenate(([0], own)) if self.dummy and text else own
+        raw, own = text.encode(), _starts(text)
+        parts, origin, at = [MARK if self.dummy and text else ""], [own[:1] if self.dummy and text else own[:0]], 0
+        for i in np.flatnonzero(self.map.begins[np.frombuffer(raw, np.uint8)]).tolist():
+            rule = self.map.longest(raw, i) if i >= at and raw[i] & 0xC0 != 0x80 else None
+            if rule is not None:
+                new = rule[1].decode()
+                parts += [raw[at:i].decode(), new]
+                origin += [own[np.searchsorted(own, at) : np.searchsorted(own, i)], np.full(len(new), i)]
+                at = i + rule[0]
+        parts.append(raw[at:].decode())
+        origin.append(own[np.searchsorted(own, at) :])
+        return "".join(parts).replace(" ", MARK), np.concatenate(origin)
 
     # -- merging -----------------------------------------------------------------------------------------------------
     def merge(self, unit: str) -> list[str]:
@@ -262,7 +277,7 @@ class PieceModel:
         return [k] if k is not None else [self.byte_ids[b] for b in piece.encode()]
 
     def units(self, text: str) -> list[str]:
-        return self.unit.findall(self.prepared(text))
+        return self.unit.findall(self.origins(text)[0])
 
     def encode(self, text: str | None) -> list[int]:
         return [k for u in self.units(text or "") for p in self.merge(u) for k in self.ids_of(p)]

@@ -49,7 +49,7 @@ def test_decode_undoes_encode(spark, docs_of):
     assert back == dict(enumerate(texts))
 
 
-def test_character_map_takes_the_longest_rule():
+def made_map():
     import struct
 
     # a trie with the rules "a" -> "x" and "ab" -> "yz", written by hand
@@ -67,7 +67,11 @@ def test_character_map_takes_the_longest_rule():
     units[at ^ ord("b")] = unit(ord("b"), 128, True)
     units[at ^ ord("b") ^ 128] = 0x80000000 | 2
     blob = struct.pack("<I", 4096) + struct.pack("<1024I", *units) + strings
-    m = piece_codec.CharacterMap(blob)
+    return piece_codec.CharacterMap(blob)
+
+
+def test_character_map_takes_the_longest_rule():
+    m = made_map()
     assert m.longest(b"abc", 0) == (2, b"yz")
     assert m.longest(b"ac", 0) == (1, b"x")
     assert m.longest(b"c", 0) is None
@@ -81,3 +85,26 @@ def test_both_merges_agree():
 
 def test_empty_table(spark, docs_of):
     assert piece_codec.digests(docs_of(["a"]).limit(0)).collect() == []
+
+
+def test_digests_go_through_the_map():
+    """With rules "a" -> "x" and "ab" -> "yz": ids of the replaced text, spans of the original one."""
+    import numpy as np
+
+    with open(piece_codec.model_path(), "rb") as f:
+        data = f.read()
+    plain, m = piece_codec.PieceModel(data), piece_codec.PieceModel(data)
+    m.map = made_map()
+    for text in ["abc a b", "éab aab\n ba", "no rule here", "", "a", "日ab本", "b" * 90 + "ab" * 50]:
+        normal, origin = m.origins(text)
+        long, by_byte = m.normalise(text)
+        assert normal == long and origin.tolist() == [by_byte[len(long[:k].encode())] for k in range(len(long) + 1)]
+        assert m.encode(text) == plain.encode(text.replace("ab", "yz").replace("a", "x"))
+        spans = m.encode_with_spans(text)
+        assert m.digest(text)[0] == len(spans) and m.digest(text)[2] == hashlib.sha256(np.array([x[1:] for x in spans], "<i8").tobytes()).hexdigest()
+
+
+def test_rows_without_or_with_one_id(spark):
+    docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "c"), (2, "w " * 100_000)], "doc_id long, text string")
+    rows = piece_codec.digests(docs).collect()
+    assert len(rows) == 4 and len({r.ids_sha256 for r in rows}) == 3
