@@ -1,15 +1,16 @@
 """Exact top-k inner products by exhaustive term-at-a-time accumulation.
 
-Candidates are packed into blocks of postings (per vector component: the rows with a value there, and the values).
-Queries are packed into blocks too. For each pair of blocks, each component's postings are scattered, weighted by the
-queries' own values, into a dense score array; a partition selection keeps the best k of each query, and the blocks'
-winners are merged. Every query block meets every candidate block once, by an equality join on the query block's number;
-that is the stated query set against all rows, in blocks.
+Candidates are packed into blocks of postings: per vector component, the rows with a value there and the values. Queries are
+packed into blocks of sparse rows. For each pair of blocks, each component's postings are scattered, weighted by the
+queries' own values, into a dense score array (a posting list of all rows needs no places); a partition selection keeps the
+best k of each query, and the blocks' winners are merged. Candidate blocks are dealt to parts, and each part meets every
+query block by an equality join: that is the stated query set against all rows, in blocks. Up to TOGETHER query blocks share a
+task; beyond it, parts are dealt once per group of query blocks.
 
 Cases: vectors that are null, empty or hold a null, NaN or infinite component take no part, neither as query nor as
-candidate; rows with the same id are rows of their own but never answer a query of that id; equal scores go to the smaller
-id; vectors of unequal length are compared as if padded with zeros; with fewer than k others, all are returned; an empty
-table gives an empty result; other columns are ignored.
+candidate; rows with a null id neither; rows with the same id are rows of their own but never answer a query of that id;
+equal scores go to the smaller id; vectors of unequal length are compared as if padded with zeros; with fewer than k others,
+all are returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import shuffle_partitions
 
 QUERY_BLOCK = 4096
-CANDIDATE_BLOCK = 4096
-_BLOB = "block int, ids binary, values binary, dims int"
+CANDIDATE_BLOCK = 1024
+#: Query blocks that a task takes one after the other.
+TOGETHER = 64
+_BLOB = "ids binary, heads binary, places binary, values binary"
 
 
 def _usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -36,20 +39,21 @@ def _usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFr
 
 
 def _packed(rows: DataFrame, block: int) -> DataFrame:
-    """Consecutive rows of each partition as blocks of at most block rows; blocks carry the number of their partition."""
+    """Consecutive rows of each partition as blocks of at most block rows: their ids and, by component, their postings."""
 
     def run(batches):
-        ids, vecs, part = [], [], 0
+        ids, vecs = [], []
 
         def flush():
             dims = max(map(len, vecs))
             m = np.zeros((len(vecs), dims), np.int64)
             for r, v in enumerate(vecs):
                 m[r, : len(v)] = v
-            return pd.DataFrame({"block": [part], "ids": [np.array(ids, np.int64).tobytes()], "values": [m.tobytes()], "dims": [dims]})
+            component, place = np.nonzero(m.T)
+            heads = np.searchsorted(component, np.arange(dims + 1))
+            return pd.DataFrame({"ids": [np.array(ids, np.int64).tobytes()], "heads": [heads.astype(np.int64).tobytes()], "places": [place.astype(np.int32).tobytes()], "values": [m[place, component].tobytes()]})
 
         for pdf in batches:
-            part = int(pdf["part"].iloc[0]) if len(pdf) else part
             for i, v in zip(pdf["id"], pdf["v"], strict=True):
                 ids.append(i)
                 vecs.append(v)
@@ -59,30 +63,41 @@ def _packed(rows: DataFrame, block: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return rows.withColumn("part", F.spark_partition_id()).mapInPandas(run, _BLOB)
+    return rows.mapInPandas(run, _BLOB)
 
 
-def _open(ids: bytes, values: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    own = np.frombuffer(ids, np.int64)
-    return own, np.frombuffer(values, np.int64).reshape(len(own), dims)
+class Postings:
+    """The postings of one block."""
 
+    def __init__(self, ids: bytes, heads: bytes, places: bytes, values: bytes):
+        self.ids, self.heads = np.frombuffer(ids, np.int64), np.frombuffer(heads, np.int64)
+        self.places, self.values = np.frombuffer(places, np.int32), np.frombuffer(values, np.int64)
 
-def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """Scores of all queries against all candidates, one component's postings at a time."""
-    dims = min(queries.shape[1], candidates.shape[1])
-    bound = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(dims, 1)
+    def of(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        x, y = self.heads[d], self.heads[d + 1]
+        return self.places[x:y], self.values[x:y]
+
+
+def accumulate(queries: Postings, candidates: Postings, first: int, last: int) -> np.ndarray:
+    """Scores of the queries first .. last - 1 against all candidates, one component's postings at a time."""
+    dims = min(len(queries.heads), len(candidates.heads)) - 1
+    bound = int(np.abs(queries.values).max(initial=0)) * int(np.abs(candidates.values).max(initial=0)) * max(dims, 1)
     kind = np.int32 if bound < 2**31 else np.int64
-    scores = np.zeros((len(queries), len(candidates)), kind)
+    n, m = last - first, len(candidates.ids)
+    scores = np.zeros((n, m), kind)
     for d in range(dims):
-        rows = np.flatnonzero(queries[:, d])
-        posting = np.flatnonzero(candidates[:, d])
-        if not len(rows) or not len(posting):
-            continue
-        weights = candidates[posting, d].astype(kind)
-        if len(rows) == len(queries) and 2 * len(posting) >= len(candidates):
-            scores += queries[:, d].astype(kind)[:, None] * candidates[:, d].astype(kind)[None, :]
-        else:
-            scores[np.ix_(rows, posting)] += queries[rows, d].astype(kind)[:, None] * weights[None, :]
+        rows, weights = queries.of(d)
+        a, b = np.searchsorted(rows, (first, last))
+        rows, weights = rows[a:b] - first, weights[a:b].astype(kind)[:, None]
+        places, values = candidates.of(d)
+        if len(rows) and len(places):
+            share = weights * values.astype(kind)[None, :]
+            if len(places) < m:
+                scores[np.ix_(rows, places)] += share
+            elif len(rows) < n:
+                scores[rows] += share
+            else:
+                scores += share
     return scores
 
 
@@ -103,29 +118,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     asked = _usable(queries, id_col, vec_col, scale)
     n_queries = asked.count()
     n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    # repartition() without keys deals rows out evenly; each of its partitions is one block of queries
-    q = _packed(asked.repartition(n_blocks), 2 * QUERY_BLOCK).select("block", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"), F.col("dims").alias("q_dims"))
-    c = _packed(rows, CANDIDATE_BLOCK).select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "ids", "values", "dims")
+    # repartition() without keys deals rows out evenly; each of its partitions is one block of queries, or two
+    q = _packed(asked.repartition(n_blocks), 2 * QUERY_BLOCK)
+    c = _packed(rows, CANDIDATE_BLOCK)
+    parts, groups = shuffle_partitions(spark), -(-n_blocks // TOGETHER)
+    q_names = [F.col(x).alias(f"q_{x}") for x in q.columns]
 
     def run(batches):
         held: dict = {}
         for pdf in batches:
-            for q_ids, q_values, q_dims, ids, values, dims in zip(pdf["q_ids"], pdf["q_values"], pdf["q_dims"], pdf["ids"], pdf["values"], pdf["dims"], strict=True):
-                asked_ids, asked_m = _open(q_ids, q_values, q_dims)
-                own, m = _open(ids, values, dims)
-                step = max(1, (16 << 20) // max(len(own), 1))
-                for at in range(0, len(asked_ids), step):
-                    scores = accumulate(asked_m[at : at + step], m)
-                    for r, query in enumerate(asked_ids[at : at + step]):
+            for r in pdf.itertuples(index=False):
+                asked_block, block = Postings(r.q_ids, r.q_heads, r.q_places, r.q_values), Postings(r.ids, r.heads, r.places, r.values)
+                own, n = block.ids, len(asked_block.ids)
+                step = max(1, (4 << 20) // max(len(own), 1))
+                for at in range(0, n, step):
+                    scores = accumulate(asked_block, block, at, min(n, at + step))
+                    for k_, query in enumerate(asked_block.ids[at : at + step].tolist()):
                         other = own != query
-                        got, s = best(own[other], scores[r][other], k) if not other.all() else best(own, scores[r], k)
-                        before = held.get(int(query))
-                        held[int(query)] = (got, s) if before is None else best(np.concatenate((before[0], got)), np.concatenate((before[1], s)), k)
+                        got, s = best(own[other], scores[k_][other], k) if not other.all() else best(own, scores[k_], k)
+                        before = held.get(query)
+                        held[query] = (got, s) if before is None else best(np.concatenate((before[0], got)), np.concatenate((before[1], s)), k)
         if held:
             yield pd.DataFrame({"query_id": np.repeat(list(held), [len(x[0]) for x in held.values()]), "vec_id": np.concatenate([x[0] for x in held.values()]), "score": np.concatenate([x[1] for x in held.values()])})
 
-    met = c.repartition(max(n_blocks, shuffle_partitions(spark)), "block", "ids").join(F.broadcast(q) if n_blocks == 1 else q, "block")
-    near = met.select("q_ids", "q_values", "q_dims", "ids", "values", "dims").mapInPandas(run, "query_id long, vec_id long, score long")
+    if n_blocks == 1:  # a few thousand queries, counted
+        met = c.withColumn("group", F.lit(0)).repartition(parts, "ids").join(F.broadcast(q.select(F.lit(0).alias("group"), *q_names)), "group")
+    else:
+        dealt = q.select(F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), *q_names)
+        met = c.select(F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), *c.columns).join(dealt, ["part", "group"])
+    names = [f"q_{x}" for x in q.columns] + c.columns
+    near = met.select(*names).mapInPandas(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-

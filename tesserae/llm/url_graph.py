@@ -6,8 +6,9 @@ pages. Trust flows along the edges as personalised PageRank; distrust flows agai
 distrust exceeds its trust.
 
 Cases: null urls and urls without "://" have an empty host and path, fit no rule and are allowed; null HTML has no links;
-repeated pages count again; without seeds everything is allowed; an empty table gives an empty result; other columns are
-ignored.
+repeated pages count again; rows with one page_id or none are rows of their own; very long urls and HTML are read whole;
+without seeds everything is allowed; where trust and distrust are equal, a host is allowed; an empty table gives an empty
+result; other columns are ignored. After ROUNDS rounds at most DAMPING ** ROUNDS of the mass has not settled.
 """
 
 from __future__ import annotations
@@ -17,10 +18,11 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import stage
+from tesserae.llm.common import stage, unstage
 
 #: (verdict, host, path); given by the operator's contract.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+#: Share of trust passed on, and rounds: longer ways than that count for nothing.
 DAMPING, ROUNDS = 0.85, 10
 #: Names of hosts in HTML: labels joined by dots.
 HOST_NAME = r"[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)+"
@@ -72,7 +74,7 @@ def propagate(links: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping:
 
 
 def judged(pages: DataFrame, rules=None) -> DataFrame:
-    """page_id, host, path, rule, verdict, trust and distrust of each row."""
+    """page_id, host, path, rule and verdict of each row."""
     rule, verdict = rule_columns(rules)
     own = parts(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")).withColumn("rule", rule).withColumn("by_rule", verdict)
     counts = stage(
@@ -81,7 +83,10 @@ def judged(pages: DataFrame, rules=None) -> DataFrame:
     total = counts.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
     share = lambda c, n: (F.col(c) / F.lit(float(n))) if n else F.lit(0.0)
     seeds = counts.select("host", share("allowed", total["a"]).alias("trust"), share("blocked", total["b"]).alias("distrust"))
-    scored = propagate(edges(own.select("host", "html"), counts), seeds)
+    # staged: three sums read the links, and they are all that is taken from the HTML
+    links = stage(edges(own.select("host", "html"), counts), "edges")
+    scored = stage(propagate(links, seeds), "hosts-judged")
+    unstage(links)
     out = own.select("page_id", "host", "path", "rule", "by_rule").join(scored, "host", "left")
     method = F.when(F.coalesce("distrust", F.lit(0.0)) > F.coalesce("trust", F.lit(0.0)), "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", method).alias("verdict"))

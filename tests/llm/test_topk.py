@@ -45,3 +45,22 @@ def test_odd_vectors(spark):
 def test_empty(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, [1.0])]) == []
+
+
+def test_query_blocks_without_broadcast(spark, monkeypatch):
+    """Three query blocks and more, one or several groups of them: no task gets the whole table."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    r = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in r.normal(size=6) * (r.random(6) > 0.5)]) for i in range(450)] + [(None, [1.0] * 6)]
+    for together in (64, 2):
+        monkeypatch.setattr(topk, "TOGETHER", together)
+        df = spark.createDataFrame([(i, v, "x") for i, v in rows], SCHEMA)
+        got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5)
+        top = {}
+        for q, _, i, s in sorted(tuple(x) for x in got.collect()):
+            top.setdefault(q, []).append((i, s))
+        want = {}
+        for q, _, i, s in brute([x for x in rows if x[0] is not None]):
+            want.setdefault(q, []).append((i, s))
+        assert top == want
