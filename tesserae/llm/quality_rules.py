@@ -7,7 +7,9 @@ aggregate over the labelled rows' bins. The list is emitted as one conditional e
 
 Cases: null and empty texts have no words, so they fail the base rules; repeated rows are judged alike; without labels, or
 with labels of one class, no rule is learned and the base rules decide; an empty table gives an empty result; other columns
-are ignored. A label row counts once per document row with its doc_id; labels that are null are ignored.
+are ignored. A label row counts once per document row with its doc_id; of several labels of a doc_id the smallest counts;
+labels that are null, or of a null doc_id, are ignored; rows with one doc_id or none are judged each by its own text; very
+long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import SPACE_CLASS, stage
 
-SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: At most about this many labelled rows are learned from (chosen by a hash of doc_id).
 LABELLED = 60_000
@@ -30,8 +31,9 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ"
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def _count(chars: str) -> Column:
+    """How many of these characters the text has."""
+    return F.regexp_count("text", F.lit(f"[{chars}]"))
 
 
 def statistics(docs: DataFrame, extra: bool = False, carry: bool = False) -> DataFrame:
@@ -42,15 +44,15 @@ def statistics(docs: DataFrame, extra: bool = False, carry: bool = False) -> Dat
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = ["_row"] if carry else []
     whole = [F.struct(*[docs[c] for c in docs.columns]).alias("_row")] if carry else []
-    a = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *whole).select(
-        "doc_id", *row, F.array_remove(F.split("text", SPACE_CLASS), "").alias("words"), F.length("text").alias("n"),
-        F.length(_without(F.col("text"), SPACE_CHARS)).alias("word_chars"), F.length(_without(F.col("text"), SYMBOLS)).alias("n_plain"),
-        F.filter(F.split("text", "\n"), lambda x: F.length(_without(x, SPACE_CHARS)) > 0).alias("lines"),
-        F.length(_without(F.col("text"), _UPPER)).alias("n_not_upper"), F.length(_without(F.col("text"), "!?")).alias("n_not_mark"),
-        F.length(_without(F.col("text"), "0123456789")).alias("n_not_digit"), F.length(_without(F.col("text"), ".,;:")).alias("n_not_stop"),
+    a = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *whole).select("doc_id", *row, "text", F.array_remove(F.split("text", SPACE_CLASS), "").alias("words")).select(
+        "doc_id", *row, "words", F.length(F.array_join("words", "")).alias("word_chars"), _count(SYMBOLS).alias("n_symbols"),
+        F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
+        _count(_UPPER).alias("n_upper"), _count("!?").alias("n_marks"), _count("0123456789").alias("n_digits"), _count(".,;:").alias("n_stops"),
     )
-    b = a.withColumn("n_words", F.size("words")).withColumn(
-        "h", F.when(F.col("n_words") >= 8, F.transform(F.sequence(F.lit(1), F.greatest(F.col("n_words") - 7, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, 8)))).otherwise(F.array().cast("array<bigint>"))
+    # each word is hashed once; a window is told by its eight words' hashes
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.col("n_words") - 8, F.lit(0))), lambda i: F.xxhash64(*[F.get("word_hashes", i + k) for k in range(8)]))
+    b = a.withColumn("n_words", F.size("words")).withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w))).withColumn(
+        "h", F.when(F.col("n_words") >= 8, windows).otherwise(F.array().cast("array<bigint>"))
     ).withColumn("twice", F.size(F.array_distinct("h")) < F.size("h"))
     # windows found twice, in order of their hash, give the places that are covered
     c = b.withColumn("sorted", F.when(F.col("twice"), F.array_sort(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
@@ -61,16 +63,16 @@ def statistics(docs: DataFrame, extra: bool = False, carry: bool = False) -> Dat
     )
     covered = F.aggregate("starts", F.struct(F.lit(-8).alias("last"), F.lit(0).alias("sum")), lambda acc, s: F.struct(s.alias("last"), (acc["sum"] + F.least(F.lit(8), s - acc["last"])).alias("sum")))["sum"]
     per = lambda x, n: F.coalesce(F.try_divide(x.cast("double"), n.cast("double")), F.lit(0.0))
-    n, n_words = F.col("n"), F.col("n_words")
+    n_words = F.col("n_words")
     distinct = F.size(F.array_distinct("words"))
     out = d.select(
-        "doc_id", *row, n_words.cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"), (n - F.col("n_plain")).cast("long").alias("n_symbols"),
+        "doc_id", *row, n_words.cast("long").alias("n_words"), F.col("word_chars").cast("long").alias("word_chars"), F.col("n_symbols").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        per(F.col("word_chars"), n_words).alias("f_word_length"), per(n - F.col("n_plain"), n_words).alias("f_symbols"),
+        per(F.col("word_chars"), n_words).alias("f_word_length"), per(F.col("n_symbols"), n_words).alias("f_symbols"),
         per(F.size("lines") - F.size(F.array_distinct("lines")), F.size("lines")).alias("f_dup_lines"), per(F.coalesce(covered, F.lit(0)), n_words).alias("f_repeats"),
-        per(n - F.col("n_not_upper"), F.col("word_chars")).alias("f_upper"), per(n - F.col("n_not_mark"), n_words).alias("f_marks"),
-        per(distinct, n_words).alias("f_distinct"), per(n_words, F.size("lines")).alias("f_line_words"), per(n - F.col("n_not_stop"), n_words).alias("f_stops"),
-        *([per(n - F.col("n_not_digit"), n_words).alias("f_digits"), F.log1p(n_words.cast("double")).alias("f_log_words"), F.log1p(per(distinct, F.sqrt(n_words.cast("double")))).alias("f_variety")] if extra else []),
+        per(F.col("n_upper"), F.col("word_chars")).alias("f_upper"), per(F.col("n_marks"), n_words).alias("f_marks"),
+        per(distinct, n_words).alias("f_distinct"), per(n_words, F.size("lines")).alias("f_line_words"), per(F.col("n_stops"), n_words).alias("f_stops"),
+        *([per(F.col("n_digits"), n_words).alias("f_digits"), F.log1p(n_words.cast("double")).alias("f_log_words"), F.log1p(per(distinct, F.sqrt(n_words.cast("double")))).alias("f_variety")] if extra else []),
     )
     return out
 
@@ -80,7 +82,7 @@ FEATURES = ["f_word_length", "f_symbols", "f_dup_lines", "f_repeats", "f_upper",
 
 def chosen_labels(labels: DataFrame, label: str, most: int = LABELLED) -> DataFrame:
     """doc_id and y (1: the label) of at most about `most` labelled ids."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("y").alias("y"))
     total = own.count()
     share = min(1.0, most / total) if total else 1.0
     return own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
