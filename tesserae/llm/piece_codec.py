@@ -31,7 +31,7 @@ MARK = "▁"
 #: spans_sha256: of (first byte, end byte) of each id in the original text, as pairs of little-endian 64-bit numbers.
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, spans_sha256 string, decoded_sha256 string"
 #: Kept results per worker; at this many the table starts anew.
-CACHE_UNITS = 250_000
+CACHE_UNITS = 120_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -397,5 +397,6 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for pdf in batches:
             rows = [model.digest(t if isinstance(t, str) else None) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "spans_sha256": [r[2] for r in rows], "decoded_sha256": [r[3] for r in rows]})
+        model.cache.clear()  # a worker waits for its next task without it
 
     return unified(docs).mapInPandas(run, SCHEMA)
