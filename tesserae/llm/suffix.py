@@ -148,8 +148,9 @@ def _run_table(docs: DataFrame, length: int, prints: bool) -> DataFrame:
                 if prints:
                     of, h = picked(data, firsts, sizes, prefix)
                     cut = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else of
-                    for part, x in zip(of[cut].tolist(), np.split(h, cut[1:]) if len(of) else [], strict=True):
-                        yield pd.DataFrame([(ids[k[part]], keys[k[part]], 0, 0, 0, 0, 0, 0, x)], columns=names)
+                    if len(cut):
+                        row = k[of[cut]]
+                        yield pd.DataFrame(dict(zip(names, (ids[row], keys[row], 0, 0, 0, 0, 0, 0, np.split(h, cut[1:])), strict=True)))
 
     return docs.mapInPandas(run, "doc_id long, tkey long, start long, many int, anchor int, ahash long, r1 long, r2 long, prints array<long>")
 
