@@ -204,3 +204,24 @@ def purge(due: DataFrame, tables: dict[str, DataFrame], assets: DataFrame, tombs
     before = F.col("purged_at") if "purged_at" in tombstones.columns else F.lit(None).cast("timestamp")
     stamped = stamped.withColumn("purged_at", F.when(F.col("_due"), F.lit(now).cast("timestamp")).otherwise(before.cast("timestamp"))).drop("_due")
     return kept, stamped, uris
+
+
+def purge_services(due: DataFrame, services: DataFrame, virtual: DataFrame, scenes: DataFrame, tables: dict[str, DataFrame], service_tombs: DataFrame, scene_tombs: DataFrame, now) -> dict[str, DataFrame]:
+    """The catalogue after services whose retention is over are purged: services and virtual (those of the services and those
+    attached to them go), every table of scenes (column scene_id) without the services' scenes, and both kinds of tombstones,
+    stamped. due: service_id, from purgeable(). services: id; scenes: scene_id, service_id."""
+    ids = due.select("service_id").distinct()
+    hit = ids.select(F.col("service_id").alias("_s"))
+    gone = scenes.join(ids, "service_id", "left_semi").select("scene_id").distinct()
+
+    def stamped(tombs: DataFrame, key: str, what: DataFrame) -> DataFrame:
+        before = F.col("purged_at").cast("timestamp") if "purged_at" in tombs.columns else F.lit(None).cast("timestamp")
+        marked = tombs.join(what.withColumn("_due", F.lit(True)), key, "left")
+        return marked.withColumn("purged_at", F.when(F.col("_due"), F.lit(now).cast("timestamp")).otherwise(before)).drop("_due")
+
+    return {
+        "services": services.join(hit, F.col("id") == F.col("_s"), "left_anti"),
+        "virtual": virtual.join(hit, F.col("service_id") == F.col("_s"), "left_anti").join(hit, F.col("parent_service_id") == F.col("_s"), "left_anti"),
+        **{name: t.join(gone, "scene_id", "left_anti") for name, t in tables.items()},
+        "service_tombstones": stamped(service_tombs, "service_id", ids), "scene_tombstones": stamped(scene_tombs, "scene_id", gone),
+    }

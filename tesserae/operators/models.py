@@ -32,7 +32,11 @@ class TileModel(ABC):
 
 
 class BatchModel(ABC):
-    """A table and parameters in, a table of results out."""
+    """A table and parameters in, a table of results out.
+
+    run() gets the rows of all jobs of the process: job_id, params (a map of text: the job's own over the defaults) and the
+    input's columns, which are null in the one row of a job without input.
+    """
 
     id: str
     version = "1"
@@ -74,6 +78,8 @@ class ZonalStatistics(BatchModel):
         return [{"name": "band", "type": "band", "required": False, "default_value": "1"}]
 
     def run(self, inputs, params):
+        if "band" in inputs.columns:
+            inputs = inputs.withColumn("value", F.when(F.col("band") == F.col("params")["band"].try_cast("int"), F.col("value")))
         return zonal.overall(inputs, "value", ["job_id"])
 
 
@@ -81,10 +87,14 @@ class MeanValues(BatchModel):
     id = "mean-values"
 
     def parameters(self):
-        return [{"name": "values", "type": "number_list", "required": True}]
+        return [{"name": "values", "type": "number_list", "required": False}]
 
     def run(self, inputs, params):
-        return inputs.groupBy("job_id").agg(F.count("value").alias("count"), F.avg("value").alias("mean"))
+        """The mean of the values that a job's parameters list, else of its input's."""
+        rows = inputs.groupBy("job_id").agg(F.count("value").alias("n"), F.avg("value").alias("m"), F.any_value(F.col("params")["values"]).alias("_given"))
+        listed = zonal.means(rows.withColumn("_given", F.from_json("_given", "array<double>")), "_given")
+        own = F.col("_given").isNotNull()
+        return listed.select("job_id", F.when(own, F.col("count")).otherwise(F.col("n")).cast("long").alias("count"), F.when(own, F.col("mean")).otherwise(F.col("m")).alias("mean"))
 
 
 BUILT_IN = [Ndvi(), ScaleBand(), ZonalStatistics(), MeanValues()]
@@ -131,16 +141,19 @@ def apply_tiles(tiles: DataFrame, model: TileModel, params: dict | None = None,
         for pdf in batches:
             results = []
             for row in pdf.to_dict("records"):
-                bands = {b: np.array([np.nan if v is None else v for v in row[b]], np.float32).reshape(-1, width) for b in model.required_bands}
+                bands = {b: np.asarray(row[b], np.float32).reshape(-1, width) for b in model.required_bands}
                 given = {**own, **dict(row[params_col] or {})} if params_col else own
                 got = np.asarray(model.compute_tile(bands, given, {k: row[k] for k in keep}))
                 if any(got.shape != b.shape for b in bands.values()):
                     raise ValueError(f"{model.id} returned a tile of shape {got.shape}")
-                results.append([None if np.isnan(v) else float(v) for v in got.ravel()])
+                results.append(got.ravel().astype(np.float32))
             yield pd.DataFrame({**{k: pdf[k] for k in keep}, out: results})
 
     schema = tiles.select(*keep).schema.add(out, T.ArrayType(T.FloatType()))
-    return tiles.select(*keep, *model.required_bands).mapInPandas(run, schema)
+    # bands travel as arrays without nulls; what is missing is NaN there, and null again in the result
+    filled = [F.transform(b, lambda v: F.coalesce(v.cast("float"), F.lit(float("nan")).cast("float"))).alias(b) for b in model.required_bands]
+    done = tiles.select(*keep, *filled).mapInPandas(run, schema)
+    return done.withColumn(out, F.transform(out, lambda v: F.nanvl(v, F.lit(None).cast("float"))))
 
 
 def virtual_tiles(requests: DataFrame, band_tiles: DataFrame, models=None, width: int = 256) -> DataFrame:
@@ -174,15 +187,28 @@ def virtual_tiles(requests: DataFrame, band_tiles: DataFrame, models=None, width
 def run_jobs(jobs: DataFrame, inputs: DataFrame, models=None) -> DataFrame:
     """Result rows (job_id, process_id, object_key, result_url, document, error) of a table of jobs.
 
-    Jobs are grouped by process, and each process runs once over the rows of all its jobs. A process that is not known
-    gives an error row for each of its jobs.
+    Jobs are grouped by process, and each process runs once over the rows of all its jobs, each with its own parameters
+    (params_json, where jobs have it) over the process's defaults. A process that is not known, and parameters that its
+    specification does not allow, give an error row.
     """
     known = {k: m for k, m in registry(models).items() if isinstance(m, BatchModel)}
-    keyed = jobs.withColumn("_p", F.translate("process_id", "_", "-"))
-    parts = [keyed.where(~F.col("_p").isin(list(known))).select("job_id", "process_id", *[F.lit(None).cast("string").alias(c) for c in ("object_key", "result_url", "document")], F.lit("unknown process").alias("error"))]
+    given = F.coalesce("params_json", F.lit("{}")) if "params_json" in jobs.columns else F.lit("{}")
+    keyed = jobs.select("job_id", "process_id", F.translate("process_id", "_", "-").alias("_p"), given.alias("params_json"))
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("object_key", "result_url", "document")]
+    parts = [keyed.where(~F.col("_p").isin(list(known))).select("job_id", "process_id", *nothing, F.lit("unknown process").alias("error"))]
+    specs = specifications(jobs.sparkSession, list(known.values())).withColumn("process_id", F.translate("process_id", "_", "-"))
+    asked = keyed.where(F.col("_p").isin(list(known)))
+    unread = F.from_json("params_json", "map<string,string>").isNull()
+    wrong = params_module.violations(asked.where(~unread).select("job_id", F.col("_p").alias("process_id"), "params_json"), specs)
+    wrong = wrong.unionByName(asked.where(unread).select("job_id", F.lit("params").alias("name"), F.lit("must be an object").alias("message")))
+    wrong = wrong.groupBy("job_id").agg(F.concat_ws("; ", F.array_sort(F.collect_set(F.concat_ws(" ", "name", "message")))).alias("error"))
+    checked = asked.join(wrong, "job_id", "left")
+    parts.append(checked.where("error IS NOT NULL").select("job_id", "process_id", *nothing, "error"))
     for name, model in known.items():
-        own = keyed.where(F.col("_p") == name).select("job_id", "process_id")
-        result = model.run(inputs.join(own.select("job_id"), "job_id", "left_semi"), {}).join(own, "job_id")
+        defaults = {p["name"]: p["default_value"] for p in model.parameters() if p.get("default_value") is not None}
+        default = F.create_map(*[F.lit(x) for kv in defaults.items() for x in kv]) if defaults else F.create_map().cast("map<string,string>")
+        own = checked.where((F.col("_p") == name) & F.col("error").isNull()).select("job_id", "process_id", params_module.merged(default, F.from_json("params_json", "map<string,string>")).alias("params"))
+        result = model.run(own.drop("process_id").join(inputs, "job_id", "left"), defaults).join(own.drop("params"), "job_id")
         parts.append(tables.result_rows(result, "json").join(own, "job_id").select("job_id", "process_id", "object_key", "result_url", "document", F.lit(None).cast("string").alias("error")))
     out = parts[0]
     for p in parts[1:]:

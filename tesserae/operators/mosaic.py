@@ -35,12 +35,20 @@ def band_range(pixels: DataFrame, value: str = "v", by: tuple = ("tile_id",)) ->
     return pixels.groupBy(*by).agg(F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("n"))
 
 
-def aligned(pixels: DataFrame, keys: list, by: tuple = ("tile_id", "idx"), band: str = "band_key", value: str = "v") -> DataFrame:
-    """One column per wanted band and one row per pixel; a tile without any of one band is an error, without all is no row."""
-    wide = pixels.where(F.col(band).isin(keys)).groupBy(*by).pivot(band, keys).agg(F.first(value, ignorenulls=True))
-    there = pixels.where(F.col(band).isin(keys)).groupBy(by[0]).agg(F.array_sort(F.collect_set(F.col(band).cast("string"))).alias("_bands"))
-    whole = there.where(F.size("_bands") == len(keys)).select(by[0])
-    return wide.join(whole, by[0], "left_semi")
+def aligned(pixels: DataFrame, keys: list, by: tuple = ("tile_id", "idx"), band: str = "band_key", value: str = "v", strict: bool = False) -> DataFrame:
+    """One column per wanted band and one row per pixel; a tile without any is no row.
+
+    A tile that has some of the bands but not all ends the job with an error if strict; else it is no row either, and
+    missing_bands() tells what it lacks.
+    """
+    wanted = pixels.where(F.col(band).isin(keys))
+    wide = wanted.groupBy(*by).pivot(band, keys).agg(F.first(value, ignorenulls=True))
+    there = wanted.groupBy(by[0]).agg(F.count_distinct(F.col(band)).alias("_n"))
+    if strict:
+        lacking = F.raise_error(F.concat(F.lit("tile "), F.col(by[0]).cast("string"), F.lit(f" lacks one of the bands {keys}")))
+        checked = wide.join(there, by[0]).withColumn("_n", F.when(F.col("_n") < len(keys), lacking).otherwise(F.lit("")))
+        return checked.where("_n = ''").drop("_n")
+    return wide.join(there.where(F.col("_n") == len(keys)).select(by[0]), by[0], "left_semi")
 
 
 def missing_bands(pixels: DataFrame, keys: list, by: str = "tile_id", band: str = "band_key") -> DataFrame:

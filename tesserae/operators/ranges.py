@@ -1,4 +1,10 @@
-"""Range joins of rectangles and points by grid cells: equality on cells, then the exact predicate."""
+"""Range joins of rectangles and points by a hierarchy of grid cells: equality on cells, then the exact predicate.
+
+A box lies at the finest level where it covers at most MAX_CELLS cells. It is listed under its cells there and at every
+coarser level, and two boxes meet at the coarser of their levels, so that each pair has an equality key, however unlike the
+boxes are. Of the cells that both cover, the one that holds the lower left corner of their overlap gives the pair: once,
+without a later search for doubles, and rows that repeat stay as often as they are.
+"""
 
 from __future__ import annotations
 
@@ -7,52 +13,61 @@ from pyspark.sql import functions as F
 
 from tesserae.functions import spatial
 
-#: Cells of this many degrees; rectangles over more than MAX_CELLS of them meet the other side in one join of their own.
-CELL, MAX_CELLS = 5.0, 256
-BROADCAST_ROWS = 10_000
-
-
-def _boxed(df: DataFrame, prefix: str) -> DataFrame:
-    """Boxes that cross the antimeridian become two; the original columns stay."""
-    parts = F.when(F.col("minx") <= F.col("maxx"), F.array(F.struct(F.col("minx").cast("double").alias("a"), F.col("maxx").cast("double").alias("c")))).otherwise(
-        F.array(F.struct(F.col("minx").cast("double").alias("a"), F.lit(180.0).alias("c")), F.struct(F.lit(-180.0).alias("a"), F.col("maxx").cast("double").alias("c")))
+#: Cell sizes in degrees, coarsest first, and the most cells of a box at its level.
+CELLS, MAX_CELLS = (360.0, 90.0, 22.5, 5.625, 1.40625), 16
+_BOX = ("minx", "miny", "maxx", "maxy")
+
+
+def _cells(low: str, high: str, level: int):
+    return F.floor((F.col(low) + 180.0) / CELLS[level]), F.floor((F.col(high) + 180.0) / CELLS[level])
+
+
+def _listed(df: DataFrame, prefix: str) -> DataFrame:
+    """The rows under each of their cells; boxes that cross the antimeridian are two parts; the original columns stay."""
+    x, y = F.col("minx").cast("double"), F.col("maxx").cast("double")
+    part = lambda n, a, c: F.struct(F.lit(n).alias("part"), a.alias("a"), c.alias("c"))
+    parts = F.when(x <= y, F.array(part(0, x, y))).otherwise(F.array(part(0, x, F.lit(180.0)), part(1, F.lit(-180.0), y)))
+    named = [F.col(c).alias(f"{prefix}{c}") if c in _BOX else F.col(c) for c in df.columns]
+    low, high, a, c = (f"{prefix}{n}" for n in ("miny", "maxy", "a", "c"))
+    out = df.withColumn("_p", F.explode(parts)).select(*named, F.col("_p.part").alias(f"{prefix}part"), F.col("_p.a").alias(a), F.col("_p.c").alias(c)).where(F.col(low) <= F.col(high))
+    level = F.lit(0)
+    for k in range(1, len(CELLS)):
+        (x0, x1), (y0, y1) = _cells(a, c, k), _cells(low, high, k)
+        level = F.when((x1 - x0 + 1) * (y1 - y0 + 1) <= MAX_CELLS, k).otherwise(level)
+    every = []
+    for k in range(len(CELLS)):
+        (x0, x1), (y0, y1) = _cells(a, c, k), _cells(low, high, k)
+        own = F.flatten(F.transform(F.sequence(x0, x1), lambda i: F.transform(F.sequence(y0, y1), lambda j: F.struct(F.lit(k).alias("level"), i.alias("cx"), j.alias("cy")))))  # noqa: B023
+        every.append(F.when(F.col(f"{prefix}level") >= k, own).otherwise(F.array().cast("array<struct<level:int,cx:bigint,cy:bigint>>")))
+    return out.withColumn(f"{prefix}level", level).withColumn("_k", F.explode(F.concat(*every))).select("*", F.col("_k.level").alias("level"), F.col("_k.cx").alias("cx"), F.col("_k.cy").alias("cy")).drop("_k")
+
+
+def rect_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of rows whose boxes (minx, miny, maxx, maxy) meet, once each; the right side's box keeps its names, the left's
+    get l_."""
+    a, b = _listed(left, "l_"), _listed(right, "r_")
+    met = a.join(b, ["level", "cx", "cy"])
+    meet = (F.col("l_a") <= F.col("r_c")) & (F.col("l_c") >= F.col("r_a")) & (F.col("l_miny") <= F.col("r_maxy")) & (F.col("l_maxy") >= F.col("r_miny"))
+    own_level = F.least("l_level", "r_level")
+    size = F.element_at(F.array(*map(F.lit, CELLS)), F.col("level") + 1)
+    corner = lambda x, y: F.floor((F.greatest(F.col(x).cast("double"), F.col(y).cast("double")) + 180.0) / size)
+    first_cell = (corner("l_a", "r_a") == F.col("cx")) & (corner("l_miny", "r_miny") == F.col("cy"))
+    # of several parts of the boxes that meet, the first pair counts
+    l_cross, r_cross = F.col("l_minx") > F.col("l_maxx"), F.col("r_minx") > F.col("r_maxx")
+    first_part = (
+        F.when(l_cross & r_cross, (F.col("l_part") == 0) & (F.col("r_part") == 0))
+        .when(l_cross, (F.col("l_part") == 0) | (F.col("r_maxx") < F.col("l_minx"))).when(r_cross, (F.col("r_part") == 0) | (F.col("l_maxx") < F.col("r_minx"))).otherwise(True)
     )
-    whole = df.withColumn("_p", F.explode(parts)).select(*[F.col(c).alias(f"{prefix}{c}") if c in ("minx", "miny", "maxx", "maxy") else F.col(c) for c in df.columns], F.col("_p.a").alias(f"{prefix}a"), F.col("_p.c").alias(f"{prefix}c"))
-    lo = lambda c: F.floor(F.col(prefix + c) / CELL)
-    wide, tall = lo("c") - lo("a") + 1, lo("maxy") - lo("miny") + 1
-    return whole.where(F.col(f"{prefix}miny") <= F.col(f"{prefix}maxy")).withColumn(f"{prefix}n", wide * tall)
-
-
-def _celled(boxed: DataFrame, prefix: str) -> DataFrame:
-    lo = lambda c: F.floor(F.col(prefix + c) / CELL)
-    return boxed.withColumn("cx", F.explode(F.sequence(lo("a"), lo("c")))).withColumn("cy", F.explode(F.sequence(lo("miny"), lo("maxy"))))
-
-
-def _checked(df: DataFrame) -> DataFrame:
-    """Broadcast where the row count is within bounds, else left to the optimiser."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
-def rect_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """Pairs whose boxes (minx, miny, maxx, maxy) meet, once each; the right side's box keeps its names, the left's get l_."""
-    a, b = _boxed(left, "l_"), _boxed(right, "")
-    meet = (F.col("l_a") <= F.col("c")) & (F.col("l_c") >= F.col("a")) & (F.col("l_miny") <= F.col("maxy")) & (F.col("l_maxy") >= F.col("miny"))
-    small = _celled(a.where(F.col("l_n") <= MAX_CELLS), "l_").join(_celled(b.where(F.col("n") <= MAX_CELLS), ""), ["cx", "cy"]).where(meet)
-    # boxes over very many cells are few; each meets the whole other side
-    big_l, big_r = a.where(F.col("l_n") > MAX_CELLS), b.where(F.col("n") > MAX_CELLS)
-    out = small.drop("cx", "cy")
-    if big_l.limit(1).count():
-        out = out.unionByName(_checked(big_l).join(b, meet).select(*out.columns))
-    if big_r.limit(1).count():
-        out = out.unionByName(a.where(F.col("l_n") <= MAX_CELLS).join(_checked(big_r), meet).select(*out.columns))
-    return out.dropDuplicates([left_id, right_id]).drop("l_a", "l_c", "l_n", "a", "c", "n")
+    out = met.where((F.col("level") == own_level) & meet & first_cell & first_part)
+    names = [f"l_{c}" if c in _BOX else c for c in left.columns]
+    return out.select(*names, *[F.col(f"r_{c}").alias(c) if c in _BOX else F.col(c) for c in right.columns])
 
 
 def tile_scenes(tiles: DataFrame, footprints: DataFrame) -> DataFrame:
     """Scenes under each tile (z, x, y). With a ring column, polygons are tested exactly."""
     b = spatial.tile_lonlat("z", "x", "y")
     boxed = tiles.withColumn("_b", b).select("z", "x", "y", F.concat_ws("/", "z", "x", "y").alias("tile"), *[F.col(f"_b.{c}").alias(c) for c in ("minx", "miny", "maxx", "maxy")])
-    out = rect_join(boxed.dropDuplicates(["tile"]), footprints, "tile", "scene_id")
+    out = rect_join(boxed.dropDuplicates(["tile"]), footprints)
     if "ring" in footprints.columns:
         out = out.where(spatial.ring_meets_rect("ring", "l_minx", "l_miny", "l_maxx", "l_maxy"))
     return out
@@ -62,4 +77,4 @@ def point_scenes(points: DataFrame, footprints: DataFrame, margin: float = 0.001
     """Scenes whose box lies within margin degrees of each point (point_id, lon, lat)."""
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
     boxed = points.withColumns({"minx": lon - margin, "miny": lat - margin, "maxx": lon + margin, "maxy": lat + margin})
-    return rect_join(boxed, footprints, "point_id", "scene_id")
+    return rect_join(boxed, footprints)

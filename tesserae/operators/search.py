@@ -97,7 +97,7 @@ def batch_search(footprints: DataFrame, requests: DataFrame, service_deletions:
 
     scenes = distinct_scenes(live(footprints, service_deletions, scene_deletions))
     asked = requests.select("request_id", F.col("x0").alias("minx"), F.col("y0").alias("miny"), F.col("x1").alias("maxx"), F.col("y1").alias("maxy"), "since", "until", "cloud_max", "max_items")
-    pairs = ranges.rect_join(asked, scenes, "request_id", "scene_id").where(overlaps_time("acquired_at", "acquired_at", "since", "until") & cloud_at_most("cloud_cover", "cloud_max"))
+    pairs = ranges.rect_join(asked, scenes).where(overlaps_time("acquired_at", "acquired_at", "since", "until") & cloud_at_most("cloud_cover", "cloud_max"))
     w = Window.partitionBy("request_id")
     top = F.least(F.coalesce("max_items", F.lit(DEFAULT_LIMIT)), F.lit(MAX_LIMIT))
     ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy(*newest_first()))).withColumn("number_matched", F.count(F.lit(1)).over(w))

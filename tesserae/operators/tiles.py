@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,30 +52,46 @@ def windows(requests: DataFrame, headers: DataFrame) -> DataFrame:
     return out.where(F.col("window").isNotNull())
 
 
-def warp(requests: DataFrame, headers: DataFrame, chips: DataFrame, size: int = 256) -> DataFrame:
-    """z, x, y, asset_id, band, idx, v: bilinear samples of each requested tile, NULL outside the source.
+def _sampled(placed: DataFrame, chips: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and v: bilinear samples at c and r (within the source) of the keys' assets and bands, NULL where one of the four
+    neighbours has no value.
 
-    Only chips that meet a tile's source window are read. Each pixel looks up its four neighbours by equality on (asset,
-    band, chip), so that no tile or asset is gathered whole.
+    Each sample looks up its four neighbours by equality on (asset, band, chip), whichever chips they lie in, so that no
+    tile or asset is gathered whole.
     """
-    placed = windows(requested(requests), headers)
-    pix = _to_source(grid(placed.drop("window"), size), F.col("mx"), F.col("my"))
-    inside = (F.col("c") >= -0.5) & (F.col("r") >= -0.5) & (F.col("c") <= F.col("width") - 0.5) & (F.col("r") <= F.col("height") - 0.5)
-    c = F.least(F.greatest("c", F.lit(0.0)), (F.col("width") - 1).cast("double"))
-    r = F.least(F.greatest("r", F.lit(0.0)), (F.col("height") - 1).cast("double"))
-    keys = ["z", "x", "y", "asset_id", "band", "idx"]
-    src = pix.where(inside).select(*keys, "width", "height", "tile_w", "tile_h", c.alias("c"), r.alias("r"))
     c0, r0 = F.floor("c"), F.floor("r")
     c1, r1 = F.least(c0 + 1, F.col("width") - 1), F.least(r0 + 1, F.col("height") - 1)
     fc, fr = F.col("c") - c0, F.col("r") - r0
     near = F.array(*[F.struct(a.alias("c"), b.alias("r"), w.alias("w")) for a, b, w in ((c0, r0, (1 - fc) * (1 - fr)), (c1, r0, fc * (1 - fr)), (c0, r1, (1 - fc) * fr), (c1, r1, fc * fr))])
-    four = src.withColumn("n", F.explode(near)).select(*keys, F.floor(F.col("n.c") / F.col("tile_w")).cast("int").alias("chip_x"), F.floor(F.col("n.r") / F.col("tile_h")).cast("int").alias("chip_y"), (F.col("n.c") % F.col("tile_w")).alias("pc"), (F.col("n.r") % F.col("tile_h")).alias("pr"), F.col("n.w").alias("weight"))
+    four = placed.withColumn("n", F.explode(near)).select(
+        *keys, F.floor(F.col("n.c") / F.col("tile_w")).cast("int").alias("chip_x"), F.floor(F.col("n.r") / F.col("tile_h")).cast("int").alias("chip_y"),
+        (F.col("n.c") % F.col("tile_w")).alias("pc"), (F.col("n.r") % F.col("tile_h")).alias("pr"), F.col("n.w").alias("weight"),
+    )
+    got = four.join(chips, ["asset_id", "band", "chip_x", "chip_y"], "left")
+    got = got.withColumn("s", pixel.finite(F.get("pixels", (F.col("pr") * F.col("w") + F.col("pc")).cast("int"))).cast("double"))
+    return got.groupBy(*keys).agg(F.when(F.count("s") == 4, F.sum(F.col("s") * F.col("weight"))).alias("v"))
+
+
+def _inside(df: DataFrame) -> DataFrame:
+    """The rows whose c and r lie in the source, drawn in to the outermost pixel centres."""
+    inside = (F.col("c") >= -0.5) & (F.col("r") >= -0.5) & (F.col("c") <= F.col("width") - 0.5) & (F.col("r") <= F.col("height") - 0.5)
+    c = F.least(F.greatest("c", F.lit(0.0)), (F.col("width") - 1).cast("double"))
+    r = F.least(F.greatest("r", F.lit(0.0)), (F.col("height") - 1).cast("double"))
+    return df.where(inside).withColumns({"c": c, "r": r})
+
+
+def warp(requests: DataFrame, headers: DataFrame, chips: DataFrame, size: int = 256) -> DataFrame:
+    """z, x, y, asset_id, band, idx, v: bilinear samples of each requested tile, NULL outside the source.
+
+    Only chips that meet a tile's source window are read.
+    """
+    placed = windows(requested(requests), headers)
+    keys = ["z", "x", "y", "asset_id", "band", "idx"]
+    src = _inside(_to_source(grid(placed.drop("window"), size), F.col("mx"), F.col("my"))).select(*keys, "width", "height", "tile_w", "tile_h", "c", "r")
     span = lambda low, high, size: F.sequence(F.floor(F.col(f"window.{low}") / F.col(size)).cast("int"), F.floor((F.col(f"window.{high}") - 1) / F.col(size)).cast("int"))
     across = placed.select("asset_id", "band", F.explode(span("c0", "c1", "tile_w")).alias("chip_x"), "window", "tile_h")
     needed = across.select("asset_id", "band", "chip_x", F.explode(span("r0", "r1", "tile_h")).alias("chip_y")).distinct()
-    read = chips.join(needed, ["asset_id", "band", "chip_x", "chip_y"], "left_semi")
-    got = four.join(read, ["asset_id", "band", "chip_x", "chip_y"], "left").withColumn("s", pixel.finite(F.get("pixels", (F.col("pr") * F.col("w") + F.col("pc")).cast("int"))).cast("double"))
-    sampled = got.groupBy(*keys).agg(F.when(F.count("s") == 4, F.sum(F.col("s") * F.col("weight"))).alias("v"))
+    sampled = _sampled(src, chips.join(needed, ["asset_id", "band", "chip_x", "chip_y"], "left_semi"), keys)
     every = grid(requested(requests), size).select(*keys)
     return every.join(sampled, keys, "left")
 
@@ -99,35 +117,47 @@ def mosaic_tile(layers: DataFrame, reducer: str = "first", colormap: str = "gray
     return styled(mosaic.reduce_layers(kept, reducer, by=("z", "x", "y", "idx")), colormap=colormap)
 
 
-def rule_tile(wide: DataFrame, rule: dict, bands: dict, by: tuple = ("z", "x", "y"), strict: bool = True) -> DataFrame:
-    """A render rule over aligned band columns; an outer colormap colours the result, else it is grey."""
+def rule_tile(wide: DataFrame, rule: dict | str, bands: dict, by: tuple = ("z", "x", "y"), strict: bool = True) -> DataFrame:
+    """A render rule (a dictionary or its JSON text) over aligned band columns; an outer colormap colours the result, else it
+    is grey.
+
+    {"op": "mosaic", "reducer": "mean", "service_filter": {column: value}, "value": rule} reduces layers: wide then has a
+    layer_order (for the reducer "first") and a row per layer and pixel; value may be left out where there is one band.
+    """
+    rule = json.loads(rule) if isinstance(rule, str) else rule
     name = "grayscale"
     if rule.get("op") == "colormap":
         name, rule = rule.get("lut", "grayscale"), rule["value"]
+    if rule.get("op") == "mosaic":
+        wanted = rule.get("service_filter") or {}
+        if not isinstance(wanted, dict):
+            raise ValueError("a mosaic's service_filter must be an object")
+        if "value" not in rule and len(bands) != 1:
+            raise ValueError("a mosaic of several bands needs a value")
+        kept = wide
+        for column, value in wanted.items():
+            kept = kept.where(F.col(column) == value)
+        v = pixel.band_math(rule.get("value") or {"band": next(iter(bands))}, bands, strict)
+        return styled(mosaic.reduce_layers(kept.withColumn("v", v), rule.get("reducer", "first"), by=(*by, "idx")), colormap=name, by=by)
     return styled(wide.withColumn("v", pixel.band_math(rule, bands, strict)), colormap=name, by=by)
 
 
-def composite_tile(channels: DataFrame, by: tuple = ("z", "x", "y")) -> DataFrame:
-    """Channel rows (z, x, y, idx, channel, v) as an RGB picture."""
+def composite_tile(channels: DataFrame, by: tuple = ("z", "x", "y"), names: str = "rgb") -> DataFrame:
+    """Channel rows (z, x, y, idx, channel, v) as an RGB picture. names: the channels there are; the others count as 0."""
     wide = channels.groupBy(*by, "idx").pivot("channel", ["r", "g", "b"]).agg(F.first("v", ignorenulls=True))
-    have = [r.channel for r in channels.select("channel").distinct().collect()]  # three names at most
-    c = pixel.rgb({k: k for k in "rgb" if k in have}, list(by))
+    c = pixel.rgb({k: k for k in names}, list(by))
     return wide.withColumn("_c", c).select(*by, "idx", *[F.col(f"_c.{k}").alias(k) for k in "rgba"])
 
 
 def point_values(points: DataFrame, footprints: DataFrame, headers: DataFrame, chips: DataFrame) -> DataFrame:
-    """point_id, scene_id, band, value: bilinear samples under each point of each scene's asset (footprints.asset_id)."""
-    pairs = ranges.point_scenes(points, footprints).select("point_id", "lon", "lat", "scene_id", "asset_id")
+    """point_id, lon, lat, scene_id, band, value: bilinear samples under each point of each scene's asset
+    (footprints.asset_id), in every band. Points that repeat wholly count once."""
+    pairs = ranges.point_scenes(points.dropDuplicates(["point_id", "lon", "lat"]), footprints).select("point_id", "lon", "lat", "scene_id", "asset_id")
     sources = headers.select(F.col("uri").alias("asset_id"), "width", "height", "tile_w", "tile_h", "gt", "crs")
-    placed = _to_source(pairs.join(sources, "asset_id"), F.col("lon").cast("double"), F.col("lat").cast("double"), degrees=True)
-    inside = placed.where((F.col("c") >= -0.5) & (F.col("r") >= -0.5) & (F.col("c") <= F.col("width") - 0.5) & (F.col("r") <= F.col("height") - 0.5))
-    c = F.least(F.greatest("c", F.lit(0.0)), (F.col("width") - 1).cast("double"))
-    r = F.least(F.greatest("r", F.lit(0.0)), (F.col("height") - 1).cast("double"))
-    own = inside.withColumns({"c": c, "r": r}).withColumns({"chip_x": F.floor(F.col("c") / F.col("tile_w")).cast("int"), "chip_y": F.floor(F.col("r") / F.col("tile_h")).cast("int")})
-    got = own.join(chips.withColumnRenamed("w", "chip_w"), ["asset_id", "chip_x", "chip_y"])
-    # within one chip; at a chip's border the border pixel is repeated
-    v = spatial.bilinear("pixels", "chip_w", "h", F.col("c") - F.col("chip_x") * F.col("tile_w"), F.col("r") - F.col("chip_y") * F.col("tile_h"))
-    return got.select("point_id", "lon", "lat", "scene_id", "band", v.alias("value"))
+    placed = _inside(_to_source(pairs.join(sources, "asset_id"), F.col("lon").cast("double"), F.col("lat").cast("double"), degrees=True))
+    bands = chips.select("asset_id", "band").where("band IS NOT NULL").distinct()
+    keys = ["point_id", "lon", "lat", "scene_id", "asset_id", "band"]
+    return _sampled(placed.join(bands, "asset_id"), chips, keys).select("point_id", "lon", "lat", "scene_id", "band", F.col("v").alias("value"))
 
 
 def coverage(values: DataFrame) -> DataFrame:
@@ -152,11 +182,13 @@ def png(rgba: bytes, width: int, height: int) -> bytes:
 
 def images(colours: DataFrame, size: int = 256, by: tuple = ("z", "x", "y")) -> DataFrame:
     """One PNG per tile from r, g, b, a rows; a tile's pixels have a fixed number."""
-    listed = colours.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("idx", "r", "g", "b", "a"))).alias("px"))
+    px = F.array_sort(F.collect_list(F.struct("idx", *[F.coalesce(k, F.lit(0)).cast("int").alias(k) for k in "rgba"])))
+    flat = F.flatten(F.transform("_px", lambda p: F.array(p["r"], p["g"], p["b"], p["a"])))
+    listed = colours.groupBy(*by).agg(px.alias("_px")).select(*by, flat.alias("_px"))
 
     def run(batches):
         for pdf in batches:
-            yield pdf[list(by)].assign(png=[png(bytes(v for p in px for v in (p["r"], p["g"], p["b"], p["a"])), size, size) for px in pdf["px"]])
+            yield pdf[list(by)].assign(png=[png(np.asarray(p, np.uint8).tobytes(), size, size) for p in pdf["_px"]])
 
     return listed.mapInPandas(run, colours.select(*by).schema.add("png", "binary"))
 

@@ -22,13 +22,13 @@ def overall(samples: DataFrame, value: str = "value", by: list[str] | None = Non
 
 
 def by_zone(points: DataFrame, zones: DataFrame, value: str = "value") -> DataFrame:
-    """Statistics of the points (point_id, lon, lat, value) in each zone; zones have a box and optionally a ring.
+    """Statistics of the points (lon, lat, value) in each zone, repeated ones as often as they are; zones have a box and optionally a ring.
 
     Without a ring a zone's west and south borders belong to it and the others do not, so that zones that share a border
     share no point.
     """
     p = points.withColumns({"minx": F.col("lon").cast("double"), "maxx": F.col("lon").cast("double"), "miny": F.col("lat").cast("double"), "maxy": F.col("lat").cast("double")})
-    pairs = ranges.rect_join(p, zones, "point_id", "zone_id")
+    pairs = ranges.rect_join(p, zones)
     inside = spatial.ring_contains("ring", "lon", "lat") if "ring" in zones.columns else (F.col("lon") >= F.col("minx")) & (F.col("lon") < F.col("maxx")) & (F.col("lat") >= F.col("miny")) & (F.col("lat") < F.col("maxy"))
     found = pairs.where(inside).groupBy("zone_id").agg(*statistics(value))
     empty = {"count": F.lit(0).cast("long"), "sum": F.lit(0.0), "mean": F.lit(0.0)}
@@ -45,7 +45,10 @@ def means(lists: DataFrame, values: str = "values") -> DataFrame:
 def band_samples(pixels: DataFrame, band: int, most: int = 4096, nodata: float | None = None) -> DataFrame:
     """Every step-th valid pixel (asset_id, band, row, col, v) of a band, at most `most` of each asset."""
     good = pixels.where((F.col("band") == band) & finite("v").isNotNull() & (F.lit(True) if nodata is None else F.col("v") != nodata))
-    w = Window.partitionBy("asset_id")
-    step = F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(w) / most))
-    placed = good.withColumn("pos", F.row_number().over(w.orderBy("row", "col")) - 1).withColumn("step", step)
-    return placed.where((F.col("pos") % F.col("step") == 0) & (F.floor(F.col("pos") / F.col("step")) < most)).select("asset_id", "band", "row", "col", "v")
+    # places from the counts of rows: no task sorts more than one row of pixels
+    above = Window.partitionBy("asset_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = good.groupBy("asset_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("asset_id", "row", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy("asset_id")).alias("total"))
+    placed = good.withColumn("k", F.row_number().over(Window.partitionBy("asset_id", "row").orderBy("col")) - 1).join(rows, ["asset_id", "row"])
+    pos, step = F.col("before") + F.col("k"), F.greatest(F.lit(1), F.floor(F.col("total") / most))
+    return placed.where((pos % step == 0) & (F.floor(pos / step) < most)).select("asset_id", "band", "row", "col", "v")

@@ -259,3 +259,20 @@ def stac_items(s, d):
     i = f.select("scene_id", search.item("service_id", "scene_id", "ring", "acquired_at", "cloud_cover", F.lit("data"), F.lit("s3://b/k.tif"), F.lit("cog")).alias("j"))
     g = lambda p: F.get_json_object("j", p)
     return i.select("scene_id", g("$.collection").alias("collection"), g("$.properties.datetime").alias("dt"), F.round(g("$.bbox[0]").cast("double"), 6).alias("west"), F.round(g("$.bbox[3]").cast("double"), 6).alias("north"), g("$.properties['eo:cloud_cover']").cast("double").alias("cloud"))
+
+
+@query("""SELECT 'service' AS kind, id FROM fx_services WHERE id NOT IN (SELECT service_id FROM fx_service_deletions)
+  UNION ALL SELECT 'virtual', id FROM fx_virtual WHERE service_id NOT IN (SELECT service_id FROM fx_service_deletions) AND coalesce(parent_service_id, -1) NOT IN (SELECT service_id FROM fx_service_deletions)
+  UNION ALL SELECT 'footprint', scene_id FROM fx_footprints WHERE service_id NOT IN (SELECT service_id FROM fx_service_deletions)
+  UNION ALL SELECT 'purged scene', scene_id FROM fx_scene_deletions WHERE scene_id IN (SELECT scene_id FROM fx_footprints WHERE service_id IN (SELECT service_id FROM fx_service_deletions))
+  UNION ALL SELECT 'purged service', service_id FROM fx_service_deletions""")
+def purged_services(s, d):
+    tombs, scenes = view(s, d, "fx_service_deletions"), view(s, d, "fx_footprints")
+    due = catalog.purgeable(tombs, datetime(2024, 1, 30), most=2**31 - 1)
+    got = catalog.purge_services(due, view(s, d, "fx_services"), view(s, d, "fx_virtual"), scenes, {"footprints": scenes}, tombs, view(s, d, "fx_scene_deletions"), datetime(2024, 1, 30))
+    rows = [("service", got["services"], "id"), ("virtual", got["virtual"], "id"), ("footprint", got["footprints"], "scene_id"), ("purged scene", got["scene_tombstones"].where("purged_at IS NOT NULL"), "scene_id"), ("purged service", got["service_tombstones"].where("purged_at IS NOT NULL"), "service_id")]
+    parts = [t.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id")) for kind, t, key in rows]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -20,7 +20,7 @@ VIEWS = {
     "fx_bands": "SELECT l_suppkey AS tile_id, l_orderkey, l_linenumber, l_tax AS red, l_discount AS nir FROM lineitem",
     "fx_zones": """SELECT n_nationkey AS zone_id, (n_nationkey % 5) * 72 - 180e0 AS minx, floor(n_nationkey / 5e0) * 36 - 90e0 AS miny, (n_nationkey % 5) * 72 - 108e0 AS maxx, floor(n_nationkey / 5e0) * 36 - 54e0 AS maxy FROM nation""",
     "fx_points": "SELECT c_custkey AS point_id, ((c_custkey * 71) % 3600) / 1e1 - 180 AS lon, ((c_custkey * 43) % 1800) / 1e1 - 90 AS lat, c_acctbal AS value FROM customer",
-    "fx_tiles": "SELECT 3 AS z, CAST(o_orderkey % 8 AS INT) AS x, CAST(floor(o_orderkey / 8e0) AS INT) AS y FROM orders WHERE o_orderkey < 64",
+    "fx_tiles": "SELECT DISTINCT 3 AS z, CAST(o_orderkey % 8 AS INT) AS x, CAST(floor(o_orderkey / 8e0) % 8 AS INT) AS y FROM orders",
     "fx_job_events": """SELECT user_id AS job_id, event_id AS seq, ts, CASE event_type WHEN 'view' THEN 'pending' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'running' END AS state, props AS params_json FROM events""",
     "fx_services": "SELECT c_custkey AS id, c_name AS name, concat('svc-', CAST(c_custkey % 40 AS VARCHAR(9))) AS slug, CASE WHEN c_nationkey % 4 = 0 THEN 'icechunk' ELSE 'cog' END AS format FROM customer",
     "fx_virtual": """SELECT s_suppkey AS id, concat('svc-', CAST(s_suppkey % 60 AS VARCHAR(9)), CASE WHEN s_suppkey % 3 = 0 THEN '-ndvi' ELSE '' END) AS slug,

@@ -86,16 +86,19 @@ def grayscale(s, d):
     return _rgba(s, d, pixel.grayscale)
 
 
-def _ramp_sql(stops):
-    out = []
-    for k, name in enumerate("rgb"):
-        parts = " ".join(f"WHEN t <= {0.25 * (i + 1)} THEN round({stops[i][k]} + ({stops[i + 1][k] - stops[i][k]}) * (t - {0.25 * i}) / 0.25)" for i in range(4))
-        out.append(f"{SHOWN.format(f'CASE {parts} END')} AS {name}")
-    return f"SELECT layer_id, idx, {', '.join(out)}, {SHOWN.format('255')} AS a FROM {U9}"
+def ramp_cases(stops) -> list[str]:
+    """Red, green and blue of t."""
+    part = lambda i, k: f"WHEN t <= {0.25 * (i + 1)} THEN round({stops[i][k]} + ({stops[i + 1][k] - stops[i][k]}) * (t - {0.25 * i}) / 0.25)"
+    return [f"CASE {' '.join(part(i, k) for i in range(4))} END" for k in range(3)]
+
+
+def ramp_sql(stops):
+    shown = [f"{SHOWN.format(c)} AS {k}" for k, c in zip("rgb", ramp_cases(stops), strict=True)]
+    return f"SELECT layer_id, idx, {', '.join(shown)}, {SHOWN.format('255')} AS a FROM {U9}"
 
 
 for _name, _stops in pixel.RAMPS.items():
-    query(_ramp_sql(_stops), f"pseudocolor_{_name}")(lambda s, d, n=_name: _rgba(s, d, lambda t: pixel.pseudocolor(t, n)))
+    query(ramp_sql(_stops), f"pseudocolor_{_name}")(lambda s, d, n=_name: _rgba(s, d, lambda t: pixel.pseudocolor(t, n)))
 
 LUT = [(0, 0, 0, 255), (10, 20, 30, 200), (255, 128, 0, 100)]
 
@@ -129,7 +132,9 @@ def rule_tile(s, d):
     return wide.withColumn("c", pixel.grayscale("t")).select("tile_id", "idx", F.col("c.g").alias("g"), F.col("c.a").alias("a"))
 
 
-@query()
+@query(f"""WITH m AS (SELECT tile_id AS x, idx, avg(CAST(v AS DOUBLE)) AS v FROM fx_px WHERE layer_id % 4 = 1 GROUP BY 1, 2), n AS (SELECT *, min(v) OVER (PARTITION BY x) AS lo, max(v) OVER (PARTITION BY x) AS hi FROM m),
+  u AS (SELECT x, idx, CASE WHEN v IS NULL THEN NULL WHEN hi - lo < {EPS} THEN 0.0 ELSE (v - lo) / (hi - lo) END AS t FROM n)
+  SELECT 3 AS z, x, 0 AS y, idx, {", ".join(SHOWN.format(c) + f" AS {k}" for k, c in zip("rgb", ramp_cases(pixel.RAMPS["viridis"]), strict=True))}, {SHOWN.format("255")} AS a FROM u""")
 def mosaic_tile(s, d):
     layers = view(s, d, "fx_px").select(F.lit(3).alias("z"), F.col("tile_id").alias("x"), F.lit(0).alias("y"), "idx", F.col("layer_id").alias("layer_order"), "v", (F.col("layer_id") % 4).alias("service_id"))
     return tiles.mosaic_tile(layers, "mean", "viridis", {"service_id": 1})

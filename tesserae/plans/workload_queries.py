@@ -6,20 +6,16 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tesserae.functions import spatial
+from tesserae.functions import pixel, spatial
 from tesserae.operators import models, tiles
 from tesserae.plans.book import query
 from tesserae.plans.fixtures import view
+from tesserae.plans.pixel_queries import ramp_cases
 from tesserae.sources import tables
 from tesserae.streaming import feeds
 
 
 # -- rasters of 8 x 8 pixels made of the embeddings: label is the band, one asset per vector ---------------------------
-def _some(s, d):
-    """The rasters that the reference SQL of warped_tiles and point_sources names."""
-    return view(s, d, "embeddings").where("vec_id < 60")
-
-
 def _headers(e):
     gt = F.struct(((F.col("vec_id") * 37) % 300 - 150.0).alias("ox"), F.lit(3.0).alias("pw"), F.lit(0.0).alias("rr"), ((F.col("vec_id") * 53) % 120 - 40.0).alias("oy"), F.lit(0.0).alias("cr"), F.lit(-3.0).alias("ph"))
     return e.select(F.col("vec_id").cast("string").alias("uri"), F.lit(8).cast("long").alias("width"), F.lit(8).cast("long").alias("height"), F.lit(4).alias("tile_w"), F.lit(4).alias("tile_h"), gt.alias("gt"), F.lit("EPSG:4326").alias("crs"))
@@ -46,13 +42,13 @@ def _requests(s, d, e):
 
 @query(f"""WITH t AS (SELECT z, x, y, i % {SIZE} AS px, i // {SIZE} AS py, i AS idx FROM fx_tiles, range({SIZE * SIZE}) AS r(i)),
   m AS (SELECT *, (x + (px + 0.5) / {SIZE}) * 360.0 / 8 - 180 AS lon, degrees(2 * atan(exp(pi() * (1 - 2 * (y + (py + 0.5) / {SIZE}) / 8.0))) - pi() / 2) AS lat FROM t),
-  s AS (SELECT m.z, m.x, m.y, m.idx, e.vec_id, e.embedding AS e, (m.lon - ((e.vec_id * 37) % 300 - 150)) / 3 - 0.5 AS c, (((e.vec_id * 53) % 120 - 40) - m.lat) / 3 - 0.5 AS r FROM m JOIN embeddings e ON e.vec_id < 60),
+  s AS (SELECT m.z, m.x, m.y, m.idx, e.vec_id, e.embedding AS e, (m.lon - ((e.vec_id * 37) % 300 - 150)) / 3 - 0.5 AS c, (((e.vec_id * 53) % 120 - 40) - m.lat) / 3 - 0.5 AS r FROM m CROSS JOIN embeddings e),
   i AS (SELECT *, least(greatest(c, 0), 7) AS cc, least(greatest(r, 0), 7) AS rr FROM s WHERE c >= -0.5 AND r >= -0.5 AND c <= 7.5 AND r <= 7.5),
   k AS (SELECT *, CAST(floor(cc) AS INT) AS c0, CAST(floor(rr) AS INT) AS r0 FROM i)
   SELECT z, x, y, CAST(vec_id AS VARCHAR) AS asset_id, CAST(idx AS INT) AS idx, round((CAST(e[r0 * 8 + c0 + 1] AS DOUBLE) * (1 - (cc - c0)) + CAST(e[r0 * 8 + least(c0 + 1, 7) + 1] AS DOUBLE) * (cc - c0)) * (1 - (rr - r0))
     + (CAST(e[least(r0 + 1, 7) * 8 + c0 + 1] AS DOUBLE) * (1 - (cc - c0)) + CAST(e[least(r0 + 1, 7) * 8 + least(c0 + 1, 7) + 1] AS DOUBLE) * (cc - c0)) * (rr - r0), 5) AS v FROM k""")
 def warped_tiles(s, d):
-    e = _some(s, d)
+    e = view(s, d, "embeddings")
     w = tiles.warp(_requests(s, d, e), _headers(e), _chips(e), SIZE).where("v IS NOT NULL")
     return w.select("z", "x", "y", "asset_id", "idx", F.round("v", 5).alias("v"))
 
@@ -67,11 +63,15 @@ def tile_pyramid(s, d):
     return tiles.with_empty(view(s, d, "fx_tiles"), pictures, SIZE).select("z", "x", "y", F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
 
 
-@query("""WITH p AS (SELECT c.point_id, c.lon, c.lat, e.vec_id, e.embedding AS e, (c.lon - ((e.vec_id * 37) % 300 - 150)) / 3 - 0.5 AS c, (((e.vec_id * 53) % 120 - 40) - c.lat) / 3 - 0.5 AS r FROM (SELECT point_id, CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat FROM fx_points) c JOIN embeddings e ON e.vec_id < 60)
-  SELECT point_id, vec_id AS scene_id, 1 AS band FROM p WHERE c >= -0.5 AND r >= -0.5 AND c <= 7.5 AND r <= 7.5 AND abs(lat) < 85""")
+@query("""WITH p AS (SELECT c.point_id, c.lon, c.lat, e.vec_id, e.embedding AS e, (c.lon - ((e.vec_id * 37) % 300 - 150)) / 3 - 0.5 AS c, (((e.vec_id * 53) % 120 - 40) - c.lat) / 3 - 0.5 AS r
+    FROM (SELECT point_id, CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat FROM fx_points) c CROSS JOIN embeddings e),
+  i AS (SELECT *, least(greatest(c, 0), 7) AS cc, least(greatest(r, 0), 7) AS rr FROM p WHERE c >= -0.5 AND r >= -0.5 AND c <= 7.5 AND r <= 7.5),
+  k AS (SELECT *, CAST(floor(cc) AS INT) AS c0, CAST(floor(rr) AS INT) AS r0 FROM i)
+  SELECT point_id, vec_id AS scene_id, 1 AS band, round((CAST(e[r0 * 8 + c0 + 1] AS DOUBLE) * (1 - (cc - c0)) + CAST(e[r0 * 8 + least(c0 + 1, 7) + 1] AS DOUBLE) * (cc - c0)) * (1 - (rr - r0))
+    + (CAST(e[least(r0 + 1, 7) * 8 + c0 + 1] AS DOUBLE) * (1 - (cc - c0)) + CAST(e[least(r0 + 1, 7) * 8 + least(c0 + 1, 7) + 1] AS DOUBLE) * (cc - c0)) * (rr - r0), 5) AS value FROM k""")
 def point_sources(s, d):
-    p, e = view(s, d, "fx_points").where("abs(lat) < 85"), _some(s, d)
-    return tiles.point_values(p, _scenes(e), _headers(e), _chips(e)).select("point_id", "scene_id", "band")
+    p, e = view(s, d, "fx_points"), view(s, d, "embeddings")
+    return tiles.point_values(p, _scenes(e), _headers(e), _chips(e)).select("point_id", "scene_id", "band", F.round("value", 5).alias("value"))
 
 
 @query()
@@ -80,29 +80,53 @@ def point_coverage(s, d):
     return tiles.coverage(tiles.point_values(p, _scenes(e), _headers(e), _chips(e)))
 
 
-@query()
+_UNIT = "CASE WHEN {v} IS NULL THEN NULL WHEN max({v}) OVER w - min({v}) OVER w < 1.1920929e-07 THEN 0.0 ELSE ({v} - min({v}) OVER w) / (max({v}) OVER w - min({v}) OVER w) END"
+_BYTE = f"CAST(coalesce(round({_UNIT} * 255), 0) AS INT)"
+
+
+@query(f"""WITH c AS (SELECT tile_id, idx, avg(CAST(v AS DOUBLE)) FILTER (WHERE layer_id % 3 = 0) AS vr, avg(CAST(v AS DOUBLE)) FILTER (WHERE layer_id % 3 = 1) AS vg, avg(CAST(v AS DOUBLE)) FILTER (WHERE layer_id % 3 = 2) AS vb FROM fx_px GROUP BY 1, 2)
+  SELECT 3 AS z, tile_id AS x, 0 AS y, idx, {_BYTE.format(v="vr")} AS r, {_BYTE.format(v="vg")} AS g, {_BYTE.format(v="vb")} AS b, CASE WHEN coalesce(vr, vg, vb) IS NULL THEN 0 ELSE 255 END AS a FROM c WINDOW w AS (PARTITION BY tile_id)""")
 def composite_tiles(s, d):
-    px = view(s, d, "fx_px").select(F.lit(3).alias("z"), F.col("tile_id").alias("x"), F.lit(0).alias("y"), "idx", F.element_at(F.array(*map(F.lit, "rgb")), (F.col("layer_id") % 3 + 1).cast("int")).alias("channel"), "v")
+    channel = F.element_at(F.array(*map(F.lit, "rgb")), (F.col("layer_id") % 3 + 1).cast("int")).alias("channel")
+    px = view(s, d, "fx_px").select(F.lit(3).alias("z"), F.col("tile_id").alias("x"), F.lit(0).alias("y"), "idx", channel, "v")
     return tiles.composite_tile(px.groupBy("z", "x", "y", "idx", "channel").agg(F.avg("v").alias("v")))
 
 
-@query()
+def _coloured(ramp: str) -> str:
+    shown = ", ".join(f"CAST(CASE WHEN t IS NULL THEN 0 ELSE {c} END AS INT) AS {k}" for k, c in zip("rgb", ramp_cases(pixel.RAMPS[ramp]), strict=True))
+    return f"SELECT 3 AS z, x, 0 AS y, idx, {shown}, CASE WHEN t IS NULL THEN 0 ELSE 255 END AS a"
+
+
+@query(f"""WITH c AS (SELECT tile_id AS x, l_orderkey * 10 + l_linenumber AS idx, CAST(min(nir) AS DOUBLE) - CAST(min(red) AS DOUBLE) AS v FROM fx_bands GROUP BY 1, 2), u AS (SELECT x, idx, round({_UNIT.format(v="v")}, 9) AS t FROM c WINDOW w AS (PARTITION BY x))
+  {_coloured("turbo")} FROM u""")
 def colour_rule_tiles(s, d):
-    wide = view(s, d, "fx_bands").groupBy(F.lit(3).alias("z"), F.col("tile_id").alias("x"), F.lit(0).alias("y"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx")).agg(F.min("red").alias("b1"), F.min("nir").alias("b2"))
+    number = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("idx")
+    wide = view(s, d, "fx_bands").groupBy(F.lit(3).alias("z"), F.col("tile_id").alias("x"), F.lit(0).alias("y"), number).agg(F.min("red").alias("b1"), F.min("nir").alias("b2"))
     rule = {"op": "colormap", "lut": "turbo", "value": {"op": "sub", "left": {"band": 2}, "right": {"band": 1}}}
     return tiles.rule_tile(wide, rule, {1: "b1", 2: "b2"})
 
 
+@query(f"""WITH c AS (SELECT tile_id AS x, idx, max(CAST(v AS DOUBLE) * 2.0) AS v FROM fx_px WHERE layer_id % 4 = 2 GROUP BY 1, 2), u AS (SELECT x, idx, round({_UNIT.format(v="v")}, 9) AS t FROM c WINDOW w AS (PARTITION BY x))
+  {_coloured("plasma")} FROM u""")
+def mosaic_rule(s, d):
+    """A rule, as JSON text, that reduces the layers of one service."""
+    layers = view(s, d, "fx_px").select(F.lit(3).alias("z"), F.col("tile_id").alias("x"), F.lit(0).alias("y"), "idx", F.col("layer_id").alias("layer_order"), "v", (F.col("layer_id") % 4).alias("service_id"))
+    doubled = '{"op": "mul", "left": {"band": 1}, "right": {"literal": 2.0}}'
+    rule = f'{{"op": "colormap", "lut": "plasma", "value": {{"op": "mosaic", "reducer": "max", "service_filter": {{"service_id": 2}}, "value": {doubled}}}}}'
+    return tiles.rule_tile(layers, rule, {1: "v"})
+
+
 # -- models ------------------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT a.vec_id, a.i AS idx, CASE WHEN abs(a.v + b.v) < 1.1920929e-07 THEN NULL ELSE round((CAST(b.v AS DOUBLE) - a.v) / (CAST(b.v AS DOUBLE) + a.v), 2) END IS NULL AS missing FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) a
-  JOIN (SELECT vec_id - 1 AS vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) b ON a.vec_id = b.vec_id AND a.i = b.i""")
+@query("""WITH e AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)
+  SELECT a.vec_id, a.i AS idx, CASE WHEN abs(CAST(b.v AS DOUBLE) + CAST(a.v AS DOUBLE)) >= 1.1920929e-07 THEN round(CAST(CAST((CAST(b.v AS DOUBLE) - CAST(a.v AS DOUBLE)) / (CAST(b.v AS DOUBLE) + CAST(a.v AS DOUBLE)) AS FLOAT) AS DOUBLE), 3) END AS v
+  FROM e a JOIN e b ON b.vec_id = a.vec_id + 1 AND a.i = b.i""")
 def tile_model(s, d):
     e = view(s, d, "embeddings").select("vec_id", F.col("embedding").alias("red"))
     pair = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("red").alias("nir")), "vec_id")
     out = models.apply_tiles(pair, models.Ndvi(), width=8)
-    return out.select("vec_id", F.posexplode("values").alias("idx", "v")).select("vec_id", "idx", F.col("v").isNull().alias("missing"))
+    return out.select("vec_id", F.posexplode("values").alias("idx", "v")).select("vec_id", "idx", F.round(F.col("v").cast("double"), 3).alias("v"))
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 2.5)), 3) AS total FROM embeddings""")
@@ -143,6 +167,20 @@ def job_documents(s, d):
     return r.select("job_id", F.get_json_object("document", "$.count").cast("long").alias("n"), F.round(F.get_json_object("document", "$.mean").cast("double"), 3).alias("mean"))
 
 
+@query("""WITH j AS (SELECT DISTINCT user_id FROM events), p AS (SELECT user_id AS job_id, CASE user_id % 5 WHEN 0 THEN 0 ELSE user_id % 2 + 1 END AS band, user_id % 3 = 0 AS listed FROM j)
+  SELECT job_id, CASE WHEN NOT listed AND band = 0 THEN 'band must be a positive band index' END AS error, CASE WHEN listed THEN 2 WHEN band > 0 THEN (SELECT count(value) FROM events e WHERE e.user_id = p.job_id AND e.event_id % 2 + 1 = band) END AS n,
+  CASE WHEN listed THEN job_id + 0.5 WHEN band > 0 THEN coalesce((SELECT round(avg(value), 3) FROM events e WHERE e.user_id = p.job_id AND e.event_id % 2 + 1 = band), 0) END AS mean FROM p""")
+def job_parameters(s, d):
+    """Jobs of one process with other parameters: the band of a zonal job, listed values of a mean, and a band that cannot be."""
+    u, e = F.col("user_id"), view(s, d, "events")
+    band = F.concat(F.lit('{"band": '), F.when(u % 5 == 0, 0).otherwise(u % 2 + 1).cast("string"), F.lit("}"))
+    values = F.concat(F.lit('{"values": ['), u.cast("string"), F.lit(", "), (u + 1).cast("string"), F.lit("]}"))
+    jobs = e.select("user_id").distinct().select(u.alias("job_id"), F.when(u % 3 == 0, "mean_values").otherwise("zonal-stats").alias("process_id"), F.when(u % 3 == 0, values).otherwise(band).alias("params_json"))
+    r = models.run_jobs(jobs, e.select(u.alias("job_id"), (F.col("event_id") % 2 + 1).cast("int").alias("band"), "value"))
+    number = lambda name: F.get_json_object("document", f"$.{name}")
+    return r.select("job_id", "error", number("count").cast("long").alias("n"), F.round(number("mean").cast("double"), 3).alias("mean"))
+
+
 @query("SELECT s_suppkey AS job_id, CASE WHEN s_suppkey % 2 = 0 THEN 'custom' ELSE 'builtin' END AS origin FROM supplier")
 def model_listing(s, d):
     k = view(s, d, "supplier").select(F.col("s_suppkey").alias("id"))

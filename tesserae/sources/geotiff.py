@@ -26,7 +26,7 @@ KEY_NUMBERS = {
     3082: "easting", 3083: "northing", 3086: "easting", 3087: "northing", 3092: "scale", 2057: "semi_major", 2059: "inv_flattening",
 }
 HEADER = f"uri string, width long, height long, band_count int, dtype string, tile_w int, tile_h int, gt struct<ox:double,pw:double,rr:double,oy:double,cr:double,ph:double>, keys struct<{KEYS.replace(' ', ':')}>, error string".replace(",:", ",")
-CHIPS = "asset_id string, band int, chip_x int, chip_y int, w int, h int, pixels array<float>"
+CHIPS = "asset_id string, band int, chip_x int, chip_y int, w int, h int, pixels array<float>, error string"
 _SIZES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 
 
@@ -142,25 +142,35 @@ def inspected(headers: DataFrame) -> DataFrame:
 
 
 def chips(files: DataFrame, nodata: float | None = None) -> DataFrame:
-    """Chip rows (see CHIPS) of all bands; pixels equal to nodata are NaN, as are samples of unknown kinds (no rows)."""
+    """Chip rows (see CHIPS) of all bands; pixels equal to nodata are NaN, as are samples of unknown kinds (no rows).
+
+    A file or chip that cannot be read gives one row without band and pixels, with the reason as its error.
+    """
+    names = [c.strip().split(" ")[0] for c in CHIPS.split(", ")]
 
     def run(batches):
         for pdf in batches:
             for uri, data in zip(pdf["uri"], pdf["content"], strict=True):
                 try:
                     h = Header(data)
-                except (ValueError, struct.error):
+                    across = math.ceil(h.width / h.chip[0])
+                    count = across * math.ceil(h.height / h.chip[1])
+                except (ValueError, struct.error, ZeroDivisionError) as e:
+                    yield pd.DataFrame([(uri, None, None, None, None, None, None, str(e))], columns=names)
                     continue
-                across = math.ceil(h.width / h.chip[0])
-                for index in range(across * math.ceil(h.height / h.chip[1])):
+                for index in range(count):
                     x, y = index % across, index // across
-                    got = h.chip_samples(data, index)
+                    try:
+                        got = h.chip_samples(data, index)
+                    except (ValueError, zlib.error) as e:
+                        yield pd.DataFrame([(uri, None, x, y, None, None, None, str(e))], columns=names)
+                        continue
                     if got is None:
                         continue
                     got = got[: max(0, h.height - y * h.chip[1]), : h.width - x * h.chip[0]]
                     if nodata is not None:
                         got = np.where(got == nodata, np.float32("nan"), got)
-                    yield pd.DataFrame([(uri, b + 1, x, y, got.shape[1], got.shape[0], got[:, :, b].ravel().tolist()) for b in range(got.shape[2])], columns=[c.strip().split(" ")[0] for c in CHIPS.split(", ")])
+                    yield pd.DataFrame([(uri, b + 1, x, y, got.shape[1], got.shape[0], got[:, :, b].ravel().tolist(), None) for b in range(got.shape[2])], columns=names)
 
     return files.mapInPandas(run, CHIPS)
 

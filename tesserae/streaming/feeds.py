@@ -18,12 +18,18 @@ from tesserae.operators import catalog, models
 from tesserae.sources import geotiff, tables
 
 PROGRESS = {"pending": 0.0, "running": 0.5, "succeeded": 1.0, "failed": 1.0}
+#: Of a job that has been taken up and not been handed to its process yet.
+STARTED = 0.1
 STATUS_DAYS, TILE_SECONDS = 7, 3600
 
 
 # -- S1: new footprints ------------------------------------------------------------------------------------------------
 def new_footprints(spark: SparkSession, base: str, schema: T.StructType, assets: DataFrame, files_per_trigger: int = 100) -> DataFrame:
-    """A stream of newly written footprints with their scene's assets."""
+    """A stream of newly written footprints with their scene's assets.
+
+    assets may be a stream too: a footprint then waits in the join's state for assets that come later. With a table, the
+    assets there are when the footprint's batch runs count.
+    """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(base)
     return notified(stream, assets)
 
@@ -54,11 +60,31 @@ def job_requests(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(JOBS).json(path)
 
 
-def run_batch(batch: DataFrame, inputs: DataFrame, base: str, known: list | None = None) -> None:
-    """Runs the batch's jobs, one DataFrame job per process, and writes results and errors by job."""
+def run_batch(batch: DataFrame, inputs: DataFrame, base: str, known: list | None = None, status: str | None = None) -> None:
+    """Runs the batch's jobs, one DataFrame job per process, and writes results and errors by job.
+
+    status names a folder for the jobs' status events, one folder per job too: taken up, handed over, and ended.
+    """
+    if status:
+        _write_status(batch.select("job_id", *_event(1, "running", STARTED)), status)
     rows = models.run_jobs(batch, inputs, known)
+    if status:
+        _write_status(batch.select("job_id", F.explode(F.array(F.struct(*_event(1, "running", STARTED)), F.struct(*_event(2, "running", PROGRESS["running"])))).alias("e")).select("job_id", "e.*"), status)
     document = F.coalesce("document", F.to_json(F.struct("job_id", "process_id", "error")))
     tables.write_results(rows.withColumn("document", document), base)
+    if status:
+        state = F.when(F.col("error").isNull(), "succeeded").otherwise("failed")
+        steps = F.array(F.struct(*_event(1, "running", STARTED)), F.struct(*_event(2, "running", PROGRESS["running"])), F.struct(*_event(3, state, 1.0, F.col("result_url"), F.col("error"))))
+        _write_status(rows.select("job_id", F.explode(steps).alias("e")).select("job_id", "e.*"), status)
+
+
+def _event(seq: int, state, progress: float, result_url=None, error=None) -> list:
+    text_or = lambda c: F.lit(None).cast("string") if c is None else c
+    return [F.lit(seq).cast("long").alias("seq"), F.current_timestamp().alias("ts"), (F.lit(state) if isinstance(state, str) else state).alias("state"), F.lit(progress).alias("progress"), text_or(result_url).alias("result_url"), text_or(error).alias("error")]
+
+
+def _write_status(events: DataFrame, base: str) -> None:
+    events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("job_id").json(base)
 
 
 def start(stream: DataFrame, each: Callable[[DataFrame], None], checkpoint: str):
@@ -71,11 +97,11 @@ STATUS = "job_id long, seq long, ts timestamp, state string, progress double, re
 
 
 def status_events(events: DataFrame) -> DataFrame:
-    """Events with the progress of their state."""
-    out = F.lit(None).cast("double")
+    """Events with their progress, or where they have none, that of their state."""
+    given, out = F.col("progress").cast("double") if "progress" in events.columns else F.lit(None).cast("double"), F.lit(None).cast("double")
     for state, value in PROGRESS.items():
         out = F.when(F.col("state") == state, value).otherwise(out)
-    return events.withColumn("progress", out)
+    return events.withColumn("progress", F.coalesce(given, out))
 
 
 def latest_status(events: DataFrame, now=None, days: int = STATUS_DAYS) -> DataFrame:
@@ -121,12 +147,27 @@ def due_tiles(requests: DataFrame, rendered: DataFrame, now, ttl: int = TILE_SEC
     return keyed.join(fresh, "tile_key", "left_anti")
 
 
-def materialise(batch: DataFrame, rendered: DataFrame, render: Callable[[DataFrame], DataFrame], base: str, now) -> None:
-    """Renders what is due (render: requests with tile_key -> tile_key, png) and appends it with its time."""
-    render(due_tiles(batch, rendered, now)).withColumn("rendered_at", F.lit(now).cast("timestamp")).write.mode("append").parquet(base)
+def materialise(batch: DataFrame, rendered: DataFrame, render: Callable[[DataFrame], DataFrame], base: str, now, batch_id: int | None = None) -> None:
+    """Renders what is due (render: requests with tile_key -> tile_key, png) and writes it with its time.
+
+    With the batch_id that foreachBatch hands over, a batch that runs again replaces what it wrote; without, rows are
+    appended.
+    """
+    out = render(due_tiles(batch, rendered, now)).withColumn("rendered_at", F.lit(now).cast("timestamp"))
+    if batch_id is None:
+        out.write.mode("append").parquet(base)
+    else:
+        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(base)
 
 
 # -- S6: purge -----------------------------------------------------------------------------------------------------------
 def purge_tick(tombstones: DataFrame, lake: dict[str, DataFrame], assets: DataFrame, now, days: int = 7) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
     """One periodic run: selects what is due and purges it (see catalog.purge)."""
     return catalog.purge(catalog.purgeable(tombstones, now, days), lake, assets, tombstones, now)
+
+
+def purge_stream(spark: SparkSession, checkpoint: str, run: Callable[[], None], seconds: int = 3600):
+    """A query whose trigger calls run(), which reads the catalogue anew and writes what purge_tick() gives, every so many
+    seconds."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda df, _: run()).option("checkpointLocation", checkpoint).trigger(processingTime=f"{seconds} seconds").start()
