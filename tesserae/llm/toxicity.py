@@ -18,6 +18,7 @@ score is 0; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -32,6 +33,8 @@ ORDER, DECAY = 3, 0.8
 POWER = 4
 #: Landmarks at most, of which the CANDIDATES with most evidence are looked at.
 N_LANDMARKS, CANDIDATES = 256, 4096
+#: Forms of toxic texts' words, the most frequent, that are counted among clean ones too.
+FORMS = 50_000
 #: Letters of a landmark that is a beginning or end of words; of one that is a whole word.
 STEM, WHOLE = (4, 10), (3, 14)
 #: Likelihood ratio (G squared) from which a landmark's share among toxic texts is no chance, and the least texts.
@@ -255,7 +258,7 @@ def landmarks_of(rows: DataFrame) -> list[str]:
     that overlap, the one with most evidence."""
     letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\x20\x09-\x0D]+", "")
     words = rows.select("y", F.explode(F.array_distinct(F.filter(F.split(letters, SPACE_CLASS), lambda w: F.length(w) >= WHOLE[0]))).alias("w"))
-    counts = words.groupBy("w").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
+    counts = stage(words.groupBy("w").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")), "words")
     size = F.length("w")
     lengths = lambda: F.sequence(F.lit(STEM[0]), F.least(F.lit(STEM[1]), size - 1))
     forms = F.concat(
@@ -265,8 +268,12 @@ def landmarks_of(rows: DataFrame) -> list[str]:
     total = counts.agg(F.sum("p").alias("p"), F.sum("n").alias("n")).first()
     if not total["n"] or total["p"] in (0, total["n"]):
         return []
-    found = counts.select("p", "n", F.explode(forms).alias("z")).groupBy("z").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).where(F.col("p") >= LEAST_TEXTS)
     share = total["p"] / total["n"]
+    # forms that reach the evidence if no clean text holds them; only those are counted among all words
+    least = max(LEAST_TEXTS, math.ceil(EVIDENCE / 2 / -math.log(share)))
+    likely = counts.where("p > 0").select("p", F.explode(forms).alias("z")).groupBy("z").agg(F.sum("p").alias("p")).where(F.col("p") >= least)
+    likely = likely.orderBy(F.desc("p"), "z").limit(FORMS)
+    found = counts.select("n", F.explode(forms).alias("z")).join(F.broadcast(likely), "z").groupBy("z", "p").agg(F.sum("n").alias("n"))
     p, n = F.col("p").cast("double"), F.col("n").cast("double")
     gain = 2 * (p * F.log(p / (n * share)) + F.when(n > p, (n - p) * F.log((n - p) / (n * (1 - share)))).otherwise(0.0))
     best = found.where(p > n * share).select("z", gain.alias("gain")).where(F.col("gain") >= EVIDENCE)
