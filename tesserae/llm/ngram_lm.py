@@ -20,8 +20,9 @@ marks and ends with an end token; a mark after that, which is not scored, makes
 
 Cases: null and empty texts are a lone end token; repeated rows count and are scored as often as they occur; rows with one
 doc_id, or with none, are rows of their own; very long texts are scored whole, in a chunk that is as much longer; without
-training rows all counts are 0; an empty table gives an empty result; other columns are ignored. Words and contexts are told
-apart by 64-bit hashes, a context's followers by 40 bits (fewer in shards of over 8 million contexts).
+training rows all counts are 0; an empty table gives an empty result; other columns are ignored. Hashes are told apart within
+their shard, which a hash's highest bits choose: words by 48 further bits, contexts by 40, a context's followers by 32 in all
+(fewer in shards of over 2 billion contexts).
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ from tesserae.llm.common import mix, shuffle_partitions, unified, words_of
 CHUNK_BYTES = 8 << 20
 WORD_SHARDS = 1024
 STRENGTH, DISCOUNT = 60.0, 0.7
-BITS = 40
+#: Bits that travel of a word, a context and a follower.
+WORD_BITS, CONTEXT_BITS, BITS = 48, 40, 32
 START, END, AFTER = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0)
 EXACT, STEP, PROB_STEP = 64, 1.1, 0.09
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_score double"
@@ -266,12 +268,21 @@ class Asked:
             x, y = (word_cut[s], word_cut[s + 1]) if s < len(word_cut) - 1 else (0, 0)
             p, q = cut[s], cut[s + 1]
             i, j = below[p], below[q]
-            yield (s, chunk, self.word[x:y].tobytes(), _small(word_n[x:y] if y > x else none), narrow(self.context[p:q], 64), _small(many[p:q]), narrow(self.w[i:j]), _small(n[i:j]))
+            yield (s, chunk, narrow(_within(self.word[x:y], len(word_cut) - 1, WORD_BITS), WORD_BITS), _small(word_n[x:y] if y > x else none), narrow(_within(self.context[p:q], self.shards, CONTEXT_BITS), CONTEXT_BITS), _small(many[p:q]), narrow(self.w[i:j]), _small(n[i:j]))
+
+
+def _within(values: np.ndarray, shards: int, bits: int) -> np.ndarray:
+    """The given number of bits of sorted hashes of one shard, after those that all of the shard share."""
+    if not len(values):
+        return values
+    span = 2**64 // shards
+    below = values - np.uint64(min(int(values[0]) // span, shards - 1) * span)
+    return below >> np.uint64(max(0, (2**64 - (shards - 1) * span - 1).bit_length() - bits))
 
 
 def _cuts(values: np.ndarray, shards: int) -> np.ndarray:
     """Where each shard's part of sorted 64-bit numbers begins, and the end."""
-    edges = np.arange(1, shards, dtype=np.uint64) * np.uint64(2**64 // shards)
+    edges = np.arange(1, shards, dtype=np.uint64) * np.uint64(2**64 // max(shards, 2))
     return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
 
 
@@ -312,21 +323,25 @@ def _added(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray]
 
 def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard: adds up, builds the trie, answers each chunk."""
-    words = [np.frombuffer(x, np.uint64) for x in rows["words"]]
+    words = [wide(x, WORD_BITS) for x in rows["words"]]
     (word,), total = _added([np.concatenate(words)], np.concatenate([_large(x) for x in rows["word_n"]]))
-    context, many, w = [wide(x, 64) for x in rows["context"]], [_large(x) for x in rows["many"]], [wide(x) for x in rows["w"]]
+    context, many, w = [wide(x, CONTEXT_BITS) for x in rows["context"]], [_large(x) for x in rows["many"]], [wide(x) for x in rows["w"]]
     keys, counts = _added([np.repeat(np.concatenate(context), np.concatenate(many)), np.concatenate(w)], np.concatenate([_large(x) for x in rows["n"]]))
     trie = Trie.build(keys[0], keys[1], counts)
     del keys, counts
-    out = []
-    for k in range(len(rows)):
-        at = np.searchsorted(word, words[k])
-        at_in = np.minimum(at, max(len(word) - 1, 0))
-        own = np.where(word[at_in] == words[k], total[at_in], 0) if len(word) else np.zeros(len(words[k]), np.int64)
-        c = trie.locate(context[k])
-        left, count = trie.of_contexts(c)
-        out.append((int(rows["chunk"].iloc[k]), int(rows["shard"].iloc[k]), _small(own), left.tobytes(), count.tobytes(), trie.find(np.repeat(c, many[k]), w[k]).tobytes(), int(total.sum()), len(word)))
-    return pd.DataFrame(out, columns=["chunk", "shard", "word_n", "left", "counts", "probs", "n_total", "n_distinct"])
+    # all chunks' questions at once
+    asked = np.concatenate(words)
+    at = np.searchsorted(word, asked)
+    at_in = np.minimum(at, max(len(word) - 1, 0))
+    own = np.where(word[at_in] == asked, total[at_in], 0) if len(word) else np.zeros(len(asked), np.int64)
+    c = trie.locate(np.concatenate(context))
+    left, count = trie.of_contexts(c)
+    probs = trie.find(np.repeat(c, np.concatenate(many)), np.concatenate(w))
+    cut = lambda x, parts: np.split(x, np.cumsum([len(p) for p in parts])[:-1])
+    return pd.DataFrame({
+        "chunk": rows["chunk"].to_numpy(), "shard": rows["shard"].to_numpy(), "word_n": [_small(x) for x in cut(own, words)], "left": [x.tobytes() for x in cut(left, context)],
+        "counts": [x.tobytes() for x in cut(count, context)], "probs": [x.tobytes() for x in cut(probs, w)], "n_total": int(total.sum()), "n_distinct": len(word),
+    })
 
 
 _ASK = "shard int, chunk int, words binary, word_n binary, context binary, many binary, w binary, n binary"

@@ -74,7 +74,7 @@ def test_elias_fano():
 
 def test_trie():
     r = np.random.default_rng(1)
-    pairs = sorted({(int(a), int(b)) for a, b in zip(r.integers(0, 50, 2000) * 10**9, r.integers(0, 2**40, 2000), strict=True)})
+    pairs = sorted({(int(a), int(b)) for a, b in zip(r.integers(0, 50, 2000) * 10**9, r.integers(0, 2**lm.BITS, 2000), strict=True)})
     v, w = (np.array([p[k] for p in pairs], np.uint64) for k in (0, 1))
     count = r.integers(1, 64, len(v))
     t = lm.Trie.build(v, w, count)
@@ -84,7 +84,7 @@ def test_trie():
     left, counts = t.of_contexts(c)
     assert (t.find(c, w) == lm.probability_code(np.array([(n - lm.DISCOUNT) / total[x] for n, x in zip(count.tolist(), v.tolist(), strict=True)]))).all()
     assert (left == lm.probability_code(np.array([lm.DISCOUNT * kinds[x] / total[x] for x in v.tolist()]))).all() and (counts == lm.quantise(np.array([total[x] for x in v.tolist()]))).all()
-    assert not t.find(c, w ^ np.uint64(1 << 39)).any() and (t.locate(v + np.uint64(1)) == -1).all()
+    assert not t.find(c, w ^ np.uint64(1 << (lm.BITS - 1))).any() and (t.locate(v + np.uint64(1)) == -1).all()
     assert not lm.Trie.build(v[:0], w[:0], count[:0]).find(np.array([-1]), w[:1]).any()
 
 
