@@ -39,6 +39,10 @@ FORMS = 50_000
 STEM, WHOLE = (4, 10), (3, 14)
 #: Likelihood ratio (G squared) from which a landmark's share among toxic texts is no chance, and the least texts.
 EVIDENCE, LEAST_TEXTS = 24.0, 4
+#: Hashes of which near copies share one.
+ALIKE = 6
+#: Odds of a landmark's word to stand in a toxic text, over those of any word.
+ODDS = 3.0
 #: Kernel values below this count as 0; a word is compared to landmarks with which it shares most letters.
 FLOOR, SHARED = 0.5, 0.7
 #: At most about this many labelled rows of each class are learned from (chosen by a hash of doc_id).
@@ -250,12 +254,23 @@ def _folds(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     for y, n in counts.items():
         share = F.when(F.col("y") == y, int(1_000_000 * min(1.0, LABELLED / n))).otherwise(share)
     chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    return docs.join(F.broadcast(chosen), "doc_id")
+    return _apart(docs.join(F.broadcast(chosen), "doc_id"))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """One row of each group of copies and near copies with one label, so that words of a text that is there a hundred times
+    are no evidence: those that share one of ALIKE smallest hashes of three words, the first by doc_id and text."""
+    cut = rows.withColumn("_w", F.array_remove(F.split(F.lower(F.coalesce("text", F.lit(""))), SPACE_CLASS), ""))
+    threes = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, 3)))
+    out = cut.withColumn("_h", threes).select("doc_id", "text", "y", *[F.array_min(F.transform("_h", lambda h, k=k: F.xxhash64(h, F.lit(k)))).alias(f"_g{k}") for k in range(ALIKE)])
+    for k in range(ALIKE):
+        out = out.groupBy("y", f"_g{k}").agg(F.min(F.struct("doc_id", "text", *[f"_g{j}" for j in range(k + 1, ALIKE)])).alias("_r")).select("y", f"_g{k}", "_r.*")
+    return out.select("doc_id", "text", "y")
 
 
 def landmarks_of(rows: DataFrame) -> list[str]:
-    """Beginnings (^abcd), ends (abcd$) and wholes (^abcd$) of words whose share among toxic texts is beyond chance; of those
-    that overlap, the one with most evidence."""
+    """Beginnings (^abcd), ends (abcd$) and wholes (^abcd$) of words whose share among toxic texts is beyond chance; one
+    after the other, each with what those before it do not explain."""
     letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\x20\x09-\x0D]+", "")
     words = rows.select("y", F.explode(F.array_distinct(F.filter(F.split(letters, SPACE_CLASS), lambda w: F.length(w) >= WHOLE[0]))).alias("w"))
     counts = stage(words.groupBy("w").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n")), "words")
@@ -274,17 +289,48 @@ def landmarks_of(rows: DataFrame) -> list[str]:
     likely = counts.where("p > 0").select("p", F.explode(forms).alias("z")).groupBy("z").agg(F.sum("p").alias("p")).where(F.col("p") >= least)
     likely = likely.orderBy(F.desc("p"), "z").limit(FORMS)
     found = counts.select("n", F.explode(forms).alias("z")).join(F.broadcast(likely), "z").groupBy("z", "p").agg(F.sum("n").alias("n"))
-    p, n = F.col("p").cast("double"), F.col("n").cast("double")
-    gain = 2 * (p * F.log(p / (n * share)) + F.when(n > p, (n - p) * F.log((n - p) / (n * (1 - share)))).otherwise(0.0))
-    best = found.where(p > n * share).select("z", gain.alias("gain")).where(F.col("gain") >= EVIDENCE)
+    # at most CANDIDATES forms and FORMS words
+    forms_found = {r.z: [r.p, r.n] for r in found.where(F.col("p") * (1 - share) >= ODDS * share * (F.col("n") - F.col("p"))).orderBy(F.desc("p"), "z").limit(CANDIDATES).collect()}
+    members = {}
+    for r in counts.where("p > 0").orderBy(F.desc("p"), "w").limit(FORMS).collect():
+        for z in _forms(r.w):
+            if z in forms_found:
+                members.setdefault(z, []).append(r)
+    unstage(counts)
     out: list[str] = []
-    for r in best.orderBy(F.desc("gain"), F.desc(F.length("z")), "z").limit(CANDIDATES).collect():
-        core = r.z.strip("^$")
-        if len(out) < N_LANDMARKS and not any(_overlap(core, x.strip("^$")) for x in out):
-            out.append(r.z)
+    done: set[str] = set()
+    while forms_found and len(out) < N_LANDMARKS:
+        gain, _, best = max((_evidence(p, n, share), len(z), z) for z, (p, n) in forms_found.items())
+        if gain < EVIDENCE:
+            break
+        core = best.strip("^$")
+        if not any(_overlap(core, x.strip("^$")) for x in out):
+            out.append(best)
+        # what the landmark explains counts for no other form
+        for r in members.get(best, []):
+            if r.w not in done:
+                done.add(r.w)
+                for z in _forms(r.w):
+                    if z in forms_found:
+                        forms_found[z][0] -= r.p
+                        forms_found[z][1] -= r.n
+        forms_found.pop(best)
     return out
 
 
+def _forms(w: str) -> list[str]:
+    """The same forms of a word as landmarks_of() counts."""
+    sizes = range(STEM[0], min(STEM[1], len(w) - 1) + 1)
+    return [*([f"^{w}$"] if len(w) <= WHOLE[1] else []), *(f"^{w[:k]}" for k in sizes), *(f"{w[-k:]}$" for k in sizes)]
+
+
+def _evidence(p: int, n: int, share: float) -> float:
+    """G squared of p toxic among n, where the share of toxic ones is given; 0 if they are no more than chance, or too few."""
+    if p < LEAST_TEXTS or p <= n * share or p * (1 - share) < ODDS * share * (n - p):
+        return 0.0
+    return 2 * (p * math.log(p / (n * share)) + ((n - p) * math.log((n - p) / (n * (1 - share))) if n > p else 0.0))
+
+
 def _overlap(a: str, b: str) -> bool:
     """Whether one contains the other, or the end of one is the beginning of the other, by a stem's least length."""
     n = STEM[0]
