@@ -137,10 +137,10 @@ def unique_slugs(s, d):
 
 @query("""WITH n AS (SELECT s_suppkey + 5 AS id, lower(s_name) AS name FROM supplier), f AS (SELECT * FROM n WHERE id NOT IN (SELECT id FROM fx_services)),
   g AS (SELECT id, trim(regexp_replace(regexp_replace(name, '[^a-z0-9_\\s-]', '', 'g'), '[-_\\s]+', '-', 'g'), '-') AS base FROM f)
-  SELECT id, CASE WHEN base IN (SELECT slug FROM fx_services) THEN concat(base, '-1') ELSE base END AS slug FROM g""")
+  SELECT id, CASE WHEN base IN (SELECT slug FROM fx_services UNION SELECT slug FROM fx_virtual) THEN concat(base, '-1') ELSE base END AS slug FROM g""")
 def created_services(s, d):
     new = view(s, d, "supplier").select((F.col("s_suppkey") + 5).alias("id"), F.lower("s_name").alias("name"))
-    return catalog.create_services(new, view(s, d, "fx_services"), view(s, d, "fx_virtual").limit(0)).select("id", "slug")
+    return catalog.create_services(new, view(s, d, "fx_services"), view(s, d, "fx_virtual")).select("id", "slug")
 
 
 @query("""WITH r AS (SELECT s_suppkey AS service_id, concat('out-', CAST(s_suppkey % 13 AS VARCHAR)) AS slug FROM supplier), l AS (SELECT id FROM fx_services v WHERE NOT EXISTS (SELECT 1 FROM fx_service_deletions x WHERE x.service_id = v.id)),
