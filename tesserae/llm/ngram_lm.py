@@ -28,6 +28,7 @@ their shard, which a hash's highest bits choose: words by 48 further bits, conte
 from __future__ import annotations
 
 import mmap
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -298,6 +299,11 @@ def wide(b: bytes, bits: int = BITS) -> np.ndarray:
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Codes, few of which are frequent, as they travel."""
+    return zlib.compress(codes.tobytes(), 1)
+
+
 def _small(n: np.ndarray) -> bytes:
     """Counts in the fewest bytes; the first byte tells how many."""
     kind = next(k for k in (np.uint8, np.uint32, np.uint64) if not len(n) or n.max() <= np.iinfo(k).max)
@@ -339,8 +345,8 @@ def _answers(rows: pd.DataFrame) -> pd.DataFrame:
     probs = trie.find(np.repeat(c, np.concatenate(many)), np.concatenate(w))
     cut = lambda x, parts: np.split(x, np.cumsum([len(p) for p in parts])[:-1])
     return pd.DataFrame({
-        "chunk": rows["chunk"].to_numpy(), "shard": rows["shard"].to_numpy(), "word_n": [_small(x) for x in cut(own, words)], "left": [x.tobytes() for x in cut(left, context)],
-        "counts": [x.tobytes() for x in cut(count, context)], "probs": [x.tobytes() for x in cut(probs, w)], "n_total": int(total.sum()), "n_distinct": len(word),
+        "chunk": rows["chunk"].to_numpy(), "shard": rows["shard"].to_numpy(), "word_n": [_small(x) for x in cut(own, words)], "left": [_packed(x) for x in cut(left, context)],
+        "counts": [_packed(x) for x in cut(count, context)], "probs": [_packed(x) for x in cut(probs, w)], "n_total": int(total.sum()), "n_distinct": len(word),
     })
 
 
@@ -369,7 +375,7 @@ def scored(docs: DataFrame, chunk_bytes: int | None = None) -> DataFrame:
     def score(pdf, got):
         asked = Asked(_texts(pdf), shards)
         got = got.sort_values("shard")
-        code = lambda name: np.frombuffer(b"".join(got[name]), np.uint8)
+        code = lambda name: np.frombuffer(b"".join(map(zlib.decompress, got[name])), np.uint8)
         c = np.concatenate([_large(x) for x in got["word_n"]])[asked.word_of]
         total, distinct = int(got["n_total"].sum()), int(got["n_distinct"].sum())
         single = (c + 1) / (total + distinct + 1)
