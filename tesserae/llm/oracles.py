@@ -1,4 +1,4 @@
-"""DuckDB SQL that says what two of the operators return."""
+"""DuckDB SQL that says what some of the operators return."""
 
 from __future__ import annotations
 
@@ -48,3 +48,24 @@ g AS (SELECT x, y, n / sum(n) OVER (PARTITION BY x) AS wt, n / sum(n) OVER (PART
 z AS (SELECT * FROM s{url_graph.ROUNDS})
 SELECT page_id, v.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(z.d, 0) > coalesce(z.t, 0) THEN 'block' ELSE 'allow' END) AS verdict FROM v LEFT JOIN z ON z.host = v.host
 """
+
+
+def divergence_sql(min_docs: int = 10, top: int = 10) -> str:
+    p = "1 + (1000000000::HUGEINT * ({n} + 2)) // ({mass} + 2 * v)"
+    gap = "CAST((({a} - {b}) * ({a} - {b})) // ({a} + {b}) AS BIGINT)"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS (SELECT k, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), '{_UPPER}', '{_LOWER}') AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM t GROUP BY 1, 2 HAVING count(DISTINCT k) >= {min_docs}),
+l AS (SELECT lang, sum(total) AS lang_mass, count(*) AS v FROM kept GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+m AS (SELECT lang, source, sum(n) AS mass FROM c GROUP BY 1, 2),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, kept.term, coalesce(n, 0) AS n, total, {p.format(n="coalesce(n, 0)", mass="coalesce(mass, 0)")} AS p, {p.format(n="total", mass="lang_mass")} AS q
+  FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN m USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum({gap.format(a="a.p", b="b.p")}) AS BIGINT) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, {gap.format(a="p", b="q")} FROM s WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r)
+SELECT * FROM o WHERE part = 'pair' OR rank <= {top}
+"""
