@@ -69,3 +69,22 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.valu
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r)
 SELECT * FROM o WHERE part = 'pair' OR rank <= {top}
 """
+
+
+def collocation_sql(threshold: int = 100, longest: int = 5, share: int = 100, first: int = 2000) -> str:
+    return rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY 1),
+g AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, range(1, {longest + 1}) AS r(k)),
+f AS (SELECT lang, w[i : i + k - 1] AS ws, count(*) AS a FROM g GROUP BY 1, 2 HAVING count(*) >= {threshold}),
+e AS (SELECT lang, array_to_string(ws, ' ') AS phrase, ws, a FROM f),
+s AS (SELECT lang, ws, a, unnest(flatten(list_transform(range(2, len(ws)), lambda n: list_transform(range(1, len(ws) - n + 2), lambda i: ws[i : i + n - 1])))) AS ins FROM e WHERE len(ws) > 2),
+m AS (SELECT lang, ins, max(a) AS longer FROM s GROUP BY 1, 2),
+c AS (SELECT e.*, unnest(range(1, len(e.ws))) AS k FROM e LEFT JOIN m ON m.lang = e.lang AND m.ins = e.ws WHERE len(e.ws) > 1 AND (longer IS NULL OR 100 * longer < {share} * e.a)),
+x AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, n, CAST((c.a::HUGEINT * n * 1000) // (l.a::HUGEINT * r.a) AS BIGINT) AS score, k
+  FROM c JOIN e l ON l.lang = c.lang AND l.ws = c.ws[1 : k] JOIN e r ON r.lang = c.lang AND r.ws = c.ws[k + 1 :] JOIN t ON t.lang = c.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS o FROM x),
+z AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b WHERE o = 1)
+SELECT * FROM z WHERE rank <= {first}
+"""
