@@ -97,6 +97,11 @@ class Words:
         return b" ".join(self.raw[a:b] for a, b in zip(self.start[first : first + n].tolist(), self.end[first : first + n].tolist(), strict=True))
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where a value begins in a sorted array."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+
+
 def _batches(frames, checked: bool = False):
     """Words of about TOKENS words at a time (6 bytes each)."""
     langs, texts, size = [], [], 0
@@ -130,7 +135,7 @@ def merged(keys: list, counts: list, capacity: int) -> tuple[np.ndarray, np.ndar
     key, count = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key, kind="stable")
     key, count = key[order], count[order]
-    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    new = _firsts(key)
     key, count = key[new], np.add.reduceat(count, new) if len(new) else count
     if len(key) <= capacity:
         return key, count, 0
@@ -151,11 +156,13 @@ def summaries(docs: DataFrame, longest: int, bits: int) -> DataFrame:
             key = np.concatenate([h for _, _, h in words.grams(longest, words.hash)] or [np.zeros(0, np.uint64)])
             key >>= np.uint64(64 - WIDTH - bits)
             key.sort()
-            new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+            new = _firsts(key)
             count, key = np.diff(np.append(new, len(key))), key[new]
             part = (key >> np.uint64(WIDTH)).astype(np.int64)
-            cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
-            rows = [(int(part[a]), int(b - a), int(count[a:b].sum()), packed((key[a:b] & np.uint64(2**WIDTH - 1)).astype(np.uint32), count[a:b])) for a, b in zip(cut, np.append(cut[1:], len(part)), strict=True)]
+            own = (key & np.uint64(2**WIDTH - 1)).astype(np.uint32)
+            cut = _firsts(part).tolist()
+            spans = zip(cut, [*cut[1:], len(part)], strict=False)
+            rows = [(int(part[a]), b - a, int(count[a:b].sum()), packed(own[a:b], count[a:b])) for a, b in spans if b > a]
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["part", "n_keys", "mass", "keys"])
 
@@ -208,7 +215,7 @@ def _grouped(words: Words, n: int, first: np.ndarray, hashed: np.ndarray, check:
     """(first word of one, number) of each n-gram; None if the two hashes disagree."""
     order = np.argsort(hashed, kind="stable")
     hashed, check, first = hashed[order], check[order], first[order]
-    new = np.flatnonzero(np.concatenate(([True], hashed[1:] != hashed[:-1]))) if len(hashed) else np.zeros(0, np.int64)
+    new = _firsts(hashed)
     many = np.diff(np.append(new, len(hashed)))
     if (check != np.repeat(check[new], many)).any():
         return None

@@ -89,6 +89,12 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesserae.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesserae.llm import divergence
 
@@ -96,7 +102,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_url_filter": op3_url_filter, "op4_source_mixing": op4_source_mixing, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op7_exact_topk": op7_exact_topk, "op10_quality": op10_quality, "op8_sentencepiece": op8_sentencepiece, "op9_lm_scores": op9_lm_scores, "op11_phrases": op11_phrases, "op13_divergence": op13_divergence}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_ngram_jaccard": op2_ngram_jaccard, "op3_url_filter": op3_url_filter, "op4_source_mixing": op4_source_mixing, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op7_exact_topk": op7_exact_topk, "op10_quality": op10_quality, "op8_sentencepiece": op8_sentencepiece, "op9_lm_scores": op9_lm_scores, "op11_phrases": op11_phrases, "op12_licenses": op12_licenses, "op13_divergence": op13_divergence}
 
 
 def oracle_sql() -> dict:
