@@ -44,13 +44,12 @@ def ring_contains(ring, x, y) -> Column:
     return F.aggregate(_edges(ring), F.lit(False), lambda acc, e: acc != F.coalesce(crosses(e), F.lit(False)))
 
 
-def ring_meets_rect(ring, x0, y0, x1, y1) -> Column:
-    """A polygon and a rectangle share a point: a vertex inside, a corner inside, or edges that cross."""
+def edges_meet_rect(ring, x0, y0, x1, y1) -> Column:
+    """An edge of the ring has a point in the closed rectangle."""
     ring, x0, y0, x1, y1 = (col(v) for v in (ring, x0, y0, x1, y1))
-    vertex = F.exists(ring, lambda p: p["x"].between(x0, x1) & p["y"].between(y0, y1))
 
     def cuts(e):
-        """An edge meets the rectangle: its parameter range inside both slabs is not empty (Liang-Barsky)."""
+        """The edge's parameter range inside both slabs is not empty (Liang-Barsky)."""
         p, dx, dy = e["p"], e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
         tx = [F.try_divide(v - p["x"], dx) for v in (x0, x1)]
         ty = [F.try_divide(v - p["y"], dy) for v in (y0, y1)]
@@ -58,7 +57,14 @@ def ring_meets_rect(ring, x0, y0, x1, y1) -> Column:
         high = F.least(F.lit(1.0), F.greatest(*tx), F.greatest(*ty))
         return (low <= high) & ((dx != 0) | p["x"].between(x0, x1)) & ((dy != 0) | p["y"].between(y0, y1))
 
-    return vertex | ring_contains(ring, x0, y0) | F.exists(_edges(ring), cuts)
+    return F.exists(_edges(ring), cuts)
+
+
+def ring_meets_rect(ring, x0, y0, x1, y1) -> Column:
+    """A polygon and a rectangle share a point: a vertex inside, a corner inside, or edges that cross."""
+    ring, x0, y0, x1, y1 = (col(v) for v in (ring, x0, y0, x1, y1))
+    vertex = F.exists(ring, lambda p: p["x"].between(x0, x1) & p["y"].between(y0, y1))
+    return vertex | ring_contains(ring, x0, y0) | edges_meet_rect(ring, x0, y0, x1, y1)
 
 
 def rect_ring(minx, miny, maxx, maxy) -> Column:

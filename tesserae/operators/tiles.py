@@ -104,8 +104,12 @@ def request_layers(tiles: DataFrame, footprints: DataFrame) -> DataFrame:
 
 
 def styled(pixels: DataFrame, value: str = "v", colormap: str = "grayscale", by: tuple = ("z", "x", "y"), entries: list | None = None) -> DataFrame:
-    """Normalised per tile and coloured: r, g, b, a per pixel."""
-    t = pixels.withColumn("_t", pixel.normalise(value, list(by)))
+    """Normalised per tile and coloured: r, g, b, a per pixel.
+
+    Normalised values are rounded to nine digits before they get a colour, so that one that lies half way between two
+    colours but for the last bit of a double gets the same one whatever the order of the arithmetic.
+    """
+    t = pixels.withColumn("_t", F.round(pixel.normalise(value, list(by)), 9))
     return t.withColumn("_c", pixel.colormap("_t", colormap, entries)).select(*by, "idx", *[F.col(f"_c.{k}").alias(k) for k in "rgba"])
 
 

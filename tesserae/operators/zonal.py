@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions import spatial
 from tesserae.functions.pixel import finite
 from tesserae.operators import ranges
 
@@ -22,15 +21,18 @@ def overall(samples: DataFrame, value: str = "value", by: list[str] | None = Non
 
 
 def by_zone(points: DataFrame, zones: DataFrame, value: str = "value") -> DataFrame:
-    """Statistics of the points (lon, lat, value) in each zone, repeated ones as often as they are; zones have a box and optionally a ring.
+    """Statistics of the points (lon, lat, value) in each zone, repeated ones as often as they are; zones have a box or a ring.
 
     Without a ring a zone's west and south borders belong to it and the others do not, so that zones that share a border
     share no point.
     """
-    p = points.withColumns({"minx": F.col("lon").cast("double"), "maxx": F.col("lon").cast("double"), "miny": F.col("lat").cast("double"), "maxy": F.col("lat").cast("double")})
-    pairs = ranges.rect_join(p, zones)
-    inside = spatial.ring_contains("ring", "lon", "lat") if "ring" in zones.columns else (F.col("lon") >= F.col("minx")) & (F.col("lon") < F.col("maxx")) & (F.col("lat") >= F.col("miny")) & (F.col("lat") < F.col("maxy"))
-    found = pairs.where(inside).groupBy("zone_id").agg(*statistics(value))
+    if "ring" in zones.columns:
+        pairs = ranges.points_in_polygons(points, zones.select("zone_id", "ring"))
+    else:
+        p = points.withColumns({"minx": F.col("lon").cast("double"), "maxx": F.col("lon").cast("double"), "miny": F.col("lat").cast("double"), "maxy": F.col("lat").cast("double")})
+        west_south = (F.col("lon") >= F.col("minx")) & (F.col("lon") < F.col("maxx")) & (F.col("lat") >= F.col("miny")) & (F.col("lat") < F.col("maxy"))
+        pairs = ranges.rect_join(p, zones).where(west_south)
+    found = pairs.groupBy("zone_id").agg(*statistics(value))
     empty = {"count": F.lit(0).cast("long"), "sum": F.lit(0.0), "mean": F.lit(0.0)}
     return zones.select("zone_id").join(found, "zone_id", "left").select("zone_id", *[F.coalesce(F.col(c), empty[c]).alias(c) if c in empty else F.col(c) for c in ("count", "sum", "mean", "min", "max")])
 

@@ -135,11 +135,15 @@ def unique_slugs(s, d):
     return catalog.unique_slugs(c, view(s, d, "fx_services")).select("id", "base", "slug", "error")
 
 
-@query("""WITH n AS (SELECT s_suppkey + 5 AS id, lower(s_name) AS name FROM supplier), f AS (SELECT * FROM n WHERE id NOT IN (SELECT id FROM fx_services)),
-  g AS (SELECT id, trim(regexp_replace(regexp_replace(name, '[^a-z0-9_\\s-]', '', 'g'), '[-_\\s]+', '-', 'g'), '-') AS base FROM f)
-  SELECT id, CASE WHEN base IN (SELECT slug FROM fx_services UNION SELECT slug FROM fx_virtual) THEN concat(base, '-1') ELSE base END AS slug FROM g""")
+@query("""WITH n AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey + 5 ELSE 1000000000 + s_suppkey END AS id, concat('svc-', CAST(s_suppkey % 50 AS VARCHAR)) AS base FROM supplier),
+  g AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) AS k FROM n WHERE id NOT IN (SELECT id FROM fx_services)),
+  t AS (SELECT DISTINCT base, i, CASE WHEN i = 0 THEN base ELSE concat(base, '-', CAST(i AS VARCHAR)) END AS slug FROM g, range(51) AS r(i)),
+  f AS (SELECT base, slug, row_number() OVER (PARTITION BY base ORDER BY i) AS k FROM t WHERE slug NOT IN (SELECT slug FROM fx_services UNION SELECT slug FROM fx_virtual WHERE deleted_at IS NULL))
+  SELECT g.id, f.slug FROM g LEFT JOIN f ON f.base = g.base AND f.k = g.k""")
 def created_services(s, d):
-    new = view(s, d, "supplier").select((F.col("s_suppkey") + 5).alias("id"), F.lower("s_name").alias("name"))
+    """A third of the ids exist already; of the others many want slugs that are taken, or the same one."""
+    k = F.col("s_suppkey")
+    new = view(s, d, "supplier").select(F.when(k % 3 == 0, k + 5).otherwise(k + 1_000_000_000).alias("id"), F.concat(F.lit("SVC _"), (k % 50).cast("string")).alias("name"))
     return catalog.create_services(new, view(s, d, "fx_services"), view(s, d, "fx_virtual")).select("id", "slug")
 
 
@@ -199,14 +203,16 @@ def deleted_scenes(s, d):
 GONE = "SELECT id AS service_id FROM fx_services WHERE id % 3 = 0"
 
 
-@query(f"""WITH g AS ({GONE}) SELECT 'service' AS what, count(*) AS n FROM (SELECT service_id FROM fx_service_deletions UNION SELECT service_id FROM g)
-  UNION ALL SELECT 'scene', count(*) FROM (SELECT scene_id FROM fx_scene_deletions UNION SELECT f.scene_id FROM fx_footprints f JOIN g ON g.service_id = f.service_id)
-  UNION ALL SELECT 'virtual', count(*) FROM fx_virtual v WHERE v.deleted_at IS NOT NULL OR coalesce(v.parent_service_id, v.service_id) IN (SELECT service_id FROM g)""")
+@query(f"""WITH g AS ({GONE}), n AS (SELECT TIMESTAMP '2024-02-01 00:00:00' AS t),
+  s AS (SELECT service_id, deleted_at FROM fx_service_deletions), f AS (SELECT scene_id, deleted_at FROM fx_scene_deletions)
+  SELECT 'service' AS what, service_id AS id, deleted_at FROM s UNION ALL SELECT 'service', service_id, t FROM g, n WHERE service_id NOT IN (SELECT service_id FROM s)
+  UNION ALL SELECT 'scene', scene_id, deleted_at FROM f UNION ALL SELECT DISTINCT 'scene', p.scene_id, t FROM fx_footprints p JOIN g ON g.service_id = p.service_id, n WHERE p.scene_id NOT IN (SELECT scene_id FROM f)
+  UNION ALL SELECT 'virtual', v.id, CASE WHEN v.deleted_at IS NULL AND coalesce(v.parent_service_id, v.service_id) IN (SELECT service_id FROM g) THEN t ELSE v.deleted_at END FROM fx_virtual v, n""")
 def deleted_services(s, d):
     ids = view(s, d, "fx_services").where("id % 3 = 0").select(F.col("id").alias("service_id"))
     a, b, c = catalog.delete_services(ids, view(s, d, "fx_footprints"), view(s, d, "fx_virtual"), *_tombs(s, d), datetime(2024, 2, 1))
-    n = lambda df, w: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(w).alias("what"), "n")
-    return n(a, "service").union(n(b.select("scene_id").distinct(), "scene")).union(n(c.where("deleted_at IS NOT NULL"), "virtual"))
+    rows = lambda df, what, key: df.select(F.lit(what).alias("what"), F.col(key).cast("long").alias("id"), "deleted_at")
+    return rows(a, "service", "service_id").union(rows(b, "scene", "scene_id")).union(rows(c, "virtual", "id"))
 
 
 DUE = "SELECT scene_id, deleted_at FROM fx_scene_deletions WHERE deleted_at + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20 00:00:00' ORDER BY deleted_at, scene_id LIMIT 20"
@@ -217,14 +223,17 @@ def purge_selection(s, d):
     return catalog.purgeable(view(s, d, "fx_scene_deletions"), datetime(2024, 1, 20)).select("scene_id", "deleted_at")
 
 
-@query(f"""WITH g AS (SELECT scene_id FROM ({DUE})) SELECT 'footprints' AS what, count(*) AS n FROM fx_footprints WHERE scene_id NOT IN (SELECT scene_id FROM g)
-  UNION ALL SELECT 'assets', count(*) FROM fx_assets WHERE scene_id NOT IN (SELECT scene_id FROM g) UNION ALL SELECT 'stamped', count(*) FROM g UNION ALL SELECT 'objects', count(*) FROM fx_assets WHERE scene_id IN (SELECT scene_id FROM g)""")
+@query(f"""WITH g AS (SELECT scene_id FROM ({DUE})) SELECT 'footprint' AS what, CAST(scene_id AS VARCHAR) AS name FROM fx_footprints WHERE scene_id NOT IN (SELECT scene_id FROM g)
+  UNION ALL SELECT 'asset', concat(scene_id, '/', band_role) FROM fx_assets WHERE scene_id NOT IN (SELECT scene_id FROM g) UNION ALL SELECT 'stamped', CAST(scene_id AS VARCHAR) FROM g
+  UNION ALL SELECT 'object', concat('s3://b/', scene_id, '/', band_role) FROM fx_assets WHERE scene_id IN (SELECT scene_id FROM g)""")
 def purged(s, d):
-    assets = view(s, d, "fx_assets").withColumn("storage_uri", F.concat(F.lit("s3://b/"), F.col("scene_id").cast("string"), F.lit("/"), F.col("band_role")))
+    own = F.concat_ws("/", F.col("scene_id").cast("string"), "band_role")
+    assets = view(s, d, "fx_assets").withColumn("storage_uri", F.concat(F.lit("s3://b/"), own))
     t = view(s, d, "fx_scene_deletions")
     kept, stamped, uris = catalog.purge(catalog.purgeable(t, datetime(2024, 1, 20)), {"footprints": view(s, d, "fx_footprints"), "assets": assets}, assets, t, datetime(2024, 1, 20))
-    n = lambda df, w: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(w).alias("what"), "n")
-    return n(kept["footprints"], "footprints").union(n(kept["assets"], "assets")).union(n(stamped.where("purged_at IS NOT NULL"), "stamped")).union(n(uris, "objects"))
+    rows = lambda df, what, name: df.select(F.lit(what).alias("what"), name.cast("string").alias("name"))
+    out = rows(kept["footprints"], "footprint", F.col("scene_id")).union(rows(kept["assets"], "asset", own))
+    return out.union(rows(stamped.where("purged_at IS NOT NULL"), "stamped", F.col("scene_id"))).union(rows(uris, "object", F.col("storage_uri")))
 
 
 TILE_BOX = """SELECT z, x, y, x * 360.0 / 8 - 180 AS a, (x + 1) * 360.0 / 8 - 180 AS c, degrees(2 * atan(exp(pi() * (1 - 2 * (y + 1) / 8.0))) - pi() / 2) AS b, degrees(2 * atan(exp(pi() * (1 - 2 * y / 8.0))) - pi() / 2) AS e FROM fx_tiles"""

@@ -157,6 +157,18 @@ def zone_statistics(s, d):
     return _rounded(zonal.by_zone(view(s, d, "fx_points"), view(s, d, "fx_zones")), "zone_id")
 
 
+@query("""WITH z AS (SELECT zone_id, minx + 36 AS cx, miny + 18 AS cy FROM fx_zones), p AS (SELECT CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat, CAST(value AS DOUBLE) AS value FROM fx_points)
+  SELECT zone_id, count(value) AS n, round(coalesce(sum(value), 0), 4) AS total, min(value) AS low, max(value) AS high FROM z LEFT JOIN p ON abs(lon - cx) * 17.993 + abs(lat - cy) * 35.987 < 35.987 * 17.993 GROUP BY zone_id""")
+def polygon_statistics(s, d):
+    """Zones as rings of four corners."""
+    z = view(s, d, "fx_zones").select("zone_id", (F.col("minx") + 36).cast("double").alias("x"), (F.col("miny") + 18).cast("double").alias("y"))
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    ring = F.array(*[corner(dx, dy) for dx, dy in ((-35.987, 0), (0, 17.993), (35.987, 0), (0, -17.993), (-35.987, 0))])
+    got = zonal.by_zone(view(s, d, "fx_points"), z.select("zone_id", ring.alias("ring")))
+    return got.select("zone_id", F.col("count").alias("n"), F.round("sum", 4).alias("total"), F.col("min").alias("low"), F.col("max").alias("high"))
+
+
+
 @query("SELECT vec_id, len(embedding) AS count, round(list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS mean FROM embeddings")
 def mean_values(s, d):
     return zonal.means(view(s, d, "embeddings").withColumnRenamed("embedding", "values")).select("vec_id", F.col("count").cast("long").alias("count"), F.round("mean", 6).alias("mean"))

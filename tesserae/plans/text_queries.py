@@ -170,11 +170,12 @@ def crs_definitions(s, d):
     return view(s, d, "supplier").select("s_suppkey", crs.crs_text(keys).alias("crs"))
 
 
-@query("SELECT point_id, CASE WHEN lon + 2 > 180 OR lat + 1 > 90 THEN NULL ELSE 5 END AS n FROM fx_points")
+@query("""WITH p AS (SELECT point_id, CAST(lon AS DOUBLE) AS x, CAST(lat AS DOUBLE) AS y FROM fx_points), c AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS i FROM p WHERE x + 2 <= 180 AND y + 1 <= 90)
+  SELECT point_id, i, x + CASE WHEN i IN (1, 2) THEN 2 ELSE 0 END AS x, y + CASE WHEN i IN (2, 3) THEN 1 ELSE 0 END AS y FROM c UNION ALL SELECT point_id, NULL, NULL, NULL FROM p WHERE x + 2 > 180 OR y + 1 > 90""")
 def footprint_rings(s, d):
     at = lambda dx, dy: F.struct((F.col("lon") + dx).cast("double").alias("x"), (F.col("lat") + dy).cast("double").alias("y"))
     r = crs.footprint_ring(F.array(at(0, 0), at(2, 0), at(2, 1), at(0, 1)))
-    return view(s, d, "fx_points").select("point_id", F.when(r.isNotNull(), F.size(r)).alias("n"))
+    return view(s, d, "fx_points").select("point_id", F.posexplode_outer(r).alias("i", "p")).select("point_id", "i", "p.x", "p.y")
 
 
 @query("""SELECT point_id, c0, r0, c1, r1 FROM (SELECT point_id, CAST(least(greatest(floor(lon), 0), 100) AS INT) AS c0, CAST(least(greatest(floor(lat), 0), 50) AS INT) AS r0, CAST(least(greatest(ceil(lon + 20.5) + 1, 0), 100) AS INT) AS c1, CAST(least(greatest(ceil(lat + 10.5) + 1, 0), 50) AS INT) AS r1 FROM (SELECT point_id, CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat FROM fx_points)) WHERE c0 < c1 AND r0 < r1""")

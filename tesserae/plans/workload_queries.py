@@ -169,7 +169,7 @@ def job_documents(s, d):
 
 @query("""WITH j AS (SELECT DISTINCT user_id FROM events), p AS (SELECT user_id AS job_id, CASE user_id % 5 WHEN 0 THEN 0 ELSE user_id % 2 + 1 END AS band, user_id % 3 = 0 AS listed FROM j)
   SELECT job_id, CASE WHEN NOT listed AND band = 0 THEN 'band must be a positive band index' END AS error, CASE WHEN listed THEN 2 WHEN band > 0 THEN (SELECT count(value) FROM events e WHERE e.user_id = p.job_id AND e.event_id % 2 + 1 = band) END AS n,
-  CASE WHEN listed THEN job_id + 0.5 WHEN band > 0 THEN coalesce((SELECT round(avg(value), 3) FROM events e WHERE e.user_id = p.job_id AND e.event_id % 2 + 1 = band), 0) END AS mean FROM p""")
+  CASE WHEN listed THEN job_id + 0.5 WHEN band > 0 THEN coalesce((SELECT round(avg(value), 9) FROM events e WHERE e.user_id = p.job_id AND e.event_id % 2 + 1 = band), 0) END AS mean FROM p""")
 def job_parameters(s, d):
     """Jobs of one process with other parameters: the band of a zonal job, listed values of a mean, and a band that cannot be."""
     u, e = F.col("user_id"), view(s, d, "events")
@@ -178,7 +178,7 @@ def job_parameters(s, d):
     jobs = e.select("user_id").distinct().select(u.alias("job_id"), F.when(u % 3 == 0, "mean_values").otherwise("zonal-stats").alias("process_id"), F.when(u % 3 == 0, values).otherwise(band).alias("params_json"))
     r = models.run_jobs(jobs, e.select(u.alias("job_id"), (F.col("event_id") % 2 + 1).cast("int").alias("band"), "value"))
     number = lambda name: F.get_json_object("document", f"$.{name}")
-    return r.select("job_id", "error", number("count").cast("long").alias("n"), F.round(number("mean").cast("double"), 3).alias("mean"))
+    return r.select("job_id", "error", number("count").cast("long").alias("n"), F.round(number("mean").cast("double"), 9).alias("mean"))
 
 
 @query("SELECT s_suppkey AS job_id, CASE WHEN s_suppkey % 2 = 0 THEN 'custom' ELSE 'builtin' END AS origin FROM supplier")
@@ -232,11 +232,11 @@ def due_tiles(s, d):
     return feeds.due_tiles(t.union(t), done, datetime(2024, 1, 1, 11)).select("z", "x", "y")
 
 
-@query("SELECT count(*) AS n FROM fx_footprints WHERE scene_id NOT IN (SELECT scene_id FROM fx_scene_deletions WHERE deleted_at + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20 00:00:00' ORDER BY deleted_at, scene_id LIMIT 20)")
+@query("SELECT scene_id, service_id FROM fx_footprints WHERE scene_id NOT IN (SELECT scene_id FROM fx_scene_deletions WHERE deleted_at + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20 00:00:00' ORDER BY deleted_at, scene_id LIMIT 20)")
 def purge_tick(s, d):
     assets = view(s, d, "fx_assets").withColumn("storage_uri", F.lit("s3://b/k"))
     kept, _, _ = feeds.purge_tick(view(s, d, "fx_scene_deletions"), {"footprints": view(s, d, "fx_footprints")}, assets, datetime(2024, 1, 20))
-    return kept["footprints"].agg(F.count(F.lit(1)).alias("n"))
+    return kept["footprints"].select("scene_id", "service_id")
 
 
 @query("SELECT count(*) AS n, round(sum(minx), 2) AS west FROM fx_footprints WHERE maxx >= -10 AND minx <= 10 AND maxy >= -10 AND miny <= 10")

@@ -45,6 +45,51 @@ def test_rect_join_against_brute_force(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_candidates_are_a_small_multiple_of_the_pairs(spark):
+    """Also where all boxes lie in one place, where sizes differ a thousandfold, and for ten times the rows."""
+    r = random.Random(3)
+
+    def table(name, n, sizes, spread):
+        rows = []
+        for i in range(n):
+            x, y, s = r.uniform(-spread, spread), r.uniform(-spread, spread) / 2, r.choice(sizes)
+            rows.append((i, x, y, x + s, y + s))
+        return spark.createDataFrame(rows, f"{name} int, {BOX}")
+
+    for sizes, spread in (([2.0], 150), ([0.02, 20.0], 100), ([0.001], 0.05)):
+        for n in (300, 3000):
+            points, boxes_ = table("p", n, [0.0], spread), table("q", n, sizes, spread)
+            found, tried = ranges.rect_join(points, boxes_).count(), ranges.candidates(points, boxes_).count()
+            assert tried <= 16 * found + 300, (sizes, n, tried, found)
+            keys = ranges.candidates(boxes_, boxes_.withColumnRenamed("q", "o")).groupBy("met").count().collect()
+            assert sum(k["count"] for k in keys) <= 16 * ranges.rect_join(boxes_, boxes_.withColumnRenamed("q", "o")).count() + 300
+
+
+def test_polygons_test_only_points_near_their_border(spark):
+    r = random.Random(8)
+    points = [(i, r.uniform(-180, 180), r.uniform(-90, 90)) for i in range(4000)] + [(4000, 0.0, 0.0), (4001, None, 1.0)]
+    rings = []
+    for z in range(12):
+        x, y, s = r.uniform(-120, 120), r.uniform(-50, 50), r.choice([3, 30, 60])
+        corners = [(x + s * r.uniform(0.6, 1) * np.cos(a), y + s / 2 * r.uniform(0.6, 1) * np.sin(a)) for a in np.linspace(0, 2 * np.pi, r.choice([3, 5, 24]), endpoint=False)]
+        rings.append((z, [(float(a), float(b)) for a, b in [*corners, corners[0]]]))
+
+    def holds(ring, x, y):
+        return sum((p[1] > y) != (q[1] > y) and x < p[0] + (y - p[1]) * (q[0] - p[0]) / (q[1] - p[1]) for p, q in zip(ring, ring[1:], strict=False)) % 2 == 1
+
+    p = spark.createDataFrame(points, "p int, lon double, lat double")
+    z = spark.createDataFrame([*rings, (99, None)], "zone_id int, ring array<struct<x:double,y:double>>")
+    want = sorted((i, k) for i, x, y in points if x is not None for k, ring in rings if holds(ring, x, y))
+    assert sorted((x.p, x.zone_id) for x in ranges.points_in_polygons(p, z).collect()) == want
+    cover = ranges.polygon_cover(z)
+    tested = ranges.points_in_polygons(p, z.where("zone_id < 0")).count() + sum(
+        1 for c in cover.where("NOT inside").collect() for i, x, y in points if x is not None
+        and c.cx == (x + 180) * 2**c.level // 360 and c.cy == (y + 180) * 2**c.level // 360)
+    assert len(want) > 300 and tested < 0.75 * len(want)
+    stats = zonal.by_zone(p.withColumn("value", F.lit(1.0)), z)
+    assert {r.zone_id: r["count"] for r in stats.collect()} == {**{k: sum(w[1] == k for w in want) for k, _ in rings}, 99: 0}
+
+
 def test_zones_count_repeated_samples(spark):
     points = spark.createDataFrame([(1, 1.0, 1.0, 2.0), (1, 1.0, 1.0, 4.0), (2, 10.0, 1.0, 9.0), (3, 0.0, 0.0, 1.0)], "point_id int, lon double, lat double, value double")
     zones = spark.createDataFrame([(7, 0.0, 0.0, 10.0, 10.0), (8, 10.0, 0.0, 20.0, 10.0), (9, 50.0, 50.0, 60.0, 60.0)], f"zone_id int, {BOX}")
