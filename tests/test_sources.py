@@ -102,6 +102,110 @@ def test_binary_files(spark, tmp_path):
     assert len(got) == 1 and got[0].uri.endswith("a.tif") and len(got[0].content) <= geotiff.HEADER_BYTES
 
 
+def big_tiff(pixels, tile=16):
+    """The same as a big TIFF, little-endian."""
+    h, w, bands = pixels.shape
+    chunks = [np.ascontiguousarray(np.pad(pixels[y : y + tile, x : x + tile], ((0, max(0, y + tile - h)), (0, max(0, x + tile - w)), (0, 0)))).tobytes() for y in range(0, h, tile) for x in range(0, w, tile)]
+    body, offsets = bytearray(16), []
+    for c in chunks:
+        offsets.append(len(body))
+        body += c
+    tags = {256: (4, [w]), 257: (4, [h]), 258: (3, [pixels.dtype.itemsize * 8]), 259: (3, [1]), 277: (3, [bands]), 322: (3, [tile]), 323: (3, [tile]), 324: (16, offsets), 325: (16, [len(c) for c in chunks]), 339: (3, [3])}
+    placed = {}
+    for t, (k, v) in tags.items():
+        data = struct.pack("<" + {3: "H", 4: "I", 16: "Q"}[k] * len(v), *v)
+        placed[t] = data.ljust(8, b"\0") if len(data) <= 8 else struct.pack("<Q", len(body))
+        body += data if len(data) > 8 else b""
+    at = len(body)
+    body += struct.pack("<Q", len(tags)) + b"".join(struct.pack("<HHQ", t, k, len(v)) + placed[t] for t, (k, v) in sorted(tags.items())) + bytes(8)
+    body[:16] = b"II+\0" + struct.pack("<HHQ", 8, 0, at)
+    return bytes(body)
+
+
+def test_ranges_give_the_same_chips_as_whole_files(spark, tmp_path, monkeypatch):
+    r = np.random.default_rng(1)
+    (tmp_path / "deep").mkdir()
+    for i in range(5):
+        a = r.integers(0, 200, (40 + i, 50, 1 + i % 3)).astype(("u1", "f4")[i % 2])
+        (tmp_path / "deep" / f"{i}.tif").write_bytes(tiff(a, "<>"[i % 2], deflate=i > 2, predictor=i == 3))
+    (tmp_path / "big.tif").write_bytes(big_tiff(r.random((40, 50, 2)).astype("f4")))
+    (tmp_path / "note.txt").write_text("no raster")
+    whole = geotiff.chips(geotiff.files(spark, f"{tmp_path}/*").unionByName(geotiff.files(spark, f"{tmp_path}/deep")).where("uri LIKE '%.tif'").dropDuplicates(["uri"]), nodata=7)
+    monkeypatch.setattr(geotiff, "TASK_BYTES", 4096)
+    index = geotiff.scan(spark, str(tmp_path), "index", "*.tif")
+    ranged = geotiff.read_chips(index, nodata=7)
+    key = lambda x: (x.asset_id.split("/")[-1], x.band, x.chip_x, x.chip_y)
+    rows = lambda df: sorted((*key(x), x.w, x.h, np.array(x.pixels, "f4").tobytes(), x.error) for x in df.collect())
+    assert rows(ranged) == rows(whole) and len(rows(whole)) > 100
+    # one file's chips are decoded in several tasks
+    assert ranged.rdd.getNumPartitions() > 5
+    one = geotiff.read_chips(index.where("uri LIKE '%big.tif'")).withColumn("task", F.spark_partition_id())
+    assert one.select("task").distinct().count() > 3
+
+
+def test_a_file_of_more_than_two_gigabytes(spark, tmp_path):
+    """Only the ranges that are asked for are read: head, tables and chips, of a sparse file."""
+    a = (np.arange(64 * 64).reshape(64, 64, 1) % 251).astype("u1")
+    data = bytearray(tiff(a, tile=16))
+    (at,) = struct.unpack_from("<I", data, 4)
+    (n,) = struct.unpack_from("<H", data, at)
+    far = 2_500_000_000
+    for i in range(n):  # the chips move behind two and a half gigabytes
+        tag, _, count, where = struct.unpack_from("<HHII", data, at + 2 + 12 * i)
+        if tag == 324:
+            moved = [o + far for o in struct.unpack_from(f"<{count}I", data, where)]
+            old = struct.unpack_from(f"<{count}I", data, where)
+            struct.pack_into(f"<{count}I", data, where, *moved)
+    path = tmp_path / "large.tif"
+    with open(path, "wb") as f:
+        f.write(data)
+        for o in old:
+            f.seek(o + far)
+            f.write(data[o : o + 256])
+    assert path.stat().st_size > far
+    header = geotiff.scan(spark, str(path)).first()
+    assert (header.width, header.height, header.error) == (64, 64, None) and header.bytes_read <= 2 * geotiff.PAGE
+    index = geotiff.scan(spark, str(path), "index")
+    assert index.count() == 16 and index.agg(F.sum("n_bytes")).first()[0] == 64 * 64
+    got = {(r.row, r.col): r.v for r in geotiff.pixels(geotiff.read_chips(index), 16, 16).collect()}
+    assert got == {(y, x): float(a[y, x, 0]) for y in range(64) for x in range(64)}
+
+
+def test_every_odd_file_is_a_row(spark, tmp_path):
+    good = tiff((np.arange(1024) % 255).astype("u1").reshape(32, 32, 1))
+    r = np.random.default_rng(0)
+    names = {"good": good, "empty": b"", "short": good[:40], "text": b"II*\0 nothing else", "half": good[:-60], "cut": good[: len(good) // 2]}
+
+    def without(tag, value=None):
+        """The entry of a tag renamed, or with another value."""
+        out = bytearray(good)
+        (at,) = struct.unpack_from("<I", out, 4)
+        for i in range(struct.unpack_from("<H", out, at)[0]):
+            if struct.unpack_from("<H", out, at + 2 + 12 * i)[0] == tag:
+                struct.pack_into("<H" if value is None else "<I", out, at + 2 + 12 * i + (0 if value is None else 8), 65000 if value is None else value)
+        return bytes(out)
+
+    names |= {"no sizes": without(325), "no offsets": without(324), "zero bands": without(277, 0), "no width": without(256), "zero width": without(256, 0), "flat chips": without(323, 0), "codec": without(259, 5), "kind": without(339, 9), "vast": without(256, 2**31)}
+    for i in range(40):  # some bytes overwritten at random
+        odd = bytearray(good)
+        for k in r.integers(0, len(odd), 30) if i % 2 else r.integers(len(odd) - 260, len(odd), 6):
+            odd[k] = int(r.integers(0, 256))
+        names[f"noise {i}"] = bytes(odd)
+    for k, v in names.items():
+        (tmp_path / f"{k}.tif").write_bytes(v)
+    for rows in (geotiff.chips(files(spark, names)).collect(), geotiff.read_chips(geotiff.scan(spark, str(tmp_path), "index")).collect()):
+        by = {}
+        for x in rows:
+            by.setdefault(x.asset_id.split("/")[-1].removesuffix(".tif"), []).append(x)
+        assert set(by) == set(names) and all(x.error is None for x in by["good"]) and len(by["good"]) == 4
+        for k in names:
+            if k != "good" and not k.startswith("noise"):
+                assert any(x.error for x in by[k]), k
+            assert all((x.error is None) == (x.pixels is not None) for x in by[k])
+    heads = {x.uri.split("/")[-1].removesuffix(".tif"): x for x in geotiff.scan(spark, str(tmp_path)).collect()}
+    assert set(heads) == set(names) and heads["good"].width == 32 and heads["empty"].error and heads["text"].error
+
+
 def test_warp_of_a_plane(spark):
     """A raster whose value is its column stays linear in longitude after warping."""
     a = np.tile(np.arange(32, dtype="f4")[None, :, None], (32, 1, 1))
