@@ -5,8 +5,10 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,3 +160,39 @@ def chunks(ids, texts, limit: int = 4 << 20):
             keep_i, keep_t, size = [], [], 0
     if keep_i:
         yield keep_i, keep_t
+
+
+def filter_places(key: np.ndarray, size: int) -> np.ndarray:
+    """The bit of each key in a filter of 2^size bits."""
+    return mix(key) >> np.uint64(64 - size)
+
+
+def key_filter(keys: DataFrame, least: int = 20, most: int = 28) -> tuple[int, bytes]:
+    """The size and the compressed bits of a bitmap of keys (column key, 64 bits): 16 bits a key, 2^most at most.
+
+    It lets all keys pass and, up to 16 million keys, about one in sixteen others; with more keys more of the others pass, so
+    what is decided after it must not rest on it. The pages are made by Spark; the driver joins them, 32 MB at most.
+    """
+    size = min(most, max(least, (16 * keys.count()).bit_length()))
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"place": filter_places(pdf["key"].to_numpy(np.int64).view(np.uint64), size).astype(np.int64)})
+
+    placed = keys.select("key").mapInPandas(run, "place long")
+    pages = placed.groupBy(F.expr("place div 32768").alias("page")).agg(F.bitmap_construct_agg((F.col("place") % 32768).cast("long")).alias("bits")).collect()
+    out = bytearray(2**size // 8)
+    for p in pages:
+        out[p.page * 4096 : p.page * 4096 + 4096] = p.bits
+    return size, zlib.compress(bytes(out), 1)
+
+
+class KeyFilter:
+    """A key_filter() in a task."""
+
+    def __init__(self, size: int, packed: bytes):
+        self.size, self.bits = size, np.frombuffer(zlib.decompress(packed), np.uint8)
+
+    def passes(self, key: np.ndarray) -> np.ndarray:
+        place = filter_places(key.view(np.uint64), self.size)
+        return (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

@@ -8,7 +8,7 @@ all of them without a table of all n-grams:
    capacity a partition subtracts the count that brings it back there. The capacity exceeds SLACK times the partition's mass
    divided by the threshold, so that less than threshold / SLACK is ever subtracted: every frequent n-gram survives, with
    some that are not (their fingerprint is shared, or their count close to the threshold).
-2. Survivors are set in a bitmap, at most FILTER_MOST bits. Tasks count the n-grams that it lets pass by their words, and
+2. Survivors are set in a bitmap, at most 2^FILTER_MOST bits. Tasks count the n-grams that it lets pass by their words, and
    the exact counts decide. A fuller bitmap lets more pass and changes no result.
 
 Parts of a frequent phrase are frequent themselves, so that the table of frequent phrases holds all counts that scores and
@@ -25,7 +25,6 @@ an empty table gives an empty result; doc_id and other columns are not read.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -34,12 +33,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import Prefix, mix, stage, unstage
+from tesserae.llm.common import KeyFilter, Prefix, key_filter, mix, stage, unstage
 
 #: Words of a batch, bytes that are hashed at once, occurrences of a hash partition, entries of a task's counter.
-TOKENS, BUFFER, MASS, ENTRIES = 1_000_000, 1 << 20, 1 << 23, 400_000
-#: Capacity over mass / threshold; bits of a fingerprint within its partition; least and most bits of the filter.
-SLACK, WIDTH, FILTER_LEAST, FILTER_MOST = 8, 32, 20, 28
+TOKENS, BUFFER, MASS, ENTRIES = 400_000, 1 << 20, 1 << 23, 150_000
+#: Capacity over mass / threshold; bits of a fingerprint within its partition; the filter has 2^FILTER_MOST bits at most.
+SLACK, WIDTH, FILTER_MOST = 8, 32, 28
 _STEP = np.uint64(0x9FB21C651E98DF25)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -190,27 +189,6 @@ def survivors(summaries: DataFrame, threshold: int) -> DataFrame:
     return summaries.groupBy("part").applyInPandas(run, "key long")
 
 
-def _places(key: np.ndarray, size: int) -> np.ndarray:
-    return mix(key) >> np.uint64(64 - size)
-
-
-def filter_of(survivors: DataFrame) -> tuple[int, bytes]:
-    """Bits of the filter's size, and the filter itself, compressed: at most 2^FILTER_MOST bits."""
-    many = survivors.count()
-    size = min(FILTER_MOST, max(FILTER_LEAST, (16 * many).bit_length()))
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"place": _places(pdf["key"].to_numpy(np.int64).view(np.uint64), size).astype(np.int64)})
-
-    placed = survivors.mapInPandas(run, "place long")
-    pages = placed.groupBy(F.expr("place div 32768").alias("page")).agg(F.bitmap_construct_agg((F.col("place") % 32768).cast("long")).alias("bits")).collect()
-    out = bytearray(2**size // 8)
-    for p in pages:
-        out[p.page * 4096 : p.page * 4096 + 4096] = p.bits
-    return size, zlib.compress(bytes(out), 1)
-
-
 def _grouped(words: Words, n: int, first: np.ndarray, hashed: np.ndarray, check: np.ndarray) -> list[tuple[int, int]] | None:
     """(first word of one, number) of each n-gram; None if the two hashes disagree."""
     order = np.argsort(hashed, kind="stable")
@@ -222,11 +200,11 @@ def _grouped(words: Words, n: int, first: np.ndarray, hashed: np.ndarray, check:
     return list(zip(first[new].tolist(), many.tolist(), strict=True))
 
 
-def exact_counts(docs: DataFrame, longest: int, bits: int, size: int, packed_filter: bytes) -> DataFrame:
+def exact_counts(docs: DataFrame, longest: int, bits: int, given: tuple[int, bytes]) -> DataFrame:
     """lang, phrase, words and f of the n-grams that the filter lets pass, and of all words (phrase '', words 0)."""
 
     def run(frames):
-        bitmap = np.frombuffer(zlib.decompress(packed_filter), np.uint8)
+        likely = KeyFilter(*given)
         found: dict = {}
 
         def rows():
@@ -239,8 +217,7 @@ def exact_counts(docs: DataFrame, longest: int, bits: int, size: int, packed_fil
                 at = (words.names[k], b"", 0)
                 found[at] = found.get(at, 0) + n
             for (n, first, hashed), (_, _, check) in zip(words.grams(longest, words.hash), words.grams(longest, words.check), strict=True):
-                place = _places(hashed >> np.uint64(64 - WIDTH - bits), size)
-                passed = np.flatnonzero(bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                passed = np.flatnonzero(likely.passes(hashed >> np.uint64(64 - WIDTH - bits)))
                 first, hashed, check = first[passed], hashed[passed], check[passed]
                 groups = _grouped(words, n, first, hashed, check) or ((f, 1) for f in first.tolist())
                 for at, many in groups:
@@ -260,9 +237,9 @@ def frequent(docs: DataFrame, threshold: int = 100, longest: int = 5) -> DataFra
     bytes_ = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long")).alias("n")).first().n or 0
     bits = min(16, max(4, (longest * bytes_ // 6 // MASS).bit_length()))
     likely = stage(survivors(summaries(docs, longest, bits), threshold), "phrases-survivors")
-    size, packed_filter = filter_of(likely)
+    given = key_filter(likely, most=FILTER_MOST)
     unstage(likely)
-    counted = exact_counts(docs, longest, bits, size, packed_filter).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
+    counted = exact_counts(docs, longest, bits, given).groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
     return stage(counted.where((F.col("words") == 0) | (F.col("f") >= threshold)).withColumn("phrase", F.col("phrase").cast("string")), "phrases-frequent")
 
 
