@@ -7,8 +7,10 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tesserae.functions import crs, pixel, spatial
 from tesserae.operators import mosaic, ranges
@@ -80,20 +82,208 @@ def _inside(df: DataFrame) -> DataFrame:
     return df.where(inside).withColumns({"c": c, "r": r})
 
 
+_CHIP = ["asset_id", "band", "chip_x", "chip_y"]
+_WINDOW = ["z", "x", "y", "asset_id", "band"]
+_BLOCK = "row long, col long, rows long, cols long, values array<double>"
+#: Windows of one chip that are sampled in one task.
+WINDOWS = 256
+
+
+def _haloed(chips: DataFrame) -> DataFrame:
+    """Each chip under its own key, and its first column, first row and first pixel under the keys of the chips that need
+    them to its west, north and north-west: side 0 to 3."""
+    w, h = F.col("w"), F.col("h")
+    column = F.transform(F.sequence(F.lit(0), h - 1), lambda i: F.get("pixels", i * w))
+    sides = F.array(*[
+        F.struct(F.lit(k).alias("side"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), p.alias("pixels"))
+        for k, (dx, dy, p) in enumerate([(0, 0, F.col("pixels")), (1, 0, column), (0, 1, F.slice("pixels", 1, w)), (1, 1, F.slice("pixels", 1, 1))])
+    ])
+    long = chips.where("pixels IS NOT NULL AND w > 0 AND h > 0").withColumn("_s", F.explode(sides))
+    return long.select("asset_id", "band", (F.col("chip_x") - F.col("_s.dx")).alias("chip_x"), (F.col("chip_y") - F.col("_s.dy")).alias("chip_y"), "w", "h", F.col("_s.side").alias("side"), F.col("_s.pixels").alias("pixels"))
+
+
+def _source_grid(r, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Columns and rows in the source of a window's pixels: one of each per column and row where they do not depend on each
+    other, else one of each per pixel."""
+    span = 2 * spatial.HALF / 2.0**r.z
+    step = span / size
+    mx = -spatial.HALF + r.x * span + (np.arange(size) + 0.5) * step
+    my = spatial.HALF - r.y * span - (np.arange(size) + 0.5) * step
+    g = r.gt
+    det = g["pw"] * g["ph"] - g["rr"] * g["cr"]
+    easy = r.crs in ("EPSG:4326", "EPSG:3857")
+    if easy:
+        if r.crs == "EPSG:4326":
+            mx, my = np.degrees(mx / spatial.RADIUS), np.degrees(2 * np.arctan(np.exp(my / spatial.RADIUS)) - np.pi / 2)
+        if g["rr"] == 0 and g["cr"] == 0:
+            return (g["ph"] * (mx - g["ox"]) / det - 0.5)[None, :], (g["pw"] * (my - g["oy"]) / det - 0.5)[:, None]
+    x, y = np.broadcast_arrays(mx[None, :], my[:, None])
+    if not easy:
+        x, y = crs.transform("EPSG:3857", r.crs, x, y)
+    dx, dy = x - g["ox"], y - g["oy"]
+    with np.errstate(all="ignore"):
+        return (g["ph"] * dx - g["rr"] * dy) / det - 0.5, (g["pw"] * dy - g["cr"] * dx) / det - 0.5
+
+
+def _block(r, size: int, chip: np.ndarray, left: int, top: int, w: int, h: int):
+    """(row, col, samples) of the part of a window that lies on one chip; chip has a column and a row more than w and h."""
+    c, row = _source_grid(r, size)
+    good = np.isfinite(c) & np.isfinite(row) & (c >= -0.5) & (row >= -0.5) & (c <= r.width - 0.5) & (row <= r.height - 0.5)
+    c, row = np.clip(c, 0, r.width - 1), np.clip(row, 0, r.height - 1)
+    c0, r0 = np.floor(np.nan_to_num(c)).astype(np.int64), np.floor(np.nan_to_num(row)).astype(np.int64)
+    here = good & (c0 >= left) & (c0 < left + w) & (r0 >= top) & (r0 < top + h)
+    ys, xs = np.flatnonzero(here.any(1)), np.flatnonzero(here.any(0))
+    if not len(ys):
+        return None
+    box = np.ix_(np.arange(ys[0], ys[-1] + 1), np.arange(xs[0], xs[-1] + 1))
+    part = lambda a: np.broadcast_to(a, (size, size))[box]
+    here, c, row, c0, r0 = part(here), part(c), part(row), part(c0), part(r0)
+    c1, r1 = np.minimum(c0 + 1, r.width - 1), np.minimum(r0 + 1, r.height - 1)
+    at = lambda i, j: chip[np.clip(i - top, 0, h), np.clip(j - left, 0, w)]
+    fc, fr = c - c0, row - r0
+    v = (at(r0, c0) * (1 - fc) + at(r0, c1) * fc) * (1 - fr) + (at(r1, c0) * (1 - fc) + at(r1, c1) * fc) * fr
+    return int(ys[0]), int(xs[0]), np.where(here & np.isfinite(v), v, np.nan)
+
+
+def warp_blocks(requests: DataFrame, headers: DataFrame, chips: DataFrame, size: int = 256, keep: tuple = ()) -> DataFrame:
+    """z, x, y, asset_id, band, kept columns of the requests, and row, col, rows, cols, values: what each chip gives to each
+    tile, as an array of rows x cols bilinear samples (NULL or NaN outside the source or the chip, and where a neighbour is no
+    data).
+
+    Windows travel to the chips under them and are sampled there, whole arrays at a time; a chip brings a halo of one pixel
+    from its neighbours. Only chips under a window are sampled; one under more than WINDOWS windows is sampled by several tasks.
+    """
+    placed = windows(requests, headers).select(*_WINDOW, *keep, "width", "height", "tile_w", "tile_h", "gt", "crs", "window")
+    span = lambda low, high, size: F.sequence(F.floor(F.col(f"window.{low}") / F.col(size)).cast("int"), F.floor((F.col(f"window.{high}") - 1) / F.col(size)).cast("int"))
+    wanted = placed.withColumn("chip_x", F.explode(span("c0", "c1", "tile_w"))).withColumn("chip_y", F.explode(span("r0", "r1", "tile_h"))).drop("window")
+    many = wanted.groupBy(*_CHIP).agg(F.ceil(F.count(F.lit(1)) / WINDOWS).cast("int").alias("tasks"))
+    asked = wanted.join(many, _CHIP).withColumn("task", F.pmod(F.xxhash64(*_WINDOW), F.col("tasks")).cast("int"))
+    sides = _haloed(chips).join(many, _CHIP).withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    fields = [asked.schema[c] for c in (*_WINDOW, *keep)]
+    names = [f.name for f in fields]
+
+    def run(windows_: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        own = {p.side: p for p in parts.itertuples(index=False)}
+        out = []
+        if 0 in own and len(windows_):
+            w, h = own[0].w, own[0].h
+            chip = np.full((h + 1, w + 1), np.nan)
+            number = lambda k: np.asarray(own[k].pixels, np.float64)
+            chip[:h, :w] = number(0).reshape(h, w)
+            if 1 in own:
+                chip[: own[1].h, w] = number(1)[: h + 1]
+            if 2 in own:
+                chip[h, : min(w, own[2].w)] = number(2)[:w]
+            if 3 in own:
+                chip[h, w] = number(3)[0]
+            for r in windows_.itertuples(index=False):
+                got = _block(r, size, chip, r.chip_x * r.tile_w, r.chip_y * r.tile_h, w, h)
+                if got is not None:
+                    y, x, v = got
+                    out.append((*[getattr(r, n) for n in names], y, x, *v.shape, v.ravel()))
+        return pd.DataFrame(out, columns=[*names, "row", "col", "rows", "cols", "values"])
+
+    schema = T.StructType([*fields, *T.StructType.fromDDL(_BLOCK).fields])
+    return asked.drop("tasks").groupBy(*_CHIP, "task").cogroup(sides.drop("tasks").groupBy(*_CHIP, "task")).applyInPandas(run, schema)
+
+
+def _folded(blocks: DataFrame, by: list[str], order: list[str], size: int, reducer: str) -> DataFrame:
+    """One array per key of its blocks, taken in order one at a time: first (valid), mean, max, min or sum.
+
+    A sum and a count per pixel (or the value alone) are all that a task holds, however many blocks there are.
+    """
+    if reducer not in ("first", "mean", "max", "min", "sum"):
+        raise ValueError(f"unknown reducer {reducer!r}")
+    keys = blocks.select(*by).schema
+
+    def run(batches):
+        at, value, n = None, None, None
+
+        def done():
+            v = value / np.where(n > 0, n, np.nan) if reducer == "mean" else np.where(n > 0, value, np.nan)
+            return pd.DataFrame([(*at, v.ravel())], columns=[*by, "values"])
+
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                key = tuple(getattr(r, c) for c in by)
+                if key != at:
+                    if at is not None:
+                        yield done()
+                    at, value, n = key, np.zeros((size, size)), np.zeros((size, size), np.int64)
+                box = (slice(r.row, r.row + r.rows), slice(r.col, r.col + r.cols))
+                v = np.asarray(r.values, np.float64).reshape(r.rows, r.cols)
+                good = ~np.isnan(v)
+                old, seen = value[box], n[box]
+                if reducer == "first":
+                    value[box] = np.where(good & (seen == 0), v, old)
+                elif reducer in ("mean", "sum"):
+                    value[box] = old + np.where(good, v, 0.0)
+                else:
+                    pick = np.fmax if reducer == "max" else np.fmin
+                    value[box] = np.where(good, np.where(seen > 0, pick(old, v), v), old)
+                n[box] = seen + good
+        if at is not None:
+            yield done()
+
+    return blocks.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, T.StructType([*keys.fields, T.StructField("values", T.ArrayType(T.DoubleType()))]))
+
+
+def warp_tiles(requests: DataFrame, headers: DataFrame, chips: DataFrame, size: int = 256) -> DataFrame:
+    """z, x, y, asset_id, band and values: an array of size x size samples of each requested tile that meets its source, NULL
+    or NaN outside of it."""
+    return _folded(warp_blocks(requested(requests), headers, chips, size), _WINDOW, ["row", "col"], size, "first")
+
+
 def warp(requests: DataFrame, headers: DataFrame, chips: DataFrame, size: int = 256) -> DataFrame:
-    """z, x, y, asset_id, band, idx, v: bilinear samples of each requested tile, NULL outside the source.
+    """z, x, y, asset_id, band, idx, v: bilinear samples of each requested tile, NULL outside the source."""
+    sampled = warp_tiles(requests, headers, chips, size)
+    every = requested(requests).select(*_WINDOW).join(sampled, _WINDOW, "left")
+    filled = F.coalesce("values", F.array_repeat(F.lit(None).cast("double"), size * size))
+    return every.select(*_WINDOW, F.posexplode(filled).alias("idx", "v")).withColumn("v", F.nanvl("v", F.lit(None).cast("double")))
+
 
-    Only chips that meet a tile's source window are read.
+def mosaic_blocks(blocks: DataFrame, size: int = 256, reducer: str = "first", layers: int = 64) -> DataFrame:
+    """z, x, y and values: one array per tile of the blocks of its layers (column layer_order), without a row per pixel.
+
+    Layers are taken together some at a time first, so that a tile under very many does not wait for one task; sums and
+    counts of means are kept apart until the end.
     """
-    placed = windows(requested(requests), headers)
-    keys = ["z", "x", "y", "asset_id", "band", "idx"]
-    src = _inside(_to_source(grid(placed.drop("window"), size), F.col("mx"), F.col("my"))).select(*keys, "width", "height", "tile_w", "tile_h", "c", "r")
-    span = lambda low, high, size: F.sequence(F.floor(F.col(f"window.{low}") / F.col(size)).cast("int"), F.floor((F.col(f"window.{high}") - 1) / F.col(size)).cast("int"))
-    across = placed.select("asset_id", "band", F.explode(span("c0", "c1", "tile_w")).alias("chip_x"), "window", "tile_h")
-    needed = across.select("asset_id", "band", "chip_x", F.explode(span("r0", "r1", "tile_h")).alias("chip_y")).distinct()
-    sampled = _sampled(src, chips.join(needed, ["asset_id", "band", "chip_x", "chip_y"], "left_semi"), keys)
-    every = grid(requested(requests), size).select(*keys)
-    return every.join(sampled, keys, "left")
+    by, some = ["z", "x", "y"], F.floor(F.col("layer_order") / layers)
+    order = ["layer_order", "asset_id", "band", "row", "col"]
+    if reducer == "mean":
+        total = mosaic_blocks(blocks, size, "sum", layers)
+        there = F.transform("values", lambda v: F.when(v.isNotNull() & ~F.isnan(v), 1.0))
+        count = mosaic_blocks(blocks.withColumn("values", there), size, "sum", layers).withColumnRenamed("values", "n")
+        return total.join(count, by).select(*by, F.zip_with("values", "n", lambda v, n: v / n).alias("values"))
+    part = _folded(blocks.withColumn("part", some), [*by, "part"], order, size, reducer)
+    whole = part.withColumns({"row": F.lit(0), "col": F.lit(0), "rows": F.lit(size), "cols": F.lit(size)})
+    return _folded(whole, by, ["part"], size, reducer)
+
+
+def drawn(tiles: DataFrame, colormap: str = "grayscale", size: int = 256, by: tuple = ("z", "x", "y")) -> DataFrame:
+    """One PNG per tile of arrays of values: normalised, coloured and encoded row by row in Arrow batches."""
+    ramp = "viridis" if colormap == "pseudocolor" else colormap
+    stops = np.array(pixel.RAMPS[ramp], float) if ramp in pixel.RAMPS else np.array([[0.0] * 3, [255.0] * 3])
+    places = np.linspace(0, 1, len(stops))
+
+    def picture(values) -> bytes:
+        v = np.asarray(values, np.float64)
+        good = np.isfinite(v)
+        rgba = np.zeros((len(v), 4), np.uint8)
+        if good.any():
+            low, high = v[good].min(), v[good].max()
+            t = np.round((v[good] - low) / (high - low), 9) if high - low >= pixel.EPSILON else np.zeros(good.sum())
+            k = np.clip(np.searchsorted(places, t, "left") - 1, 0, len(stops) - 2)
+            share = (t - places[k]) * (len(stops) - 1)
+            rgba[good, :3] = np.floor(stops[k] + (stops[k + 1] - stops[k]) * share[:, None] + 0.5)
+            rgba[good, 3] = 255
+        return png(rgba.tobytes(), size, size)
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[list(by)].assign(png=[picture(v) for v in pdf["values"]])
+
+    return tiles.select(*by, "values").mapInPandas(run, tiles.select(*by).schema.add("png", "binary"))
 
 
 def request_layers(tiles: DataFrame, footprints: DataFrame) -> DataFrame:
@@ -202,4 +392,4 @@ def with_empty(tiles: DataFrame, images: DataFrame, size: int = 256, by: tuple =
     return tiles.select(*by).join(images, list(by), "left").withColumn("png", F.coalesce("png", F.lit(png(bytes(size * size * 4), size, size))))
 
 
-__all__ = ["composite_tile", "coverage", "grid", "images", "mosaic_tile", "png", "point_values", "request_layers", "requested", "rule_tile", "styled", "warp", "windows", "with_empty"]
+__all__ = ["composite_tile", "coverage", "drawn", "grid", "images", "mosaic_blocks", "mosaic_tile", "png", "point_values", "request_layers", "requested", "rule_tile", "styled", "warp", "warp_blocks", "warp_tiles", "windows", "with_empty"]

@@ -53,13 +53,44 @@ def warped_tiles(s, d):
     return w.select("z", "x", "y", "asset_id", "idx", F.round("v", 5).alias("v"))
 
 
+def _mosaic_tiles(s, d, size):
+    e = view(s, d, "embeddings")
+    blocks = tiles.warp_blocks(_requests(s, d, e), _headers(e), _chips(e), size, keep=("layer_order",))
+    return tiles.mosaic_blocks(blocks, size, "first")
+
+
+@query()
+def full_tile_pyramid(s, d):
+    """The same at 256 x 256."""
+    pictures = tiles.drawn(_mosaic_tiles(s, d, 256), "viridis", 256)
+    return tiles.with_empty(view(s, d, "fx_tiles"), pictures, 256).select("z", "x", "y", F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
+
+
+@query("""WITH t AS (SELECT z, x, y, x * 45.0 - 180 AS west, pi() * (1 - 2 * y / 8.0) AS north, pi() * (1 - 2 * (y + 1) / 8.0) AS south FROM fx_tiles),
+  b AS (SELECT t.*, vec_id, embedding AS e, ((vec_id * 37) % 300 - 150)::DOUBLE AS ox, ((vec_id * 53) % 120 - 40)::DOUBLE AS oy FROM t, embeddings
+    WHERE ((vec_id * 37) % 300 - 150) <= west + 45 AND ((vec_id * 37) % 300 - 126) >= west AND ((vec_id * 53) % 120 - 64) <= degrees(2 * atan(exp(north)) - pi() / 2) AND ((vec_id * 53) % 120 - 40) >= degrees(2 * atan(exp(south)) - pi() / 2)),
+  p AS (SELECT *, degrees(2 * atan(exp(pi() * (1 - 2 * (y + (py + 0.5) / 256) / 8.0))) - pi() / 2) AS lat FROM b, range(256) AS r(py)),
+  q AS (SELECT z, x, y, vec_id, e, py, ox, west, (oy - lat) / 3 - 0.5 AS r FROM p WHERE (oy - lat) / 3 >= 0 AND (oy - lat) / 3 <= 8),
+  s AS (SELECT *, (west + (px + 0.5) * 45 / 256 - ox) / 3 - 0.5 AS c FROM q, range(256) AS k(px)),
+  i AS (SELECT *, least(greatest(c, 0), 7) AS cc, least(greatest(r, 0), 7) AS rr FROM s WHERE c >= -0.5 AND c <= 7.5),
+  k AS (SELECT *, CAST(floor(cc) AS INT) AS c0, CAST(floor(rr) AS INT) AS r0 FROM i),
+  v AS (SELECT z, x, y, vec_id, py, px, (CAST(e[r0 * 8 + c0 + 1] AS DOUBLE) * (1 - (cc - c0)) + CAST(e[r0 * 8 + least(c0 + 1, 7) + 1] AS DOUBLE) * (cc - c0)) * (1 - (rr - r0))
+    + (CAST(e[least(r0 + 1, 7) * 8 + c0 + 1] AS DOUBLE) * (1 - (cc - c0)) + CAST(e[least(r0 + 1, 7) * 8 + least(c0 + 1, 7) + 1] AS DOUBLE) * (cc - c0)) * (rr - r0) AS v FROM k)
+  SELECT z, x, y, CAST(vec_id AS VARCHAR) AS asset_id, CAST(py AS INT) AS line, count(*) AS n, CAST(min(px) AS INT) AS first, round(sum(v), 5) AS total, round(sum(v * (px + 1)), 3) AS moment FROM v GROUP BY ALL""")
+def full_tiles(s, d):
+    """256 x 256 pixels of every tile and raster: how many there are on each line, where they begin, their sum and moment."""
+    e = view(s, d, "embeddings")
+    w = tiles.warp_tiles(_requests(s, d, e), _headers(e), _chips(e), 256)
+    lines = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.struct(k.alias("line"), F.slice("values", k * 256 + 1, 256).alias("v")))
+    long = w.select("z", "x", "y", "asset_id", F.explode(lines).alias("l")).select("z", "x", "y", "asset_id", "l.line", F.posexplode("l.v").alias("px", "v")).where("v IS NOT NULL AND NOT isnan(v)")
+    return long.groupBy("z", "x", "y", "asset_id", "line").agg(
+        F.count(F.lit(1)).alias("n"), F.min("px").alias("first"), F.round(F.sum("v"), 5).alias("total"), F.round(F.sum(F.col("v") * (F.col("px") + 1)), 3).alias("moment"))
+
+
 @query()
 def tile_pyramid(s, d):
     """Warp, first-valid mosaic, colour and PNG of every tile over all rasters; transparent where nothing lies."""
-    e = view(s, d, "embeddings")
-    req = _requests(s, d, e)
-    layers = tiles.warp(req, _headers(e), _chips(e), SIZE).join(req.select("z", "x", "y", "asset_id", "layer_order"), ["z", "x", "y", "asset_id"])
-    pictures = tiles.images(tiles.mosaic_tile(layers, "first", "viridis"), SIZE)
+    pictures = tiles.drawn(_mosaic_tiles(s, d, SIZE), "viridis", SIZE)
     return tiles.with_empty(view(s, d, "fx_tiles"), pictures, SIZE).select("z", "x", "y", F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
 
 

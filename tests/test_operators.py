@@ -110,6 +110,85 @@ def test_band_samples_against_brute_force(spark, most):
     assert got == sorted(want)
 
 
+def _rasters(spark, seed=2):
+    """Chips of 7 x 5 pixels of four rasters in three systems, some pixels and one chip without data, and their headers."""
+    r = np.random.default_rng(seed)
+    made, heads, cut = {}, [], []
+    places = {"a": ("EPSG:4326", 10.0, 0.7, 50.0, 0.0), "b": ("EPSG:3857", 1_200_000.0, 60_000.0, 6_500_000.0, 0.0), "c": ("EPSG:32633", 200_000.0, 40_000.0, 5_600_000.0, 0.0), "d": ("EPSG:4326", 8.0, 0.6, 48.0, 0.1)}
+    for k, (name, x, step, y, turn) in places.items():
+        v = r.random((17, 23))
+        v[r.random((17, 23)) < 0.05] = np.nan
+        made[k] = v
+        heads.append((k, 23, 17, 7, 5, (x, step, turn * step, y, turn * step, -step), name))
+        for cy in range(4):
+            for cx in range(4):
+                part = v[cy * 5 : cy * 5 + 5, cx * 7 : cx * 7 + 7]
+                if (k, cx, cy) != ("a", 2, 1):
+                    cut.append((k, 1, cx, cy, part.shape[1], part.shape[0], part.astype("f4").ravel().tolist()))
+        if k == "a":
+            made[k][5:10, 14:21] = np.nan
+    headers = spark.createDataFrame(heads, "uri string, width long, height long, tile_w int, tile_h int, gt struct<ox:double,pw:double,rr:double,oy:double,cr:double,ph:double>, crs string")
+    return made, {h[0]: h for h in heads}, headers, spark.createDataFrame(cut, "asset_id string, band int, chip_x int, chip_y int, w int, h int, pixels array<float>")
+
+
+def _sampled(v, head, z, x, y, size):
+    """One tile of one raster, pixel by pixel."""
+    from tesserae.functions import crs
+
+    out = np.full(size * size, np.nan)
+    ox, pw, rr, oy, cr, ph = head[5]
+    half = 20037508.342789244
+    span = 2 * half / 2**z
+    for i in range(size * size):
+        mx, my = -half + x * span + (i % size + 0.5) * span / size, half - y * span - (i // size + 0.5) * span / size
+        u, w = (float(c[0]) for c in crs.transform("EPSG:3857", head[6], np.array([mx]), np.array([my])))
+        det = pw * ph - rr * cr
+        c, r = (ph * (u - ox) - rr * (w - oy)) / det - 0.5, (pw * (w - oy) - cr * (u - ox)) / det - 0.5
+        if -0.5 <= c <= 22.5 and -0.5 <= r <= 16.5:
+            c, r = min(max(c, 0), 22), min(max(r, 0), 16)
+            c0, r0 = int(c), int(r)
+            c1, r1 = min(c0 + 1, 22), min(r0 + 1, 16)
+            near = v[[r0, r0, r1, r1], [c0, c1, c0, c1]].astype("f4").astype(float)
+            out[i] = (near[0] * (1 - c + c0) + near[1] * (c - c0)) * (1 - r + r0) + (near[2] * (1 - c + c0) + near[3] * (c - c0)) * (r - r0)
+    return out
+
+
+@pytest.mark.parametrize("at_once", [1, 256])
+def test_warp_against_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(tiles, "WINDOWS", at_once)
+    made, heads, headers, chips = _rasters(spark)
+    size, asked = 24, [(5, 16, 10), (5, 17, 10), (5, 17, 11), (4, 8, 5), (6, 34, 21), (2, 0, 0)]
+    req = spark.createDataFrame([(*t, k, 1) for t in asked for k in made] + [(5, 17, 10, "a", 1)], "z int, x int, y int, asset_id string, band int")
+    got = {}
+    for r in tiles.warp(req, headers, chips, size).collect():
+        got.setdefault((r.z, r.x, r.y, r.asset_id), {})[r.idx] = np.nan if r.v is None else r.v
+    assert len(got) == len(asked) * 4 and all(len(v) == size * size for v in got.values())
+    some = 0
+    for t in asked:
+        for k, v in made.items():
+            want = _sampled(v, heads[k], *t, size)
+            have = np.array([got[*t, k][i] for i in range(size * size)])
+            assert np.allclose(have, want, atol=1e-6, equal_nan=True), (t, k)
+            some += np.isfinite(want).sum()
+    assert some > 2000
+
+
+@pytest.mark.parametrize("reducer", ["first", "mean", "max", "min", "sum"])
+def test_mosaics_of_blocks_equal_those_of_pixels(spark, reducer):
+    _, _, headers, chips = _rasters(spark)
+    req = spark.createDataFrame([(*t, k, 1, i) for t in ((4, 8, 5), (5, 17, 11)) for i, k in enumerate("dbac")], "z int, x int, y int, asset_id string, band int, layer_order int")
+    blocks = tiles.warp_blocks(req, headers, chips, 16, keep=("layer_order",))
+    long = tiles.warp(req, headers, chips, 16).join(req, ["z", "x", "y", "asset_id", "band"])
+    want = {(r.x, r.idx): r.v for r in mosaic.reduce_layers(long, reducer, by=("z", "x", "y", "idx")).collect() if r.v is not None}
+    arrays = tiles.mosaic_blocks(blocks, 16, reducer, layers=2)
+    got = {(r.x, i): v for r in arrays.collect() for i, v in enumerate(r["values"]) if v is not None and v == v}
+    assert got.keys() == want.keys() and len(want) > 200 and all(got[k] == pytest.approx(want[k]) for k in want)
+    for name in ("turbo", "grayscale"):
+        pictures = {r.x: r.png for r in tiles.drawn(arrays, name, 16).collect()}
+        coloured = tiles.images(tiles.mosaic_tile(long, reducer, name), 16)
+        assert pictures == {r.x: r.png for r in coloured.collect()}
+
+
 def test_absent_bands(spark):
     px = spark.createDataFrame([(1, 0, "red", 1.0), (1, 0, "nir", 2.0), (2, 0, "red", 3.0)], "tile_id int, idx int, band_key string, v double")
     assert [tuple(r) for r in mosaic.aligned(px, ["red", "nir"]).collect()] == [(1, 0, 1.0, 2.0)]
