@@ -5,7 +5,7 @@ suffixes at anchors need to be sorted: about 2 per L bytes instead of L.
 
 1. Every text is cut into runs: maximal sequences of L-byte windows with the same anchor. Runs travel as digests of their
    bytes (128 bits of BLAKE2, so that equal digests mean equal bytes).
-2. Runs whose anchor occurs once are dropped. Runs that are equal throughout are one class: all their windows repeat, and
+2. Runs whose anchor occurs once are dropped: nearly all by a bitmap of the repeated anchors' hashes. Runs that are equal throughout are one class: all their windows repeat, and
    one of them stands for the class from here on.
 3. The bytes of the classes that share an anchor with another class meet in one bucket. Their suffixes are sorted by a
    merge sort whose comparison finds the common extension by binary search over polynomial prefix hashes; a second sort,
@@ -33,10 +33,11 @@ import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import NO_ID, Prefix, mix, shuffle_partitions, stage, unified, unstage
+from tesserae.llm.common import NO_ID, KeyFilter, Prefix, key_filter, mix, shuffle_partitions, stage, unified, unstage
 
 GRAM = 32
 #: Windows that are looked at together; positions in such a piece fit in POS bits.
@@ -378,6 +379,21 @@ def _shared(every: DataFrame) -> DataFrame:
     return out
 
 
+def _likely(every: DataFrame) -> DataFrame:
+    """The runs whose anchor may occur again. Only the anchors' hashes are shuffled; most runs of texts that are unlike go
+    here, before their digests travel."""
+    again = stage(every.groupBy(F.col("ahash").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "anchors")
+    given = key_filter(again)
+    unstage(again)
+
+    def run(batches):
+        known = KeyFilter(*given)
+        for batch in batches:
+            yield batch.filter(pa.array(known.passes(batch.column("ahash").to_numpy(zero_copy_only=False))))
+
+    return every.mapInArrow(run, every.schema)
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, passages: bool = False) -> DataFrame:
     """(doc_id, tkey, start, end): byte spans that windows of length bytes cover which start anywhere else too.
 
@@ -385,7 +401,9 @@ def repeated_spans(docs: DataFrame, length: int = 400, passages: bool = False) -
     """
     keyed = _keyed(docs)
     table = stage(_run_table(keyed, length, passages), "runs")
-    every = table.where("many > 0").drop("prints")
+    every = stage(_likely(table.where("many > 0").drop("prints")), "likely-runs")
+    texts_sharing = _shared(table) if passages else None
+    unstage(table)
     same = ["ahash", "r1", "r2"]
     classes = every.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "tkey", "start")).alias("rep"))
     anchors = classes.groupBy("ahash").agg(F.sum("copies").alias("total"), F.count(F.lit(1)).alias("classes")).where("total > 1").select("ahash", "classes")
@@ -394,8 +412,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, passages: bool = False) -
         .select("doc_id", "tkey", "start", "many", "anchor", "ahash", "copies", "classes", (F.struct("doc_id", "tkey", "start") == F.col("rep")).alias("is_rep")),
         "hits",
     )
-    texts_sharing = _shared(table) if passages else None
-    unstage(table)
+    unstage(every)
     full = hits.where("copies > 1").select("doc_id", "tkey", "start", (F.col("start") + F.col("many") - 1 + length).alias("end"))
     asked = (
         hits.where("is_rep AND classes > 1").dropDuplicates(["doc_id", "tkey", "start"])
