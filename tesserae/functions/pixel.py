@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -68,8 +70,9 @@ def unary(op: str, value) -> Column:
     raise ValueError(f"unknown function {op!r}")
 
 
-def band_math(rule: dict, bands: dict, strict: bool = True, depth: int = 0) -> Column:
-    """A render rule as one Column. bands: band key (service, band) or band number -> column.
+def band_math(rule: dict, bands: dict, strict: bool = True, depth: int = 0, mosaics: dict | None = None) -> Column:
+    """A render rule as one Column. bands: band key (service, band) or band number -> column; mosaics: key of a mosaic
+    (rule_key) -> column with its result.
 
     rule: {"band": 1}, {"band": 1, "service": "s"}, {"literal": 2.5}, {"op": "add", "left": rule, "right": rule} or
     {"op": "sqrt", "value": rule}.
@@ -90,14 +93,39 @@ def band_math(rule: dict, bands: dict, strict: bool = True, depth: int = 0) -> C
         return F.lit(x)
     op = rule.get("op")
     if op in ("add", "sub", "mul", "div"):
-        return binary(op, band_math(rule["left"], bands, strict, depth + 1), band_math(rule["right"], bands, strict, depth + 1), strict)
+        return binary(op, *[band_math(rule[side], bands, strict, depth + 1, mosaics) for side in ("left", "right")], strict)
     if op in ("sqrt", "log", "abs"):
-        return unary(op, band_math(rule["value"], bands, strict, depth + 1))
+        return unary(op, band_math(rule["value"], bands, strict, depth + 1, mosaics))
+    if op == "mosaic" and rule_key(rule) in (mosaics or {}):
+        return finite(mosaics[rule_key(rule)]).cast("double")
     if op in ("colormap", "mosaic"):
         raise ValueError(f"{op} is only allowed as the outermost step")
     raise ValueError(f"unknown operation {op!r}")
 
 
+def rule_key(rule: dict) -> str:
+    """The same text for equal rules."""
+    return json.dumps(rule, sort_keys=True)
+
+
+def mosaics_of(rule: dict, depth: int = 0) -> list[dict]:
+    """The distinct mosaics of a rule, those inside others before them."""
+    if depth > MAX_DEPTH:
+        raise ValueError("the rule is nested too deeply")
+    out: dict[str, dict] = {}
+    for part in ("left", "right", "value"):
+        if isinstance(rule.get(part), dict):
+            out |= {rule_key(m): m for m in mosaics_of(rule[part], depth + 1)}
+    if rule.get("op") == "mosaic":
+        out[rule_key(rule)] = rule
+    return list(out.values())
+
+
+def has_bare_band(rule: dict) -> bool:
+    """A band is read outside of every mosaic."""
+    return "band" in rule or rule.get("op") != "mosaic" and any(has_bare_band(rule[p]) for p in ("left", "right", "value") if isinstance(rule.get(p), dict))
+
+
 def band_refs(rule: dict) -> list:
     """The distinct bands that a rule reads, in order."""
     if "band" in rule:

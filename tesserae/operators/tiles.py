@@ -315,24 +315,14 @@ def rule_tile(wide: DataFrame, rule: dict | str, bands: dict, by: tuple = ("z",
     """A render rule (a dictionary or its JSON text) over aligned band columns; an outer colormap colours the result, else it
     is grey.
 
-    {"op": "mosaic", "reducer": "mean", "service_filter": {column: value}, "value": rule} reduces layers: wide then has a
-    layer_order (for the reducer "first") and a row per layer and pixel; value may be left out where there is one band.
+    Where the rule has mosaics (see mosaic.rule_values), wide has a row per layer and pixel.
     """
     rule = json.loads(rule) if isinstance(rule, str) else rule
     name = "grayscale"
     if rule.get("op") == "colormap":
         name, rule = rule.get("lut", "grayscale"), rule["value"]
-    if rule.get("op") == "mosaic":
-        wanted = rule.get("service_filter") or {}
-        if not isinstance(wanted, dict):
-            raise ValueError("a mosaic's service_filter must be an object")
-        if "value" not in rule and len(bands) != 1:
-            raise ValueError("a mosaic of several bands needs a value")
-        kept = wide
-        for column, value in wanted.items():
-            kept = kept.where(F.col(column) == value)
-        v = pixel.band_math(rule.get("value") or {"band": next(iter(bands))}, bands, strict)
-        return styled(mosaic.reduce_layers(kept.withColumn("v", v), rule.get("reducer", "first"), by=(*by, "idx")), colormap=name, by=by)
+    if pixel.mosaics_of(rule):
+        return styled(mosaic.rule_values(wide, rule, bands, (*by, "idx"), strict), colormap=name, by=by)
     return styled(wide.withColumn("v", pixel.band_math(rule, bands, strict)), colormap=name, by=by)
 
 

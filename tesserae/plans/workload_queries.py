@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from tesserae.functions import pixel, spatial
-from tesserae.operators import models, tiles
+from tesserae.operators import models, mosaic, tiles
 from tesserae.plans.book import query
 from tesserae.plans.fixtures import view
 from tesserae.plans.pixel_queries import ramp_cases
@@ -147,6 +147,18 @@ def mosaic_rule(s, d):
     return tiles.rule_tile(layers, rule, {1: "v"})
 
 
+@query(f"""WITH c AS (SELECT tile_id AS x, idx, max(CAST(v AS DOUBLE)) FILTER (WHERE layer_id % 4 = 1) - avg(CAST(v AS DOUBLE)) FILTER (WHERE layer_id % 4 = 2) AS d,
+    arg_min(CAST(v AS DOUBLE), layer_id) FILTER (WHERE v IS NOT NULL) AS f FROM fx_px GROUP BY 1, 2), k AS (SELECT x, idx, round(d / f, 7) AS v FROM c),
+  u AS (SELECT x, idx, round({_UNIT.format(v="v")}, 9) AS t FROM k WINDOW w AS (PARTITION BY x)) {_coloured("viridis")} FROM u""")
+def nested_mosaic_rule(s, d):
+    """(highest of one service - mean of another) / first valid of all: three mosaics as operands."""
+    layers = view(s, d, "fx_px").select(F.lit(3).alias("z"), F.col("tile_id").alias("x"), F.lit(0).alias("y"), "idx", F.col("layer_id").alias("layer_order"), "v", (F.col("layer_id") % 4).alias("service_id"))
+    part = lambda reducer, service=None: {"op": "mosaic", "reducer": reducer, **({"service_filter": {"service_id": service}} if service else {})}
+    rule = {"op": "div", "left": {"op": "sub", "left": part("max", 1), "right": part("mean", 2)}, "right": part("first")}
+    v = mosaic.rule_values(layers, rule, {1: "v"}, ("z", "x", "y", "idx"), strict=False).withColumn("v", F.round("v", 7))
+    return tiles.styled(v, colormap="viridis")
+
+
 # -- models ------------------------------------------------------------------------------------------------------------
 
 

@@ -211,6 +211,35 @@ def test_rules_with_mosaics(spark):
         pixel.band_math({"op": "abs", "value": rule}, {1: "v"})
 
 
+def test_mosaics_inside_rules(spark):
+    r = random.Random(6)
+    rows = [(t, i, k, None if r.random() < 0.3 else r.uniform(1, 9), r.uniform(1, 9), r.randrange(3)) for t in range(2) for i in range(12) for k in range(6)]
+    layers = spark.createDataFrame(rows, "tile_id int, idx int, layer_order int, a double, b double, service_id int")
+    ratio = {"op": "div", "left": {"band": 1}, "right": {"band": 2}}
+    high = {"op": "mosaic", "reducer": "max", "service_filter": {"service_id": 0}, "value": ratio}
+    first = {"op": "mosaic", "reducer": "first", "value": {"band": 1}}
+    # how far each layer lies above the first, in the mean: a mosaic inside a mosaic
+    above = {"op": "mosaic", "reducer": "mean", "service_filter": {"service_id": 1}, "value": {"op": "sub", "left": {"band": 1}, "right": first}}
+    rule = {"op": "add", "left": {"op": "mul", "left": high, "right": {"literal": 2}}, "right": {"op": "sub", "left": above, "right": high}}
+    want = {}
+    for t in range(2):
+        for i in range(12):
+            own = [x for x in rows if x[:2] == (t, i)]
+            h = max((x[3] / x[4] for x in own if x[3] is not None and x[5] == 0), default=None)
+            f = next((x[3] for x in own if x[3] is not None), None)
+            d = [x[3] - f for x in own if x[3] is not None and x[5] == 1]
+            want[t, i] = None if h is None or not d else pytest.approx(2 * h + sum(d) / len(d) - h)
+    got = {(x.tile_id, x.idx): x.v for x in mosaic.rule_values(layers, rule, {1: "a", 2: "b"}).collect()}
+    assert got == want and sum(v is not None for v in got.values()) > 5
+    assert len(pixel.mosaics_of(rule)) == 3
+    plan = mosaic.rule_values(layers, {"op": "sub", "left": high, "right": first}, {1: "a", 2: "b"})._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan  # mosaics that do not hold each other are one aggregate
+    with pytest.raises(ValueError, match="mosaic around it"):
+        mosaic.rule_values(layers, {"op": "add", "left": high, "right": {"band": 1}}, {1: "a", 2: "b"})
+    with pytest.raises(ValueError, match="unknown reducer"):
+        mosaic.rule_values(layers, {**first, "reducer": "median"}, {1: "a", 2: "b"})
+
+
 def test_job_parameters(spark, tmp_path):
     inputs = spark.createDataFrame([(1, 1, 2.0), (1, 2, 6.0), (2, 1, 2.0), (2, 2, 6.0)], "job_id int, band int, value double")
     jobs = [(1, "zonal-stats", '{"band": 1}'), (2, "zonal_stats", '{"band": 2}'), (3, "zonal_stats", None), (4, "zonal_stats", '{"band": "x"}'), (5, "zonal_stats", '{"other": 1}'), (6, "mean-values", '{"values": [1, 2, 6]}'), (7, "mean-values", '{"values": []}'), (8, "none", "{}"), (9, "zonal_stats", "no json")]
