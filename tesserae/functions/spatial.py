@@ -99,6 +99,21 @@ def ring_geojson(ring) -> Column:
     return F.when(col(ring).isNotNull(), F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(coords).alias("coordinates"))))
 
 
+def curve_key(x, y, bits: int = 16) -> Column:
+    """Place of a point in degrees on a Z-order curve of 2^bits cells each way: points that are close in both directions
+    have keys that are mostly close."""
+    top = float(2**bits - 1)
+    cell = lambda v, low, width: F.greatest(F.lit(0.0), F.least(F.lit(top), F.floor((col(v).cast("double") - low) / width * 2**bits))).cast("long")
+
+    def spread(v):
+        """The bits of v at every second place."""
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return spread(cell(x, -180.0, 360.0)).bitwiseOR(F.shiftleft(spread(cell(y, -90.0, 180.0)), 1))
+
+
 # -- affine transforms: struct(ox, pw, rr, oy, cr, ph) ---------------------------------------------------------------
 def pixel_to_world(gt, c, r) -> Column:
     gt, c, r = col(gt), col(c), col(r)

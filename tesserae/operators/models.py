@@ -5,7 +5,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,11 +14,16 @@ from tesserae.operators import params as params_module
 from tesserae.operators import zonal
 from tesserae.sources import tables
 
+#: Pixels of each band that a tile function gets at once.
+BLOCK_PIXELS = 1 << 22
 SPEC_SCHEMA = "process_id string, name string, type string, required boolean, default_value string, minimum double, maximum double, direction string"
 
 
 class TileModel(ABC):
-    """One tile in, one tile of the same shape out."""
+    """One tile in, one tile of the same shape out.
+
+    A model gives compute_tile(), for one tile of each band, or compute_block(), for arrays of (tiles, rows, columns).
+    """
 
     id: str
     version = "1"
@@ -27,8 +32,19 @@ class TileModel(ABC):
     def parameters(self) -> list[dict]:
         return []
 
-    @abstractmethod
-    def compute_tile(self, bands: dict[str, np.ndarray], params: dict, tile: dict) -> np.ndarray: ...
+    def compute_tile(self, bands: dict[str, np.ndarray], params: dict, tile: dict) -> np.ndarray:
+        raise NotImplementedError(f"{self.id} computes neither tiles nor blocks")
+
+    def compute_block(self, bands: dict[str, np.ndarray], params: list[dict], tiles: pa.RecordBatch) -> np.ndarray:
+        """params: those of each tile; tiles: the other columns of the rows."""
+        shape = next(iter(bands.values())).shape[1:]
+        out = np.empty((len(params), *shape), np.float32)
+        for k, (given, tile) in enumerate(zip(params, tiles.to_pylist(), strict=True)):
+            got = np.asarray(self.compute_tile({b: v[k] for b, v in bands.items()}, given, tile))
+            if got.shape != shape:
+                raise ValueError(f"{self.id} returned a tile of shape {got.shape}")
+            out[k] = got
+        return out
 
 
 class BatchModel(ABC):
@@ -54,7 +70,7 @@ class Ndvi(TileModel):
     def parameters(self):
         return [{"name": n, "type": "band", "required": False, "default_value": d} for n, d in (("red_band", "1"), ("nir_band", "2"))]
 
-    def compute_tile(self, bands, params, tile):
+    def compute_block(self, bands, params, tiles):
         red, nir = bands["red"].astype(np.float64), bands["nir"].astype(np.float64)
         total = nir + red
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -67,8 +83,9 @@ class ScaleBand(TileModel):
     def parameters(self):
         return [{"name": "factor", "type": "number", "required": False, "default_value": "1.0", "minimum": 0.0}]
 
-    def compute_tile(self, bands, params, tile):
-        return bands["band"] * np.float32(float(params.get("factor", 1.0)))
+    def compute_block(self, bands, params, tiles):
+        factors = np.array([float(p.get("factor", 1.0)) for p in params], np.float32)
+        return bands["band"] * factors[:, None, None]
 
 
 class ZonalStatistics(BatchModel):
@@ -129,7 +146,8 @@ def specifications(spark: SparkSession, models: list) -> DataFrame:
 def apply_tiles(tiles: DataFrame, model: TileModel, params: dict | None = None, width: int = 256, out: str = "values", params_col: str | None = None) -> DataFrame:
     """The model on every row; each required band is an array column. A wrong shape or a missing band is an error.
 
-    params_col names a map column whose entries go over params, row by row.
+    Bands are read from the Arrow buffers as blocks of tiles of one size, BLOCK_PIXELS at a time; missing pixels are NaN there,
+    and NULL again in the result. params_col names a map column whose entries go over params, row by row.
     """
     lacking = [b for b in model.required_bands if b not in tiles.columns]
     if lacking:
@@ -137,23 +155,39 @@ def apply_tiles(tiles: DataFrame, model: TileModel, params: dict | None = None,
     keep = [c for c in tiles.columns if c not in model.required_bands]
     own = dict(params or {})
 
+    def block(batch: pa.RecordBatch, size: int) -> pa.RecordBatch:
+        bands = {}
+        for b in model.required_bands:
+            column = batch.column(b)
+            bands[b] = column.flatten().to_numpy(zero_copy_only=False).astype(np.float32, copy=False).reshape(len(column), -1, width)
+        n = batch.num_rows
+        given = [{**own, **dict(p or [])} for p in batch.column(params_col).to_pylist()] if params_col else [own] * n
+        others = batch.select(keep)
+        got = np.asarray(model.compute_block(bands, given, others), np.float32)
+        if got.shape != (n, size // width, width):
+            raise ValueError(f"{model.id} returned tiles of shape {got.shape}")
+        flat = got.reshape(-1)
+        values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(flat, mask=np.isnan(flat)))
+        return pa.RecordBatch.from_arrays([*others.columns, values], names=[*keep, out])
+
     def run(batches):
-        for pdf in batches:
-            results = []
-            for row in pdf.to_dict("records"):
-                bands = {b: np.asarray(row[b], np.float32).reshape(-1, width) for b in model.required_bands}
-                given = {**own, **dict(row[params_col] or {})} if params_col else own
-                got = np.asarray(model.compute_tile(bands, given, {k: row[k] for k in keep}))
-                if any(got.shape != b.shape for b in bands.values()):
-                    raise ValueError(f"{model.id} returned a tile of shape {got.shape}")
-                results.append(got.ravel().astype(np.float32))
-            yield pd.DataFrame({**{k: pdf[k] for k in keep}, out: results})
+        for batch in batches:
+            sizes = [batch.column(b).value_lengths().to_numpy(zero_copy_only=False) for b in model.required_bands]
+            if any((s != sizes[0]).any() for s in sizes):  # a band that is missing has no length
+                raise ValueError(f"{model.id}: a tile's bands are missing or of different sizes")
+            at = 0
+            while at < batch.num_rows:
+                size = int(sizes[0][at])
+                if size % width:
+                    raise ValueError(f"{model.id}: a tile of {size} pixels is not {width} wide")
+                to = min(batch.num_rows, at + max(1, BLOCK_PIXELS // max(size, 1)))
+                other = np.flatnonzero(sizes[0][at:to] != size)
+                to = at + int(other[0]) if len(other) else to
+                yield block(batch.slice(at, to - at), size)
+                at = to
 
     schema = tiles.select(*keep).schema.add(out, T.ArrayType(T.FloatType()))
-    # bands travel as arrays without nulls; what is missing is NaN there, and null again in the result
-    filled = [F.transform(b, lambda v: F.coalesce(v.cast("float"), F.lit(float("nan")).cast("float"))).alias(b) for b in model.required_bands]
-    done = tiles.select(*keep, *filled).mapInPandas(run, schema)
-    return done.withColumn(out, F.transform(out, lambda v: F.nanvl(v, F.lit(None).cast("float"))))
+    return tiles.select(*keep, *[F.col(b).cast("array<float>").alias(b) for b in model.required_bands]).mapInArrow(run, schema)
 
 
 def virtual_tiles(requests: DataFrame, band_tiles: DataFrame, models=None, width: int = 256) -> DataFrame:

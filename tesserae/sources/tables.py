@@ -35,9 +35,56 @@ def footprint_rows(scenes: DataFrame, assets: DataFrame, explicit_key=None) -> D
     )
 
 
-def append_footprints(rows: DataFrame, base: str) -> None:
-    """New files under their month; nothing is rewritten."""
-    rows.write.mode("append").partitionBy("acq_month").parquet(base)
+def append_footprints(rows: DataFrame, base: str, group_rows: int = 20_000) -> None:
+    """New files under their month; nothing is rewritten.
+
+    Within a month, files and their row groups (of group_rows rows) follow a space-filling curve through the middles of the
+    boxes, so that a search for a small box reads the few groups whose statistics meet it.
+    """
+    middle = lambda a, b: (F.col(a).cast("double") + F.col(b).cast("double")) / 2
+    keyed = rows.withColumn("_curve", spatial.curve_key(middle("minx", "maxx"), middle("miny", "maxy")))
+    laid = keyed.repartitionByRange("acq_month", "_curve").sortWithinPartitions("acq_month", "_curve").drop("_curve")
+    laid.write.mode("append").option("parquet.block.row.count.limit", group_rows).partitionBy("acq_month").parquet(base)
+
+
+def purge_footprints(spark: SparkSession, base: str, due: DataFrame, work: str) -> list[str | None]:
+    """Rewrites the months of the lake that hold scenes of due (scene_id) without them, and no other; returns those months.
+
+    What stays of these months is written to work first, with the list of them; then their folders are replaced. A run that
+    ended between the steps leaves the lake as it was or with some months replaced, and the next call on the same work folder
+    ends it, before it looks at due: while work is there, it holds all that the lake may lack.
+    """
+    done = _finish_purge(spark, base, work)
+    lake = spark.read.parquet(base)
+    ids = due.select("scene_id").distinct()
+    months = [r.acq_month for r in lake.join(ids, "scene_id", "left_semi").select("acq_month").distinct().collect()]  # one row a month
+    if not months:
+        return done
+    named = [m for m in months if m is not None]
+    touched = F.col("acq_month").isin(named) | (F.col("acq_month").isNull() if None in months else F.lit(False))
+    lake.where(touched).join(ids, "scene_id", "left_anti").write.mode("overwrite").partitionBy("acq_month").parquet(f"{work}/kept")
+    spark.createDataFrame([(m,) for m in months], "acq_month string").coalesce(1).write.mode("overwrite").json(f"{work}/months")
+    return done + _finish_purge(spark, base, work)
+
+
+def _finish_purge(spark: SparkSession, base: str, work: str) -> list[str | None]:
+    """Replaces the months that work lists, if it is complete, and deletes it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(work).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not system.exists(path(f"{work}/months/_SUCCESS")):
+        return []
+    months = [r.acq_month for r in spark.read.schema("acq_month string").json(f"{work}/months").collect()]
+    kept = spark.read.schema(spark.read.parquet(base).schema).parquet(f"{work}/kept")
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("acq_month").parquet(base)
+    left = {r.acq_month for r in kept.select("acq_month").distinct().collect()}
+    for m in months:
+        if m not in left:  # nothing of the month stays
+            system.delete(path(f"{base}/acq_month={'__HIVE_DEFAULT_PARTITION__' if m is None else m}"), True)
+    # the list goes first: without it a rest of work counts for nothing
+    system.delete(path(f"{work}/months"), True)
+    system.delete(path(work), True)
+    spark.catalog.refreshByPath(base)
+    return months
 
 
 def cube_slice(cube: DataFrame, variable, fixed: dict, dims: list[str], value: str = "value") -> DataFrame:

@@ -7,6 +7,7 @@ failure leaves the same state.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,60 @@ def notified(footprints: DataFrame, assets: DataFrame) -> DataFrame:
     return footprints.select("scene_id", "service_id", "acq_month").join(assets.drop("service_id"), "scene_id")
 
 
+def matched_footprints(footprints: DataFrame, assets: DataFrame, days: int = STATUS_DAYS) -> DataFrame:
+    """scene_id, service_id, acq_month and the asset's columns, as a stream: a row as soon as a footprint and an asset of its
+    scene have both come, in whichever order and however many batches apart, within so many days.
+
+    footprints and assets are streams (or tables, for one batch). A scene's footprints and assets wait in a state that
+    expires; the RocksDB state store is needed, as for status_stream().
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    own = [f for f in assets.schema.fields if f.name not in ("scene_id", "service_id")]
+    names = [f.name for f in own]
+    print_fields = ["service_id", "acq_month"]
+    prints = footprints.select("scene_id", *print_fields).withColumn("is_asset", F.lit(False))
+    both = prints.unionByName(assets.select("scene_id", *names).withColumn("is_asset", F.lit(True)), allowMissingColumns=True)
+    footprint_state = T.StructType([footprints.schema[c] for c in print_fields])
+    ttl = days * 86_400_000
+
+    def plain(row, fields) -> tuple:
+        """A row of pandas as the types of the state have it."""
+        whole = (T.IntegerType, T.LongType, T.ShortType, T.ByteType)
+        out = []
+        for v, f in zip(row, fields, strict=True):
+            if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+                out.append(None)
+            else:
+                out.append(int(v) if isinstance(f.dataType, whole) else v.to_pydatetime() if isinstance(v, pd.Timestamp) else v)
+        return tuple(out)
+
+    class Match(StatefulProcessor):
+        def init(self, handle):
+            self.footprints = handle.getListState("footprints", footprint_state, ttlDurationMs=ttl)
+            self.assets = handle.getListState("assets", T.StructType(own), ttlDurationMs=ttl)
+
+        def handleInputRows(self, key, rows, timer_values):  # noqa: N802
+            old_prints, old_assets = list(self.footprints.get()), list(self.assets.get())
+            new_prints, new_assets = [], []
+            for pdf in rows:
+                is_asset = pdf["is_asset"].astype(bool)
+                new_prints += [plain(r, footprint_state) for r in pdf.loc[~is_asset, print_fields].itertuples(index=False)]
+                new_assets += [plain(r, own) for r in pdf.loc[is_asset, names].itertuples(index=False)]
+            if new_prints:
+                self.footprints.appendList(new_prints)
+            if new_assets:
+                self.assets.appendList(new_assets)
+            pairs = [(f, a) for f in new_prints for a in [*old_assets, *new_assets]] + [(f, a) for f in old_prints for a in new_assets]
+            yield pd.DataFrame([(key[0], *f, *a) for f, a in pairs], columns=["scene_id", *print_fields, *names])
+
+        def close(self):
+            pass
+
+    schema = T.StructType([footprints.schema["scene_id"], *footprint_state.fields, *own])
+    return both.groupBy("scene_id").transformWithStateInPandas(Match(), schema, "Append", "ProcessingTime")
+
+
 # -- S2: derived header rows -----------------------------------------------------------------------------------------
 def reactions(assets: DataFrame) -> DataFrame:
     """What a new asset calls for: its header, a cube's metadata, or a warning."""
@@ -147,17 +202,41 @@ def due_tiles(requests: DataFrame, rendered: DataFrame, now, ttl: int = TILE_SEC
     return keyed.join(fresh, "tile_key", "left_anti")
 
 
+#: Buckets of tile keys in the table of rendered tiles.
+KEY_BUCKETS = 64
+
+
+def _laid_out(tiles: DataFrame) -> DataFrame:
+    """With the hour of rendering and a bucket of the key, by which rendered tiles are stored."""
+    return tiles.withColumns({"rendered_hour": F.date_format("rendered_at", "yyyy-MM-dd-HH"), "bucket": F.pmod(F.xxhash64("tile_key"), F.lit(KEY_BUCKETS)).cast("int")})
+
+
+def rendered_tiles(spark: SparkSession, base: str, now, ttl: int = TILE_SECONDS) -> DataFrame:
+    """tile_key and rendered_at of the tiles that may still be fresh: only the folders of the last hours are read."""
+    since = (now - timedelta(seconds=ttl)).strftime("%Y-%m-%d-%H")
+    return spark.read.parquet(base).where(F.col("rendered_hour") >= since).select("tile_key", "rendered_at")
+
+
+def by_neighbourhood(due: DataFrame, k: int = 3) -> DataFrame:
+    """The tiles with those of the same 2^k x 2^k neighbourhood (column block) side by side, so that chips which neighbours
+    share are met in one task."""
+    block = F.struct("z", F.shiftright("x", k).alias("x"), F.shiftright("y", k).alias("y"))
+    return due.withColumn("block", block).repartition("block").sortWithinPartitions("block", "x", "y")
+
+
 def materialise(batch: DataFrame, rendered: DataFrame, render: Callable[[DataFrame], DataFrame], base: str, now, batch_id: int | None = None) -> None:
-    """Renders what is due (render: requests with tile_key -> tile_key, png) and writes it with its time.
+    """Renders what is due (render: requests with tile_key -> tile_key, png) and writes it with its time, by hour and bucket of
+    the key (see rendered_tiles).
 
     With the batch_id that foreachBatch hands over, a batch that runs again replaces what it wrote; without, rows are
     appended.
     """
-    out = render(due_tiles(batch, rendered, now)).withColumn("rendered_at", F.lit(now).cast("timestamp"))
+    out = _laid_out(render(by_neighbourhood(due_tiles(batch, rendered, now))).withColumn("rendered_at", F.lit(now).cast("timestamp")))
     if batch_id is None:
-        out.write.mode("append").parquet(base)
+        out.write.mode("append").partitionBy("rendered_hour", "bucket").parquet(base)
     else:
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(base)
+        out = out.withColumn("batch_id", F.lit(batch_id))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("rendered_hour", "batch_id", "bucket").parquet(base)
 
 
 # -- S6: purge -----------------------------------------------------------------------------------------------------------
@@ -166,6 +245,11 @@ def purge_tick(tombstones: DataFrame, lake: dict[str, DataFrame], assets: DataFr
     return catalog.purge(catalog.purgeable(tombstones, now, days), lake, assets, tombstones, now)
 
 
+def purge_lake_tick(spark: SparkSession, base: str, tombstones: DataFrame, work: str, now, days: int = 7) -> list:
+    """One periodic run on the footprint lake itself: rewrites the months of what is due, no others, and names them."""
+    return tables.purge_footprints(spark, base, catalog.purgeable(tombstones, now, days), work)
+
+
 def purge_stream(spark: SparkSession, checkpoint: str, run: Callable[[], None], seconds: int = 3600):
     """A query whose trigger calls run(), which reads the catalogue anew and writes what purge_tick() gives, every so many
     seconds."""

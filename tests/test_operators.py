@@ -311,3 +311,32 @@ def test_services_are_purged_with_what_hangs_on_them(spark):
     assert ids("services", "id") == [2] and ids("virtual", "id") == [12, 13] and ids("scenes", "scene_id") == [102]
     assert {r.service_id: r.purged_at is not None for r in got["service_tombstones"].collect()} == {1: True, 2: False}
     assert {r.scene_id: r.purged_at is not None for r in got["scene_tombstones"].collect()} == {100: True, 102: False}
+
+
+def test_tile_functions_on_blocks(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    rows = [(i, r.random(32).astype("f4").tolist() if i % 3 else [None, *r.random(7).astype("f4").tolist()], {"factor": str(i)} if i % 2 else None) for i in range(9)]
+    table = spark.createDataFrame(rows, "id int, band array<float>, p map<string,string>")
+
+    class OneByOne(models.TileModel):
+        id, required_bands = "one", ["band"]
+
+        def compute_tile(self, bands, params, tile):
+            return bands["band"] * float(params["factor"]) + tile["id"]
+
+    class Wrong(OneByOne):
+        def compute_tile(self, bands, params, tile):
+            return bands["band"][:1]
+
+    for at_once in (1 << 22, 8):
+        monkeypatch.setattr(models, "BLOCK_PIXELS", at_once)
+        for model, add in ((models.ScaleBand(), False), (OneByOne(), True)):
+            got = {x.id: x["values"] for x in models.apply_tiles(table, model, {"factor": "10"}, width=8, params_col="p").collect()}
+            for i, band, p in rows:
+                factor = float(p["factor"]) if p else 10.0
+                assert got[i] == [None if v is None else pytest.approx(v * factor + i * add, rel=1e-5) for v in band]
+    with pytest.raises(Exception, match="shape"):
+        models.apply_tiles(table.where("id % 3 > 0"), Wrong(), {"factor": "1"}, width=8).collect()
+    with pytest.raises(Exception, match="missing or of different sizes"):
+        pair = spark.createDataFrame([(1, [1.0] * 8, [1.0] * 16), (2, None, [1.0] * 8)], "id int, red array<float>, nir array<float>")
+        models.apply_tiles(pair, models.Ndvi(), width=8).collect()

@@ -250,3 +250,56 @@ def test_png():
     assert data[:8] == b"\x89PNG\r\n\x1a\n" and zlib.decompress(data[data.index(b"IDAT") + 4 : data.index(b"IEND") - 8]) == b"\0" + bytes(range(8)) + b"\0" + bytes(range(8, 16))
     with pytest.raises(ValueError):
         tiles.png(b"x", 1, 1)
+
+
+def _lake(spark, n=20_000):
+    """Footprints of three months and none, all over the world."""
+    return spark.range(n).selectExpr(
+        "id AS scene_id", "id % 7 AS service_id", "(id * 7919 % 35900) / 100D - 180 AS minx", "(id * 104729 % 17900) / 100D - 90 AS miny", "cast(null AS double) AS cloud_cover",
+        "CASE WHEN id % 4 < 3 THEN concat('2024-0', id % 4 + 1) END AS acq_month").selectExpr("*", "minx + 1 AS maxx", "miny + 1 AS maxy")
+
+
+def test_small_boxes_touch_few_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    base, rows = str(tmp_path / "lake"), _lake(spark)
+    tables.append_footprints(rows, base, group_rows=100)
+    groups, touched = 0, 0
+    box = (10.0, 20.0, 25.0, 30.0)
+    for f in (tmp_path / "lake").rglob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        names = {meta.schema.column(i).name: i for i in range(meta.num_columns)}
+        for g in range(meta.num_row_groups):
+            s = {c: meta.row_group(g).column(names[c]).statistics for c in ("minx", "miny", "maxx", "maxy")}
+            groups += 1
+            touched += s["minx"].min <= box[2] and s["maxx"].max >= box[0] and s["miny"].min <= box[3] and s["maxy"].max >= box[1]
+    assert groups >= 190 and touched <= 0.15 * groups
+    where = spatial.rect_filter("minx", "miny", "maxx", "maxy", box)
+    got = tables.footprints(spark, base).where(where)
+    assert sorted(r.scene_id for r in got.collect()) == sorted(r.scene_id for r in rows.where(where).collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "LessThanOrEqual(minx" in plan
+
+
+def test_purge_rewrites_the_months_touched_and_no_others(spark, tmp_path, monkeypatch):
+    base, work, rows = str(tmp_path / "lake"), str(tmp_path / "work"), _lake(spark, 400)
+    tables.append_footprints(rows, base)
+    # all of 2024-02 and some of the undated ones
+    due = rows.where("acq_month = '2024-02' OR (acq_month IS NULL AND scene_id < 100)").select("scene_id")
+    want = sorted(r.scene_id for r in rows.join(due, "scene_id", "left_anti").collect())
+    scenes = lambda: sorted(r.scene_id for r in spark.read.parquet(base).collect())
+    times = lambda m: {f.name: f.stat().st_mtime_ns for f in (tmp_path / "lake" / f"acq_month={m}").glob("*.parquet")}
+    before = {m: times(m) for m in ("2024-01", "2024-03")}
+    # a run that ends before the swap leaves the lake as it was; the next one ends it, whatever it is asked for
+    with monkeypatch.context() as m:
+        m.setattr(tables, "_finish_purge", lambda *a: [])
+        tables.purge_footprints(spark, base, due, work)
+    assert scenes() == list(range(400)) and (tmp_path / "work" / "months").exists()
+    none = rows.where("false")
+    assert sorted(map(str, tables.purge_footprints(spark, base, none, work))) == ["2024-02", "None"]
+    assert scenes() == want and not (tmp_path / "work").exists() and not (tmp_path / "lake" / "acq_month=2024-02").exists()
+    assert {m: times(m) for m in before} == before
+    assert tables.purge_footprints(spark, base, due, work) == [] and scenes() == want
+    # a run that ended in the midst of writing its work leaves no list, and counts for nothing
+    (tmp_path / "work" / "kept").mkdir(parents=True)
+    assert tables.purge_footprints(spark, base, rows.where("scene_id = 0").select("scene_id"), work) == ["2024-01"] and scenes() == want[1:]

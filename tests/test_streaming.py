@@ -64,3 +64,50 @@ def test_tiles_are_rendered_once(spark, tmp_path):
     assert spark.read.parquet(base).count() == 2
     feeds.materialise(req, spark.read.parquet(base), render, base, datetime(2024, 1, 1, 2))
     assert spark.read.parquet(base).count() == 4
+
+
+def test_assets_that_come_later_yield_their_rows(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    f = spark.createDataFrame([(i, i % 3, None if i == 4 else "2024-01") for i in range(6)], "scene_id long, service_id long, acq_month string")
+    a = spark.createDataFrame([(i, b, f"s3://b/{i}/{b}") for i in (0, 1, 2, 4, 9) for b in (1, 2)], "scene_id long, band_index int, storage_uri string")
+    for name in ("f", "a"):
+        (tmp_path / name).mkdir()
+    got = []
+
+    def run():
+        streams = [spark.readStream.schema(t.schema).parquet(str(tmp_path / n)) for t, n in ((f, "f"), (a, "a"))]
+        stream = feeds.matched_footprints(*streams)
+        q = stream.writeStream.outputMode("append").foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        done = q.awaitTermination(180)
+        q.stop()
+        assert done
+        return sorted((r.scene_id, r.service_id, r.acq_month, r.band_index, r.storage_uri) for r in got)
+
+    put = lambda t, n, where: t.where(where).coalesce(1).write.mode("append").parquet(str(tmp_path / n))
+    all_ = sorted((x.scene_id, x.service_id, x.acq_month, y.band_index, y.storage_uri) for x in f.collect() for y in a.collect() if x.scene_id == y.scene_id)
+    put(f, "f", "scene_id < 3")
+    put(a, "a", "scene_id = 0 OR scene_id = 4")
+    assert run() == [r for r in all_ if r[0] == 0]
+    put(a, "a", "scene_id = 1 AND band_index = 1")  # an asset after its footprint
+    put(f, "f", "scene_id >= 3")  # a footprint after its assets
+    assert run() == [r for r in all_ if r[0] in (0, 4) or r[0] == 1 and r[3] == 1]
+    put(a, "a", "scene_id IN (2, 9) OR (scene_id = 1 AND band_index = 2)")
+    assert run() == all_ and len(all_) == 8
+
+
+def test_history_of_rendered_tiles_is_pruned(spark, tmp_path):
+    base = str(tmp_path / "tiles")
+    req = spark.createDataFrame([(1, 5, x, y, 1, "", "png") for x in range(16) for y in range(4)], "service_id long, z int, x int, y int, band int, render_rule string, format string")
+    empty = spark.createDataFrame([], "tile_key string, png binary, rendered_at timestamp")
+    render = lambda df: df.select("tile_key", F.lit(b"x").alias("png"))
+    for day in range(1, 4):
+        feeds.materialise(req, empty, render, base, datetime(2024, 1, day), day)
+    now = datetime(2024, 1, 3, 0, 30)
+    fresh = feeds.rendered_tiles(spark, base, now)
+    assert feeds.due_tiles(req, fresh, now).count() == 0 and feeds.due_tiles(req, feeds.rendered_tiles(spark, base, datetime(2024, 1, 3, 2)), datetime(2024, 1, 3, 2)).count() == 64
+    assert len({f.split("rendered_hour=")[1].split("/")[0] for f in fresh.inputFiles()}) == 3
+    plan = fresh._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(rendered_hour" in plan and fresh.select(F.input_file_name()).distinct().count() <= feeds.KEY_BUCKETS
+    tasks = feeds.by_neighbourhood(req).withColumn("task", F.spark_partition_id()).groupBy(F.shiftright("x", 3), F.shiftright("y", 3)).agg(F.count_distinct("task").alias("n"))
+    assert {r.n for r in tasks.collect()} == {1}
