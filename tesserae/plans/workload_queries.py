@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from datetime import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import pixel, spatial
@@ -11,7 +14,7 @@ from tesserae.operators import models, mosaic, tiles
 from tesserae.plans.book import query
 from tesserae.plans.fixtures import view
 from tesserae.plans.pixel_queries import ramp_cases
-from tesserae.sources import tables
+from tesserae.sources import geotiff, tables
 from tesserae.streaming import feeds
 
 
@@ -159,6 +162,55 @@ def nested_mosaic_rule(s, d):
     return tiles.styled(v, colormap="viridis")
 
 
+# -- rasters as files: the embeddings as rows of images, 128 to a file ------------------------------------------------------
+def _written(s, d):
+    """The folder that the images are written to, which all executors share; a local one in local mode alone."""
+    root = s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tesserae-')}"
+    base = f"{root}/rasters-{uuid.uuid4().hex}"
+    e = view(s, d, "embeddings").select((F.col("vec_id") % 128).alias("row"), F.floor(F.col("vec_id") / 128).cast("long").alias("f"), "embedding")
+    h, empty = F.max("row") + 1, F.array_repeat(F.lit(float("nan")).cast("float"), 64)
+    lines = e.groupBy("f").agg(h.alias("height"), F.map_from_entries(F.collect_list(F.struct("row", "embedding"))).alias("rows"))  # 128 rows at most
+    samples = F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.col("height") - 1), lambda i: F.coalesce(F.try_element_at("rows", i), empty)))
+    place = F.array((F.col("f") % 300 - 150).cast("double"), (F.col("f") % 80).cast("double"), F.lit(0.25), F.lit(0.25))
+    images = lines.select(F.col("f").cast("string").alias("name"), F.lit(64).alias("width"), "height", samples.alias("samples"), place.alias("gt"), F.lit(4326).alias("geographic"))
+    geotiff.write_rasters(images, base).write.parquet(f"{base}/written")
+    return base
+
+
+def _file(uri: str):
+    return F.regexp_extract(uri, r"(\d+)\.tif$", 1).cast("long")
+
+
+@query("SELECT vec_id, CAST(i AS INT) AS idx, round(CAST(v AS DOUBLE), 5) AS v FROM (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)")
+def raster_pixels(s, d):
+    """Every pixel of the files, through the chip index and ranged reads."""
+    chips = geotiff.read_chips(geotiff.scan(s, _written(s, d), "index", "*.tif"))
+    long = geotiff.pixels(chips, 64, 64).withColumn("f", _file("asset_id")).where("v IS NOT NULL")
+    return long.select((F.col("f") * 128 + F.col("row")).alias("vec_id"), F.col("col").alias("idx"), F.round(F.col("v").cast("double"), 5).alias("v"))
+
+
+@query("""WITH f AS (SELECT vec_id // 128 AS f, max(vec_id % 128) + 1 AS h FROM embeddings GROUP BY 1), r AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS i FROM f)
+  SELECT f AS file, 64 AS width, h AS height, 1 AS band_count, 'f32' AS dtype, 'EPSG:4326' AS crs, CAST(i AS INT) AS corner, f % 300 - 150 + CASE WHEN i IN (1, 2) THEN 16.0 ELSE 0.0 END AS x, f % 80 - CASE WHEN i IN (2, 3) THEN h * 0.25 ELSE 0.0 END AS y FROM r""")
+def raster_inspection(s, d):
+    """Header, system and footprint of every file, by its first pages."""
+    h = geotiff.inspected(geotiff.scan(s, _written(s, d), "headers", "*.tif"))
+    out = h.select(_file("uri").alias("file"), "width", "height", "band_count", "dtype", "crs", F.posexplode("ring").alias("corner", "p"))
+    return out.select("file", "width", "height", "band_count", "dtype", "crs", "corner", "p.x", "p.y")
+
+
+@query("""SELECT vec_id // 128 AS file, CAST(count(*) OVER (PARTITION BY vec_id // 128) AS BIGINT) AS rows, vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings""")
+def raster_contents(s, d):
+    """The same files as whole contents in a table (binaryFile), header and chips."""
+    files = geotiff.files(s, _written(s, d), pattern="*.tif")
+    sums = geotiff.pixels(geotiff.chips(files), 64, 64).where("v IS NOT NULL").groupBy(_file("asset_id").alias("file"), "row").agg(F.round(F.sum(F.col("v").cast("double")), 4).alias("total"))
+    rows = geotiff.headers(files).select(_file("uri").alias("file")).join(sums, "file")
+    return rows.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("file"))).select("file", "rows", (F.col("file") * 128 + F.col("row")).alias("vec_id"), "total")
+
+
 # -- models ------------------------------------------------------------------------------------------------------------
 
 

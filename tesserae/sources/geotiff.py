@@ -317,6 +317,55 @@ def _read(source, held: list[dict], nodata: float | None):
     return source, rows
 
 
+def encoded(samples: np.ndarray, tile: int = 256, gt: tuple | None = None, geographic: int | None = None) -> bytes:
+    """A TIFF of (rows, columns, bands) samples: little-endian, in Deflate tiles; gt: x, y of the upper left corner and the
+    sizes of a pixel; geographic: a system's code."""
+    h, w, bands = samples.shape
+    kind = {"u": 1, "i": 2, "f": 3}[samples.dtype.kind]
+    body, offsets, sizes = bytearray(8), [], []
+    for y in range(0, h, tile):
+        for x in range(0, w, tile):
+            part = np.zeros((tile, tile, bands), samples.dtype.newbyteorder("<"))
+            cut = samples[y : y + tile, x : x + tile]
+            part[: cut.shape[0], : cut.shape[1]] = cut
+            data = zlib.compress(part.tobytes())
+            offsets.append(len(body))
+            sizes.append(len(data))
+            body += data
+    tags = {256: ("I", [w]), 257: ("I", [h]), 258: ("H", [samples.dtype.itemsize * 8] * bands), 259: ("H", [8]), 277: ("H", [bands]), 322: ("I", [tile]), 323: ("I", [tile]), 324: ("I", offsets), 325: ("I", sizes), 339: ("H", [kind] * bands)}
+    if gt:
+        tags |= {33550: ("d", [gt[2], gt[3], 0.0]), 33922: ("d", [0.0, 0.0, 0.0, gt[0], gt[1], 0.0])}
+    if geographic:
+        tags[34735] = ("H", [1, 1, 0, 1, 2048, 0, 1, geographic])
+    entries = b""
+    for number, (code, values) in sorted(tags.items()):
+        data = struct.pack(f"<{len(values)}{code}", *values)
+        entries += struct.pack("<HHI", number, {"H": 3, "I": 4, "d": 12}[code], len(values)) + (data.ljust(4, b"\0") if len(data) <= 4 else struct.pack("<I", len(body)))
+        body += data if len(data) > 4 else b""
+    body[:8] = b"II*\0" + struct.pack("<I", len(body))
+    return bytes(body + struct.pack("<H", len(tags)) + entries + bytes(4))
+
+
+def write_rasters(rasters: DataFrame, base: str) -> DataFrame:
+    """Writes name.tif under base (an absolute path or a URI) for rows of name, width, height, band-interleaved samples
+    (array<float>), gt (ox, oy, pw, ph) and geographic, and gives uri and n_bytes of each. A task that runs again writes the
+    same file again."""
+
+    def run(batches):
+        system, path = pa.fs.FileSystem.from_uri(base)
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples(index=False):
+                data = encoded(np.asarray(r.samples, np.float32).reshape(int(r.height), int(r.width), -1), 64, tuple(r.gt) if r.gt is not None else None, None if pd.isna(r.geographic) else int(r.geographic))
+                system.create_dir(path, recursive=True)
+                with system.open_output_stream(f"{path}/{r.name}.tif") as f:
+                    f.write(data)
+                rows.append((f"{base}/{r.name}.tif", len(data)))
+            yield pd.DataFrame(rows, columns=["uri", "n_bytes"])
+
+    return rasters.select("name", "width", "height", "samples", "gt", "geographic").mapInPandas(run, "uri string, n_bytes long")
+
+
 def files(spark: SparkSession, path: str, header_only: bool = False, pattern: str = "*") -> DataFrame:
     """uri and content of the files; header_only keeps the first 256 KiB."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select(F.col("path").alias("uri"), "content")
