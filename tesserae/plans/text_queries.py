@@ -140,9 +140,11 @@ def affine(s, d):
     return b.select("point_id", F.round("w.x", 4).alias("wx"), F.round("w.y", 4).alias("wy"), F.round("p.col", 4).alias("c"), F.round("p.row", 4).alias("r"))
 
 
-@query("""SELECT point_id, round(radians(lon) * 6378137, 2) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 2) AS y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM fx_points WHERE abs(lat) < 85""")
+@query("""WITH p AS (SELECT point_id, lon, least(greatest(CAST(lat AS DOUBLE), -85.0511287798066), 85.0511287798066) AS lat FROM fx_points)
+  SELECT point_id, round(radians(lon) * 6378137, 2) AS x, round(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 2) AS y, round(lon, 6) AS lon, round(lat, 6) AS lat FROM p""")
 def web_mercator(s, d):
-    p = view(s, d, "fx_points").where("abs(lat) < 85").withColumn("m", spatial.lonlat_to_mercator("lon", "lat")).withColumn("b", spatial.mercator_to_lonlat(F.col("m.x"), F.col("m.y")))
+    """Latitudes beyond the square of the map lie on its edge."""
+    p = view(s, d, "fx_points").withColumn("m", spatial.lonlat_to_mercator("lon", "lat")).withColumn("b", spatial.mercator_to_lonlat(F.col("m.x"), F.col("m.y")))
     return p.select("point_id", F.round("m.x", 2).alias("x"), F.round("m.y", 2).alias("y"), F.round("b.x", 6).alias("lon"), F.round("b.y", 6).alias("lat"))
 
 
