@@ -290,10 +290,13 @@ def cube_slice(s, d):
     return tables.cube_slice(c, 3, {"d0": None, "d1": 5}, ["d0", "d1"]).select("d0", "d1", F.round(F.col("value").cast("double"), 5).alias("value"))
 
 
-@query("SELECT count(*) AS n_cells FROM embeddings WHERE label = 3")
+@query("""WITH c AS (SELECT vec_id, embedding[6] AS v, count(*) OVER () AS n FROM embeddings WHERE label = 3)
+  SELECT n AS n_cells, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INT) AS place, round(CAST(v AS DOUBLE), 4) AS value FROM c WHERE n <= 256 UNION ALL SELECT max(n), NULL, NULL FROM c HAVING max(n) > 256""")
 def cube_document(s, d):
+    """The number of cells and, unless they are too many, the values of the document."""
     c = view(s, d, "embeddings").select(F.col("label").alias("variable"), F.col("vec_id").alias("d0"), F.posexplode("embedding").alias("d1", "value"))
-    return tables.cube_document(c, 3, {"d0": None, "d1": 5}, ["d0", "d1"]).select("n_cells")
+    doc = tables.cube_document(c, 3, {"d0": None, "d1": 5}, ["d0", "d1"])
+    return doc.select("n_cells", F.posexplode_outer(F.from_json("values", "array<double>")).alias("place", "value")).withColumn("value", F.round("value", 4))
 
 
 # -- feeds: the batch twins of the streams --------------------------------------------------------------------------
