@@ -31,12 +31,14 @@ def grid(requests: DataFrame, size: int) -> DataFrame:
 def _to_source(df: DataFrame, x: Column, y: Column, degrees: bool = False) -> DataFrame:
     """Column and row in the source of a point in Web Mercator metres, or in degrees.
 
-    Degrees and Web Mercator are expressions, other systems go through the vectorised function.
+    Degrees, Web Mercator and UTM zones are expressions, other systems go through the vectorised function.
     """
     given = F.struct(x.alias("x"), y.alias("y"))
     ll, m = (given, spatial.lonlat_to_mercator(x, y)) if degrees else (spatial.mercator_to_lonlat(x, y), given)
-    easy = df.where(F.col("crs").isin("EPSG:4326", "EPSG:3857")).withColumn("_s", F.when(F.col("crs") == "EPSG:4326", ll).otherwise(m))
-    hard = df.where(~F.col("crs").isin("EPSG:4326", "EPSG:3857")).withColumn("_s", crs.reproject(F.lit("EPSG:4326" if degrees else "EPSG:3857"), "crs", x, y))
+    utm = F.col("crs").rlike(crs.UTM_CODE)
+    plain = F.col("crs").isin("EPSG:4326", "EPSG:3857") | utm
+    easy = df.where(plain).withColumn("_s", F.when(F.col("crs") == "EPSG:4326", ll).when(utm, crs.utm_forward(ll["x"], ll["y"], "crs")).otherwise(m))
+    hard = df.where(~plain).withColumn("_s", crs.reproject(F.lit("EPSG:4326" if degrees else "EPSG:3857"), "crs", x, y))
     both = easy.unionByName(hard).withColumn("_p", spatial.world_to_pixel("gt", F.col("_s.x"), F.col("_s.y")))
     # pixel centres lie half a pixel in
     return both.withColumn("c", F.col("_p.col") - 0.5).withColumn("r", F.col("_p.row") - 0.5).drop("_s", "_p")

@@ -148,6 +148,29 @@ def web_mercator(s, d):
     return p.select("point_id", F.round("m.x", 2).alias("x"), F.round("m.y", 2).alias("y"), F.round("b.x", 6).alias("lon"), F.round("b.y", 6).alias("lat"))
 
 
+def _utm_sql() -> str:
+    """Forward projection to the point's own zone, in SQL."""
+    sums = {n: " + ".join(f"({c!r}) * {a}({2 * j} * xi) * {b}({2 * j} * eta)" for j, c in enumerate(crs._ALPHA, 1)) for n, a, b in (("x", "cos", "sinh"), ("y", "sin", "cosh"))}
+    return f"""WITH p AS (SELECT point_id, CAST(lon AS DOUBLE) AS lon, CAST(lat AS DOUBLE) AS lat FROM fx_points), z AS (SELECT *, least(CAST(floor((lon + 180) / 6) AS INT) + 1, 60) AS zone FROM p),
+  s AS (SELECT *, radians(lon - (zone * 6 - 183)) AS d, greatest(least(sin(radians(lat)), 0.99999999), -0.99999999) AS sine FROM z),
+  t AS (SELECT *, sinh(atanh(sine) - {crs._E!r} * atanh({crs._E!r} * sine)) AS t FROM s), e AS (SELECT *, atan2(t, cos(d)) AS xi, asinh(sin(d) / sqrt(t * t + cos(d) * cos(d))) AS eta FROM t)
+  SELECT point_id, concat('EPSG:32', CASE WHEN lat < 0 THEN '7' ELSE '6' END, lpad(CAST(zone AS VARCHAR), 2, '0')) AS system, round((eta + {sums["x"]}) * {crs._R!r} + 500000, 3) AS x,
+    round((xi + {sums["y"]}) * {crs._R!r} + CASE WHEN lat < 0 THEN 10000000 ELSE 0 END, 3) AS y, round(lon, 7) AS lon, round(lat, 7) AS lat FROM e WHERE abs(lat) < 89.99
+  UNION ALL SELECT point_id, NULL, NULL, NULL, NULL, round(lat, 7) FROM p WHERE abs(lat) >= 89.99"""
+
+
+@query(_utm_sql())
+def utm_coordinates(s, d):
+    """Every point in its own UTM zone and back; at the poles, where longitudes have no meaning, the latitude alone."""
+    lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
+    zone = F.least(F.floor((lon + 180) / 6).cast("int") + 1, F.lit(60))
+    code = F.concat(F.when(lat < 0, "EPSG:327").otherwise("EPSG:326"), F.lpad(zone.cast("string"), 2, "0"))
+    p = view(s, d, "fx_points").select("point_id", lat.alias("given"), code.alias("system"), crs.utm_forward(lon, lat, code).alias("m"))
+    p = p.withColumn("b", crs.utm_inverse("m.x", "m.y", "system"))
+    known = lambda c, n: F.when(F.abs("given") < 89.99, F.round(c, n))
+    return p.select("point_id", F.when(F.abs("given") < 89.99, F.col("system")).alias("system"), known("m.x", 3).alias("x"), known("m.y", 3).alias("y"), known("b.x", 7).alias("lon"), F.round("b.y", 7).alias("lat"))
+
+
 SYSTEMS = ["EPSG:32633", "EPSG:32733", "+proj=aea +lat_1=29.5 +lat_2=45.5 +lat_0=23 +lon_0=-96", "+proj=lcc +lat_1=33 +lat_2=45 +lat_0=40 +lon_0=-97", "+proj=laea +lat_0=52 +lon_0=10", "+proj=eqdc +lat_1=20 +lat_2=60 +lat_0=40 +lon_0=-96", "+proj=sinu +lon_0=0", "+proj=merc +lat_ts=20 +lon_0=10"]
 
 

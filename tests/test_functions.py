@@ -118,3 +118,24 @@ def test_tile_models(spark):
     assert v[0] > 0.5 and v[2] is None and v[3] is None
     with pytest.raises(ValueError):
         models.apply_tiles(df.drop("nir"), models.Ndvi(), width=2)
+
+
+def test_utm_zones_equal_the_general_projection(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tesserae.functions import crs
+
+    r = np.random.default_rng(5)
+    rows = []
+    for zone in (1, 17, 33, 60):
+        for south in (False, True):
+            for _ in range(40):
+                lon = zone * 6 - 183 + float(r.uniform(-5, 5))
+                rows.append((f"EPSG:32{7 if south else 6}{zone:02d}", lon - 360 if lon > 180 else lon + 360 if lon < -180 else lon, float(r.uniform(-84, 84))))
+    df = spark.createDataFrame(rows, "code string, lon double, lat double").withColumn("m", crs.utm_forward("lon", "lat", "code")).withColumn("b", crs.utm_inverse("m.x", "m.y", "code"))
+    for x in df.select("*", F.col("m.x").alias("x"), F.col("m.y").alias("y"), F.col("b.x").alias("u"), F.col("b.y").alias("v")).collect():
+        a, b = crs.transform("EPSG:4326", x.code, np.array([x.lon]), np.array([x.lat]))
+        assert abs(x.x - a[0]) < 1e-5 and abs(x.y - b[0]) < 1e-5
+        assert abs((x.u - x.lon + 180) % 360 - 180) < 1e-9 and abs(x.v - x.lat) < 1e-9
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
