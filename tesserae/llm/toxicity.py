@@ -4,7 +4,8 @@ The kernel of two strings counts their common subsequences of three letters, eac
 so that insults with inserted or missing letters stay close to the plain ones. Landmarks are learned from labelled texts:
 beginnings, ends and wholes of words (with marks for a word's borders) that stand in toxic texts far more often than chance
 allows, so rare insults and stems of inflected ones count too. A word is compared to a landmark by its window of about
-the landmark's length. A sentence is the sum of its words' kernel values (a convolution kernel); the Nystroem map turns
+the landmark's length; a whole landmark also by its longest subsequences, all its letters or all but one, wherever they stand
+in the word (see spread), so that letters inserted at any place weigh little. A sentence is the sum of its words' kernel values (a convolution kernel); the Nystroem map turns
 that into coordinates, on which a linear machine is trained with labelled sentences (the most suspicious one of each
 labelled text). A text scores by its worst sentence, by the evidence of all its sentences and by its length, through a
 fitted logistic curve. Words are taken by their letters alone; runs of single letters, and two neighbours that together look
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import SPACE_CLASS, chunks, located_words, stage, unified, unstage
+from tesserae.llm.common import SPACE_CLASS, chunks, located_words, released, stage, unified, unstage
 
 ORDER, DECAY = 3, 0.8
 #: Similarities are raised to this power (a product of kernels is a kernel), which sets near misses apart from chance likeness.
@@ -43,6 +44,9 @@ EVIDENCE, LEAST_TEXTS = 24.0, 4
 ALIKE = 6
 #: Odds of a landmark's word to stand in a toxic text, over those of any word.
 ODDS = 3.0
+#: Weight of each other letter between a whole landmark's letters, of a word that lacks one of them, and how many other
+#: letters may differ from each other.
+GAP, MISSING, EXTRA = 0.97, 0.9, 2
 #: Kernel values below this count as 0; a word is compared to landmarks with which it shares most letters.
 FLOOR, SHARED = 0.5, 0.7
 #: At most about this many labelled rows of each class are learned from (chosen by a hash of doc_id).
@@ -106,6 +110,14 @@ class Words:
         self.head_mask = np.bitwise_or.accumulate(_bits(self.head), axis=1)
         self.tail_mask = np.bitwise_or.accumulate(_bits(self.tail)[:, ::-1], axis=1)
 
+    def near(self, core: str) -> list[int]:
+        """Words that hold the core's letters (its first ones, and of long words their first ones), or all but one of them,
+        and are at most twice as long and a letter."""
+        n, mask, first = len(core), np.uint64(_mask(core)), np.uint64(_mask(core[: self.WIDTH // 2]))
+        seen = self.head_mask[:, min(2 * n + 1, self.WIDTH) - 1]
+        longer = (self.length > n) & (self.length <= 2 * n + 1) & (seen & first == first)
+        return np.flatnonzero(longer | ((self.length == n - 1) & (self.length >= STEM[0]) & (seen & ~mask == 0))).tolist()
+
     def windows(self, landmark: str):
         """(words, codes of a window of each) to compare with the landmark."""
         begin, end = landmark.startswith("^"), landmark.endswith("$")
@@ -133,6 +145,28 @@ class Words:
             yield near, np.hstack((mark, self.head[near, : n + more])) if begin else np.hstack((self.tail[near, self.WIDTH - n - more :], mark))
 
 
+def spread(core: str, word: str) -> float:
+    """The gap weight of the longest subsequences: all letters of core in order in the word, GAP for each letter between or
+    around them, of which there are at most EXTRA, or any number of one and the same; or all but one of core's letters and
+    no others. 0 where neither holds."""
+    n, more = len(core), len(word) - len(core)
+    if more == -1:
+        k = next((i for i in range(n - 1) if word[i] != core[i]), n - 1)
+        return MISSING if word[k:] == core[k + 1 :] else 0.0
+    if more < 1:
+        return 0.0
+    letters = iter(word)
+    if not all(c in letters for c in core):
+        return 0.0
+    if more > EXTRA:
+        rest = set(word) - set(core)
+        if len(rest) > 1 or (rest and word.replace(next(iter(rest)), "") != core) or (not rest and more > n):
+            return 0.0
+        if not rest and word != "".join(c * (len(word) // n) for c in core):
+            return 0.0
+    return GAP**more
+
+
 def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
     """Normalised kernel of each word (its letters alone) with each landmark; 0 below FLOOR.
 
@@ -151,6 +185,10 @@ def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
             rows, codes, value = rows[some], codes[some], value[some]
             value = value / np.sqrt(np.maximum(kernel(codes, codes) * size, 1e-12))
             np.maximum.at(out[:, z], rows, np.where(value >= FLOOR, value**POWER, 0))
+        core = landmark.strip("^$")
+        if len(core) + 2 == len(landmark) and len(core) >= STEM[0]:
+            for k in known.near(core):
+                out[k, z] = max(out[k, z], spread(core, known.plain[k]))
     return out
 
 
@@ -409,6 +447,7 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFram
     if model is None:
         return docs.select("doc_id", held, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
 
+    @released
     def run(batches):
         own = Sentences(model["landmarks"])
         for pdf in batches:

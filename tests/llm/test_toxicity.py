@@ -56,6 +56,48 @@ def test_inserted_characters_and_odd_texts(spark, corpus):
     assert [got[i] for i in range(1000, 1005)] == [1, 1, 0, 0, 0]
 
 
+ALTERED = {
+    "one letter in the middle": lambda w: w[:3] + "x" + w[3:], "one after the first": lambda w: w[0] + "k" + w[1:], "one before the last": lambda w: w[:-1] + "q" + w[-1], "doubled": lambda w: w[:2] + w[1:],
+    "two letters": lambda w: w[:3] + "xq" + w[3:], "two apart": lambda w: w[:2] + "v" + w[2:4] + "j" + w[4:], "after every letter": lambda w: "".join(c + "x" for c in w), "between all": "x".join, "all doubled": lambda w: "".join(c * 2 for c in w),
+    "left out": lambda w: w[:2] + w[3:], "spaced": " ".join, "dots": ".".join, "hyphen": lambda w: w[:3] + "-" + w[3:],
+}
+
+
+def test_altered_insults_are_still_found(spark, corpus):
+    docs, labels = corpus
+    insults = ["moron", "stupid", "clown"]
+    made = [(2000 + i, f"then on re {f(w)} an the. on re the an", "x", 1) for i, (f, w) in enumerate((f, w) for f in ALTERED.values() for w in insults)]
+    clean = [(3000 + i, f"then on re {w} an the. on re the an", "x", 1) for i, w in enumerate(["more", "onrem", "cloth", "student", "studio", "clean", "moor", "stud", "crown", "marooned", "cloudenwin", "thereonin"])]
+    got = {r.doc_id: r.predicted for r in toxicity.scored(docs.unionByName(spark.createDataFrame(made + clean, docs.schema)), labels).collect()}
+    names = [k for k in ALTERED for _ in insults]
+    assert not [n for n, row in zip(names, made, strict=True) if not got[row[0]]]
+    assert not [row[1] for row in clean if got[row[0]]]
+
+
+def test_altered_insults_of_held_out_texts(spark):
+    """Recall under each alteration of the insults in texts that the model has not seen."""
+    import re
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.select("doc_id", "text").join(labels.select("doc_id"), "doc_id", "left_semi")
+    words = ["trash", "worthless", "pathetic", "disgusting", "idiot", "loser", "moron", "scum", "clown", "stupid"]
+    find = re.compile(rf"\b({'|'.join(words)})\b", re.I)
+    toxic = [r for r in docs.join(labels.where("toxic = 1"), "doc_id").where("crc32(cast(doc_id AS string)) % 5 = 0").select("doc_id", "text").collect() if find.search(r.text)]
+    kinds = list(ALTERED)
+    more = [(10**9 + 1000 * k + i, find.sub(lambda m, f=f: f(m[0]), r.text)) for k, f in enumerate(ALTERED.values()) for i, r in enumerate(toxic)]
+    got = toxicity.scored(docs.unionByName(spark.createDataFrame(more, docs.schema)), labels).where("doc_id >= 1000000000").collect()
+    recall = {kinds[k]: np.mean([r.predicted for r in got if (r.doc_id - 10**9) // 1000 == k]) for k in range(len(kinds))}
+    assert len(toxic) >= 50 and min(recall.values()) >= 0.9, recall
+
+
+def test_spread():
+    for word, want in (("idiot", 0), ("idxiot", 1), ("xidiot", 1), ("idiotx", 1), ("iidiot", 1), ("idxiqot", 2), ("ixdxixoxt", 4), ("iiddiioott", 5)):
+        assert toxicity.spread("idiot", word) == pytest.approx(toxicity.GAP**want if want else 0)
+    assert [toxicity.spread("idiot", w) for w in ("idit", "diot", "idio", "idot")] == [toxicity.MISSING] * 4
+    assert not any(toxicity.spread("idiot", w) for w in ("toidi", "idt", "iqdwieort", "house", "ideot", "idiqwrot", ""))
+
+
 def test_without_labels_and_empty(spark, corpus):
     docs, labels = corpus
     assert {r.score for r in toxicity.scored(docs, labels.limit(0)).collect()} == {0.0}
