@@ -33,10 +33,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import KeyFilter, Prefix, key_filter, mix, stage, unstage
+from tesserae.llm.common import KeyFilter, Prefix, key_filter, mix, released, stage, unstage
 
 #: Words of a batch, bytes that are hashed at once, occurrences of a hash partition, entries of a task's counter.
-TOKENS, BUFFER, MASS, ENTRIES = 400_000, 1 << 20, 1 << 23, 150_000
+TOKENS, BUFFER, MASS, ENTRIES = 250_000, 1 << 20, 1 << 23, 100_000
 #: Capacity over mass / threshold; bits of a fingerprint within its partition; the filter has 2^FILTER_MOST bits at most.
 SLACK, WIDTH, FILTER_MOST = 8, 32, 28
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -150,6 +150,7 @@ def _given(docs: DataFrame) -> DataFrame:
 def summaries(docs: DataFrame, longest: int, bits: int) -> DataFrame:
     """part, n_keys, mass and the packed fingerprints of one batch, per hash partition."""
 
+    @released
     def run(frames):
         for words in _batches(frames):
             key = np.concatenate([h for _, _, h in words.grams(longest, words.hash)] or [np.zeros(0, np.uint64)])
@@ -203,6 +204,7 @@ def _grouped(words: Words, n: int, first: np.ndarray, hashed: np.ndarray, check:
 def exact_counts(docs: DataFrame, longest: int, bits: int, given: tuple[int, bytes]) -> DataFrame:
     """lang, phrase, words and f of the n-grams that the filter lets pass, and of all words (phrase '', words 0)."""
 
+    @released
     def run(frames):
         likely = KeyFilter(*given)
         found: dict = {}

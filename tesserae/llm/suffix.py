@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import NO_ID, KeyFilter, Prefix, key_filter, mix, shuffle_partitions, stage, unified, unstage
+from tesserae.llm.common import NO_ID, KeyFilter, Prefix, key_filter, mix, released, shuffle_partitions, stage, unified, unstage
 
 GRAM = 32
 #: Windows that are looked at together; positions in such a piece fit in POS bits.
@@ -132,6 +132,7 @@ def _run_table(docs: DataFrame, length: int, prints: bool) -> DataFrame:
     """All runs of all texts; with prints also rows with the picked strings of a piece."""
     names = ["doc_id", "tkey", "start", "many", "anchor", "ahash", "r1", "r2", "prints"]
 
+    @released
     def run(batches):
         for pdf in batches:
             ids, keys = pdf["doc_id"].to_numpy(), pdf["tkey"].to_numpy()
@@ -326,6 +327,7 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
         ids, keys, starts = (np.array([r[k] for r in held], np.int64)[ctx] for k in (1, 2, 3))
         return _stretches(ids, keys, starts + at, length)
 
+    @released
     def run(batches):
         held, size = [], 0
         for pdf in batches:
@@ -345,6 +347,7 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
 def _counted_spans(contexts: DataFrame, length: int) -> DataFrame:
     """The same for anchors with many classes: windows as rows, counted by two hashes."""
 
+    @released
     def run(batches):
         for pdf in batches:
             for r in pdf[["doc_id", "tkey", "start", "many", "context"]].itertuples(index=False):
@@ -386,6 +389,7 @@ def _likely(every: DataFrame) -> DataFrame:
     given = key_filter(again)
     unstage(again)
 
+    @released
     def run(batches):
         known = KeyFilter(*given)
         for batch in batches:
@@ -419,6 +423,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, passages: bool = False) -
         .groupBy("doc_id", "tkey").agg(F.collect_list(F.struct("start", "many", "anchor", "ahash", "classes")).alias("asked"))
     )
 
+    @released
     def cut(batches):
         for pdf in batches:
             rows = []
@@ -448,6 +453,7 @@ def union_of(spans, size: int) -> list[tuple[int, int]]:
 def digests(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_shared of each row."""
 
+    @released
     def run(batches):
         for pdf in batches:
             rows = []
@@ -488,6 +494,7 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     free = "_" * (1 + max((len(c) for c in docs.columns), default=0))
     spans, key, own = f"{free}spans", f"{free}key", f"{free}id"
 
+    @released
     def run(batches):
         for pdf in batches:
             pdf["text"] = [cut_text(t, union_of(s, len(t.encode()))) if isinstance(t, str) and s is not None else t for t, s in zip(pdf["text"], pdf[spans], strict=True)]
