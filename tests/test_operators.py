@@ -189,6 +189,34 @@ def test_mosaics_of_blocks_equal_those_of_pixels(spark, reducer):
         assert pictures == {r.x: r.png for r in coloured.collect()}
 
 
+def test_points_at_one_place_are_sampled_once(spark, monkeypatch):
+    from tesserae.functions import crs
+
+    made, heads, headers, chips = _rasters(spark)
+    r = random.Random(5)
+    spots = [(r.uniform(7, 27), r.uniform(36, 51)) for _ in range(60)]
+    points = spark.createDataFrame([(40 * k + i, *spot) for k, spot in enumerate(spots) for i in range(30)], "point_id int, lon double, lat double")
+    scenes = spark.createDataFrame([(i, k, -20.0, 20.0, 60.0, 70.0) for i, k in enumerate("abcd")], "scene_id int, asset_id string, minx double, miny double, maxx double, maxy double")
+    asked, join = [], tiles.ranges.point_scenes
+    monkeypatch.setattr(tiles.ranges, "point_scenes", lambda p, f: asked.append(p.count()) or join(p, f))
+    got = {(x.point_id, x.scene_id): x.value for x in tiles.point_values(points, scenes, headers, chips).collect()}
+    want = {}
+    for k, (lon, lat) in enumerate(spots):
+        for i, name in enumerate("abcd"):
+            ox, pw, rr, oy, cr, ph = heads[name][5]
+            u, w = (float(c[0]) for c in crs.transform("EPSG:4326", heads[name][6], np.array([lon]), np.array([lat])))
+            det = pw * ph - rr * cr
+            c, row = (ph * (u - ox) - rr * (w - oy)) / det - 0.5, (pw * (w - oy) - cr * (u - ox)) / det - 0.5
+            if -0.5 <= c <= 22.5 and -0.5 <= row <= 16.5:
+                c, row = min(max(c, 0), 22), min(max(row, 0), 16)
+                c0, r0 = int(c), int(row)
+                near = made[name][np.ix_([r0, min(r0 + 1, 16)], [c0, min(c0 + 1, 22)])].astype("f4").astype(float)
+                v = np.array([1 - row + r0, row - r0]) @ near @ np.array([1 - c + c0, c - c0])
+                want |= {(40 * k + n, i): None if np.isnan(near).any() else pytest.approx(v, abs=1e-6) for n in range(30)}
+    assert asked == [len(spots)]
+    assert got == want and sum(v is not None for v in want.values()) > 1000
+
+
 def test_absent_bands(spark):
     px = spark.createDataFrame([(1, 0, "red", 1.0), (1, 0, "nir", 2.0), (2, 0, "red", 3.0)], "tile_id int, idx int, band_key string, v double")
     assert [tuple(r) for r in mosaic.aligned(px, ["red", "nir"]).collect()] == [(1, 0, 1.0, 2.0)]
