@@ -155,3 +155,14 @@ def point_scenes(points: DataFrame, footprints: DataFrame, margin: float = 0.001
     lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
     boxed = points.withColumns({"minx": lon - margin, "miny": lat - margin, "maxx": lon + margin, "maxy": lat + margin})
     return rect_join(boxed, footprints)
+
+
+def point_counts(points: DataFrame, footprints: DataFrame, margin: float = 0.001) -> DataFrame:
+    """point_id, n and first_scene: how many scenes point_scenes gives each point, and the smallest scene_id.
+
+    Equal boxes are counted before the join and each place is joined once, so that pairs grow with different boxes and places,
+    not with scenes and points.
+    """
+    boxes = footprints.groupBy(*_BOX).agg(F.count(F.lit(1)).alias("n"), F.min("scene_id").alias("first_scene"))
+    met = point_scenes(points.select("lon", "lat").distinct(), boxes, margin).groupBy("lon", "lat").agg(F.sum("n").alias("n"), F.min("first_scene").alias("first_scene"))
+    return points.select("point_id", "lon", "lat").join(met, ["lon", "lat"]).groupBy("point_id").agg(F.sum("n").alias("n"), F.min("first_scene").alias("first_scene"))

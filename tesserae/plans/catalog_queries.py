@@ -246,7 +246,7 @@ def tile_scenes(s, d):
 
 @query("SELECT p.point_id, count(*) AS n, min(f.scene_id) AS first_scene FROM fx_points p JOIN fx_footprints f ON f.minx <= p.lon + 0.001 AND f.maxx >= p.lon - 0.001 AND f.miny <= p.lat + 0.001 AND f.maxy >= p.lat - 0.001 GROUP BY 1")
 def point_scenes(s, d):
-    return ranges.point_scenes(view(s, d, "fx_points"), view(s, d, "fx_footprints")).groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.min("scene_id").alias("first_scene"))
+    return ranges.point_counts(view(s, d, "fx_points"), view(s, d, "fx_footprints"))
 
 
 @query("""SELECT scene_id, concat('POLYGON ((', CAST(minx AS VARCHAR), ' ', CAST(miny AS VARCHAR)) AS wkt_start, strftime(acquired_at, '%Y-%m') AS acq_month, coalesce(strftime(acquired_at, '%Y-%m'), 'k') AS partition_key, round(minx, 6) AS minx, round(maxy, 6) AS maxy,

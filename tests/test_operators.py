@@ -399,3 +399,18 @@ def test_line_sums_and_samples_of_blocks(spark):
     assert {(r.z, r.x, r.asset_id, r.idx): r.v for r in tiles.samples(blocks, 16).collect()} == long and len(long) > 200
     got = {(r.z, r.x, r.asset_id, r.line): (r.n, r.first, r.total, r.moment) for r in tiles.line_sums(blocks).collect()}
     assert got == {k: (len(v), min(v)[0], pytest.approx(sum(x for _, x in v)), pytest.approx(sum(x * (i + 1) for i, x in v))) for k, v in want.items()}
+
+
+def test_equal_boxes_and_places_meet_once(spark, monkeypatch):
+    r = random.Random(3)
+    spots = [(r.uniform(-180, 180), r.uniform(-80, 80)) for _ in range(40)]
+    corners = [(x, y, x + r.choice([3, 30, -20]), y + 20) for x, y in ((r.uniform(-180, 160), r.uniform(-80, 60)) for _ in range(50))]
+    points = [(i % 150, *spots[i % 40]) for i in range(200)] + [(900, None, 1.0)]
+    scenes = [(i, *corners[i * 7 % 50]) for i in range(300)]
+    p = spark.createDataFrame(points, "point_id int, lon double, lat double")
+    f = spark.createDataFrame(scenes, "scene_id int, minx double, miny double, maxx double, maxy double")
+    want = {(x.point_id, x.n, x.first_scene) for x in ranges.point_scenes(p, f).groupBy("point_id").agg(F.count(F.lit(1)).alias("n"), F.min("scene_id").alias("first_scene")).collect()}
+    asked, join = [], ranges.point_scenes
+    monkeypatch.setattr(ranges, "point_scenes", lambda a, b, m: asked.append((a.where("lon IS NOT NULL").count(), b.count())) or join(a, b, m))
+    assert {tuple(x) for x in ranges.point_counts(p, f).select("point_id", "n", "first_scene").collect()} == want and len(want) > 100
+    assert asked == [(40, 50)]
