@@ -5,10 +5,11 @@ same for every set, they therefore share one of the first s - ceil(t * s) + 1 of
 come last in the order, so that boilerplate brings no strangers together. Any order is exact: the table of frequent
 shingles (FREQUENT at most, counted within batches of texts) only makes the search cheap. A set signs its first shingles for
 its own size class and for each class in which it can have a smaller partner. Signatures meet in hashed buckets. The sets
-of a list of up to SHORT with one signature are compared by their sketches: the counts of their shingles by parts of the hash
-space differ by no more than the sets themselves, so pairs that differ by too much go, and passages that many texts share
-chain no strangers together. A longer list becomes a star of edges (it grows with the number of batches, not of its members,
-as a batch sends one member of a list of more than FEW and keeps the others as edges). Components of the edges are families.
+of a list with one signature are compared by their sketches: the counts of their shingles by parts of the hash space differ
+by no more than the sets themselves, so pairs that differ by too much go, and passages that many texts share chain no
+strangers together. Lists of up to SHORT become pairs. In a longer list one member after the other is compared with all, until
+the rest hang together; its edges are a star for each component found. After LEADERS members, or in a list of over LIST, the
+rest become one star, uncompared: that costs search in a larger family and loses no link. Components of the edges are families.
 
 Links. Within a family the T-occurrence search counts overlaps on inverted lists (DivideSkip): the short lists of a set are
 merged on a heap, the long ones are probed by binary search for the sets that can still reach the required overlap.
@@ -31,13 +32,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import NO_ID, chunks, mix, shuffle_partitions, stage, unified, unstage, words_of
+from tesserae.llm.common import NO_ID, chunks, mix, released, shuffle_partitions, stage, unified, unstage, words_of
 from tesserae.llm.components import components
 
 #: Members of a family that are searched in one task; larger ones go block by block.
 FAMILY = 4096
-#: Sets with one signature that a batch sends one by one, and that are compared pair by pair where they meet.
-FEW, SHORT = 4, 8
+#: Sets with one signature that become pairs; members of a longer list that are compared with all others; the longest such list.
+SHORT, LEADERS, LIST = 8, 256, 1 << 16
 #: Frequent shingles that come last in the order, and how many a batch of texts proposes.
 FREQUENT, BATCH_FREQUENT = 200_000, 4000
 #: Shingles of a family's members that are searched in one task, likewise.
@@ -147,7 +148,7 @@ def _profiles(docs: DataFrame, n: int) -> DataFrame:
                 often = often[np.argsort(-count[often], kind="stable")][:BATCH_FREQUENT]
                 yield pd.DataFrame({"doc_id": 0, "tkey": 0, "size": -1, "h1": shingle[often].view(np.int64), "h2": count[often], "sketch": None})
 
-    return docs.mapInPandas(run, "doc_id long, tkey long, size long, h1 long, h2 long, sketch binary")
+    return docs.mapInPandas(released(run), "doc_id long, tkey long, size long, h1 long, h2 long, sketch binary")
 
 
 def _frequent(profiles: DataFrame) -> np.ndarray:
@@ -156,17 +157,18 @@ def _frequent(profiles: DataFrame) -> np.ndarray:
     return counts.select("h1").toPandas()["h1"].to_numpy(np.int64).view(np.uint64)
 
 
-def _lists(sig: np.ndarray, owner: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The rows in order of (signature, owner), and the number, place and length of the list of each."""
+def _lists(sig: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The different rows in order of (signature, owner), the number of the list of each, and the lengths of the lists."""
     order = np.lexsort((owner, sig))
     sig, owner = sig[order], owner[order]
+    other = np.concatenate(([True], (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])))
+    sig, owner = sig[other], owner[other]
     new = np.concatenate(([True], sig[1:] != sig[:-1]))
-    which, first = np.cumsum(new) - 1, np.flatnonzero(new)
-    return sig, owner, *[m[order] for m in more], which, first, np.diff(np.append(first, len(sig)))
+    return sig, owner, np.cumsum(new) - 1, np.diff(np.append(np.flatnonzero(new), len(sig)))
 
 
 def _edges(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Edges (a, b) between h1 values of sets that share a signature; star: a long list's, which says nothing of the pair."""
+    """Pairs (a, b) of h1 values of sets that share a signature; and, as star, the members (a) of each long list (b)."""
     buckets = shuffle_partitions(docs.sparkSession) * 2
     known = docs.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT numbers
 
@@ -184,50 +186,35 @@ def _edges(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -> DataF
                             owners.append(np.full(len(sigs[-1]), h1, np.int64))
                 if not sigs:
                     continue
-                sig, owner, which, first, length = _lists(np.concatenate(sigs), np.concatenate(owners))
-                long = length[which] > FEW
-                lead = np.zeros(len(sig), bool)
-                lead[first] = True
-                a, b = owner[first][which][long & ~lead], owner[long & ~lead]
-                sig, owner, long = sig[~long | lead], owner[~long | lead], long[~long | lead]
+                sig, owner = np.concatenate(sigs), np.concatenate(owners)
                 bucket = (sig % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                rows = [(int(k), 0, sig[order[x:y]].tobytes(), owner[order[x:y]].tobytes(), long[order[x:y]].tobytes()) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-                if len(a):
-                    a, b = np.unique(np.stack((a, b)), axis=1)
-                    rows.append((int(a[0]) % buckets, 1, a.tobytes(), b.tobytes(), b""))
-                yield pd.DataFrame(rows, columns=["bucket", "kind", "x", "y", "z"])
+                rows = [(int(k), sig[order[x:y]].tobytes(), owner[order[x:y]].tobytes()) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+                yield pd.DataFrame(rows, columns=["bucket", "x", "y"])
 
     def meet(batches):
-        sigs, owners, longs = [], [], []
+        sigs, owners = [], []
         for pdf in batches:
-            for kind, x, y, z in zip(pdf["kind"], pdf["x"], pdf["y"], pdf["z"], strict=True):
-                if kind:
-                    yield pd.DataFrame({"a": np.frombuffer(x, np.int64), "b": np.frombuffer(y, np.int64), "star": True})
-                else:
-                    sigs.append(np.frombuffer(x, np.uint64))
-                    owners.append(np.frombuffer(y, np.int64))
-                    longs.append(np.frombuffer(z, bool))
+            sigs += [np.frombuffer(x, np.uint64) for x in pdf["x"]]
+            owners += [np.frombuffer(y, np.int64) for y in pdf["y"]]
         if not sigs:
             return
-        _, owner, long, which, first, length = _lists(np.concatenate(sigs), np.concatenate(owners), np.concatenate(longs))
-        del sigs, owners, longs
-        star = (length > SHORT) | np.logical_or.reduceat(long, first)
-        far = np.flatnonzero(star[which])
-        found = [(owner[first][which[far]], owner[far], True)]
+        sig, owner, which, length = _lists(np.concatenate(sigs), np.concatenate(owners))
+        del sigs, owners
+        long = length[which] > SHORT
+        if long.any():
+            yield pd.DataFrame({"a": owner[long], "b": sig[long].view(np.int64), "star": True})
+        found = [np.zeros((2, 0), np.int64)]
         for gap in range(1, SHORT):
-            i = np.flatnonzero((which[gap:] == which[:-gap]) & ~star[which[gap:]])
-            found.append((owner[i], owner[i + gap], False))
-        for starred in (True, False):
-            a, b = (np.concatenate([f[k] for f in found if f[2] == starred]) for k in (0, 1))
-            apart = a != b
-            if apart.any():
-                a, b = np.unique(np.stack((np.minimum(a, b)[apart], np.maximum(a, b)[apart])), axis=1)
-                yield pd.DataFrame({"a": a, "b": b, "star": starred})
+            i = np.flatnonzero((which[gap:] == which[:-gap]) & ~long[gap:])
+            found.append(np.stack((owner[i], owner[i + gap])))
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+        if len(a):
+            yield pd.DataFrame({"a": a, "b": b, "star": False})
 
-    sent = docs.mapInPandas(sign, "bucket int, kind int, x binary, y binary, z binary")
-    return sent.repartition(shuffle_partitions(docs.sparkSession), "bucket").mapInPandas(meet, "a long, b long, star boolean")
+    sent = docs.mapInPandas(released(sign), "bucket int, x binary, y binary")
+    return sent.repartition(shuffle_partitions(docs.sparkSession), "bucket").mapInPandas(released(meet), "a long, b long, star boolean")
 
 
 def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,7 +227,72 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     of_a = sets.select(F.col("h1").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("size_x"))
     of_b = sets.select(F.col("h1").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("size_y"))
-    return pairs.join(of_a, "a").join(of_b, "b").mapInPandas(run, "a long, b long")
+    return pairs.join(of_a, "a").join(of_b, "b").mapInPandas(released(run), "a long, b long")
+
+
+def grouped(sketches: list[bytes], sizes: np.ndarray, percent: int, leaders: int) -> np.ndarray:
+    """The first member of the group of each set of a list; sets that may link are in one group."""
+    n, length = len(sketches), np.array([len(x) for x in sketches])
+    counts = {}
+    for k in np.unique(length).tolist():
+        at = np.flatnonzero(length == k)
+        counts[k] = {k: np.frombuffer(b"".join([sketches[i] for i in at.tolist()]), np.uint8).reshape(-1, k).astype(np.int16)}, at
+    fold = lambda x, k: x if x.shape[1] == k else np.minimum(x.reshape(len(x), k, -1).sum(2), 255).astype(np.int16)
+    label, apart = np.arange(n), np.zeros(n, np.int64)
+    for q in range(n):
+        if (label[q:] == label[q]).all():
+            break
+        if q < leaders:
+            own = np.frombuffer(sketches[q], np.uint8).astype(np.int16)[None, :]
+            for k, (tables, at) in counts.items():
+                least = min(k, own.shape[1])
+                if least not in tables:
+                    tables[least] = fold(tables[k], least)
+                apart[at] = np.abs(tables[least] - fold(own, least)).sum(1, dtype=np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * (sizes[q] + sizes)
+            near &= 100 * np.minimum(sizes, sizes[q]) >= percent * np.maximum(sizes, sizes[q])
+        else:
+            near = np.arange(n) >= q
+        met = np.unique(label[near])
+        label[np.isin(label, met)] = met[0]
+    return label
+
+
+def _long_lists(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect the sets of each long list that may link."""
+    leaders, longest = LEADERS, LIST
+
+    def edges(owner, sketches, size):
+        label = grouped(sketches, np.array(size, np.int64), percent, leaders)
+        owner, away = np.array(owner, np.int64), label != np.arange(len(label))
+        return owner[label[away]], owner[away]
+
+    def run(batches):
+        key, held, lead = None, ([], [], []), None  # lead: the first member of a list that has become too long
+        for pdf in batches:
+            which = pdf["list"].to_numpy(np.int64)
+            cut = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(which)]
+            out = []
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                if which[x] != key:
+                    if held[0]:
+                        out.append(edges(*held))
+                    key, held, lead = which[x], ([], [], []), None
+                for to, column in zip(held, ("h1", "sketch", "size"), strict=True):
+                    to.extend(pdf[column].iloc[x:y])
+                if lead is None and len(held[0]) > longest:
+                    lead = held[0][0]
+                if lead is not None:
+                    out.append((np.full(len(held[0]), lead, np.int64), np.array(held[0], np.int64)))
+                    held = ([], [], [])
+            if out:
+                yield pd.DataFrame({"a": np.concatenate([a for a, _ in out]), "b": np.concatenate([b for _, b in out])})
+        if held[0]:
+            yield pd.DataFrame(dict(zip("ab", edges(*held), strict=True)))
+
+    rows = entries.join(sets.select("h1", "sketch", "size"), "h1")
+    width = shuffle_partitions(entries.sparkSession)
+    return rows.repartition(width, "list").sortWithinPartitions("list").mapInPandas(released(run), "a long, b long")
 
 
 class Search:
@@ -357,7 +409,7 @@ def _searched(rows: DataFrame, n: int, percent: int) -> DataFrame:
             yield flush(held)
 
     width = shuffle_partitions(rows.sparkSession)
-    return rows.repartition(width, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInPandas(run, _FOUND)
+    return rows.repartition(width, "family", "i", "j").sortWithinPartitions("family", "i", "j").mapInPandas(released(run), _FOUND)
 
 
 def _whole(found: DataFrame) -> DataFrame:
@@ -381,7 +433,8 @@ def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     reps = stage(profiles.where("size > 0").groupBy(*same).agg(F.min(F.struct("doc_id", "tkey")).alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch")), "sets")
     edges = stage(_edges(docs, n, percent, _frequent(counted)), "edges")
     near = _near(edges.where("NOT star").select("a", "b").distinct(), reps, percent)
-    families = components(edges.where("star").select("a", "b").unionByName(near), name="families").withColumnsRenamed({"node": "h1", "label": "family"})
+    far = _long_lists(edges.where("star").select(F.col("a").alias("h1"), F.col("b").alias("list")), reps, percent)
+    families = components(far.unionByName(near), name="families").withColumnsRenamed({"node": "h1", "label": "family"})
     unstage(edges)
     members = stage(reps.join(families, "h1").select("h1", "h2", "size", "rep", "copies", "family"), "members")
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("shingles"))

@@ -118,3 +118,35 @@ def test_low_thresholds_find_contained_sets(spark, docs_of):
             cut = s[r.random(len(s)) < r.uniform(percent / 100 - 0.05, 1)]
             if len(cut) and 100 * len(cut) >= percent * len(s):
                 assert len(np.intersect1d(classes.signatures(s), classes.signatures(cut)))
+
+
+def test_long_lists_chain_no_strangers(spark, docs_of, monkeypatch):
+    r = random.Random(11)
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts = [" ".join([*(f"v{r.randrange(10**6)}" for _ in range(150)), shared]) for _ in range(30)]
+    texts += [t + " more" for t in texts[:3]]
+    docs = docs_of(texts).selectExpr("doc_id", "xxhash64(text) AS tkey", "text")
+    sets = setjoin._profiles(docs, 3).where("size > 0")
+    edges = setjoin._edges(docs, 3, 90, np.zeros(0, np.uint64))
+    members = edges.where("star").selectExpr("a AS h1", "b AS list")
+    assert members.count() > 30  # all share the passage
+    found = {frozenset((e.a, e.b)) for e in setjoin._long_lists(members, sets, 90).collect()}
+    assert len(found) <= 3  # not the 30 of a star, which made one family of all
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in setjoin.components_of(docs_of(texts), 3, 90).collect()}
+    assert got == brute(texts, 3, 90)
+    for name, value in (("LEADERS", 2), ("LIST", 5)):  # the rest of such a list is a star
+        monkeypatch.setattr(setjoin, name, value)
+        assert {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in setjoin.components_of(docs_of(texts + corpus(3, 3)), 3, 90).collect()} == brute(texts + corpus(3, 3), 3, 90)
+
+
+def test_groups_hold_all_pairs_that_may_link():
+    r = np.random.default_rng(3)
+    base = [np.unique(r.integers(0, 2**64, n, dtype=np.uint64)) for n in (300, 330, 500)]
+    sets = [np.unique(np.concatenate((b[r.random(len(b)) > cut], r.integers(0, 2**64, 3, dtype=np.uint64)))) for b in base for cut in (0, 0.02, 0.06, 0.1, 0.3)]
+    sizes = np.array([len(s) for s in sets])
+    label = setjoin.grouped([setjoin.sketch(s) for s in sets], sizes, 90, 256)
+    assert len(set(label.tolist())) > 2
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * (k := len(np.intersect1d(sets[i], sets[j]))) >= 90 * (len(sets[i]) + len(sets[j]) - k):
+                assert label[i] == label[j]
