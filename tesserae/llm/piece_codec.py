@@ -3,8 +3,8 @@
 The normaliser walks the text by longest prefix through the model's compiled character map (a double-array trie) and
 records, for each byte it writes, the byte of the text it came from. Each piece is then projected through that record to
 the span of original bytes it stands for. Text is cut where no piece of the vocabulary can reach across (before a word
-mark that follows something else, around line feeds, before some punctuation), so a unit's pieces depend on the unit alone and are kept in a
-bounded table per Python worker.
+mark that follows something else, around line feeds, before some punctuation), so a unit's pieces depend on the unit alone and
+are kept in two bounded tables per Python worker: a full one becomes the older, whose units move back when they are met again.
 
 Cases: null and empty texts give no ids; invalid rows cannot occur (Spark strings are UTF-8); repeated rows give repeated
 results, rows with one doc_id or none are rows of their own; very long texts are taken whole, and units beyond 64 characters
@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import math
 import re
 import string
@@ -30,8 +31,8 @@ from tesserae.llm.common import unified
 MARK = "▁"
 #: spans_sha256: of (first byte, end byte) of each id in the original text, as pairs of little-endian 64-bit numbers.
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, spans_sha256 string, decoded_sha256 string"
-#: Kept results per worker; at this many the table starts anew.
-CACHE_UNITS = 120_000
+#: Kept results per worker; at this many the table becomes the older one.
+CACHE_UNITS = 200_000
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -145,20 +146,26 @@ class PieceModel:
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == 6}
         self.bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.unit = re.compile(self._unit_pattern())
+        self.names = {p: str(i) for p, i in self.ids.items()}
+        if max(map(len, self.pieces), default=0) > 255:
+            raise ValueError("pieces of over 255 characters are not supported")
         self.cache: dict[str, tuple[int, str, str, bytes]] = {}
+        self.older: dict[str, tuple[int, str, str, bytes]] = {}
 
     def _unit_pattern(self) -> str:
         """Cuts where no piece can reach across: before a word mark, around a line feed, and between a letter or digit and
-        punctuation that no piece has after one."""
+        punctuation that no piece has after one, or only after a few others (".": after "²")."""
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             return "(?s).+"
         if any("\n" in p and len(p) > 1 for p in self.ids):
             return f"{MARK}*[^{MARK}]+|{MARK}+"
-        after = {p[i] for p in self.ids for i in range(1, len(p)) if p[i - 1].isalnum()}
-        cut = re.escape("".join(sorted(set(string.punctuation) - after)))
+        after = {p[i - 1 : i + 1] for p in self.ids for i in range(1, len(p)) if p[i - 1].isalnum()}
+        before = {c: sorted(x[0] for x in after if x[1] == c) for c in string.punctuation}
+        cut = re.escape("".join(c for c in sorted(before) if len(before[c]) <= 8))
+        joined = "".join(f"|(?<=[{''.join(before[c])}]){re.escape(c)}" for c in sorted(before) if 0 < len(before[c]) <= 8)
         if not cut:
             return f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
-        return rf"{MARK}*[^{MARK}\n](?:[^{MARK}\n{cut}]|(?<![^\W_])[{cut}])*|{MARK}+|\n"
+        return rf"{MARK}*[^{MARK}\n](?:[^{MARK}\n{cut}]|(?<![^\W_])[{cut}]{joined})*|{MARK}+|\n"
 
     # -- normalising -------------------------------------------------------------------------------------------------
     def normalise(self, text: str) -> tuple[str, list[int]]:
@@ -230,18 +237,19 @@ class PieceModel:
         cost = self.cost.get
         none = math.inf
         parts = list(unit)
-        pairs = [cost(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        pairs = [cost(a + b, none) for a, b in itertools.pairwise(unit)]
         while pairs:
             best = min(pairs)
             if best == none:
                 break
             i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            joined = parts[i] + parts.pop(i + 1)
+            parts[i] = joined
             del pairs[i]
             if i < len(pairs):
-                pairs[i] = cost(parts[i] + parts[i + 1], none)
+                pairs[i] = cost(joined + parts[i + 1], none)
             if i:
-                pairs[i - 1] = cost(parts[i - 1] + parts[i], none)
+                pairs[i - 1] = cost(parts[i - 1] + joined, none)
         return parts
 
     def _merge_long(self, unit: str) -> list[str]:
@@ -312,44 +320,55 @@ class PieceModel:
     def digest(self, text: str | None) -> tuple[int, str, str, str]:
         """Number of ids, hash of the ids, hash of their spans in the text, hash of the text decoded from them."""
         normal, origin = self.origins(text or "")
-        cache, units = self.cache, self.unit.findall(normal)
-        rows = list(map(cache.get, units))
-        if None in rows:
-            for i, unit in enumerate(units):
-                if rows[i] is None:
-                    rows[i] = cache.get(unit) or self._unit_digest(unit)
+        rows, kept = [], self.cache.get
+        for unit in self.unit.findall(normal):
+            row = kept(unit)
+            if row is None:
+                row, kept = self._known(unit), self.cache.get  # a full table has been replaced
+            rows.append(row)
         if not rows:
             return (0, *[hashlib.sha256(b"").hexdigest()] * 3)
-        sizes, ids, texts, inner = zip(*rows, strict=True)
-        length = np.fromiter(map(len, units), np.int64, len(units))
-        at = np.frombuffer(b"".join(inner), "<i4").reshape(-1, 2) + np.repeat(np.cumsum(length) - length, sizes)[:, None]
+        sizes, ids, texts, steps = zip(*rows, strict=True)
+        step = np.frombuffer(b"".join(steps), np.uint8)
+        end = np.cumsum(step, dtype=np.int64)
+        at = np.empty((len(step), 2), np.int64)
+        at[:, 0] = end - step
+        at[:, 1] = at[:, 0] + np.maximum(step, 1)
         spans = hashlib.sha256(origin[at].astype("<i8", copy=False).tobytes()).hexdigest()
         text_out = "".join(texts)
         if (self.dummy or self.squeeze) and text_out[:1] == " ":
             text_out = text_out[1:]
         return sum(sizes), hashlib.sha256(",".join(ids).encode()).hexdigest(), spans, hashlib.sha256(text_out.encode()).hexdigest()
 
-    def _unit_digest(self, unit: str) -> tuple[int, str, str, bytes]:
-        """Number of ids, the ids joined by commas, their text with spaces for word marks, and their spans in characters."""
-        ids, inner, at = [], [], 0
-        for p in self.merge(unit):
-            own = self.ids_of(p)
-            ids += own
-            inner += [at, at + len(p)] * len(own)
-            at += len(p)
-        pieces = [self.pieces[k] for k in ids]
-        if any(k in self.bytes_of for k in ids):
-            # a leading byte piece protects the mark that decode() would drop at the start of a text
-            out = self.decode([next(iter(self.bytes_of)), *ids])[1:]
-        else:
-            out = "".join(pieces).replace(MARK, " ")
-        row = len(ids), ",".join(map(str, ids)), out, np.array(inner, "<i4").tobytes()
+    def _known(self, unit: str) -> tuple[int, str, str, bytes]:
+        """The unit's row from the tables, or a new one."""
+        row = self.older.get(unit) or self._unit_digest(unit)
         if len(unit) <= 64:
             if len(self.cache) >= CACHE_UNITS:
-                self.cache.clear()
+                self.older, self.cache = self.cache, {}
             self.cache[unit] = row
         return row
 
+    def _unit_digest(self, unit: str) -> tuple[int, str, str, bytes]:
+        """Number of ids, the ids joined by commas, their text with spaces for word marks, and the characters that each id
+        takes: 0 for a byte that others of its character follow, which has the span of that character."""
+        pieces = self.merge(unit)
+        names = list(map(self.names.get, pieces))
+        if None not in names:
+            return len(names), ",".join(names), "".join(pieces).replace(MARK, " "), bytes(map(len, pieces))
+        ids, steps = [], []
+        for p in pieces:
+            own = self.ids_of(p)
+            ids += own
+            steps += [0] * (len(own) - 1) + [len(p)]
+        # a leading byte piece protects the mark that decode() would drop at the start of a text
+        out = self.decode([next(iter(self.bytes_of)), *ids])[1:]
+        return len(ids), ",".join(map(str, ids)), out, bytes(steps)
+
+    def forget(self) -> None:
+        """Empty tables: a worker waits for its next task without them."""
+        self.cache, self.older = {}, {}
+
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> PieceModel:
@@ -397,6 +416,6 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         for pdf in batches:
             rows = [model.digest(t if isinstance(t, str) else None) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "spans_sha256": [r[2] for r in rows], "decoded_sha256": [r[3] for r in rows]})
-        model.cache.clear()  # a worker waits for its next task without it
+        model.forget()
 
     return unified(docs).mapInPandas(run, SCHEMA)

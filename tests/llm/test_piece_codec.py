@@ -1,5 +1,7 @@
 import hashlib
+import re
 
+import numpy as np
 import pytest
 
 from tesserae.llm import piece_codec
@@ -108,3 +110,25 @@ def test_rows_without_or_with_one_id(spark):
     docs = spark.createDataFrame([(None, "a b"), (1, "a b"), (1, "c"), (2, "w " * 100_000)], "doc_id long, text string")
     rows = piece_codec.digests(docs).collect()
     assert len(rows) == 4 and len({r.ids_sha256 for r in rows}) == 3
+
+
+def test_kept_units_stay_when_the_table_is_full(monkeypatch):
+    m = piece_codec.PieceModel(open(piece_codec.model_path(), "rb").read())
+    monkeypatch.setattr(piece_codec, "CACHE_UNITS", 4)
+    merged, merge = [], m.merge
+    monkeypatch.setattr(m, "merge", lambda unit: merged.append(unit) or merge(unit))
+    text = " ".join(["same words here"] + [f"other{i} same words here" for i in range(40)])
+    want = m.encode_with_spans(text)
+    merged.clear()
+    n, ids, spans, _ = m.digest(text)
+    assert (n, ids) == (len(want), hashlib.sha256(",".join(str(k) for k, _, _ in want).encode()).hexdigest())
+    assert spans == hashlib.sha256(np.array([s[1:] for s in want], "<i8").tobytes()).hexdigest()
+    assert merged.count("▁same") == 1 and max(len(m.cache), len(m.older)) <= 4
+
+
+def test_a_word_is_one_unit_with_or_without_a_full_stop():
+    m = piece_codec.load(piece_codec.model_path())
+    assert m.units("one word. A word") == ["▁one", "▁word", ".", "▁A", "▁word"]
+    assert m.units("m². x.y ..") == ["▁m².", "▁x", ".y", "▁.."]
+    for text in ("m². x.y .. 3.14 a...b é.", "x²..", "²."):
+        assert m.encode(text) == [k for u in re.findall(r"▁[^▁]*", m.origins(text)[0]) for p in m.merge(u) for k in m.ids_of(p)]
