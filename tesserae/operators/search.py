@@ -93,15 +93,18 @@ def search_request(request: dict) -> dict:
 
 def batch_search(footprints: DataFrame, requests: DataFrame, service_deletions: DataFrame, scene_deletions: DataFrame) -> DataFrame:
     """search() for a table of requests: request_id, x0, y0, x1, y1, since, until, cloud_max, max_items."""
-    from tesserae.operators import ranges
+    from tesserae.operators import ranked, ranges
 
-    scenes = distinct_scenes(live(footprints, service_deletions, scene_deletions))
-    asked = requests.select("request_id", F.col("x0").alias("minx"), F.col("y0").alias("miny"), F.col("x1").alias("maxx"), F.col("y1").alias("maxy"), "since", "until", "cloud_max", "max_items")
-    pairs = ranges.rect_join(asked, scenes).where(overlaps_time("acquired_at", "acquired_at", "since", "until") & cloud_at_most("cloud_cover", "cloud_max"))
-    w = Window.partitionBy("request_id")
+    boxed = lambda df: df.where(~F.exists(F.array(*[F.col(c).cast("double") for c in ranges._BOX]), lambda x: x.isNull()))
+    scenes = boxed(distinct_scenes(live(footprints, service_deletions, scene_deletions))).select("scene_id", *ranges._BOX, "acquired_at", "cloud_cover")
     top = F.least(F.coalesce("max_items", F.lit(DEFAULT_LIMIT)), F.lit(MAX_LIMIT))
-    ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy(*newest_first()))).withColumn("number_matched", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("rank") <= top).select("request_id", "rank", "scene_id", "number_matched")
+    asked = requests.select("request_id", F.col("x0").alias("minx"), F.col("y0").alias("miny"), F.col("x1").alias("maxx"), F.col("y1").alias("maxy"), "since", "until", "cloud_max", top.cast("int").alias("top"))
+    w = Window.partitionBy("request_id")
+    asked = boxed(asked).withColumn("most", F.greatest(F.max("top").over(w), F.lit(1)))  # rows with one id are ranked together
+    found = ranked.first_matches(asked, scenes, footprints)
+    order = w.orderBy(F.desc("key"), F.asc("scene_id"))
+    every = found.withColumn("rank", F.row_number().over(order)).withColumn("number_matched", F.sum("n").over(w))
+    return every.where(F.col("rank") <= F.col("top")).select("request_id", "rank", "scene_id", "number_matched")
 
 
 def item(service, scene, ring, acquired_at, cloud, role, uri, fmt) -> Column:

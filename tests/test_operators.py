@@ -2,14 +2,16 @@
 
 import json
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import pixel
-from tesserae.operators import catalog, models, mosaic, ranges, tiles, zonal
+from tesserae.operators import catalog, models, mosaic, ranges, search, tiles, zonal
 from tesserae.sources import geotiff
 from tesserae.streaming import feeds
 from tests.test_sources import tiff
@@ -414,3 +416,73 @@ def test_equal_boxes_and_places_meet_once(spark, monkeypatch):
     monkeypatch.setattr(ranges, "point_scenes", lambda a, b, m: asked.append((a.where("lon IS NOT NULL").count(), b.count())) or join(a, b, m))
     assert {tuple(x) for x in ranges.point_counts(p, f).select("point_id", "n", "first_scene").collect()} == want and len(want) > 100
     assert asked == [(40, 50)]
+
+
+def _odd_search_rows(spark, seed):
+    r = random.Random(seed)
+    day = lambda: r.choice([None, *[datetime(1996, 1, 1) + timedelta(days=r.randrange(9), microseconds=r.randrange(3))] * 6])
+
+    def box(sizes):
+        x, y, w, h = r.uniform(-180, 180), r.uniform(-90, 80), r.choice(sizes), r.choice(sizes)
+        x, y = (round(x), round(y)) if r.random() < 0.3 else (x, y)
+        c = x + w if x + w <= 180 else x + w - 360
+        return r.choice([(x, y, c, y + h)] * 30 + [(None, y, c, y + h), (x, y + 1, c, y), (x, y, x, y)])
+
+    scenes = [(i, i % 7, *map(lambda v: v if v is None else float(v), box([0.01, 2, 9, 40, 300])), day(), r.choice([None, float(r.randrange(101))]), "2020-01") for i in range(700)]
+    scenes += [(s[0] + 1000, *s[1:]) for s in scenes[:60]] + scenes[:20]
+    asked = [(i % 95, *map(lambda v: v if v is None else float(v), box([0.5, 20, 60, 350])), r.choice([None, day()]), r.choice([None, day()]), r.choice([None, float(r.randrange(101))]), r.choice([None, 0, 1, 3, 500])) for i in range(100)]
+    f = spark.createDataFrame(scenes, "scene_id long, service_id long, minx double, miny double, maxx double, maxy double, acquired_at timestamp, cloud_cover double, acq_month string")
+    q = spark.createDataFrame(asked, "request_id long, x0 double, y0 double, x1 double, y1 double, since timestamp, until timestamp, cloud_max double, max_items int")
+    return f, q, spark.createDataFrame([(3,)], "service_id long"), spark.createDataFrame([(5,), (1007,)], "scene_id long")
+
+
+def _listed_search(f, q, gone, dead):
+    """Every pair, then ranked."""
+    full = lambda df: df.where("minx IS NOT NULL")
+    scenes = full(search.distinct_scenes(search.live(f, gone, dead)))
+    asked = full(q.selectExpr("request_id", "x0 AS minx", "y0 AS miny", "x1 AS maxx", "y1 AS maxy", "since", "until", "cloud_max", "max_items"))
+    pairs = ranges.rect_join(asked, scenes).where(search.overlaps_time("acquired_at", "acquired_at", "since", "until") & search.cloud_at_most("cloud_cover", "cloud_max"))
+    w = Window.partitionBy("request_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy(*search.newest_first()))).withColumn("m", F.count(F.lit(1)).over(w))
+    return ranked.where("rank <= coalesce(max_items, 10)").select("request_id", "rank", "scene_id", "m")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_batch_search_on_odd_boxes(spark, monkeypatch, seed):
+    from tesserae.operators import ranked
+
+    f, q, gone, dead = _odd_search_rows(spark, seed)
+    once = q.dropDuplicates(["request_id"]).cache()  # rows with one id are ranked together, in an order that ties leave open
+    want = sorted(tuple(r) for r in _listed_search(f, once, gone, dead).collect())
+    assert len(want) > 500
+    assert sorted(tuple(r) for r in search.batch_search(f, once, gone, dead).collect()) == want
+    assert search.batch_search(f.limit(0), once, gone, dead).count() == search.batch_search(f, q.limit(0), gone, dead).count() == 0
+    monkeypatch.setattr(ranked, "PART", 16)  # many parts of a cell
+    assert sorted(tuple(r) for r in search.batch_search(f, once, gone, dead).collect()) == want
+    both = {(r.request_id, r.number_matched) for r in search.batch_search(f, q, gone, dead).collect()}
+    assert both <= {(r.request_id, r.m) for r in _listed_search(f, q, gone, dead).collect()} and len(both) > 50
+
+
+def test_batch_search_lists_no_pairs(spark):
+    from tesserae.operators import ranked
+
+    scenes = spark.range(3000).selectExpr("id AS scene_id", "0D AS minx", "0D AS miny", "9D AS maxx", "9D AS maxy", "timestamp_seconds(id) AS acquired_at", "1D AS cloud_cover")
+    asked = spark.range(50).selectExpr("id AS request_id", "1D AS minx", "1D AS miny", "8D AS maxx", "8D AS maxy", "timestamp_seconds(id) AS since", "CAST(NULL AS timestamp) AS until", "2D AS cloud_max", "4 AS top", "4 AS most")
+    rows = ranked.first_matches(asked, scenes).collect()
+    assert len(rows) == 200  # of 148 775 pairs
+    assert {(r.request_id, r.n) for r in rows if r.n} == {(i, 3000 - i) for i in range(50)}
+    assert {r.scene_id for r in rows} == {2996, 2997, 2998, 2999}
+
+
+def test_blocks_of_scenes_count_on(monkeypatch):
+    from tesserae.operators import ranked
+
+    monkeypatch.setattr(ranked, "BLOCK", 7)
+    n = 40
+    rows = {c: np.zeros(n) for c in ("a", "miny", "cloud", "minx")} | {c: np.ones(n) for c in ("c", "maxy", "maxx")}
+    rows |= {"since": np.arange(n)[::-1].copy(), "until": np.arange(n)[::-1].copy(), "piece": np.zeros(n, np.int32), "begins_x": np.ones(n, bool), "begins_y": np.ones(n, bool), "scene_id": np.arange(n), "key": np.arange(n)[::-1].copy()}
+    part = ranked.Part([pa.RecordBatch.from_pydict({k: v[x:y] for k, v in rows.items()}) for x, y in ((0, 13), (13, 40))])
+    asked = {c: [0.0] * 3 for c in ("a", "miny", "minx")} | {c: [1.0] * 3 for c in ("c", "maxy", "maxx", "cloud")} | {"since": [0, 5, 99], "until": [99, 30, 99], "piece": [0] * 3, "begins_x": [True] * 3, "begins_y": [True] * 3, "request_id": ["p", "q", "r"], "top": [9] * 3, "most": [9] * 3}
+    out = pa.Table.from_batches(part.answers(pa.RecordBatch.from_pydict(asked))).to_pylist()
+    assert [r["scene_id"] for r in out if r["request_id"] == "p"] == list(range(9)) and [r["scene_id"] for r in out if r["request_id"] == "q"] == list(range(9, 18))
+    assert {r["request_id"]: r["n"] for r in out if r["n"]} == {"p": 40, "q": 26}
