@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import unified
+from tesserae.llm.common import released, unified
 
 MARK = "▁"
 #: spans_sha256: of (first byte, end byte) of each id in the original text, as pairs of little-endian 64-bit numbers.
@@ -418,4 +418,4 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "spans_sha256": [r[2] for r in rows], "decoded_sha256": [r[3] for r in rows]})
         model.forget()
 
-    return unified(docs).mapInPandas(run, SCHEMA)
+    return unified(docs).mapInPandas(released(run), SCHEMA)

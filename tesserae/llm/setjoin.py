@@ -434,8 +434,9 @@ def joined(docs: DataFrame, n: int, percent: int) -> DataFrame:
     edges = stage(_edges(docs, n, percent, _frequent(counted)), "edges")
     near = _near(edges.where("NOT star").select("a", "b").distinct(), reps, percent)
     far = _long_lists(edges.where("star").select(F.col("a").alias("h1"), F.col("b").alias("list")), reps, percent)
-    families = components(far.unionByName(near), name="families").withColumnsRenamed({"node": "h1", "label": "family"})
-    unstage(edges)
+    met = stage(far.unionByName(near), "met")  # one Python worker a task, where the functions of both would run in two
+    families = components(met, name="families").withColumnsRenamed({"node": "h1", "label": "family"})
+    unstage(edges, met)
     members = stage(reps.join(families, "h1").select("h1", "h2", "size", "rep", "copies", "family"), "members")
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("shingles"))
     blocks = sizes.select("family", F.ceil(F.greatest(F.col("m") / FAMILY, F.col("shingles") / FAMILY_SHINGLES)).cast("int").alias("blocks"))
