@@ -64,3 +64,29 @@ def test_query_blocks_without_broadcast(spark, monkeypatch):
         for q, _, i, s in brute([x for x in rows if x[0] is not None]):
             want.setdefault(q, []).append((i, s))
         assert top == want
+
+
+def test_copies_of_query_blocks_are_no_broadcast(spark, monkeypatch):
+    """Spark takes blocks that are dealt out in copies for as small as one of them; they must not go through the driver."""
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 16)
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)], "x") for i in range(450)], SCHEMA)
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), 5)
+    assert len(got.collect()) == 45
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sparse_and_dense_components_of_all_sizes(spark):
+    """Lists of most rows hold their zeros, values take 2, 4 or 8 bytes."""
+    r = np.random.default_rng(6)
+    for size in (1.0, 1e3, 1e6):
+        rows = [(i, [float(np.float32(size * x)) for x in r.normal(size=6) * (r.random(6) > [0, 0.02, 0.3, 0.6, 0.95, 1])]) for i in range(260)]
+        rows += [(i, v[:3]) for i, v in rows[40:60]] + [(100, rows[7][1])] + [(999, [1e9] * 6)] * (size == 1.0)
+        c = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+        got = run(spark, rows)
+        want = {}
+        for i, a in c:
+            if i % 50 == 0:
+                want.setdefault(i, []).extend((-sum(x * y for x, y in zip(a, b, strict=False)), j) for j, b in c if j != i)
+        assert got == sorted((i, n + 1, j, -x) for i, s in want.items() for n, (x, j) in enumerate(sorted(s)[:5]))
